@@ -12,7 +12,8 @@ place. That is what a difference cover is for, with one sampled suffix in about
 them repeats; the remaining suffixes, those of the starts that an anchor stands for,
 are merged into the order of its group as (bytes up to the anchor, anchor's suffix), cut
 to LENGTH bytes; and neighbours in the sorted order are compared. Equal neighbours are
-repeats. Equal strings have equal anchors, so the sort is local to a group; groups of over HOT members are dealt over several tasks
+repeats. Equal strings have equal anchors, so the sort is local to a group; places whose
+bytes are the same all along are taken together, so a passage of many copies counts once; groups of over HOT members are dealt over several tasks
 by the value sorted on.
 """
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,12 +145,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, h, first, last = anchors(data)
                 for p, name, lo, hi in zip(at.tolist(), h.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
                     if name in wanted:
-                        rows.append((name, wanted[name], key, lo, hi, data[lo : hi + LENGTH].tobytes()))
+                        part = data[lo : hi + LENGTH].tobytes()
+                        rows.append((name, wanted[name], xxhash.xxh3_64_intdigest(part) - 2**63, key, lo, hi, part))
             if len(rows) > 5_000 or i == b.num_rows and rows:
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                                 ["name", "size", "key", "lo", "hi", "bytes"])
+                                                 ["name", "size", "content", "key", "lo", "hi", "bytes"])
                 rows = []
 
 
@@ -168,7 +171,7 @@ def _entries(pdf: pd.DataFrame, row: int) -> pd.DataFrame:
     mine = np.flatnonzero(h % parts[at] == part[at])
     at = at[mine]
     return pd.DataFrame({"name": pdf.name.to_numpy()[at], "part": pdf.part.to_numpy()[at], "h": h[mine], "s": start[mine],
-                         "row": at + row, "key": pdf.key.to_numpy()[at]})
+                         "row": at + row, "key": pdf.key.to_numpy()[at], "single": pdf.single.to_numpy()[at]})
 
 
 def _compare(x: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +182,7 @@ def _compare(x: pd.DataFrame) -> pd.DataFrame:
     rep = np.zeros(len(h), bool)
     rep[order[1:][same]] = True
     rep[order[:-1][same]] = True
-    found = x[rep].groupby("row", sort=False).agg(key=("key", "first"), lo=("s", "min"), hi=("s", "max"))
+    found = x[rep & x.single.to_numpy()].groupby("row", sort=False).agg(key=("key", "first"), lo=("s", "min"), hi=("s", "max"))
     return found.assign(hi=found.hi + LENGTH)
 
 
@@ -244,13 +247,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     cand = long.mapInArrow(_names(True), "name long, key binary").join(dup, "name")
     lists = written(cand.distinct().groupBy("key").agg(F.collect_list("name").alias("names"), F.collect_list("size").alias("sizes")), "lists")
     keyed = long.withColumn("key", F.unhex(F.substring(F.sha2("data", 256), 1, 32)))
-    ctx = keyed.join(lists, "key").select("data", "key", "names", "sizes").mapInArrow(
-        _contexts, "name long, size long, key binary, lo long, hi long, bytes binary")
-    ctx = ctx.withColumn("parts", F.ceil(F.col("size") / HOT).cast("long"))
-    ctx = ctx.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("size")
+    ctx = written(keyed.join(lists, "key").select("data", "key", "names", "sizes").mapInArrow(
+        _contexts, "name long, size long, content long, key binary, lo long, hi long, bytes binary"), "contexts")
+    # what stands in several places as a whole repeats as a whole, and is compared with the rest of its group once
+    many = written(ctx.groupBy("name", "content").agg(F.count("*").alias("n")).where("n > 1").select("name", "content"), "many")
+    whole = ctx.select("name", "content", "key", "lo", "hi").join(many, ["name", "content"]).select("key", "lo", (F.col("hi") + LENGTH).alias("hi"))
+    once = ctx.groupBy("name", "content").agg(F.first("bytes").alias("bytes"), F.min(F.struct("key", "lo", "hi")).alias("at"),
+                                              F.max("size").alias("size"), (F.count("*") == 1).alias("single"))
+    once = once.select("name", "bytes", "at.*", "single", F.ceil(F.col("size") / HOT).cast("long").alias("parts"))
+    once = once.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     tasks = max(n_tasks(docs.sparkSession), 8)
-    met = ctx.repartition(tasks, "name", "part").sortWithinPartitions("name", "part").mapInPandas(_merge, "key binary, lo long, hi long")
-    return written(met.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("cover")), "cover")
+    met = once.repartition(tasks, "name", "part").sortWithinPartitions("name", "part").mapInPandas(_merge, "key binary, lo long, hi long")
+    return written(whole.unionAll(met).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("cover")), "cover")
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
