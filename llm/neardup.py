@@ -7,14 +7,14 @@ union, always confirmed on the whole sets.
 Plan. (1) One pass over the texts gives each document the size, digest and MinHash
 signature of its set. (2) Documents of equal sets form one class, represented by its
 smallest doc_id, so a group of exact copies of any size is one node. (3) Bands of the
-signature give buckets. Each member of a bucket is first paired with two hubs of it
-(its smallest and its largest node), which is linear in the bucket. (4) Pairs are
+signature give buckets. Each member of a bucket is first paired with HUBS members of it
+(those of the least hashes), which is linear in the bucket. (4) Pairs are
 compared in batches of the signature and dropped once the posterior probability that
 their similarity reaches the threshold is below ``miss``; survivors are checked on
 their sets. (5) Connected components. (6) Only pairs that lie in one bucket but still in
 different components can add anything: those are compared too, large buckets in
-blocks of signatures, each member keeping its best few partners of another component,
-four times as many in each round, until a round leaves nothing out. So no link that
+blocks of signatures that yield the FIRST most alike pairs of each two components,
+MORE times as many in each round, until a round leaves nothing out. So no link that
 joins two components is lost, and no group is expanded into all its pairs.
 """
 
@@ -36,6 +36,7 @@ WIDTH, ROWS, BANDS, BATCH = 5, 5, 36, 30
 PERMS = ROWS * BANDS
 THRESHOLD, MISS = 0.75, 1e-5
 SMALL, BLOCK, WORDS_KEPT = 24, 256, 300_000
+HUBS, FIRST, MORE = 6, 8, 16
 _rng = np.random.default_rng(7)
 _MUL = (_rng.integers(1, 2**31, PERMS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32 - 1, PERMS, dtype=np.uint32)
@@ -161,27 +162,23 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _block(take: int):
-    """Within a block of a bucket: for each member its ``take`` best partners of each other component."""
+    """Within a block of a bucket: the ``take`` most alike pairs of each two components that survive."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        least, found, cut = least_matches(), [], False
+        least = least_matches()
         i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
         pdf = pdf.drop_duplicates("node").reset_index(drop=True)
         sig, comp, node, own = _unpack(pdf.sig), pdf.comp.to_numpy(), pdf.node.to_numpy(), pdf.own.to_numpy()
-        right = np.flatnonzero(own == j)
+        right, pairs = np.flatnonzero(own == j), [np.empty((0, 3), np.int64)]
         for x in np.flatnonzero(own == i):
-            ys = right[comp[right] != comp[x]]
-            if i == j:
-                ys = ys[ys > x]
+            ys = right[(comp[right] != comp[x]) & ((i != j) | (right > x))]
             ys = ys[_survive(np.broadcast_to(sig[x], (len(ys), PERMS)), sig[ys], least)]
-            if not len(ys):
-                continue
-            best = pd.DataFrame({"y": ys, "c": comp[ys], "m": -(sig[ys] == sig[x]).sum(axis=1), "b": node[ys]})
-            rank = best.sort_values(["m", "b"]).groupby("c").cumcount()
-            cut |= bool((rank >= take).any())
-            found += [(node[x], node[y]) for y in best.y[rank.index[rank < take]]]
-        out = pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        return out.assign(cut=cut)
+            pairs.append(np.column_stack([np.full(len(ys), x), ys, (sig[ys] == sig[x]).sum(axis=1)]))
+        x, y, m = np.concatenate(pairs).T
+        best = pd.DataFrame({"a": node[x], "b": node[y], "m": -m, "c": np.minimum(comp[x], comp[y]), "d": np.maximum(comp[x], comp[y])})
+        best = best.sort_values(["m", "a", "b"])
+        rank = best.groupby(["c", "d"]).cumcount().to_numpy()
+        return best.loc[rank < take, ["a", "b"]].assign(cut=bool((rank >= take).any()))
 
     return run
 
@@ -203,9 +200,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = sigs.select("node", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("bucket"))
-    hubs = written(
-        bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi"), "hubs")
-    members = written(bands.join(hubs, "bucket").select("bucket", "node", "lo", "hi", "size"), "members")
+    seeds = range(HUBS)
+    hubs = bands.groupBy("bucket").agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"),
+        *[F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias(f"h{k}") for k in seeds]).where("lo <> hi")
+    hubs = written(hubs.select("bucket", "size", F.array_distinct(F.array(*[f"h{k}.node" for k in seeds])).alias("hubs")), "hubs")
+    members = written(bands.join(hubs, "bucket"), "members")
 
     def likely(pairs: DataFrame) -> DataFrame:
         a = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
@@ -225,10 +225,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def ordered(a: str, b: str) -> list:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    stars = members.select(*ordered("node", "lo")).union(members.select(*ordered("node", "hi"))).where("a <> b").distinct()
+    stars = members.select("node", F.explode("hubs").alias("hub")).select(*ordered("node", "hub")).where("a <> b")
+    stars = written(stars.distinct(), "stars")
     links = linked(likely(stars))
     labels = components(links)
-    take = 4
+    tested, take, small = stars, FIRST, True
     while True:
         lab = labels.select("node", F.col("component").alias("comp"))
         placed = members.join(lab, "node", "left").select("bucket", "node", "size", F.coalesce("comp", "node").alias("comp"))
@@ -244,15 +245,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         cells = cells.select("bucket", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         blocked = written(cells.join(sigs, "node").groupBy("bucket", "i", "j")
                           .applyInPandas(_block(take), "a long, b long, cut boolean"), "blocked")
-        fresh = pairs.union(blocked.select(*ordered("a", "b"))).distinct().join(stars, ["a", "b"], "left_anti")
-        fresh = likely(fresh)
-        again = not blocked.where("cut").isEmpty()
+        fresh = blocked.select(*ordered("a", "b"))
+        fresh = likely((fresh.unionAll(pairs) if small else fresh).distinct().join(tested, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
             links = links.unionAll(linked(fresh))
             labels = components(links)
-        if not again:
+        if blocked.where("cut").isEmpty():
             break
-        take *= 4
+        tested, take, small = tested.unionAll(fresh), take * MORE, False
 
     by_key = classes.select("key", "node")
     out = (signed.select("doc_id", "n", "key").join(by_key, "key", "left")
