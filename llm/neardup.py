@@ -34,9 +34,9 @@ from .common import components, written
 
 WIDTH, ROWS, BANDS, BATCH = 5, 5, 36, 30
 PERMS = ROWS * BANDS
-THRESHOLD, MISS = 0.75, 1e-5
+THRESHOLD, MISS = 0.75, 1e-3
 SMALL, BLOCK, WORDS_KEPT = 24, 256, 300_000
-HUBS, FIRST, MORE = 6, 8, 16
+HUBS, FIRST, MORE = 1, 4, 4096
 _rng = np.random.default_rng(7)
 _MUL = (_rng.integers(1, 2**31, PERMS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32 - 1, PERMS, dtype=np.uint32)
@@ -166,13 +166,15 @@ def _block(take: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         least = least_matches()
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        i, j, band = int(pdf.i.iloc[0]), int(pdf.j.iloc[0]), int(pdf.band.iloc[0])
         pdf = pdf.drop_duplicates("node").reset_index(drop=True)
         sig, comp, node, own = _unpack(pdf.sig), pdf.comp.to_numpy(), pdf.node.to_numpy(), pdf.own.to_numpy()
         right, pairs = np.flatnonzero(own == j), [np.empty((0, 3), np.int64)]
         for x in np.flatnonzero(own == i):
             ys = right[(comp[right] != comp[x]) & ((i != j) | (right > x))]
             ys = ys[_survive(np.broadcast_to(sig[x], (len(ys), PERMS)), sig[ys], least)]
+            met = (sig[ys] == sig[x]).reshape(-1, BANDS, ROWS).all(axis=2)
+            ys = ys[met.argmax(axis=1) == band]  # a pair counts in the first bucket that holds both
             pairs.append(np.column_stack([np.full(len(ys), x), ys, (sig[ys] == sig[x]).sum(axis=1)]))
         x, y, m = np.concatenate(pairs).T
         best = pd.DataFrame({"a": node[x], "b": node[y], "m": -m, "c": np.minimum(comp[x], comp[y]), "d": np.maximum(comp[x], comp[y])})
@@ -197,9 +199,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
     sigs = classes.select("node", "sig")
 
-    bands = sigs.select("node", F.explode(F.transform(
+    bands = sigs.select("node", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("bucket"))
+        lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("band", "bucket"))
     seeds = range(HUBS)
     hubs = bands.groupBy("bucket").agg(
         F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"),
@@ -232,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tested, take, small = stars, FIRST, True
     while True:
         lab = labels.select("node", F.col("component").alias("comp"))
-        placed = members.join(lab, "node", "left").select("bucket", "node", "size", F.coalesce("comp", "node").alias("comp"))
+        placed = members.join(lab, "node", "left").select("bucket", "band", "node", "size", F.coalesce("comp", "node").alias("comp"))
         placed = written(placed, "placed")
         mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
         mixed = written(placed.join(written(mixed, "mixed"), "bucket"), "mixed")
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         high = mixed.where(F.col("size") > SMALL).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         cells = high.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        cells = cells.select("bucket", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        cells = cells.select("bucket", "band", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         blocked = written(cells.join(sigs, "node").groupBy("bucket", "i", "j")
                           .applyInPandas(_block(take), "a long, b long, cut boolean"), "blocked")
         fresh = blocked.select(*ordered("a", "b"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-SENTENCE, INSIDE, OPEN, STEP, BLOCK, WORDS_KEPT = 2, 16, 16, 64, 262_144, 250_000
+SENTENCE, INSIDE, OPEN, STEP, BLOCK, WORDS_KEPT = 2, 16, 16, 128, 262_144, 800_000
 POWERS = (256, 512, 1024)  # lengths without padding that are worth a sequence of their own
-_ENDS = tuple(b".!?")
+_ENDS, _SIGNS = frozenset(b".!?"), frozenset(b".,")
 _tokenizers: dict[str, Words] = {}
 
 
@@ -46,25 +47,32 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def learn(self, chunks: list[bytes]) -> None:
-        new = list({c for c in chunks if c not in self})
-        if len(self) + len(new) > WORDS_KEPT:
+    def learn(self, chunks: set[bytes]) -> None:
+        """Add new chunks; one that ends with a comma or full stop after a letter is what stands before it, and that sign."""
+        if len(self) + 2 * len(chunks) > WORDS_KEPT:
             self.clear()
-            new = list(set(chunks))
+        plain = {c: c[:-1] for c in chunks if len(c) > 1 and c[-1] in _SIGNS and c[-2:-1].isalpha()}
+        new = [c for c in {*(chunks - plain.keys()), *plain.values(), b",", b"."} if c not in self]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            for c, e in zip(part, got, strict=True):
-                self[c] = np.array(e.ids, "<u4").tobytes()
+            self.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, got, strict=True))
+        self.update((c, self[p] + self[c[-1:]]) for c, p in plain.items())
 
     def ids(self, text: str | None, end: int) -> tuple[bytes, np.ndarray]:
         """Ids of the text and ``end``; the places after a sentence, in tokens."""
-        chunks = (text or "").encode("utf-8", "replace").split()
-        self.learn(chunks)
-        parts = [self[c] for c in chunks]
+        data = (text or "").encode("utf-8", "replace")
+        chunks = (data if b"<|" in data else data.lower()).split()  # special tokens are matched before lower-casing
+        parts = list(map(self.get, chunks))
+        if None in parts:
+            new = {c for c, p in zip(chunks, parts, strict=True) if p is None}
+            if len(self) + 2 * len(new) > WORDS_KEPT:
+                new = set(chunks)
+            self.learn(new)
+            parts = list(map(self.get, chunks))
         parts.append(end.to_bytes(4, "little"))
-        stops = np.fromiter((c[-1] in _ENDS for c in chunks), bool, len(chunks))
-        at = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))[:-1][stops] // 4
+        stops = [i for i, c in enumerate(chunks) if c[-1] in _ENDS]
+        at = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))[stops] // 4
         return b"".join(parts), at
 
 
@@ -113,13 +121,18 @@ class _Packer:
         for _, ids, stops, first in self.docs:
             n = len(ids) // 4
             starts.append(base)
-            marks = np.unique(np.concatenate([[first], stops[stops > first], [n]]))
+            marks = np.concatenate([[first], stops[np.searchsorted(stops, first, "right") :], [n]])
             gaps = np.diff(marks)
-            wide = np.flatnonzero(gaps > STEP)
-            inner = [np.arange(marks[w] + STEP, marks[w + 1], STEP) for w in wide]
-            x = np.unique(np.concatenate([marks[1:], *inner])) if inner else marks[1:]
-            pen = np.where(np.isin(x, stops), SENTENCE, INSIDE)
+            x, pen = marks[1:], np.full(len(marks) - 1, SENTENCE)
             pen[-1] = 0
+            if gaps.min() == 0:  # signs that are no tokens
+                x, pen = x[gaps > 0], pen[gaps > 0]
+            wide = np.flatnonzero(gaps > STEP)
+            if len(wide):
+                inner = np.concatenate([np.arange(marks[w] + STEP, marks[w + 1], STEP) for w in wide])
+                both = np.concatenate([x, inner])
+                order = np.argsort(both, kind="stable")
+                x, pen = both[order], np.concatenate([pen, np.full(len(inner), INSIDE)])[order]
             places.append(x - first + base)
             pens.append(pen)
             base += n - first
