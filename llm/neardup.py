@@ -12,10 +12,11 @@ signature give buckets. Each member of a bucket is first paired with HUBS member
 compared in batches of the signature and dropped once the posterior probability that
 their similarity reaches the threshold is below ``miss``; survivors are checked on
 their sets. (5) Connected components. (6) Only pairs that lie in one bucket but still in
-different components can add anything: those are compared too, large buckets in
-blocks of signatures that yield the FIRST most alike pairs of each two components,
-MORE times as many in each round, until a round leaves nothing out. So no link that
-joins two components is lost, and no group is expanded into all its pairs.
+different components can add anything: those of small buckets go through (4), large
+buckets are compared in blocks of signatures and sets, bounded in rows and bytes, where
+survivors are checked at once and only links leave the block, one for each two
+components. So no link that joins two components is lost, and no group is expanded
+into all its pairs.
 """
 
 from __future__ import annotations
@@ -35,8 +36,7 @@ from .common import components, written
 WIDTH, ROWS, BANDS, BATCH = 5, 5, 36, 30
 PERMS = ROWS * BANDS
 THRESHOLD, MISS = 0.75, 1e-3
-SMALL, BLOCK, WORDS_KEPT = 24, 256, 300_000
-HUBS, FIRST, MORE = 1, 4, 4096
+HUBS, SMALL, BLOCK, BLOCK_BYTES, WORDS_KEPT = 1, 24, 256, 1 << 22, 300_000
 _rng = np.random.default_rng(7)
 _MUL = (_rng.integers(1, 2**31, PERMS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32 - 1, PERMS, dtype=np.uint32)
@@ -108,9 +108,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
+            sets = [shingles(t).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column("node"), pa.array([shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())],
-                ["node", "hashes"])
+                [part.column("node"), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())],
+                ["node", "key", "hashes"])
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < 75 * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= 75 * (len(x) + len(y) - both)
 
 
 def least_matches(t: float = THRESHOLD, miss: float = MISS) -> list[int]:
@@ -153,36 +164,28 @@ def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        ok = []
-        for x, y in zip(pdf.set_a, pdf.set_b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= 75 * (len(x) + len(y) - both) > 0)
+        ok = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf.set_a, pdf.set_b, strict=True)]
         yield pdf.loc[ok, ["a", "b"]]
 
 
-def _block(take: int):
-    """Within a block of a bucket: the ``take`` most alike pairs of each two components that survive."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        least = least_matches()
-        i, j, band = int(pdf.i.iloc[0]), int(pdf.j.iloc[0]), int(pdf.band.iloc[0])
-        pdf = pdf.drop_duplicates("node").reset_index(drop=True)
-        sig, comp, node, own = _unpack(pdf.sig), pdf.comp.to_numpy(), pdf.node.to_numpy(), pdf.own.to_numpy()
-        right, pairs = np.flatnonzero(own == j), [np.empty((0, 3), np.int64)]
-        for x in np.flatnonzero(own == i):
-            ys = right[(comp[right] != comp[x]) & ((i != j) | (right > x))]
-            ys = ys[_survive(np.broadcast_to(sig[x], (len(ys), PERMS)), sig[ys], least)]
-            met = (sig[ys] == sig[x]).reshape(-1, BANDS, ROWS).all(axis=2)
-            ys = ys[met.argmax(axis=1) == band]  # a pair counts in the first bucket that holds both
-            pairs.append(np.column_stack([np.full(len(ys), x), ys, (sig[ys] == sig[x]).sum(axis=1)]))
-        x, y, m = np.concatenate(pairs).T
-        best = pd.DataFrame({"a": node[x], "b": node[y], "m": -m, "c": np.minimum(comp[x], comp[y]), "d": np.maximum(comp[x], comp[y])})
-        best = best.sort_values(["m", "a", "b"])
-        rank = best.groupby(["c", "d"]).cumcount().to_numpy()
-        return best.loc[rank < take, ["a", "b"]].assign(cut=bool((rank >= take).any()))
-
-    return run
+def _block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Within a block of a bucket: a link of each two components that have one."""
+    least = least_matches()
+    i, j, band = int(pdf.i.iloc[0]), int(pdf.j.iloc[0]), int(pdf.band.iloc[0])
+    sig, comp, node, own = _unpack(pdf.sig), pdf.comp.to_numpy(), pdf.node.to_numpy(), pdf.own.to_numpy()
+    sets = [np.frombuffer(h, np.uint64) for h in pdf.hashes]
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    right, found = np.flatnonzero(own == j), {}
+    for x in np.flatnonzero(own == i):
+        ys = right[(comp[right] != comp[x]) & ((i != j) | (right > x))]
+        ys = ys[(100 * n[ys] >= 75 * n[x]) & (100 * n[x] >= 75 * n[ys])]
+        ys = ys[_survive(np.broadcast_to(sig[x], (len(ys), PERMS)), sig[ys], least)]
+        met = (sig[ys] == sig[x]).reshape(-1, BANDS, ROWS).all(axis=2)
+        for y in ys[met.argmax(axis=1) == band]:  # a pair counts in the first bucket that holds both
+            pair = min(comp[x], comp[y]), max(comp[x], comp[y])
+            if pair not in found and _similar(sets[x], sets[y]):
+                found[pair] = node[x], node[y]
+    return pd.DataFrame(list(found.values()), columns=["a", "b"], dtype=np.int64)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -196,17 +199,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = written(docs.mapInArrow(_sign, "doc_id long, n long, key binary, sig binary"), "signed")
     known = signed.where("key is not null and doc_id is not null")
-    classes = written(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
+    classes = written(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
     sigs = classes.select("node", "sig")
 
-    bands = sigs.select("node", F.posexplode(F.transform(
+    bands = classes.select("node", "n", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("band", "bucket"))
     seeds = range(HUBS)
     hubs = bands.groupBy("bucket").agg(
         F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"),
+        F.sum(8 * F.col("n") + 4 * PERMS).alias("bytes"),
         *[F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias(f"h{k}") for k in seeds]).where("lo <> hi")
-    hubs = written(hubs.select("bucket", "size", F.array_distinct(F.array(*[f"h{k}.node" for k in seeds])).alias("hubs")), "hubs")
+    hubs = written(hubs.select("bucket", "size", "bytes", F.array_distinct(F.array(*[f"h{k}.node" for k in seeds])).alias("hubs")), "hubs")
     members = written(bands.join(hubs, "bucket"), "members")
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -215,10 +219,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return written(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
                        .mapInPandas(_likely, "a long, b long"), "likely")
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        texts = docs.withColumnRenamed("doc_id", "node").join(written(nodes.distinct(), "need"), "node", "left_semi")
+        return written(texts.mapInArrow(_sets, "node long, key binary, hashes binary"), "sets")
+
     def linked(pairs: DataFrame) -> DataFrame:
-        need = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "need")
-        texts = docs.withColumnRenamed("doc_id", "node").join(need, "node", "left_semi")
-        sets = written(texts.mapInArrow(_sets, "node long, hashes binary"), "sets")
+        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a"))
         b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b"))
         return written(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
@@ -231,30 +237,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = written(stars.distinct(), "stars")
     links = linked(likely(stars))
     labels = components(links)
-    tested, take, small = stars, FIRST, True
-    while True:
-        lab = labels.select("node", F.col("component").alias("comp"))
-        placed = members.join(lab, "node", "left").select("bucket", "band", "node", "size", F.coalesce("comp", "node").alias("comp"))
-        placed = written(placed, "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-        mixed = written(placed.join(written(mixed, "mixed"), "bucket"), "mixed")
-        low = mixed.where(F.col("size") <= SMALL)
-        x, y = (low.select("bucket", F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
-        pairs = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        high = mixed.where(F.col("size") > SMALL).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        cells = high.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        cells = cells.select("bucket", "band", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        blocked = written(cells.join(sigs, "node").groupBy("bucket", "i", "j")
-                          .applyInPandas(_block(take), "a long, b long, cut boolean"), "blocked")
-        fresh = blocked.select(*ordered("a", "b"))
-        fresh = likely((fresh.unionAll(pairs) if small else fresh).distinct().join(tested, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            links = links.unionAll(linked(fresh))
-            labels = components(links)
-        if blocked.where("cut").isEmpty():
-            break
-        tested, take, small = tested.unionAll(fresh), take * MORE, False
+    lab = labels.select("node", F.col("component").alias("comp"))
+    placed = members.join(lab, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = written(placed.select("bucket", "band", "node", "size", "bytes", "comp"), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
+    mixed = written(placed.join(written(mixed, "mixed"), "bucket"), "mixed")
+
+    low = mixed.where(F.col("size") <= SMALL)
+    x, y = (low.select("bucket", F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
+    pairs = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
+    fresh = linked(likely(pairs.join(stars, ["a", "b"], "left_anti")))
+
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    high = written(mixed.where(F.col("size") > SMALL).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")), "high")
+    cells = high.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.select("bucket", "band", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sets = sets_of(high.select("node")).groupBy("node", "key").agg(F.first("hashes").alias("hashes"))
+    bodies = written(sets.join(classes.select("node", "key", "sig"), ["node", "key"]).drop("key"), "bodies")
+    blocked = written(cells.join(bodies, "node").groupBy("bucket", "i", "j").applyInPandas(_block, "a long, b long"), "blocked")
+    labels = components(links.unionAll(fresh).unionAll(blocked))
 
     by_key = classes.select("key", "node")
     out = (signed.select("doc_id", "n", "key").join(by_key, "key", "left")
