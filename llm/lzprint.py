@@ -100,7 +100,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     low = -(2**63)
     key = F.coalesce("doc_id", F.lit(low))
-    cuts = d.select(F.percentile_approx(key, F.lit([i / buckets for i in range(1, buckets)]), F.lit(10_000))).first()[0] or []
+    cuts = d.select(F.percentile_approx(key, F.lit([i / buckets for i in range(1, buckets)]), F.lit(max(10_000, 20 * buckets)))).first()[0] or []
     cuts = np.array(sorted(set(cuts)), np.int64)
 
     @F.pandas_udf("long")
@@ -111,12 +111,18 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     firsts = sorted((r["bucket"], r["first"]) for r in d.groupBy("bucket").agg(F.min(key).alias("first")).collect())
     if not firsts:
         return d.withColumn("own", F.lit(True)).withColumn("at", F.lit(low))
-    heads = {f: firsts[i - 1][0] for i, (_, f) in enumerate(firsts)}
-    lookup = F.create_map(*[F.lit(x) for f, b in heads.items() for x in (f, b)])
+    heads = np.array([f for _, f in firsts], np.int64)
+    before = np.array([firsts[i - 1][0] for i in range(len(firsts))], np.int64)
+
+    @F.pandas_udf("long")
+    def head_of(ids: pd.Series) -> pd.Series:
+        """The bucket that a range's first row ends, else null."""
+        at = np.minimum(np.searchsorted(heads, ids.to_numpy()), len(heads) - 1)
+        return pd.Series(before[at]).where(heads[at] == ids.to_numpy()).astype("Int64")
+
     own = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("own")))
-    copy = F.array(F.struct(F.element_at(lookup, key).alias("bucket"), F.lit(False).alias("own")))
-    is_head = F.element_at(lookup, key).isNotNull()
-    return (d.withColumn("at", key).withColumn("to", F.explode(F.when(is_head, F.concat(own, copy)).otherwise(own)))
+    copy = F.array(F.struct(F.col("ends").alias("bucket"), F.lit(False).alias("own")))
+    return (d.withColumn("at", key).withColumn("ends", head_of("at")).withColumn("to", F.explode(F.when(F.col("ends").isNotNull(), F.concat(own, copy)).otherwise(own)))
             .select("to.bucket", "to.own", "at", "doc_id", "text"))
 
 

@@ -82,18 +82,19 @@ def first_words(text: str, n: int) -> str:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, the last time cut to the exact rest; same columns."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    m = mix(docs, keep=tuple(rest)).where("taken > 0")
+    """The mix itself: each row of ``docs`` as often as it is taken, the last time cut to the exact rest; same columns, whatever their names."""
+    own = {c: c if c in ("doc_id", "source", "text") else f"in_{i}" for i, c in enumerate(docs.columns)}
+    m = mix(docs.select(*[docs[c].alias(n) for c, n in own.items()]), keep=tuple(n for n in own.values() if n not in ("doc_id", "source"))).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     m = m.withColumn("turn", F.explode(F.sequence(F.lit(1), times)))
     n = F.least(F.col("size"), F.col("taken") - (F.col("turn") - 1) * F.col("size"))
     part = F.pandas_udf(lambda t, k: pd.Series([first_words(x, y) for x, y in zip(t, k, strict=True)]), "string")
-    whole = m.where(n == F.col("size")).select(*docs.columns)
+    back = [F.col(n).alias(c) for c, n in own.items()]
+    whole = m.where(n == F.col("size")).select(*back)
     cut = m.where(n < F.col("size")).withColumn("text", part("text", n.cast("int")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(cut.select(*docs.columns))
+        cut = cut.withColumn(own["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(cut.select(*back))
 
 
 SQL = r"""

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 SENTENCE, INSIDE, OPEN, STEP, BLOCK, WORDS_KEPT = 2, 16, 16, 128, 262_144, 800_000
+RESULTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 POWERS = (256, 512, 1024)  # lengths without padding that are worth a sequence of their own
 _ENDS, _SIGNS = frozenset(b".!?"), frozenset(b".,")
 _tokenizers: dict[str, Words] = {}
@@ -167,12 +168,13 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     A row's tokens are the text's ids and ``end_id``; null and empty texts are that one
     id. Every token lies in exactly one piece. Sequences are unique over all partitions
     (the partition's number times 2^33 and a counter). Repeated rows are packed as often
-    as they occur; an empty table gives no rows.
+    as they occur; columns of ``docs`` with the name of a result are replaced by it; an
+    empty table gives no rows.
     """
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c != "text" and c.lower() not in RESULTS]
     renamed = docs.select(*[docs[c].alias(f"in_{c}") for c in keep], docs["text"].alias("text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema if f.name != "text"]
-    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = list(RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(size, TaskContext.get().partitionId() << 33)

@@ -19,10 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held = toxicity.held_out("doc_id")
     lexicon = toxicity.learn(docs, labels.where(~held))
     out = toxicity.score(docs, lexicon)
-    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

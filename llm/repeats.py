@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import n_tasks, written
 
 LENGTH, GRAM, HOT = 400, 128, 5_000
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 WINDOW = LENGTH - GRAM + 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -267,8 +268,10 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     With ``texts`` also kept_text: the remaining bytes as UTF-8, without the bytes of a
     character that a cut went through. Null texts count as empty (kept_text stays null).
     Every row counts, so a text of LENGTH bytes or more that occurs in two rows goes
-    whole. An empty table gives no rows.
+    whole. Columns of ``docs`` with the name of a result are replaced by it. An empty
+    table gives no rows.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
     cover = repeated_spans(docs)
     keep = [F.col(c).alias(f"in_{c}") for c in docs.columns if c != "text"]
     data = docs.select(*keep, F.encode("text", "UTF-8").alias("data"))

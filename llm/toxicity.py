@@ -23,7 +23,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -195,12 +195,29 @@ def featured(docs: DataFrame, lex: Lexicon) -> DataFrame:
     return f.select(*[c for c in docs.columns if c != "text"], "text.a", "text.b")
 
 
+def held_out(doc_id: str) -> Column:
+    """Whether the labels of a document are never learned from: crc32 of doc_id as text, mod 4, is 2."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+def probability(text: str, lex: Lexicon) -> Column:
+    """Toxicity (0 to 1) of the text column: the curve at the text's features."""
+    k, *slope = lex.curve
+
+    @F.pandas_udf("double")
+    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        a = lex.automaton()
+        for s in texts:
+            x = np.array([features(fold(t), a) for t in s], float).reshape(-1, 2)
+            yield pd.Series(1 / (1 + np.exp(-(k + x @ np.array(slope)))))
+
+    return toxic(text)
+
+
 def score(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """doc_id and toxicity (0 to 1) of each row of ``docs`` (doc_id, text).
 
     Null, empty and wordless texts get the score of no match. Other columns are ignored;
     repeated rows are scored alike; an empty table gives no rows.
     """
-    f = featured(docs.select("doc_id", "text"), lex)
-    k, a, b = lex.curve
-    return f.select("doc_id", (1 / (1 + F.exp(-(F.lit(k) + F.lit(a) * F.col("a") + F.lit(b) * F.col("b"))))).alias("score"))
+    return docs.select("doc_id", probability("text", lex).alias("score"))

@@ -283,12 +283,60 @@ def test_vectors(spark):
     assert (1 - near**depth) ** tables <= vectors.MISS
 
 
-def test_pipeline(spark):
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Null and odd rows, and extra columns with the names of the operators' own, among real documents."""
     import corpus_pipeline
 
-    d = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, d, SF)
-        assert out.columns == d.columns
-    pieces = corpus_pipeline.run(spark, SF)
-    assert pieces.count() > 0
+    real = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    passage = " ".join(f"shared{i}" for i in range(80))
+    odd = [None, "", " \t", "x" * 3000, " ".join(f"p{i}" for i in range(90)) + " " + passage, " ".join(f"q{i}" for i in range(90)) + " " + passage, *[LONG] * 3]
+    rows = [(d, t, s, len(t or "")) for d, t, s in real + [(100_000 + i, t, None if i % 2 else "web") for i, t in enumerate(odd)]]
+    clash = ["a", "b", "size", "taken", "turn", "key", "range", "n_removed", "kept_text", "data", "start", "length", "kept", "node"]
+    kinds = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in clash)
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame([(*r, *range(len(clash))) for r in rows], kinds).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/sf/labels.parquet")
+    sf, before = f"{tmp_path}/sf", spark.read.parquet(f"{tmp_path}/sf/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name):
+        nonlocal before
+        stages[name](spark, before, sf).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        assert out.columns == before.columns
+        assert all([r[c] for c in clash] == list(range(len(clash))) for r in out.select(*clash).collect())
+        old, before = before.select("doc_id", "text").collect(), out
+        return {r["doc_id"]: r["text"] for r in old}, [(r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect()]
+
+    old, new = after("toxicity")
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    gone = old.keys() - dict(new).keys()
+    assert len(gone - toxic) <= 0.05 * len(old) and all(old[d] == t for d, t in new)
+    old, new = after("near_dedup")
+    ids = sorted(old)
+    assert sorted(d for d, _ in new) == [ids[i] for i, (_, top) in enumerate(brute_near([old[d] for d in ids])) if top == i]
+    old, new = after("repeats")
+    want = {d: (n, sha) for d, (_, n, _, sha) in zip(old, brute_repeats(old.values()), strict=True)}
+    for d, t in new:
+        if t is not None and all(ord(c) < 128 for c in old[d]):
+            assert hashlib.sha256(t.encode()).hexdigest() == want[d][1]
+    left = dict(new)
+    assert all(want[d][0] > 0 for d in old.keys() - left.keys()) and not left[100_004].endswith("shared79")
+    old, new = after("mixing")
+    words = Counter()
+    for d, t in new:
+        words[d] += len((t or "").split())
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(spark.read.parquet(f"{tmp_path}/repeats")).collect() if r["taken"]}
+    assert dict(words) == taken
+    pieces = stages["packing"](spark, before, sf).collect()
+    assert sum(r["doc_tokens"] for r in pieces if r["start"] == 0) == sum(r["length"] for r in pieces)
+    assert sum(r["start"] == 0 for r in pieces) == len(new)
+
+
+def test_pipeline_runs(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
