@@ -13,13 +13,10 @@ from llm.queries import TOKENIZER
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the threshold; the lexicon is learned from the table labels."""
-    lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    k, a, b = lexicon.curve
-    plain = docs.select("*", F.col("text").alias("kept_text"))
-    seen = toxicity.featured(plain, lexicon)
-    score = 1 / (1 + F.exp(-(F.lit(k) + F.lit(a) * F.col("a") + F.lit(b) * F.col("b"))))
-    return seen.where(score < toxicity.THRESHOLD).withColumnRenamed("kept_text", "text").select(*docs.columns)
+    """Documents whose toxicity is below the threshold; the lexicon is learned from the table labels, held-out ones left out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lexicon = toxicity.learn(docs, labels.where(~toxicity.held_out("doc_id")))
+    return docs.where(toxicity.probability("text", lexicon) < toxicity.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +27,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; those of which only white space is left go."""
-    out = repeats.remove_repeats(docs, texts=True).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
-    out = out.withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    own = {c: c if c == "text" else f"column{i}" for i, c in enumerate(docs.columns)}  # any name may come in
+    out = repeats.remove_repeats(docs.select(*[docs[c].alias(n) for c, n in own.items()]), texts=True)
+    out = out.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
+    if "n_chars" in own:
+        n = own["n_chars"]
+        out = out.withColumn(n, F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.withColumn("text", F.col("kept_text")).select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
