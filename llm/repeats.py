@@ -1,17 +1,17 @@
 """Removal of long repeated byte strings, by suffix sampling with a content-chosen difference cover.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else.
+A byte goes if a string of ``length`` bytes (LENGTH unless given) that covers it also starts anywhere else.
 
 The classical difference-cover suffix sort samples two of three suffixes, which at
 eight or more bytes a record is many times the text. Here the cover is chosen by
-content: anchors are the positions whose GRAM-byte hash is the least of some window, so
-every string of LENGTH bytes holds an anchor, and equal strings hold it at the same
+content: anchors are the positions whose gram (about a third of length bytes) has the least hash of some window, so
+every string of length bytes holds an anchor, and equal strings hold it at the same
 place. That is what a difference cover is for, with one sampled suffix in about
-(LENGTH - GRAM) / 2 bytes. Then, as in that algorithm: the sampled suffixes get names
-(equal names, equal GRAM bytes) and those of a unique name are out, since no string over
+(length - gram) / 2 bytes. Then, as in that algorithm: the sampled suffixes get names
+(equal names, equal grams) and those of a unique name are out, since no string over
 them repeats; the remaining suffixes, those of the starts that an anchor stands for,
 are merged into the order of its group as (bytes up to the anchor, anchor's suffix), cut
-to LENGTH bytes; and neighbours in the sorted order are compared. Equal neighbours are
+to length bytes; and neighbours in the sorted order are compared. Equal neighbours are
 repeats. Equal strings have equal anchors, so the sort is local to a group; places whose
 bytes are the same all along are taken together, so a passage of many copies counts once; groups of over HOT members are dealt over several tasks
 by the value sorted on.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,17 +32,26 @@ from pyspark.sql import functions as F
 
 from .common import n_tasks, written
 
-LENGTH, GRAM, HOT = 400, 128, 5_000
+LENGTH, HOT = 400, 5_000
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
-WINDOW = LENGTH - GRAM + 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_POW = np.array([pow(_BASE, i, 2**64) for i in range(LENGTH + 1)], _U)
-_INV = np.array([pow(pow(_BASE, -1, 2**64), i, 2**64) for i in range(2 * LENGTH)], _U)
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
+def gram(length: int) -> int:
+    """Bytes that an anchor's hash is of: 128 for 400."""
+    return max(1, length * 8 // 25)
+
+
+@cache
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base, and of its inverse, that strings of ``length`` bytes need."""
+    back = pow(_BASE, -1, 2**64)
+    return np.array([pow(_BASE, i, 2**64) for i in range(length + 1)], _U), np.array([pow(back, i, 2**64) for i in range(2 * length)], _U)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -50,21 +60,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _grams(data: np.ndarray, size: int) -> np.ndarray:
     """Polynomial hash of each ``size`` bytes, by doubling (unmixed)."""
-    h, m, out, done = _BYTE[data], 1, None, 0
+    h, m, out, done, power = _BYTE[data], 1, None, 0, _powers(size)[0]
     while size:
         if size & 1:
             if out is None:
                 out = h
             else:
                 n = len(data) - done - m + 1
-                out = out[:n] * _POW[m] + h[done : done + n]
+                out = out[:n] * power[m] + h[done : done + n]
             done += m
         size >>= 1
         if size:
             n = len(data) - 2 * m + 1
             if n <= 0:
                 return np.empty(0, _U)
-            h = h[:n] * _POW[m] + h[m : m + n]
+            h = h[:n] * power[m] + h[m : m + n]
             m *= 2
     return out
 
@@ -80,20 +90,22 @@ def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
     return op(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text: place, hash of the GRAM bytes there, first and last start of the strings it stands for.
+def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a text: place, hash of the gram there, first and last start of the strings it stands for.
 
-    A string of LENGTH bytes is stood for by the leftmost least hash in it, which only its
-    own bytes decide. Texts under LENGTH bytes have no anchors.
+    A string of ``length`` bytes is stood for by the leftmost least hash in it, which only its
+    own bytes decide. Texts under ``length`` bytes have no anchors.
     """
-    if len(data) < LENGTH:
+    if len(data) < length:
         return np.empty(0, np.int64), np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
-    h = _mix(_grams(data, GRAM))
-    least = _sliding(h, WINDOW, np.minimum, 2**64 - 1)
+    size = gram(length)
+    window = length - size + 1
+    h = _mix(_grams(data, size))
+    least = _sliding(h, window, np.minimum, 2**64 - 1)
     # h[j] is the least of a window over it iff it equals the greatest of those windows' minima
-    edge = np.zeros(len(h) + WINDOW - 1, _U)
-    edge[WINDOW - 1 : WINDOW - 1 + len(least)] = least
-    at = np.flatnonzero(_sliding(edge, WINDOW, np.maximum, 0) == h)
+    edge = np.zeros(len(h) + window - 1, _U)
+    edge[window - 1 : window - 1 + len(least)] = least
+    at = np.flatnonzero(_sliding(edge, window, np.maximum, 0) == h)
     k = np.searchsorted(at, np.arange(len(least)))
     left = np.flatnonzero(h[at[k]] != least)
     while len(left):
@@ -113,14 +125,14 @@ def _digest(data: np.ndarray) -> bytes:
     return hashlib.sha256(data.data).digest()[:16]
 
 
-def _names(keyed: bool):
+def _names(keyed: bool, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, names, some = [], [], 0
             for i in range(b.num_rows + 1):
                 if i < b.num_rows:
                     data = _bytes(b.column(0)[i])
-                    h = anchors(data)[1]
+                    h = anchors(data, length)[1]
                     h = np.unique(h) if keyed else h
                     names.append(h.view(np.int64))
                     some += len(h)
@@ -134,39 +146,44 @@ def _names(keyed: bool):
     return run
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(length: int):
     """For each anchor with a repeated name: what the hashes of all starts before it need."""
-    for b in batches:
-        rows: list[tuple] = []
-        for i in range(b.num_rows + 1):
-            if i < b.num_rows:
-                data = _bytes(b.column(0)[i])
-                key = b.column(1)[i].as_py()
-                wanted = dict(zip(b.column(2)[i].as_py(), b.column(3)[i].as_py(), strict=True))
-                at, h, first, last = anchors(data)
-                for p, name, lo, hi in zip(at.tolist(), h.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
-                    if name in wanted:
-                        part = data[lo : hi + LENGTH].tobytes()
-                        rows.append((name, wanted[name], xxhash.xxh3_64_intdigest(part) - 2**63, key, lo, hi, part))
-            if len(rows) > 5_000 or i == b.num_rows and rows:
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                                 ["name", "size", "content", "key", "lo", "hi", "bytes"])
-                rows = []
-
-
-def _starts(text: bytes) -> np.ndarray:
-    """Hash of each LENGTH bytes of a short text: differences of running sums, brought to one power."""
-    c = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[np.frombuffer(text, np.uint8)] * _INV[: len(text)])])
-    n = len(text) - LENGTH + 1
-    return (c[LENGTH : LENGTH + n] - c[:n]) * _POW[:n]
-
-
-def _entries(pdf: pd.DataFrame, row: int) -> pd.DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for i in range(b.num_rows + 1):
+                if i < b.num_rows:
+                    data = _bytes(b.column(0)[i])
+                    key = b.column(1)[i].as_py()
+                    wanted = dict(zip(b.column(2)[i].as_py(), b.column(3)[i].as_py(), strict=True))
+                    at, h, first, last = anchors(data, length)
+                    for p, name, lo, hi in zip(at.tolist(), h.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
+                        if name in wanted:
+                            part = data[lo : hi + length].tobytes()
+                            rows.append((name, wanted[name], xxhash.xxh3_64_intdigest(part) - 2**63, key, lo, hi, part))
+                if len(rows) > 5_000 or i == b.num_rows and rows:
+                    cols = list(zip(*rows, strict=True))
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                                                     ["name", "size", "content", "key", "lo", "hi", "bytes"])
+                    rows = []
+
+    return run
+
+
+def _starts(text: bytes, length: int) -> np.ndarray:
+    """Hash of each ``length`` bytes of a short text: differences of running sums, brought to one power."""
+    power, inverse = _powers(length)
+    c = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[np.frombuffer(text, np.uint8)] * inverse[: len(text)])])
+    n = len(text) - length + 1
+    return (c[length : length + n] - c[:n]) * power[:n]
+
+
+def _entries(pdf: pd.DataFrame, row: int, length: int) -> pd.DataFrame:
     """The starts of some anchors that belong to their rows' parts: group, hash, place, row, key."""
     n = (pdf.hi - pdf.lo + 1).to_numpy()
-    h = _mix(np.concatenate([_starts(x) for x in pdf.bytes]))
+    h = _mix(np.concatenate([_starts(x, length) for x in pdf.bytes]))
     start = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(pdf.lo.to_numpy(), n)
     parts, part, at = pdf.parts.to_numpy().astype(_U), pdf.part.to_numpy().astype(_U), np.repeat(np.arange(len(pdf)), n)
     mine = np.flatnonzero(h % parts[at] == part[at])
@@ -175,7 +192,7 @@ def _entries(pdf: pd.DataFrame, row: int) -> pd.DataFrame:
                          "row": at + row, "key": pdf.key.to_numpy()[at], "single": pdf.single.to_numpy()[at]})
 
 
-def _compare(x: pd.DataFrame) -> pd.DataFrame:
+def _compare(x: pd.DataFrame, length: int) -> pd.DataFrame:
     """Sort the starts of whole groups, compare neighbours, keep each anchor's first and last start that repeats."""
     h = x.h.to_numpy()
     order = np.argsort(h, kind="stable")
@@ -184,24 +201,28 @@ def _compare(x: pd.DataFrame) -> pd.DataFrame:
     rep[order[1:][same]] = True
     rep[order[:-1][same]] = True
     found = x[rep & x.single.to_numpy()].groupby("row", sort=False).agg(key=("key", "first"), lo=("s", "min"), hi=("s", "max"))
-    return found.assign(hi=found.hi + LENGTH)
+    return found.assign(hi=found.hi + length)
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _merge(length: int):
     """Rows come sorted by (name, part); what is held is one part of one group, of about HOT anchors' starts."""
-    held, row = None, 0
-    for batch in batches:
-        for at in range(0, len(batch), 2_000):
-            pdf = batch.iloc[at : at + 2_000]
-            new = _entries(pdf, row)
-            row += len(pdf)
-            held = new if held is None else pd.concat([held, new], ignore_index=True)
-            end = ((held.name == pdf.name.iloc[-1]) & (held.part == pdf.part.iloc[-1])).to_numpy()
-            if not end.all():
-                yield _compare(held[~end])
-                held = held[end]
-    if held is not None and len(held):
-        yield _compare(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, row = None, 0
+        for batch in batches:
+            for at in range(0, len(batch), 2_000):
+                pdf = batch.iloc[at : at + 2_000]
+                new = _entries(pdf, row, length)
+                row += len(pdf)
+                held = new if held is None else pd.concat([held, new], ignore_index=True)
+                end = ((held.name == pdf.name.iloc[-1]) & (held.part == pdf.part.iloc[-1])).to_numpy()
+                if not end.all():
+                    yield _compare(held[~end], length)
+                    held = held[end]
+        if held is not None and len(held):
+            yield _compare(held, length)
+
+    return run
 
 
 def _drop(whole: bool):
@@ -240,42 +261,42 @@ def _drop(whole: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """key (first 16 bytes of the text's SHA-256) and cover (list of spans (lo, hi) to remove) of texts with any."""
-    long = docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")).where(F.length("data") >= LENGTH)
-    names = long.mapInArrow(_names(False), "name long")
+    long = docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")).where(F.length("data") >= length)
+    names = long.mapInArrow(_names(False, length), "name long")
     dup = written(names.groupBy("name").agg(F.count("*").alias("size")).where("size > 1"), "names")
-    cand = long.mapInArrow(_names(True), "name long, key binary").join(dup, "name")
+    cand = long.mapInArrow(_names(True, length), "name long, key binary").join(dup, "name")
     lists = written(cand.distinct().groupBy("key").agg(F.collect_list("name").alias("names"), F.collect_list("size").alias("sizes")), "lists")
     keyed = long.withColumn("key", F.unhex(F.substring(F.sha2("data", 256), 1, 32)))
     ctx = written(keyed.join(lists, "key").select("data", "key", "names", "sizes").mapInArrow(
-        _contexts, "name long, size long, content long, key binary, lo long, hi long, bytes binary"), "contexts")
+        _contexts(length), "name long, size long, content long, key binary, lo long, hi long, bytes binary"), "contexts")
     # what stands in several places as a whole repeats as a whole, and is compared with the rest of its group once
     many = written(ctx.groupBy("name", "content").agg(F.count("*").alias("n")).where("n > 1").select("name", "content"), "many")
-    whole = ctx.select("name", "content", "key", "lo", "hi").join(many, ["name", "content"]).select("key", "lo", (F.col("hi") + LENGTH).alias("hi"))
+    whole = ctx.select("name", "content", "key", "lo", "hi").join(many, ["name", "content"]).select("key", "lo", (F.col("hi") + length).alias("hi"))
     once = ctx.groupBy("name", "content").agg(F.first("bytes").alias("bytes"), F.min(F.struct("key", "lo", "hi")).alias("at"),
                                               F.max("size").alias("size"), (F.count("*") == 1).alias("single"))
     once = once.select("name", "bytes", "at.*", "single", F.ceil(F.col("size") / HOT).cast("long").alias("parts"))
     once = once.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     tasks = max(n_tasks(docs.sparkSession), 8)
-    met = once.repartition(tasks, "name", "part").sortWithinPartitions("name", "part").mapInPandas(_merge, "key binary, lo long, hi long")
+    met = once.repartition(tasks, "name", "part").sortWithinPartitions("name", "part").mapInPandas(_merge(length), "key binary, lo long, hi long")
     return written(whole.unionAll(met).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("cover")), "cover")
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = False, length: int = LENGTH) -> DataFrame:
     """Rows of ``docs`` (text string; other columns pass) with n_bytes, n_removed, n_spans, kept_sha256 in place of text.
 
     With ``texts`` also kept_text: the remaining bytes as UTF-8, without the bytes of a
     character that a cut went through. Null texts count as empty (kept_text stays null).
-    Every row counts, so a text of LENGTH bytes or more that occurs in two rows goes
+    Every row counts, so a text of ``length`` bytes or more that occurs in two rows goes
     whole. Columns of ``docs`` with the name of a result are replaced by it. An empty
     table gives no rows.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
-    cover = repeated_spans(docs)
+    cover = repeated_spans(docs, length)
     keep = [F.col(c).alias(f"in_{c}") for c in docs.columns if c != "text"]
     data = docs.select(*keep, F.encode("text", "UTF-8").alias("data"))
-    data = data.withColumn("key", F.when(F.length("data") >= LENGTH, F.unhex(F.substring(F.sha2("data", 256), 1, 32))))
+    data = data.withColumn("key", F.when(F.length("data") >= length, F.unhex(F.substring(F.sha2("data", 256), 1, 32))))
     # texts without a key meet nothing: they are dealt by their row's own hash, not as one null key
     own = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
     data = data.withColumn("key", F.coalesce("key", F.unhex(F.substring(F.sha2(own, 256), 1, 32))))

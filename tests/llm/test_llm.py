@@ -101,6 +101,30 @@ def test_repeats(spark):
     assert kept.where("doc_id = 4").first()["kept_text"] is None and "bucket" in kept.columns
 
 
+def test_repeats_of_another_length(spark):
+    rng = np.random.default_rng(3)
+    text = lambda n: "".join(rng.choice(list("abcdefgh ilmno"), n))
+    passage = text(230)
+    texts = [text(90) + passage + text(150), passage[15:] + text(80), text(60) + passage[:199] + text(60), "ab" * 150, "z" * 199, "z" * 200, *([text(210)] * 2)]
+    data = [t.encode() for t in texts]
+    seen = Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
+    got = {r["doc_id"]: r["kept_text"] for r in repeats.remove_repeats(docs(spark, *texts).select("doc_id", "text"), texts=True, length=200).collect()}
+    for k, d in enumerate(data):
+        gone = {j for i in range(len(d) - 199) if seen[d[i : i + 200]] > 1 for j in range(i, i + 200)}
+        assert got[k] == "".join(c for j, c in enumerate(texts[k]) if j not in gone)
+    assert len(got[0]) == 470 - 215 and got[7] == ""
+
+
+def test_pipeline_cuts_repeats_of_51_words(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"s{i % 7}{i:03}" for i in range(51))
+    assert 200 <= len(passage) < 400
+    rows = [(i, " ".join(f"{c}{j:04}{c}" for j in range(70)) + f" {passage} " + " ".join(f"{c}{j:04}{c}" for j in range(70, 140))) for i, c in enumerate("pqr")]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert out == {i: t.replace(f" {passage} ", "") for i, t in rows}
+
+
 def test_packing_round_trip(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
