@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import mixing, neardup, packing, repeats, toxicity
-from llm.common import shared_dir
+from llm.common import shared_dir, written
 from llm.queries import TOKENIZER
 
 REPEATED = 200  # bytes; over 50 words are seldom fewer
@@ -22,9 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near duplicates; rows that repeat a doc_id stay or go together."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: of the smallest doc_id (null last), then of the least text hash.
+
+    Every row is judged by its own text, so repeated rows and rows with a null doc_id
+    leave one, too. Wordless rows link with nothing; of those equal in doc_id and text one stays.
+    """
+    own = {c: f"column{i}" for i, c in enumerate(docs.columns)}  # any name may come in
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), *[docs[c].alias(n) for c, n in own.items()]), "rows")
+    doc_id, text = own["doc_id"], own["text"]
+    judged = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text")))
+    judged = judged.select(F.col("doc_id").alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
+    known = rows.select("row", F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), F.xxhash64(text, F.length(text)).alias("hash"))
+    alone = F.when(F.col("component").isNull(), F.struct("id", "hash"))
+    kept = known.join(judged, "row").groupBy("component", alone.alias("alone")).agg(F.min(F.struct("last", "id", "hash", "row")).alias("least"))
+    return rows.join(kept.select("least.row"), "row", "left_semi").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

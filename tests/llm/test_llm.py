@@ -125,6 +125,22 @@ def test_pipeline_cuts_repeats_of_51_words(spark):
     assert out == {i: t.replace(f" {passage} ", "") for i, t in rows}
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    """Rows that repeat a doc_id, and copies with a null doc_id, leave one row that the next stage keeps whole."""
+    import corpus_pipeline
+
+    texts = {c: " ".join(f"{c}{i:03}" for i in range(120)) for c in "pqrstu"}
+    p, q, r, s, t, u = texts.values()
+    rows = [(1, p)] * 40 + [(2, q), (None, q), (None, q)] + [(None, r)] * 2 + [(5, s), (5, t), (4, t), (6, u), (7, u + " more")] + [(8, ""), (9, ""), (8, ""), (None, None), (None, None), (10, " \n" * 300), (11, " \n" * 300)]
+    d = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, node int").repartition(5)
+    one = corpus_pipeline.drop_near_duplicates(spark, d, "")
+    want = [(1, p), (2, q), (None, r), (5, s), (4, t), (6, u), (8, ""), (9, ""), (None, None), (10, " \n" * 300), (11, " \n" * 300)]
+    assert one.columns == d.columns and sorted(map(str, ((x["doc_id"], x["text"]) for x in one.collect()))) == sorted(map(str, want))
+    two = corpus_pipeline.drop_repeats(spark, one, "")
+    assert sorted(map(str, ((x["doc_id"], x["text"]) for x in two.collect()))) == sorted(map(str, want[:-2]))
+    assert corpus_pipeline.drop_near_duplicates(spark, d.limit(0), "").count() == 0
+
+
 def test_packing_round_trip(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
