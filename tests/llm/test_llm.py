@@ -268,6 +268,17 @@ def test_fingerprints(spark):
     assert lzprint.fingerprints(d.limit(1)).count() == 1
 
 
+def test_fingerprints_of_long_unrelated_texts():
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list(letters), 1_000_000)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+    for t in texts:
+        lzprint.phrases(t, known := set())
+        assert len(known) > 100_000
+    a, b = map(lzprint.fingerprint, texts)
+    assert lzprint.likeness(a, b) < 0.05 and len(np.unique(a)) > 100
+    assert lzprint.likeness(a, lzprint.fingerprint(texts[0][:990_000])) > 0.9
+
+
 def test_preference(spark):
     kinds = "pair_id long, turn int, role string, text string"
     a = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "good"), (2, 0, "user", None), (None, 0, "user", "x"), (3, 0, "user", "only")], kinds)
