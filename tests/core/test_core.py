@@ -173,6 +173,15 @@ def test_split_is_stable_and_exact(spark):
         split.require_unassigned(a)
 
 
+def test_coordinate_offsets_count_every_object(spark, monkeypatch):
+    from catalith.plans import catalogue
+
+    t = spark.createDataFrame([(i, 0.0, 0.0) for i in (35, 70, 105, 1)], "id long, ra double, dec double")
+    monkeypatch.setattr(catalogue.fx, "catalogues", lambda spark, sf: (None, t))
+    r = catalogue.coordinate_offsets(spark, "").first()
+    assert (r["offset_median"], r["above_0"], r["above_1"]) == (0.0, 1, 1) and r["offset_max"] == 0.509
+
+
 def test_digest(spark):
     d = spark.range(500).select("id", (F.col("id") / 7).alias("v"))
     one = digest.table_digest(d, ["id", "v"]).first()
