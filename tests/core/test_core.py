@@ -182,6 +182,16 @@ def test_coordinate_offsets_count_every_object(spark, monkeypatch):
     assert (r["offset_median"], r["above_0"], r["above_1"]) == (0.0, 1, 1) and r["offset_max"] == 0.509
 
 
+def test_digest_collects_repeated_rows_once(spark):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    d = spark.range(3000).select(F.lit("a").alias("v"))
+    assert digest.table_digest(d, ["v"]).first() == (3000, sha(sha(sha("a") + "x3000")))
+    assert digest.table_digest(d.limit(1), ["v"]).first() == (1, sha(sha(sha("a"))))
+    assert digest.table_digest(d.limit(2999), ["v"]).first()["sha256"] != digest.table_digest(d, ["v"]).first()["sha256"]
+
+
 def test_digest(spark):
     d = spark.range(500).select("id", (F.col("id") / 7).alias("v"))
     one = digest.table_digest(d, ["id", "v"]).first()
