@@ -17,9 +17,12 @@ final, and the last one's tokens start the next block, so memory does not grow.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections import deque
 from collections.abc import Iterator
 
@@ -31,15 +34,37 @@ from pyspark.sql import DataFrame
 SENTENCE, INSIDE, OPEN, STEP, BLOCK, WORDS_KEPT = 2, 16, 16, 128, 262_144, 800_000
 RESULTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 POWERS = (256, 512, 1024)  # lengths without padding that are worth a sequence of their own
-_ENDS, _SIGNS = frozenset(b".!?"), frozenset(b".,")
+_ENDS, _INK = np.isin(np.arange(256), list(b".!?")), ~np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+# Chunks that are cut here (letters, then anything of ASCII and Latin-1 letters), and the tokenizer's own
+# pattern over them: contractions, letters, single digits, other signs.
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_WORD = re.compile(rb"(" + _LETTERS + rb"*)((?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)").fullmatch
+_MIXED = re.compile(rb"['0-9A-Za-z\xc3]").search
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3.)+|[0-9]|[^a-z0-9\xc3]+", re.DOTALL).findall
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or 128 <= b <= 158 else b for b in range(256))  # of ASCII, and of Latin-1 letters in UTF-8
+#: Bytes as the byte-level models show them: printable ones as they are, the others from U+0100 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_SHOWN = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
 _tokenizers: dict[str, Words] = {}
 
 
+def _plain(spec: dict) -> bool:
+    """Whether a tokenizer composes, lower-cases and cuts as ``_PIECES`` does, and then only shows bytes."""
+    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"] == {"Regex": _PATTERN}
+            and cut[0]["invert"] and cut[0]["behavior"] == "Removed" and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"])
+
+
 class Words(dict):
     """White-space-free chunk (bytes) -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space before anything else, so a text's ids are those of
-    its chunks in turn. New chunks are encoded together; the map is emptied when full.
+    its chunks in turn. A chunk of ASCII signs and Latin-1 letters is cut here as the
+    tokenizer cuts it (it is its own composed form), and its model, which is most of a new
+    chunk's cost, gets the pieces; any other chunk goes through the whole tokenizer.
+    The map is emptied when full.
     """
 
     def __init__(self, path: str):
@@ -47,32 +72,46 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model if _plain(json.loads(self.tokenizer.to_str())) else None
+        self.signs: dict[bytes, bytes] = {}
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Add new chunks; one that ends with a comma or full stop after a letter is what stands before it, and that sign."""
-        if len(self) + 2 * len(chunks) > WORDS_KEPT:
+    def __missing__(self, c: bytes) -> bytes:
+        """Letters and then signs mostly, else pieces; signs and digits are met again and again."""
+        if len(self) > WORDS_KEPT:
             self.clear()
-        plain = {c: c[:-1] for c in chunks if len(c) > 1 and c[-1] in _SIGNS and c[-2:-1].isalpha()}
-        new = [c for c in {*(chunks - plain.keys()), *plain.values(), b",", b"."} if c not in self]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            self.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, got, strict=True))
-        self.update((c, self[p] + self[c[-1:]]) for c, p in plain.items())
+            self.signs.clear()
+        core = c.rstrip(b".,!?")
+        if core.isalpha() and self.model:  # ASCII
+            end = c[len(core) :]
+        else:
+            word = _WORD(c) if self.model else None
+            if word is None or b"<|" in c:  # special tokens
+                ids = self[c] = array("I", self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+                return ids
+            core, end = word.groups()
+        if core == c:
+            core = core.translate(_LOWER)
+            ids = self[c] = array("I", [t.id for t in self.model.tokenize(core.decode() if core.isascii() else charmap_decode(core, "strict", _SHOWN)[0])]).tobytes()
+            return ids
+        ids = self[core] if core else b""
+        for p in _PIECES(end.translate(_LOWER)) if _MIXED(end) else (end,):
+            got = self.signs.get(p)
+            if got is None:
+                got = self.signs[p] = self[p] if p.isalpha() else array("I", [t.id for t in self.model.tokenize(charmap_decode(p, "strict", _SHOWN)[0])]).tobytes()
+            ids += got
+        self[c] = ids
+        return ids
 
     def ids(self, text: str | None, end: int) -> tuple[bytes, np.ndarray]:
         """Ids of the text and ``end``; the places after a sentence, in tokens."""
         data = (text or "").encode("utf-8", "replace")
-        chunks = (data if b"<|" in data else data.lower()).split()  # special tokens are matched before lower-casing
-        parts = list(map(self.get, chunks))
-        if None in parts:
-            new = {c for c, p in zip(chunks, parts, strict=True) if p is None}
-            if len(self) + 2 * len(new) > WORDS_KEPT:
-                new = set(chunks)
-            self.learn(new)
-            parts = list(map(self.get, chunks))
+        data = data if b"<|" in data else data.lower()  # special tokens are matched before lower-casing
+        parts = list(map(self.__getitem__, data.split()))
         parts.append(end.to_bytes(4, "little"))
-        stops = [i for i, c in enumerate(chunks) if c[-1] in _ENDS]
+        d = np.frombuffer(data, np.uint8)
+        ink = _INK[d]
+        last = d[ink & ~np.append(ink[1:], False)]  # of each chunk
+        stops = np.flatnonzero(_ENDS[last])
         at = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))[stops] // 4
         return b"".join(parts), at
 
