@@ -3,9 +3,10 @@
 Every document gets a hash-random key. Within a source, documents are taken in key
 order: whole epochs first, then the documents whose prefix sum of sizes still fits the
 rest of the budget, the last one cut to the exact rest. Prefix sums are distributed:
-keys are uniform, so their leading digits are range partitions of each source; the
-sums of the ranges are summed up over a table of sources x ranges, and within a range by
-a window. A hot source is thus spread over RANGES tasks.
+keys are uniform, so their leading digits are range partitions of each source, and the
+sums of ranges, then of ranges within one of them, find the range that the budget ends
+in. Rows before it are taken and rows behind it are not, so only the rows of that one
+range (one of 16^DIGITS of a source) are sorted, and texts are not shuffled at all.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WEIGHTS, SHARE, EPOCHS, DIGITS = (3, 1, 2), 1.5, 2, 3
+from .common import written
+
+WEIGHTS, SHARE, EPOCHS, DIGITS = (3, 1, 2), 1.5, 2, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,31 +47,75 @@ def budgets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return t.select("source", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...] = (), seed: str = "mix") -> DataFrame:
-    """doc_id, source, the columns ``keep``, size, source_size, target, taken for each row of ``docs`` (doc_id, text, source).
+def _prefix(seed: str) -> tuple[Column, Column]:
+    """A row's key, and its leading digits."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return key, F.substring(key, 1, DIGITS)
+
+
+def _ends(ranges: DataFrame, part: Column) -> DataFrame:
+    """For each source the first range ``part`` whose sizes go beyond what is left: source, ..., cut, n, left (before that range)."""
+    own = [c for c in ranges.columns if c not in ("range", "n")]
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    g = ranges.groupBy(*own, part.alias("part")).agg(F.sum("n").alias("n"))
+    g = g.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("before") + F.col("n") > F.col("left"))
+    g = g.groupBy(*own).agg(F.min(F.struct("part", "before")).alias("first"))
+    return g.select(*[c for c in own if c != "left"], F.col("first.part").alias("cut"), (F.col("left") - F.col("first.before")).alias("left"))
+
+
+def goals(thin: DataFrame) -> DataFrame:
+    """A row for each source of ``thin`` (source, size, range): source, source_size, target, epochs, cut, left.
+
+    ``left`` is what of the budget is left for the rows of the range ``cut``, after
+    ``epochs`` of the whole source and the ranges before it. Both are null for a source of size 0.
+    """
+    ranges = written(thin.groupBy("source", "range").agg(F.sum("size").alias("n")), "ranges")
+    by = budgets(ranges.groupBy("source").agg(F.sum("n").alias("source_size")))
+    budget = F.floor(F.col("target") + 0.5).cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as long) div source_size")).otherwise(F.lit(0).cast("long"))
+    by = written(by.withColumn("epochs", epochs).withColumn("left", budget - epochs * F.col("source_size")), "budgets")
+
+    def meet(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+        r = right.select(F.col("source").alias("s"), *columns)
+        return left.join(r, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+
+    half = F.substring("range", 1, DIGITS // 2)
+    coarse = written(_ends(meet(ranges, by, ["left"]), half).withColumnRenamed("cut", "head"), "coarse")
+    fine = meet(ranges, coarse, ["head", "left"]).where(half == F.col("head")).drop("head")
+    cut = written(_ends(fine, F.col("range")), "cuts").withColumnRenamed("source", "s")
+    return written(by.drop("left").join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "goals")
+
+
+def _placed(rows: DataFrame, by: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (source, range, ...) with their source's goal: those before or behind its cut (column extra: whole or not), and those in it."""
+    g = by.withColumnRenamed("source", "s")
+    both = rows.join(g, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    sure = both.where(~F.coalesce(F.col("range") == F.col("cut"), F.lit(False)))
+    return sure.withColumn("extra", F.coalesce(F.col("range") < F.col("cut"), F.lit(False))), both.where(F.col("range") == F.col("cut"))
+
+
+def _in_cut(rows: DataFrame) -> DataFrame:
+    """Rows of the ranges that the budgets end in, with ``part``: what is taken of each beyond whole epochs."""
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
+
+
+def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for each row of ``docs`` (doc_id, text, source).
 
     Sizes are words (null text: 0). Null is a source of its own. The key is the md5 of
     seed and doc_id, ties are ordered by doc_id and size, so reruns agree; exact
-    repeats may share what is left of a budget either way. A source without words takes
-    nothing. Other columns are ignored; an empty table gives no rows.
+    repeats may share what is left of a budget either way, and rows of one doc_id lie in
+    one range. A source without words takes nothing. ``budgets`` orders the table of
+    sources (one row each) in one task. Other columns are ignored; an empty table gives no rows.
     """
-    d = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    d = d.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    d = d.withColumn("range", F.substring("key", 1, DIGITS))
-    ranges = d.groupBy("source", "range").agg(F.sum("size").alias("n"))
-    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    goal = budgets(ranges.groupBy("source").agg(F.sum("n").alias("source_size")))
-    ranges = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), "before").join(
-        goal.withColumnRenamed("source", "g"), F.col("s").eqNullSafe(F.col("g"))).drop("g")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    d = d.join(ranges, (F.col("range") == F.col("r")) & F.col("source").eqNullSafe(F.col("s")))
-    budget = F.floor(F.col("target") + 0.5).cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as long) div source_size")).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("inside")))
-    return d.select("doc_id", "source", *keep, "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    key, head = _prefix(seed)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    thin = written(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), head.alias("range")), "sizes")
+    sure, edge = _placed(thin, goals(thin))
+    sure = sure.withColumn("part", F.when(F.col("extra"), F.col("size")).otherwise(0)).drop("extra")
+    both = sure.unionByName(_in_cut(edge))
+    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
 def first_words(text: str, n: int) -> str:
@@ -81,20 +128,29 @@ def first_words(text: str, n: int) -> str:
     return text[:end]
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, the last time cut to the exact rest; same columns, whatever their names."""
+def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, the last time cut to the exact rest; same columns, whatever their names.
+
+    Rows of which nothing is taken go. Texts stay where they are, but for those of the range that a budget ends in.
+    """
     own = {c: c if c in ("doc_id", "source", "text") else f"in_{i}" for i, c in enumerate(docs.columns)}
-    m = mix(docs.select(*[docs[c].alias(n) for c, n in own.items()]), keep=tuple(n for n in own.values() if n not in ("doc_id", "source"))).where("taken > 0")
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    m = m.withColumn("turn", F.explode(F.sequence(F.lit(1), times)))
-    n = F.least(F.col("size"), F.col("taken") - (F.col("turn") - 1) * F.col("size"))
-    part = F.pandas_udf(lambda t, k: pd.Series([first_words(x, y) for x, y in zip(t, k, strict=True)]), "string")
+    d = docs.select(*[docs[c].alias(n) for c, n in own.items()])
+    key, head = _prefix(seed)
+    count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    by = goals(d.select("source", count.alias("size"), head.alias("range")))
+    sure, edge = _placed(d.withColumn("range", head), by)
     back = [F.col(n).alias(c) for c, n in own.items()]
-    whole = m.where(n == F.col("size")).select(*back)
-    cut = m.where(n < F.col("size")).withColumn("text", part("text", n.cast("int")))
+    times = (F.col("epochs") + F.col("extra").cast("long")).cast("int")
+    whole = sure.where(F.col("text").rlike(WORD)).withColumn("turn", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*back)
+    m = _in_cut(edge.withColumn("key", key).withColumn("size", count))
+    m = m.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
+    n = F.when(F.col("turn") < F.col("epochs"), F.col("size")).otherwise(F.col("part"))
+    m = written(m.withColumn("n", n).where("n > 0"), "cut")
+    part = F.pandas_udf(lambda t, k: pd.Series([first_words(x, y) for x, y in zip(t, k, strict=True)]), "string")
+    cut = m.where("n < size").withColumn("text", part("text", F.col("n").cast("int")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn(own["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(cut.select(*back))
+    return whole.unionByName(m.where("n = size").select(*back)).unionByName(cut.select(*back))
 
 
 SQL = r"""
