@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from llm import mixing, neardup, packing, repeats, toxicity
 from llm.common import shared_dir, written
-from llm.queries import TOKENIZER
-
-REPEATED = 200  # bytes; over 50 words are seldom fewer
+from llm.queries import PASSAGE, TOKENIZER
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; those of which only white space is left go."""
     own = {c: c if c == "text" else f"column{i}" for i, c in enumerate(docs.columns)}  # any name may come in
-    out = repeats.remove_repeats(docs.select(*[docs[c].alias(n) for c, n in own.items()]), texts=True, length=REPEATED)
+    out = repeats.remove_repeats(docs.select(*[docs[c].alias(n) for c, n in own.items()]), texts=True, length=PASSAGE)
     out = out.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
     if "n_chars" in own:
         n = own["n_chars"]

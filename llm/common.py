@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, _own["dir"], True)
-    return _own["dir"]
+    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one in the warehouse, which a cluster shares, too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +26,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, and let Spark drop the shuffle files of ended jobs."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    if tables:
+        gc.collect()  # Spark's cleaner drops shuffles once the driver has collected the plans that hold them
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

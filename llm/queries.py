@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import lzprint, mixing, neardup, packing, preference, repeats, toxicity, urltree, vectors, warc
 
+PASSAGE = 200  # bytes; over 50 words are seldom fewer
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -64,7 +65,7 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), also=PASSAGE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

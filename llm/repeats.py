@@ -12,9 +12,13 @@ place. That is what a difference cover is for, with one sampled suffix in about
 them repeats; the remaining suffixes, those of the starts that an anchor stands for,
 are merged into the order of its group as (bytes up to the anchor, anchor's suffix), cut
 to length bytes; and neighbours in the sorted order are compared. Equal neighbours are
-repeats. Equal strings have equal anchors, so the sort is local to a group; places whose
-bytes are the same all along are taken together, so a passage of many copies counts once; groups of over HOT members are dealt over several tasks
-by the value sorted on.
+repeats. Equal strings have equal anchors, so the sort is local to a group. Places whose
+bytes are the same all along are taken together, so a passage of many copies counts
+once; anchors of one name that follow each other, as in periodic text, are one entry.
+The starts of groups over HOT starts are dealt by their own hash, each in a thin row.
+
+Texts are read in blocks of BLOCK starts, so memory does not grow with the sampled places of
+a long text.
 """
 
 from __future__ import annotations
@@ -27,15 +31,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_tasks, written
+from .common import n_tasks, tidy, written
 
-LENGTH, HOT = 400, 5_000
-RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+LENGTH, HOT, BLOCK, PIECE, HELD = 400, 400_000, 1 << 18, 4_096, 4_000_000
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept_text")
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
+_PRIME = _U(2**31 - 1)
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -49,7 +54,8 @@ def gram(length: int) -> int:
 def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base, and of its inverse, that strings of ``length`` bytes need."""
     back = pow(_BASE, -1, 2**64)
-    return np.array([pow(_BASE, i, 2**64) for i in range(length + 1)], _U), np.array([pow(back, i, 2**64) for i in range(2 * length)], _U)
+    n = PIECE + 2 * length
+    return np.array([pow(_BASE, i, 2**64) for i in range(n)], _U), np.array([pow(back, i, 2**64) for i in range(n)], _U)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,13 +97,23 @@ def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text: place, hash of the gram there, first and last start of the strings it stands for.
+    """Anchors of a text: name (hash of the gram), number of anchors in a row, first and last start of the strings they stand for.
 
     A string of ``length`` bytes is stood for by the leftmost least hash in it, which only its
-    own bytes decide. Texts under ``length`` bytes have no anchors.
+    own bytes decide. Anchors of one name in a row are one entry. Texts under ``length``
+    bytes have no anchors.
     """
-    if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
+    n = len(data) - length + 1
+    parts = [_anchors(data[at : at + BLOCK + length - 1], length, at) for at in range(0, n, BLOCK)]
+    if not parts:
+        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h, k, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[new], np.add.reduceat(k, new), lo[new], np.concatenate([lo[new][1:], [n]]) - 1
+
+
+def _anchors(data: np.ndarray, length: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name, number of anchors in a row and first start of a block's entries."""
     size = gram(length)
     window = length - size + 1
     h = _mix(_grams(data, size))
@@ -112,8 +128,9 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         k[left] += 1
         left = left[h[at[k[left]]] != least[left]]
     lo = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    at = at[k[lo]]
-    return at, h[at], lo, np.concatenate([lo[1:], [len(least)]]) - 1
+    name = h[at[k[lo]]]
+    new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    return name[new], np.diff(np.append(new, len(name))), lo[new] + base
 
 
 def _bytes(value: pa.Scalar) -> np.ndarray:
@@ -121,57 +138,80 @@ def _bytes(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(buf, np.uint8) if buf is not None else np.empty(0, np.uint8)
 
 
-def _digest(data: np.ndarray) -> bytes:
-    return hashlib.sha256(data.data).digest()[:16]
+_ENTRY = pa.struct([("name", pa.int64()), ("times", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+
 
+def _sampled(length: int):
+    """The anchors of each text (columns data, key)."""
 
-def _names(keyed: bool, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, names, some = [], [], 0
-            for i in range(b.num_rows + 1):
-                if i < b.num_rows:
-                    data = _bytes(b.column(0)[i])
-                    h = anchors(data, length)[1]
-                    h = np.unique(h) if keyed else h
-                    names.append(h.view(np.int64))
-                    some += len(h)
-                    if keyed:
-                        keys += [_digest(data)] * len(h)
-                if some > 50_000 or i == b.num_rows and some:
-                    cols = [pa.array(np.concatenate(names))] + [pa.array(keys, pa.binary())] * keyed
-                    yield pa.RecordBatch.from_arrays(cols, ["name", "key"][: len(cols)])
-                    keys, names, some = [], [], 0
+            at, found, some = 0, [], 0
+            for i in range(b.num_rows):
+                h, times, lo, hi = anchors(_bytes(b.column("data")[i]), length)
+                found.append((h.view(np.int64), times, lo, hi))
+                some += len(h)
+                if some > 50_000 or i == b.num_rows - 1:
+                    ends = np.cumsum([0, *(len(x[0]) for x in found)])
+                    cols = [pa.array(np.concatenate(c), t.type) for c, t in zip(zip(*found, strict=True), _ENTRY, strict=True)]
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, [f.name for f in _ENTRY]))
+                    yield pa.RecordBatch.from_arrays([b.column("key").slice(at, len(found)), lists], ["key", "anchors"])
+                    at, found, some = i + 1, [], 0
 
     return run
 
 
 def _contexts(length: int):
-    """For each anchor with a repeated name: what the hashes of all starts before it need."""
+    """For each entry with a repeated name: the bytes of all its strings, in pieces of at most PIECE starts.
+
+    What a text holds several times comes once; its other places come without bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                              ["name", "hot", "content", "key", "lo", "hi", "bytes"])
+
         for b in batches:
-            rows: list[tuple] = []
-            for i in range(b.num_rows + 1):
-                if i < b.num_rows:
-                    data = _bytes(b.column(0)[i])
-                    key = b.column(1)[i].as_py()
-                    wanted = dict(zip(b.column(2)[i].as_py(), b.column(3)[i].as_py(), strict=True))
-                    at, h, first, last = anchors(data, length)
-                    for p, name, lo, hi in zip(at.tolist(), h.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
-                        if name in wanted:
-                            part = data[lo : hi + length].tobytes()
-                            rows.append((name, wanted[name], xxhash.xxh3_64_intdigest(part) - 2**63, key, lo, hi, part))
-                if len(rows) > 5_000 or i == b.num_rows and rows:
-                    cols = list(zip(*rows, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                                     ["name", "size", "content", "key", "lo", "hi", "bytes"])
-                    rows = []
+            rows, some = [], 0
+            for i in range(b.num_rows):
+                data, key, own = _bytes(b.column("data")[i]), b.column("key")[i].as_py(), b.column("own")[i].values
+                first: dict[bytes, tuple[int, int]] = {}
+                again: list[tuple[int, int]] = []
+                for name, hot, lo, end in zip(*(own.field(f).to_pylist() for f in ("name", "hot", "lo", "hi")), strict=True):
+                    for lo in range(lo, end + 1, PIECE):  # noqa: B020
+                        hi = min(end, lo + PIECE - 1)
+                        part = data[lo : hi + length].tobytes()
+                        content = xxhash.xxh3_128_digest(part, name & 0xFFFFFFFFFFFFFFFF)
+                        if content in first:
+                            again += [first[content], (lo, hi)]
+                            continue
+                        first[content] = lo, hi
+                        rows.append((name, hot, content, key, lo, hi, part))
+                        some += len(part)
+                        if some > HELD:
+                            yield batch(rows)
+                            rows, some = [], 0
+                rows += [(0, False, None, key, lo, hi - length, None) for lo, hi in _union((lo, hi + length) for lo, hi in again)]
+            if rows:
+                yield batch(rows)
 
     return run
 
 
+def _union(spans) -> list[tuple[int, int]]:
+    """Spans (lo, hi) that touch or overlap, as one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _starts(text: bytes, length: int) -> np.ndarray:
     """Hash of each ``length`` bytes of a short text: differences of running sums, brought to one power."""
     power, inverse = _powers(length)
@@ -180,42 +220,63 @@ def _starts(text: bytes, length: int) -> np.ndarray:
     return (c[length : length + n] - c[:n]) * power[:n]
 
 
-def _entries(pdf: pd.DataFrame, row: int, length: int) -> pd.DataFrame:
-    """The starts of some anchors that belong to their rows' parts: group, hash, place, row, key."""
-    n = (pdf.hi - pdf.lo + 1).to_numpy()
-    h = _mix(np.concatenate([_starts(x, length) for x in pdf.bytes]))
-    start = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(pdf.lo.to_numpy(), n)
-    parts, part, at = pdf.parts.to_numpy().astype(_U), pdf.part.to_numpy().astype(_U), np.repeat(np.arange(len(pdf)), n)
-    mine = np.flatnonzero(h % parts[at] == part[at])
-    at = at[mine]
-    return pd.DataFrame({"name": pdf.name.to_numpy()[at], "part": pdf.part.to_numpy()[at], "h": h[mine], "s": start[mine],
-                         "row": at + row, "key": pdf.key.to_numpy()[at], "single": pdf.single.to_numpy()[at]})
+def _second(text: bytes, length: int) -> np.ndarray:
+    """Another hash of each ``length`` bytes of a short text, modulo a prime: strings equal in both are taken as equal."""
+    power, inverse = _prime_powers(length)
+    c = np.concatenate([np.zeros(1, _U), np.cumsum((_BYTE[np.frombuffer(text, np.uint8)] >> _U(34)) * inverse[: len(text)] % _PRIME)])
+    n = len(text) - length + 1
+    return (c[length : length + n] - c[:n]) % _PRIME * power[:n] % _PRIME
 
 
-def _compare(x: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Sort the starts of whole groups, compare neighbours, keep each anchor's first and last start that repeats."""
-    h = x.h.to_numpy()
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
+@cache
+def _prime_powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    p, back = int(_PRIME), pow(1_000_003, -1, int(_PRIME))
+    n = PIECE + 2 * length
+    return np.array([pow(1_000_003, i, p) for i in range(n)], _U), np.array([pow(back, i, p) for i in range(n)], _U)
+
+
+def _hashed(rows: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes, row number and place of each start of some rows (lo, hi, bytes)."""
+    n = (rows.hi - rows.lo + 1).to_numpy()
+    h = _mix(np.concatenate([_starts(x, length) for x in rows.bytes]))
+    g = np.concatenate([_second(x, length) for x in rows.bytes])
+    return h, g, np.repeat(np.arange(len(rows)), n), np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(rows.lo.to_numpy(), n)
+
+
+def _spans(row: np.ndarray, s: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last byte (exclusive) of what strings at repeated starts s cover."""
+    order = np.lexsort((s, row))
+    row, s = row[order], s[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (s[1:] - s[:-1] > length)])
+    return row[new], s[new], np.append(s[:-1][new[1:]], s[-1:]) + length
+
+
+def _compare(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Sort the starts of whole groups, compare neighbours, keep what repeated strings cover."""
+    h, g, row, s = _hashed(pdf, length)
+    group = pd.factorize(pdf.name)[0][row]
+    order = np.lexsort((g, h, group))
+    same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1]) & (group[order][1:] == group[order][:-1])
     rep = np.zeros(len(h), bool)
     rep[order[1:][same]] = True
     rep[order[:-1][same]] = True
-    found = x[rep & x.single.to_numpy()].groupby("row", sort=False).agg(key=("key", "first"), lo=("s", "min"), hi=("s", "max"))
-    return found.assign(hi=found.hi + length)
+    rep &= pdf.single.to_numpy()[row]
+    if not rep.any():
+        return pd.DataFrame({"key": [], "lo": [], "hi": []})
+    at, lo, hi = _spans(row[rep], s[rep], length)
+    return pd.DataFrame({"key": pdf.key.to_numpy()[at], "lo": lo, "hi": hi})
 
 
 def _merge(length: int):
-    """Rows come sorted by (name, part); what is held is one part of one group, of about HOT anchors' starts."""
+    """Rows come sorted by name; what is held is one group, of HOT starts at most, or some small ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, row = None, 0
+        held = None
         for batch in batches:
             for at in range(0, len(batch), 2_000):
-                pdf = batch.iloc[at : at + 2_000]
-                new = _entries(pdf, row, length)
-                row += len(pdf)
-                held = new if held is None else pd.concat([held, new], ignore_index=True)
-                end = ((held.name == pdf.name.iloc[-1]) & (held.part == pdf.part.iloc[-1])).to_numpy()
+                part = batch.iloc[at : at + 2_000]
+                held = part if held is None else pd.concat([held, part], ignore_index=True)
+                end = (held.name == held.name.iloc[-1]).to_numpy()
                 if not end.all():
                     yield _compare(held[~end], length)
                     held = held[end]
@@ -225,82 +286,152 @@ def _merge(length: int):
     return run
 
 
-def _drop(whole: bool):
-    """Cut the spans; texts out if ``whole``."""
+def _thin(length: int):
+    """Each start of rows as a row of its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                h, g, row, s = _hashed(part, length)
+                yield pd.DataFrame({"h": h.view(np.int64), "g": g.astype(np.int64), "key": part.key.to_numpy()[row], "s": s, "single": part.single.to_numpy()[row]})
+
+    return run
+
+
+def _drop(whole: bool, short: bool):
+    """Cut the spans; texts out if ``whole``, the bytes of the spans of column short if ``short``."""
+
+    def spans(value: pa.Scalar) -> list[tuple[int, int]]:
+        return _union((x["lo"], x["hi"]) for x in value.as_py() or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                ids, tags, n, removed, spans, sha, kept = [], [], [], [], [], [], []
+                n, removed, runs, sha, kept, repeated = [], [], [], [], [], []
                 for i in range(part.num_rows):
                     value = part.column("data")[i]
                     data = value.as_py() or b""
-                    cover = sorted((x["lo"], x["hi"]) for x in part.column("cover")[i].as_py() or [])
-                    out, end, runs, first = [], 0, 0, True
-                    for lo, hi in cover:
-                        if first or lo > end:
-                            out.append(data[end:lo])
-                            runs, end, first = runs + 1, hi, False
-                        else:
-                            end = max(end, hi)
-                    out.append(data[end:])
-                    rest = b"".join(out)
+                    cover = spans(part.column("cover")[i])
+                    ends = [0, *(hi for _, hi in cover)]
+                    rest = b"".join(data[end:lo] for end, lo in zip(ends, [*(lo for lo, _ in cover), len(data)], strict=True))
                     n.append(len(data))
                     removed.append(len(data) - len(rest))
-                    spans.append(runs)
+                    runs.append(len(cover))
                     sha.append(hashlib.sha256(rest).hexdigest())
+                    if short:
+                        repeated.append(sum(hi - lo for lo, hi in spans(part.column("short")[i])))
                     if whole:
                         kept.append(rest.decode("utf-8", "ignore") if value.is_valid else None)
-                names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * whole
-                cols = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
-                cols += [pa.array(kept, pa.string())] * whole
-                keep = [c for c in part.schema.names if c not in ("data", "key", "cover")]
+                names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_repeated"] * short + ["kept_text"] * whole
+                cols = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())]
+                cols += [pa.array(repeated, pa.int64())] * short + [pa.array(kept, pa.string())] * whole
+                keep = [c for c in part.schema.names if c not in ("data", "cover", "short")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *cols], [*keep, *names])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key (first 16 bytes of the text's SHA-256) and cover (list of spans (lo, hi) to remove) of texts with any."""
-    long = docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")).where(F.length("data") >= length)
-    names = long.mapInArrow(_names(False, length), "name long")
-    dup = written(names.groupBy("name").agg(F.count("*").alias("size")).where("size > 1"), "names")
-    cand = long.mapInArrow(_names(True, length), "name long, key binary").join(dup, "name")
-    lists = written(cand.distinct().groupBy("key").agg(F.collect_list("name").alias("names"), F.collect_list("size").alias("sizes")), "lists")
-    keyed = long.withColumn("key", F.unhex(F.substring(F.sha2("data", 256), 1, 32)))
-    ctx = written(keyed.join(lists, "key").select("data", "key", "names", "sizes").mapInArrow(
-        _contexts(length), "name long, size long, content long, key binary, lo long, hi long, bytes binary"), "contexts")
+def _key(data: str) -> Column:
+    """The first 16 bytes of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(data, 256), 1, 32))
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """key and cover (list of spans (lo, hi) to remove) of those of ``texts`` (key, data: the same key for the same bytes) with any."""
+    long = texts.select("key", "data").where(F.length("data") >= length)
+    kind = "array<struct<name:long,times:int,lo:int,hi:int>>"
+    sampled = written(long.select("data", "key").mapInArrow(_sampled(length), f"key binary, anchors {kind}"), "anchors")
+    flat = sampled.select("key", F.explode("anchors").alias("a")).select("key", "a.*")
+    starts = F.sum(F.col("hi") - F.col("lo") + 1)
+    dup = flat.groupBy("name").agg(F.sum("times").alias("size"), starts.alias("starts")).where("size > 1")
+    dup = written(dup.select("name", (F.col("starts") > HOT).alias("hot")), "names")
+    own = flat.join(dup, "name").groupBy("key").agg(F.collect_set(F.struct("name", "hot", "lo", "hi")).alias("own"))
+    own = written(own, "lists")
+    tidy(sampled, dup)
+    ctx = written(long.join(own, "key").select("data", "key", "own").mapInArrow(
+        _contexts(length), "name long, hot boolean, content binary, key binary, lo long, hi long, bytes binary"), "contexts")
+    tidy(own)
     # what stands in several places as a whole repeats as a whole, and is compared with the rest of its group once
-    many = written(ctx.groupBy("name", "content").agg(F.count("*").alias("n")).where("n > 1").select("name", "content"), "many")
-    whole = ctx.select("name", "content", "key", "lo", "hi").join(many, ["name", "content"]).select("key", "lo", (F.col("hi") + length).alias("hi"))
-    once = ctx.groupBy("name", "content").agg(F.first("bytes").alias("bytes"), F.min(F.struct("key", "lo", "hi")).alias("at"),
-                                              F.max("size").alias("size"), (F.count("*") == 1).alias("single"))
-    once = once.select("name", "bytes", "at.*", "single", F.ceil(F.col("size") / HOT).cast("long").alias("parts"))
-    once = once.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tasks = max(n_tasks(docs.sparkSession), 8)
-    met = once.repartition(tasks, "name", "part").sortWithinPartitions("name", "part").mapInPandas(_merge(length), "key binary, lo long, hi long")
-    return written(whole.unionAll(met).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("cover")), "cover")
-
-
-def remove_repeats(docs: DataFrame, texts: bool = False, length: int = LENGTH) -> DataFrame:
+    many = written(ctx.where("content is not null").groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content"), "many")
+    span = ["key", "lo", (F.col("hi") + length).alias("hi")]
+    whole = ctx.select("content", "key", "lo", "hi").join(many, "content").select(*span).unionAll(ctx.where("content is null").select(*span))
+    once = ctx.where("content is not null").groupBy("content").agg(F.first("bytes").alias("bytes"), F.first("name").alias("name"), F.max("hot").alias("hot"),
+                                                                   F.min(F.struct("key", "lo", "hi")).alias("at"), (F.count("*") == 1).alias("single"))
+    once = once.select("name", "hot", "bytes", "at.*", "single")
+    met = once.where("not hot").drop("hot").repartition(_tasks(ctx), "name").sortWithinPartitions("name").mapInPandas(_merge(length), "key binary, lo long, hi long")
+    hot = written(once.where("hot").drop("hot", "name").mapInPandas(_thin(length), "h long, g long, key binary, s long, single boolean"), "starts")
+    equal = written(hot.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "equal")
+    met = met.unionAll(hot.where("single").join(equal, ["h", "g"]).groupBy("key", F.expr(f"s div {length}")).agg(F.min("s").alias("lo"), (F.max("s") + length).alias("hi")).select("key", "lo", "hi"))
+    cover = written(whole.unionAll(met).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("cover")), "cover")
+    tidy(ctx, many, hot, equal)
+    return cover
+
+
+def _tasks(table: DataFrame) -> int:
+    """Tasks for a written table: one for each 16 MB that it has, and the session's number at least."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(n_tasks(table.sparkSession), 8, size >> 24)
+
+
+def _runs(length: int):
+    """Of texts and their covers: the runs of at least ``length`` bytes (key, lo, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, some = [], 0
+            for i in range(b.num_rows):
+                data, key = _bytes(b.column("data")[i]), b.column("key")[i].as_py()
+                for lo, hi in _union((x["lo"], x["hi"]) for x in b.column("cover")[i].as_py()):
+                    if hi - lo >= length:
+                        rows.append((key, lo, data[lo:hi].tobytes()))
+                        some += hi - lo
+                if some > HELD or i == b.num_rows - 1 and rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["origin", "at", "data"])
+                    rows, some = [], 0
+
+    return run
+
+
+def longer_spans(texts: DataFrame, cover: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``repeated_spans`` of a greater length than ``cover`` is of: only inside the runs that are covered, where all its repeats lie."""
+    runs = texts.join(cover, "key").select("data", "key", "cover").mapInArrow(_runs(length), "origin binary, at long, data binary")
+    runs = written(runs.withColumn("key", _key("data")), "runs")
+    found = repeated_spans(runs, length)
+    places = runs.select("key", "origin", "at").join(found, "key").select("origin", "at", F.explode("cover").alias("c"))
+    out = places.groupBy(F.col("origin").alias("key")).agg(F.collect_set(F.struct((F.col("at") + F.col("c.lo")).alias("lo"), (F.col("at") + F.col("c.hi")).alias("hi"))).alias("cover"))
+    out = written(out, "cover")
+    tidy(runs, found)
+    return out
+
+
+def remove_repeats(docs: DataFrame, texts: bool = False, length: int = LENGTH, also: int | None = None) -> DataFrame:
     """Rows of ``docs`` (text string; other columns pass) with n_bytes, n_removed, n_spans, kept_sha256 in place of text.
 
     With ``texts`` also kept_text: the remaining bytes as UTF-8, without the bytes of a
-    character that a cut went through. Null texts count as empty (kept_text stays null).
-    Every row counts, so a text of ``length`` bytes or more that occurs in two rows goes
+    character that a cut went through. With ``also``, a smaller length, also n_repeated:
+    the bytes that strings of that length would remove. Null texts count as empty
+    (kept_text stays null). Every row counts, so a text of ``length`` bytes or more that occurs in two rows goes
     whole. Columns of ``docs`` with the name of a result are replaced by it. An empty
     table gives no rows.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
-    cover = repeated_spans(docs, length)
+    least = also or length
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    all_texts = docs.select(data.alias("data")).where(F.length("data") >= least).withColumn("key", _key("data"))
+    cover = repeated_spans(all_texts, least)
+    spans = ["cover"] + ["short"] * bool(also)
+    if also:
+        cover = cover.withColumnRenamed("cover", "short").join(longer_spans(all_texts, cover, length), "key", "left")
     keep = [F.col(c).alias(f"in_{c}") for c in docs.columns if c != "text"]
-    data = docs.select(*keep, F.encode("text", "UTF-8").alias("data"))
-    data = data.withColumn("key", F.when(F.length("data") >= length, F.unhex(F.substring(F.sha2("data", 256), 1, 32))))
+    rows = docs.select(*keep, F.encode("text", "UTF-8").alias("data"))
+    rows = rows.withColumn("key", F.when(F.length("data") >= least, _key("data")))
     # texts without a key meet nothing: they are dealt by their row's own hash, not as one null key
     own = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
-    data = data.withColumn("key", F.coalesce("key", F.unhex(F.substring(F.sha2(own, 256), 1, 32))))
-    both = data.join(cover, "key", "left").select(*[f"in_{c}" for c in docs.columns if c != "text"], "data", "key", "cover")
+    rows = rows.withColumn("key", F.coalesce("key", F.unhex(F.substring(F.sha2(own, 256), 1, 32))))
+    both = rows.join(cover, "key", "left").select(*[f"in_{c}" for c in docs.columns if c != "text"], "data", *spans)
     kinds = ", ".join(f"`in_{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    out = both.mapInArrow(_drop(texts), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
-    return out.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns if c != "text"], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * texts)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["n_repeated"] * bool(also), *["kept_text"] * texts]
+    out = both.mapInArrow(_drop(texts, bool(also)), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated long" * bool(also) + ", kept_text string" * texts)
+    return out.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns if c != "text"], *names)

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm import lzprint, mixing, neardup, packing, preference, repeats, toxicity, urltree, vectors, warc
@@ -75,15 +76,15 @@ def test_near_duplicates_in_large_buckets(spark):
     assert [got[i] for i in range(len(texts))] == brute_near(texts)
 
 
-def brute_repeats(texts):
+def brute_repeats(texts, length=400):
     data = [(t or "").encode() for t in texts]
-    seen = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []
     for d in data:
         m = np.zeros(len(d) + 1, np.int8)
-        for i in range(len(d) - 399):
-            if seen[d[i : i + 400]] > 1:
-                m[i : i + 400] = 1
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                m[i : i + length] = 1
         out.append((len(d), int(m.sum()), int((np.diff(np.concatenate([[0], m])) == 1).sum()), hashlib.sha256(bytes(b for b, x in zip(d, m) if not x)).hexdigest()))
     return out
 
@@ -115,6 +116,32 @@ def test_repeats_of_another_length(spark):
     assert len(got[0]) == 470 - 215 and got[7] == ""
 
 
+def test_repeats_in_hot_groups_and_periodic_texts(spark, monkeypatch):
+    """Starts of groups over HOT are dealt by their hash; blocks and pieces end inside texts."""
+    rng = np.random.default_rng(12)
+    text = lambda n: "".join(rng.choice(list("abcdefgh ilmno"), n))
+    licence = text(600)
+    texts = [*(text(150) + licence[: 380 + 7 * k] + text(90) for k in range(30)), "ab" * 3000, "z" * 7000, text(60) + "z" * 900, ("line of text, " * 400) + text(300), text(2500), None, text(399)]
+    monkeypatch.setattr(repeats, "HOT", 300)
+    monkeypatch.setattr(repeats, "BLOCK", 1024)
+    d = docs(spark, *texts).select("doc_id", "text", F.lit(1).alias("n_repeated"), F.lit(2).alias("key"), F.lit(3).alias("cover"))
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(d, also=200).collect()}
+    assert [tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == brute_repeats(texts)
+    assert [got[i]["n_repeated"] for i in range(len(texts))] == [n for _, n, _, _ in brute_repeats(texts, 200)]
+    assert got[0]["key"] == 2 and got[0]["cover"] == 3
+
+
+def test_repeats_of_a_long_periodic_text_stay_small():
+    import tracemalloc
+
+    data = np.full(4_000_000, 122, np.uint8)
+    tracemalloc.start()
+    name, times, lo, hi = repeats.anchors(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000 and len(name) == 1 and (lo[0], hi[0]) == (0, 4_000_000 - 400)
+
+
 def test_pipeline_cuts_repeats_of_51_words(spark):
     import corpus_pipeline
 
@@ -367,7 +394,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     ids = sorted(old)
     assert sorted(d for d, _ in new) == [ids[i] for i, (_, top) in enumerate(brute_near([old[d] for d in ids])) if top == i]
     old, new = after("repeats")
-    want = {d: (n, sha) for d, (_, n, _, sha) in zip(old, brute_repeats(old.values()), strict=True)}
+    want = {d: (n, sha) for d, (_, n, _, sha) in zip(old, brute_repeats(old.values(), corpus_pipeline.PASSAGE), strict=True)}
     for d, t in new:
         if t is not None and all(ord(c) < 128 for c in old[d]):
             assert hashlib.sha256(t.encode()).hexdigest() == want[d][1]
