@@ -42,6 +42,12 @@ def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(table: DataFrame) -> int:
+    """Tasks for a shuffle of a table that is read from files: one for each 16 MB of it, and the session's number at least."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(n_tasks(table.sparkSession), size >> 24 if size < 1 << 50 else 0)  # tables not of files have no size, which shows as a huge one
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b), both long: rows (node, component).
 
@@ -55,6 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     out = None
     while not e.isEmpty():
+        old = [e, *[out] * (out is not None)]
         up = (
             e.select(F.col("b").alias("node"), F.col("a").alias("to"))
             .unionAll(e.select(F.col("a").alias("node"), F.col("a").alias("to")))
@@ -75,6 +82,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = written(
             e.join(pa, "a").join(pb, "b").where("a2 <> b2")
             .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
+        tidy(*old, up, parent)
     if out is None:
         return edges.sparkSession.createDataFrame([], "node long, component long")
     return out

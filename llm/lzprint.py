@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_tasks
+from .common import tasks_for
 
 SIZE = 128
 _rng = np.random.default_rng(5)
@@ -174,7 +174,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     is its own next. Null doc_ids come first; rows of the same doc_id are ordered by
     text. Other columns are ignored; an empty table gives no rows.
     """
-    tasks = n_tasks(docs.sparkSession)
+    tasks = tasks_for(docs)
     dealt = with_next(docs, 4 * tasks)
     kinds = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
              "near_edited double, near_next double")

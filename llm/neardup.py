@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, tidy, written
 
 WIDTH, ROWS, BANDS, BATCH = 5, 5, 36, 30
 PERMS = ROWS * BANDS
@@ -197,6 +197,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
+    used = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(written(df, name))
+        return used[-1]
+
     signed = written(docs.mapInArrow(_sign, "doc_id long, n long, key binary, sig binary"), "signed")
     known = signed.where("key is not null and doc_id is not null")
     classes = written(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
@@ -210,38 +216,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"),
         F.sum(8 * F.col("n") + 4 * PERMS).alias("bytes"),
         *[F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias(f"h{k}") for k in seeds]).where("lo <> hi")
-    hubs = written(hubs.select("bucket", "size", "bytes", F.array_distinct(F.array(*[f"h{k}.node" for k in seeds])).alias("hubs")), "hubs")
-    members = written(bands.join(hubs, "bucket"), "members")
+    hubs = kept(hubs.select("bucket", "size", "bytes", F.array_distinct(F.array(*[f"h{k}.node" for k in seeds])).alias("hubs")), "hubs")
+    members = kept(bands.join(hubs, "bucket"), "members")
 
     def likely(pairs: DataFrame) -> DataFrame:
         a = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
         b = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-        return written(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
+        return kept(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
                        .mapInPandas(_likely, "a long, b long"), "likely")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        texts = docs.withColumnRenamed("doc_id", "node").join(written(nodes.distinct(), "need"), "node", "left_semi")
-        return written(texts.mapInArrow(_sets, "node long, key binary, hashes binary"), "sets")
+        texts = docs.withColumnRenamed("doc_id", "node").join(kept(nodes.distinct(), "need"), "node", "left_semi")
+        return kept(texts.mapInArrow(_sets, "node long, key binary, hashes binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a"))
         b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b"))
-        return written(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
+        return kept(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
                        .mapInPandas(_linked, "a long, b long"), "linked")
 
     def ordered(a: str, b: str) -> list:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     stars = members.select("node", F.explode("hubs").alias("hub")).select(*ordered("node", "hub")).where("a <> b")
-    stars = written(stars.distinct(), "stars")
+    stars = kept(stars.distinct(), "stars")
     links = linked(likely(stars))
     labels = components(links)
     lab = labels.select("node", F.col("component").alias("comp"))
     placed = members.join(lab, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = written(placed.select("bucket", "band", "node", "size", "bytes", "comp"), "placed")
+    placed = kept(placed.select("bucket", "band", "node", "size", "bytes", "comp"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-    mixed = written(placed.join(written(mixed, "mixed"), "bucket"), "mixed")
+    mixed = kept(placed.join(kept(mixed, "mixed"), "bucket"), "mixed")
 
     low = mixed.where(F.col("size") <= SMALL)
     x, y = (low.select("bucket", F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
@@ -249,13 +255,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fresh = linked(likely(pairs.join(stars, ["a", "b"], "left_anti")))
 
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    high = written(mixed.where(F.col("size") > SMALL).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")), "high")
+    high = kept(mixed.where(F.col("size") > SMALL).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")), "high")
     cells = high.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = cells.select("bucket", "band", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     sets = sets_of(high.select("node")).groupBy("node", "key").agg(F.first("hashes").alias("hashes"))
-    bodies = written(sets.join(classes.select("node", "key", "sig"), ["node", "key"]).drop("key"), "bodies")
-    blocked = written(cells.join(bodies, "node").groupBy("bucket", "i", "j").applyInPandas(_block, "a long, b long"), "blocked")
+    bodies = kept(sets.join(classes.select("node", "key", "sig"), ["node", "key"]).drop("key"), "bodies")
+    blocked = kept(cells.join(bodies, "node").groupBy("bucket", "i", "j").applyInPandas(_block, "a long, b long"), "blocked")
     labels = components(links.unionAll(fresh).unionAll(blocked))
+    tidy(*used)
 
     by_key = classes.select("key", "node")
     out = (signed.select("doc_id", "n", "key").join(by_key, "key", "left")

@@ -57,6 +57,11 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
                        _mask(rest["a"]).alias("chosen_mask"), _mask(rest["b"]).alias("rejected_mask"))
 
 
+def mask_text(mask: str) -> Column:
+    """A mask as text: start+length and t or f (trained or not) of each span, between blanks."""
+    return F.array_join(F.transform(mask, lambda s: F.concat(s["start"].cast("string"), F.lit("+"), s["length"].cast("string"), F.when(s["train"], "t").otherwise("f"))), " ")
+
+
 def pairs_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns from plain conversations.
 
@@ -85,12 +90,17 @@ b AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY turn, role, text) AS
 n AS (SELECT ids.p, coalesce(min(x.i) - 1, (SELECT count(*) FROM a WHERE a.p = ids.p)) AS n FROM (SELECT p FROM a INTERSECT SELECT p FROM b) ids
       LEFT JOIN (SELECT coalesce(a.p, b.p) AS p, coalesce(a.i, b.i) AS i FROM a FULL JOIN b ON a.p = b.p AND a.i = b.i
                  WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text) x ON x.p = ids.p GROUP BY ids.p),
-s AS (SELECT n.p, n.n, t.side, t.i, '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10) AS m
-      FROM n JOIN (SELECT 'a' AS side, * FROM a UNION ALL SELECT 'b', * FROM b) t ON t.p = n.p)
+s AS (SELECT n.p, n.n, t.side, t.i, '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10) AS m, t.i > n.n AS rest, t.role = 'assistant' AS train,
+             length(t.role) + 5 AS head, length(t.text) + 8 AS body
+      FROM n JOIN (SELECT 'a' AS side, * FROM a UNION ALL SELECT 'b', * FROM b) t ON t.p = n.p),
+k AS (SELECT *, CAST(coalesce(sum(head + body) OVER (PARTITION BY p, side, rest ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM s),
+u AS (SELECT *, concat(at, '+', head, 'f ', at + head, '+', body, CASE WHEN train THEN 't' ELSE 'f' END) AS spans FROM k)
 SELECT p AS pair_id, CAST(n AS INTEGER) AS n_prompt_turns,
-       coalesce(string_agg(m, '' ORDER BY i) FILTER (side = 'a' AND i <= n), '') AS prompt,
-       coalesce(string_agg(m, '' ORDER BY i) FILTER (side = 'a' AND i > n), '') AS chosen,
-       coalesce(string_agg(m, '' ORDER BY i) FILTER (side = 'b' AND i > n), '') AS rejected,
-       CAST(coalesce(sum(length(m)) FILTER (side = 'a' AND i > n AND starts_with(m, '<|assistant|>')) - 14 * count(*) FILTER (side = 'a' AND i > n AND starts_with(m, '<|assistant|>')), 0) AS BIGINT) AS chosen_trained,
-       CAST(coalesce(sum(length(m)) FILTER (side = 'b' AND i > n AND starts_with(m, '<|assistant|>')) - 14 * count(*) FILTER (side = 'b' AND i > n AND starts_with(m, '<|assistant|>')), 0) AS BIGINT) AS rejected_trained
-FROM s GROUP BY p, n"""
+       coalesce(string_agg(m, '' ORDER BY i) FILTER (side = 'a' AND NOT rest), '') AS prompt,
+       coalesce(string_agg(m, '' ORDER BY i) FILTER (side = 'a' AND rest), '') AS chosen,
+       coalesce(string_agg(m, '' ORDER BY i) FILTER (side = 'b' AND rest), '') AS rejected,
+       coalesce(string_agg(spans, ' ' ORDER BY i) FILTER (side = 'a' AND rest), '') AS chosen_mask,
+       coalesce(string_agg(spans, ' ' ORDER BY i) FILTER (side = 'b' AND rest), '') AS rejected_mask,
+       CAST(coalesce(sum(body) FILTER (side = 'a' AND rest AND train), 0) AS BIGINT) AS chosen_trained,
+       CAST(coalesce(sum(body) FILTER (side = 'b' AND rest AND train), 0) AS BIGINT) AS rejected_trained
+FROM u GROUP BY p, n"""

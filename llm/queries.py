@@ -45,6 +45,7 @@ def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.aggregate(mask, F.lit(0).cast("long"), lambda n, s: n + F.when(s["train"], s["length"]).otherwise(0))
 
     return out.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected",
+                      preference.mask_text("chosen_mask").alias("chosen_mask"), preference.mask_text("rejected_mask").alias("rejected_mask"),
                       trained("chosen_mask").alias("chosen_trained"), trained("rejected_mask").alias("rejected_trained"))
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_tasks, tidy, written
+from .common import tasks_for, tidy, written
 
 LENGTH, HOT, BLOCK, PIECE, HELD = 400, 400_000, 1 << 18, 4_096, 4_000_000
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept_text")
@@ -267,14 +267,21 @@ def _compare(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"key": pdf.key.to_numpy()[at], "lo": lo, "hi": hi})
 
 
+def _slices(pdf: pd.DataFrame, most: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Rows in turn, of about ``most`` starts at a time."""
+    which = ((pdf.hi - pdf.lo + 1).cumsum() // most).to_numpy()
+    ends = [*np.flatnonzero(which[1:] != which[:-1]) + 1, len(pdf)] if len(pdf) else []
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        yield pdf.iloc[lo:hi]
+
+
 def _merge(length: int):
     """Rows come sorted by name; what is held is one group, of HOT starts at most, or some small ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
-            for at in range(0, len(batch), 2_000):
-                part = batch.iloc[at : at + 2_000]
+            for part in _slices(batch):
                 held = part if held is None else pd.concat([held, part], ignore_index=True)
                 end = (held.name == held.name.iloc[-1]).to_numpy()
                 if not end.all():
@@ -291,8 +298,7 @@ def _thin(length: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
+            for part in _slices(batch):
                 h, g, row, s = _hashed(part, length)
                 yield pd.DataFrame({"h": h.view(np.int64), "g": g.astype(np.int64), "key": part.key.to_numpy()[row], "s": s, "single": part.single.to_numpy()[row]})
 
@@ -360,7 +366,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     once = ctx.where("content is not null").groupBy("content").agg(F.first("bytes").alias("bytes"), F.first("name").alias("name"), F.max("hot").alias("hot"),
                                                                    F.min(F.struct("key", "lo", "hi")).alias("at"), (F.count("*") == 1).alias("single"))
     once = once.select("name", "hot", "bytes", "at.*", "single")
-    met = once.where("not hot").drop("hot").repartition(_tasks(ctx), "name").sortWithinPartitions("name").mapInPandas(_merge(length), "key binary, lo long, hi long")
+    met = once.where("not hot").drop("hot").repartition(tasks_for(ctx), "name").sortWithinPartitions("name").mapInPandas(_merge(length), "key binary, lo long, hi long")
     hot = written(once.where("hot").drop("hot", "name").mapInPandas(_thin(length), "h long, g long, key binary, s long, single boolean"), "starts")
     equal = written(hot.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "equal")
     met = met.unionAll(hot.where("single").join(equal, ["h", "g"]).groupBy("key", F.expr(f"s div {length}")).agg(F.min("s").alias("lo"), (F.max("s") + length).alias("hi")).select("key", "lo", "hi"))
@@ -369,12 +375,6 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return cover
 
 
-def _tasks(table: DataFrame) -> int:
-    """Tasks for a written table: one for each 16 MB that it has, and the session's number at least."""
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(n_tasks(table.sparkSession), 8, size >> 24)
-
-
 def _runs(length: int):
     """Of texts and their covers: the runs of at least ``length`` bytes (key, lo, data)."""
 

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rows that a model is fitted on at most (about), terms and exception phrases it keeps at most.
-FIT_ROWS, CANDIDATES, TERMS, PHRASES = 40_000, 50_000, 4_000, 1_000
-LEAST_DOCS, LEAST_ODDS, PREFIXES = 4, 2.5, (3, 4, 5, 6, 7, 8)
+#: Rows that a model is fitted on at most (about). Terms and phrases of them are kept whenever they pass the limits below.
+FIT_ROWS = 40_000
+LEAST_DOCS, LEAST_ODDS, MOST_CALM, PREFIXES = 4, 2.5, -1.0, (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
@@ -139,9 +139,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     At most about FIT_ROWS labels are used, those of the smallest hashes of doc_id: three
     quarters for terms and weights, the rest for the curve. That bounds the broadcast
-    of (doc_id, toxic). Null labels are left out; without labels of both kinds every
-    text gets one score. What comes to the driver is bounded: CANDIDATES, TERMS and
-    PHRASES rows, and two features of the curve's rows.
+    of (doc_id, toxic), and with it what comes to the driver: terms of at least LEAST_DOCS toxic
+    rows and log-odds of at least LEAST_ODDS, neighbouring words of at least LEAST_DOCS clean rows
+    and log-odds of at most MOST_CALM, and two features of the curve's rows. Which terms these are
+    does not depend on an order, so there are no ties. Null labels and null doc_ids are left out, a
+    doc_id with several labels counts with each; without labels of both kinds every text gets one score.
     """
     lab = labels.where("toxic in (0, 1) and doc_id is not null").select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1_000_000)).alias("place"))
@@ -152,20 +154,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     rows = docs.select("doc_id", "text").join(F.broadcast(lab.where(F.col("place") < upto)), "doc_id")
     rows = written(rows.select("place", "text", "toxic"), "labelled")
     fit, rest = rows.where("place % 4 <> 0"), rows.where("place % 4 = 0")
-    often = _counted(fit.where("toxic = 1"), _doc_terms).where(F.col("t") >= LEAST_DOCS)
-    cand = {r["term"] for r in often.orderBy(F.desc("t"), "term").limit(CANDIDATES).select("term").collect()}
     n = {r["toxic"]: r["count"] for r in fit.groupBy("toxic").count().collect()}
     nt, nc = n.get(1, 0) + 1, n.get(0, 0) + 1
-
-    def odds(t: int, c: int) -> float:
-        return math.log((t + 0.5) / nt) - math.log((c + 0.5) / nc)
-
-    counts = _counted(fit, lambda words: _doc_terms(words) & cand).collect()
-    got = sorted(((-odds(r["t"], r["c"]) * math.log1p(r["t"]), r["term"], odds(r["t"], r["c"])) for r in counts))
-    got = {term: w for _, term, w in got if w >= LEAST_ODDS}
-    known = set(list(got)[:TERMS])
-    calm = _counted(fit, lambda words: _doc_phrases(words, known)).where(F.col("c") >= LEAST_DOCS)
-    calm = calm.where(F.log((F.col("t") + 0.5) / nt) - F.log((F.col("c") + 0.5) / nc) <= -1).orderBy(F.desc("c"), "term").limit(PHRASES).collect()
+    odds = F.log((F.col("t") + 0.5) / nt) - F.log((F.col("c") + 0.5) / nc)
+    heavy = _counted(fit, _doc_terms).where((F.col("t") >= LEAST_DOCS) & (odds >= LEAST_ODDS))
+    got = {r["term"]: r["odds"] for r in heavy.select("term", odds.alias("odds")).collect()}
+    known = set(got)
+    calm = _counted(fit, lambda words: _doc_phrases(words, known)).where((F.col("c") >= LEAST_DOCS) & (odds <= MOST_CALM)).collect()
     lex = Lexicon({k[:-1]: got[k] for k in known if k[-1] == " "}, {k: got[k] for k in known if k[-1] != " "},
                   tuple(tuple(r["term"].split(" ")) for r in calm))
     x = np.array([tuple(r) for r in featured(rest, lex).select("a", "b", "toxic").collect()], float).reshape(-1, 3)
@@ -217,7 +212,7 @@ def probability(text: str, lex: Lexicon) -> Column:
 def score(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """doc_id and toxicity (0 to 1) of each row of ``docs`` (doc_id, text).
 
-    Null, empty and wordless texts get the score of no match. Other columns are ignored;
-    repeated rows are scored alike; an empty table gives no rows.
+    Null, empty and wordless texts get the score of no match. A text's score depends on nothing
+    but the text, so repeated rows and rows with a null doc_id are scored like any; other columns are ignored; an empty table gives no rows.
     """
     return docs.select("doc_id", probability("text", lex).alias("score"))

@@ -1,25 +1,33 @@
 """URL filter: host and path rules, and a tree of path templates for the rest.
 
-Per host, paths are split into segments. Level by level, a node's children become one
-wildcard if they vary: at least VARIED values, and more than half as many values as rows.
-Sibling branches that behave alike (the same set of shapes below, smoothed share of
-blocked labels in the same fifth) are merged. Labels are the verdicts of the rules. A
+Per host, paths are split into segments. Level by level, down to the longest path, a
+node's children become one wildcard (for each file suffix) if they vary: at least VARIED
+values, and more than half as many values as rows. Sibling branches with the same kinds
+of segments below are merged if their labels speak for one share rather than
+two: ordered by share, a branch joins the one before it while the Bayes factor of
+"one share" against "two" (beta-binomial, uniform priors) is at least SIMILAR. Branches
+without labels are not merged. A node of fewer than VARIED paths can have neither; its
+paths stay as they are and leave the loop. Labels are the verdicts of the rules. A
 template's purity is its share of blocked labels, smoothed by PRIOR labels of its
 parent's purity; at the root of a host the parent is the same template over all hosts,
-and above that the share over all labels. Templates of purity over one half are
-rejected. All statistics are grouped counts, so a hot host is pre-aggregated.
+and above that the share over all labels. Templates of purity over REJECT are
+rejected. All statistics are grouped counts over distinct paths, so a hot host is
+pre-aggregated; branches to merge are first grouped by their counts, so what a task
+holds is a node's different pairs of counts.
 """
 
 from __future__ import annotations
 
+from math import lgamma, log
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-LEVELS, VARIED, PRIOR, REJECT = 4, 8, 4.0, 0.5
-REST = "**"
+VARIED, SIMILAR, PRIOR, REJECT = 8, 1.0, 4.0, 0.5
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -46,54 +54,107 @@ def apply_rules(urls: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     return urls.withColumn("rule", rule).withColumn("label", label)
 
 
+def segments(path: str) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def _suffix(c: Column) -> Column:
+    return F.regexp_extract(c, r"(\.[A-Za-z0-9]{1,8})$", 1)
+
+
+def one_share(a: int, n: int, b: int, m: int) -> float:
+    """Log of the Bayes factor of one share behind a of n and b of m against two."""
+    def beta(x: int, y: int) -> float:
+        return lgamma(x + 1) + lgamma(y + 1) - lgamma(x + y + 2)
+
+    return beta(a + b, n - a + m - b) - beta(a, n - a) - beta(b, m - b)
+
+
+def _alike(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The name that the branches of each pair of counts (bad of known, on ``n`` branches) get."""
+    pdf = pdf.assign(share=(pdf.bad + 1) / (pdf.known + 2)).sort_values(["share", "known", "bad"], ignore_index=True)
+    own, a, k, names = [], 0, 0, list(pdf.one)
+    for i, (bad, known, n) in enumerate(zip(pdf.bad.tolist(), pdf.known.tolist(), pdf.n.tolist(), strict=True)):
+        if not i or one_share(a, k, bad, known) < log(SIMILAR):
+            own.append([])
+            a = k = 0
+        own[-1].append(i)
+        a, k = a + bad * n, k + known * n
+    for group in own:
+        least = min(names[i] for i in group)
+        for i in group:
+            names[i] = least
+    return pdf.assign(to=names)[["host", "node", "shape", "bad", "known", "to"]]
+
+
+def _named(kids: DataFrame) -> DataFrame:
+    """host, node, seg and to: the branch of each child (null below nodes that are too small for a tree)."""
+    up = kids.groupBy("host", "node").agg(F.sum("rows").alias("all_rows"), F.count("*").alias("values"), F.sum("paths").alias("all_paths"))
+    wild = (F.col("values") >= VARIED) & (F.col("values") * 2 > F.col("all_rows"))
+    name = F.when(wild, F.concat(F.lit("*"), _suffix(F.col("seg")))).otherwise(F.col("seg"))
+    named = written(kids.join(up, ["host", "node"]).withColumn("name", F.when(F.col("all_paths") >= VARIED, name)), "named")
+    sums = [F.sum("bad").alias("bad"), F.sum("known").alias("known"), F.bit_or("shape").alias("shape")]
+    sib = named.where("name is not null").groupBy("host", "node", "name").agg(*sums).where("known > 0")
+    pairs = sib.groupBy("host", "node", "shape", "bad", "known").agg(F.count("*").alias("n"), F.min("name").alias("one"))
+    kind = "host string, node string, shape long, bad long, known long, to string"
+    alike = pairs.groupBy("host", "node", "shape").applyInPandas(_alike, kind)
+    to = written(sib.join(alike, ["host", "node", "shape", "bad", "known"]).where("name <> to").select("host", "node", "name", "to"), "merged")
+    out = written(named.join(to, ["host", "node", "name"], "left").select("host", "node", "seg", F.coalesce("to", "name").alias("to")), "branches")
+    tidy(named, to)
+    return out
+
+
 def templates(urls: DataFrame) -> DataFrame:
-    """``urls`` with n1..nLEVELS: the nodes on the path's way down its host's tree (null below its end).
+    """host, segs, nodes, bad, known of each distinct path of ``urls`` (host, path, label): the nodes on its way down its host's tree, from "".
 
-    Segments deeper than LEVELS are one segment REST. Each level reads grouped counts of
-    the children of each node and joins back the nodes that became wildcards.
+    Each level reads grouped counts of the children of each node and joins their branches back; only paths that go on are read again.
     """
-    segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    head = F.slice(segs, 1, LEVELS - 1)
-    t = urls.withColumn("segs", F.when(F.size(segs) >= LEVELS, F.concat(head, F.array(
-        F.when(F.size(segs) == LEVELS, F.element_at(segs, -1)).otherwise(F.lit(REST))))).otherwise(segs))
-    t = t.withColumn("n0", F.lit(""))
-    # fixed tree over distinct (host, segments): rows that share both are counted once here and weighted
-    d = written(t.groupBy("host", "segs", "n0").agg(F.count("*").alias("rows"), F.count(F.when(F.col("label") == "block", 1)).alias("bad"),
-                                                    F.count("label").alias("known")), "paths")
-    for k in range(1, LEVELS + 1):
-        up, seg = f"n{k - 1}", F.get("segs", F.lit(k - 1))
-        d = d.withColumn("seg", seg)
-        kids = d.where("seg is not null").groupBy("host", up, "seg").agg(F.sum("rows").alias("rows"))
-        wild = kids.groupBy("host", up).agg(F.sum("rows").alias("rows"), F.count("*").alias("values"))
-        wild = written(wild.where((F.col("values") >= VARIED) & (F.col("values") * 2 > F.col("rows"))).select("host", up, F.lit(True).alias("wild")), "wild")
-        d = d.join(wild, ["host", up], "left")
-        suffix = F.regexp_extract("seg", r"(\.[A-Za-z0-9]{1,8})$", 1)
-        d = d.withColumn(f"n{k}", F.when(F.col("seg").isNull(), None).otherwise(
-            F.concat(up, F.lit("/"), F.when(F.col("wild"), F.concat(F.lit("*"), suffix)).otherwise(F.col("seg")))))
-        # merge siblings with the same shapes below and a smoothed share in the same fifth
-        below = F.transform(F.slice("segs", k + 1, LEVELS), lambda s: F.when(s.rlike("^[0-9]"), F.concat(F.lit("#"), F.regexp_extract(s, r"(\.[A-Za-z0-9]{1,8})$", 1))).otherwise(F.lit("a")))
-        sib = d.where(f"n{k} is not null").groupBy("host", up, f"n{k}").agg(
-            F.sort_array(F.collect_set(F.array_join(below, "/"))).alias("shapes"), F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-        band = F.floor(5 * (F.col("bad") + PRIOR / 2) / (F.col("known") + PRIOR))
-        sib = sib.withColumn("as", F.when(F.col("known") > 0, F.xxhash64("host", up, "shapes", band)))
-        alike = sib.where("as is not null").groupBy("as").agg(F.min(f"n{k}").alias("one"), F.count("*").alias("n")).where("n > 1").select("as", "one")
-        names = written(sib.join(alike, "as").select("host", f"n{k}", "one").where(f"n{k} <> one"), "merged")
-        d = d.join(names, ["host", f"n{k}"], "left").withColumn(f"n{k}", F.coalesce("one", f"n{k}")).drop("one", "wild", "seg")
-    return written(d, "tree")
+    paths = urls.groupBy("host", segments("path").alias("segs")).agg(
+        F.count("*").alias("rows"), F.count(F.when(F.col("label") == "block", 1)).alias("bad"), F.count("label").alias("known"))
+    level, out = written(paths.withColumn("nodes", F.array(F.lit(""))).withColumn("ended", F.size("segs") == 0), "paths"), []
+    while True:
+        k = len(out)
+        out.append(level)
+        seg, below = F.get("segs", F.lit(k)), F.get("segs", F.lit(k + 1))
+        kind = F.when(below.isNull(), "").otherwise(F.concat(F.when(below.rlike("^[0-9]"), "#").otherwise("a"), F.when(F.size("segs") == k + 2, _suffix(below)).otherwise("")))
+        on = level.where("not ended").withColumn("node", F.element_at("nodes", -1)).withColumn("seg", seg)
+        bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(kind), 64) as int))")
+        kids = on.withColumn("kind", kind).groupBy("host", "node", "seg").agg(
+            F.sum("rows").alias("rows"), F.count("*").alias("paths"), F.sum("bad").alias("bad"), F.sum("known").alias("known"), F.bit_or(bit).alias("shape"))
+        kids = written(kids, "children")
+        if kids.isEmpty():
+            break
+        branches = _named(kids)
+        rest = F.array_join(F.slice("segs", k + 1, F.size("segs")), "/")
+        node = F.concat("node", F.lit("/"), F.coalesce("to", rest))
+        level = on.join(branches, ["host", "node", "seg"]).select(
+            "host", "segs", "rows", "bad", "known", F.concat("nodes", F.array(node)).alias("nodes"), (F.col("to").isNull() | (F.size("segs") == k + 1)).alias("ended"))
+        level = written(level, "level")
+        tidy(kids, branches)
+    done = [t.where("ended").drop("ended", "rows") for t in out]
+    tree = done[0]
+    for t in done[1:]:
+        tree = tree.unionByName(t)
+    tree = written(tree, "tree")
+    tidy(kids, *out)
+    return tree
 
 
 def purity(tree: DataFrame) -> DataFrame:
-    """host, segs and purity of the deepest node of each path."""
-    total = tree.agg(((F.sum("bad") + PRIOR / 2) / (F.sum("known") + PRIOR)).alias("share")).first()["share"]
-    out = tree.withColumn("p", F.lit(float(total if total is not None else 0.5)))
-    levels = [f"n{k}" for k in range(1, LEVELS + 1)]
-    for c in ["n0", *levels]:  # over all hosts
-        g = written(tree.groupBy(c).agg(F.sum("bad").alias("b"), F.sum("known").alias("k")).where(f"{c} is not null and k > 0"), "over")
-        out = out.join(g, c, "left").withColumn("p", F.when(F.col("k") > 0, (F.col("b") + PRIOR * F.col("p")) / (F.col("k") + PRIOR)).otherwise(F.col("p"))).drop("b", "k")
-    for c in ["n0", *levels]:  # within the host
-        g = written(tree.groupBy("host", c).agg(F.sum("bad").alias("b"), F.sum("known").alias("k")).where(f"{c} is not null and k > 0"), "within")
-        out = out.join(g, ["host", c], "left").withColumn("p", F.when(F.col("k") > 0, (F.col("b") + PRIOR * F.col("p")) / (F.col("k") + PRIOR)).otherwise(F.col("p"))).drop("b", "k")
-    return out.select("host", "segs", F.col("p").alias("purity"), F.coalesce(*[f"n{k}" for k in range(LEVELS, -1, -1)]).alias("template"))
+    """host, nodes and purity of each template of ``templates``."""
+    t = written(tree.groupBy("host", "nodes").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")), "templates")
+    share = t.agg(((F.sum("bad") + PRIOR / 2) / (F.sum("known") + PRIOR)).alias("share")).first()["share"]
+    flat = t.select("host", "nodes", "bad", "known", F.posexplode("nodes").alias("level", "node"))
+
+    def sums(*by: str) -> DataFrame:
+        return flat.groupBy(*by).agg(F.struct(F.sum("bad").alias("b"), F.sum("known").alias("k")).alias("over" if len(by) == 1 else "within"))
+
+    way = flat.join(sums("node"), "node").join(sums("host", "node"), ["host", "node"])
+    way = way.groupBy("host", "nodes").agg(F.sort_array(F.collect_list(F.struct("level", "over", "within"))).alias("way"))
+    steps = F.concat(F.transform("way", lambda x: x["over"]), F.transform("way", lambda x: x["within"]))
+    p = F.aggregate(steps, F.lit(float(0.5 if share is None else share)),
+                    lambda p, x: F.when(x["k"] > 0, (x["b"] + PRIOR * p) / (x["k"] + PRIOR)).otherwise(p))
+    return way.select("host", "nodes", p.alias("purity"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -104,11 +165,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
     judged alike; other columns are ignored; an empty table gives no rows.
     """
     urls = apply_rules(split_urls(pages), rules)
-    t = templates(urls)
-    p = purity(t)
-    segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    key = F.when(F.size(segs) >= LEVELS, F.concat(F.slice(segs, 1, LEVELS - 1), F.array(
-        F.when(F.size(segs) == LEVELS, F.element_at(segs, -1)).otherwise(F.lit(REST))))).otherwise(segs)
-    out = urls.withColumn("segs", key).join(written(p, "purity"), ["host", "segs"], "left")
+    tree = templates(urls)
+    found = written(tree.join(purity(tree), ["host", "nodes"]).select("host", "segs", "purity", F.element_at("nodes", -1).alias("template")), "purity")
+    tidy(tree)
+    out = urls.withColumn("segs", segments("path")).join(found, ["host", "segs"], "left")
     verdict = F.coalesce("label", F.when(F.col("purity") > REJECT, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, n_tasks, written
+from .common import components, tasks_for, tidy, written
 
 THRESHOLD, WIDTH, MISS, BLOCK = 0.93, 2.0, 1e-3, 128
 
@@ -40,16 +40,6 @@ def plan(rows: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[i
     return depth, math.ceil(math.log(miss) / math.log(1 - near**depth))
 
 
-def _pairs_within(x: np.ndarray, keys: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether members i and j of one bucket are alike and meet in no earlier table."""
-    ok = np.einsum("ij,ij->i", x[i], x[j]) >= THRESHOLD
-    at = np.flatnonzero(ok)
-    same = keys[i[at]] == keys[j[at]]
-    first = same.argmax(axis=1)
-    ok[at] = first == table[i[at]]
-    return ok
-
-
 def near_vectors(vectors: DataFrame, label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id long, embedding array of numbers, label).
 
@@ -95,7 +85,8 @@ def near_vectors(vectors: DataFrame, label: str = "label") -> DataFrame:
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     met = met.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("node", "table", "own", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("inner"))
-    met = met.join(h, "node").repartition(n_tasks(vectors.sparkSession), "cell").sortWithinPartitions("cell")
+    # each row of ``h`` is sent about once for each table
+    met = met.join(h, "node").repartition(tasks_for(h) * max(1, tables // 8), "cell").sortWithinPartitions("cell")
     found = written(met.mapInPandas(_cells, "node long, links long, to long"), "found")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -104,6 +95,7 @@ def near_vectors(vectors: DataFrame, label: str = "label") -> DataFrame:
     by = by.withColumn("component", F.coalesce("component", "node"))
     least = by.groupBy("component").agg(F.min("id").alias("component_id"))
     by = written(by.join(least, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"), "component_id"), "classes")
+    tidy(classes, h, full, found)
     v = v.withColumn("key", F.coalesce("key", F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))))
     out = v.select("vec_id", "key").join(by, "key", "left")
     c = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
@@ -136,14 +128,11 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     for lo, hi in zip(starts, [*starts[1:], len(pdf)], strict=True):
         x = units[lo:hi] if even else np.frombuffer(b"".join(pdf.unit.iloc[lo:hi]), float).reshape(hi - lo, -1)
         inner = bool(pdf.inner.iloc[lo])
-        i, j = np.triu_indices(hi - lo, 1)
-        if not inner:
-            across = own[lo:hi][i] != own[lo:hi][j]
-            i, j = i[across], j[across]
-        if not len(i):
-            continue
-        ok = _pairs_within(x, keys[lo:hi], table[lo:hi], i, j)
+        i, j = np.nonzero(np.triu(x @ x.T >= THRESHOLD, 1))
+        ok = inner | (own[lo:hi][i] != own[lo:hi][j])
         i, j = i[ok] + lo, j[ok] + lo
+        first = (keys[i] == keys[j]).argmax(axis=1) == table[i]  # pairs count in the first table that holds both
+        i, j = i[first], j[first]
         np.add.at(links, i, size[j])
         np.add.at(links, j, size[i])
         top = {}  # a spanning forest of the cell's links

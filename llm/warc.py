@@ -1,12 +1,14 @@
 """WARC archives: writing with segments and revisits, reading with reassembly.
 
-Archives are written by Spark's text sink with a line feed between rows: a record ends
-with CR LF CR LF, so a row is a record without its last byte, and every file that Spark
-commits is a well-formed (compressed) WARC file on whatever store Spark writes to. A
-payload travels in an HTTP response with chunked transfer framing; blocks over
-``segment`` bytes are cut into a first record and continuation records. The reader finds
-records by Content-Length only, groups segments by their origin, orders them by
-number, checks numbers and total length, and decodes the framing.
+Archives are written by Spark's text sink, every record a gzip member of its own. A
+member ends with its block's length, whose last byte is 0 for records of under 16 MB, so
+a row is a member without its last byte, the sink's line separator is the byte 0, and
+every file that Spark commits is a well-formed compressed WARC file on whatever store
+Spark writes to. A payload travels in an HTTP response with chunked transfer framing;
+blocks over ``segment`` bytes are cut into a first record and continuation records. The
+reader finds records by Content-Length only, groups segments by their origin, orders them
+by number, checks numbers and total length, and decodes the framing. A revisit gets
+its figures from the response that it refers to, as read back.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, tidy, written
 
 SEGMENT, CHUNK, LEAST, RECORDS, SALTS = 16_384, 4_096, 100, 2_000, 16
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -67,12 +69,20 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def member(rec: bytes) -> bytes:
+    """A record as a gzip member that ends with the byte 0."""
+    if len(rec) >> 24:
+        raise ValueError("a record of 16 MB or more")  # segments are far below; only fields could be that long
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(rec) + z.flush()
+
+
 def _uri(url: str | None) -> str:
     return "".join(c if c.isprintable() and c != " " else "".join(f"%{x:02X}" for x in c.encode("utf-8", "replace")) for c in url or "")
 
 
-def page_records(page_id: int | None, row: int, url: str | None, payload: bytes, first: int | None, segment: int) -> list[bytes]:
-    """The records of a page: a response in segments, or a revisit of page ``first``."""
+def page_records(page_id: int | None, row: int, url: str | None, payload: bytes, first: int | None, segment: int, first_url: str | None = None) -> list[bytes]:
+    """The records of a page: a response in segments, or a revisit of page ``first`` (at ``first_url``)."""
     name = f"<urn:page:{'' if page_id is None else page_id}:{row}>"
     digest = f"sha256:{hashlib.sha256(payload).hexdigest()}"
     base = [("WARC-Date", DATE), ("WARC-Payload-Digest", digest), ("X-Payload-Length", len(payload))]
@@ -80,6 +90,7 @@ def page_records(page_id: int | None, row: int, url: str | None, payload: bytes,
     base += [("WARC-Target-URI", u)] if (u := _uri(url)) else []
     if first is not None:
         own = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", first)]
+        own += [("WARC-Refers-To-Target-URI", u), ("WARC-Refers-To-Date", DATE)] if (u := _uri(first_url)) else []
         return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *base, *own, ("Content-Type", "application/http; msgtype=response")], HTTP)]
     block = HTTP + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -105,18 +116,18 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records:
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("key", F.when((F.octet_length("html") >= LEAST) & F.col("page_id").isNotNull(), F.sha2("html", 256)))
-    groups = p.where("key is not null").groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = written(groups.select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "payloads")
+    groups = p.where("key is not null").groupBy("key").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = written(groups.select("key", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "payloads")
     p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     p = p.withColumn("key", F.coalesce("key", F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))))
     p = p.join(groups, ["key", "salt"], "left")
-    p = p.select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("first"), F.monotonically_increasing_id().alias("row"))
+    p = p.select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("first"), "first_url", F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, size = [], 0
-            for page_id, row, url, html, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "row", "url", "html", "first")), strict=True):
-                new = [r[:-1] for r in page_records(page_id, row, url, html.encode("utf-8", "surrogatepass"), first, segment)]
+            for page_id, row, url, html, first, at in zip(*(b.column(c).to_pylist() for c in ("page_id", "row", "url", "html", "first", "first_url")), strict=True):
+                new = [member(r)[:-1] for r in page_records(page_id, row, url, html.encode("utf-8", "surrogatepass"), first, segment, at)]
                 out += new
                 size += sum(map(len, new))
                 if size > 4_000_000:
@@ -127,7 +138,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records:
 
     # a cast keeps the bytes as they are, and the sink writes them as they are
     rows = p.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    rows.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", records).text(path)
+    rows.write.option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
 
 
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -208,28 +219,38 @@ def payloads(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, whole of reassembled response and revisit records.
 
     A response's figures come from its decoded payload, which must match the digest
-    it declares; a revisit's come from its fields, as it holds no payload.
+    it declares. A revisit holds no payload: its figures are those of a whole response
+    of the page it refers to with the digest it declares; without one it is not whole
+    and has none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for kind, block, digest, length, whole in zip(*(b.column(c).to_pylist() for c in ("type", "block", "digest", "length", "whole")), strict=True):
-                declared = (digest or "").partition(":")[2]
-                if kind == "response" and whole:
+            for kind, block, digest, whole in zip(*(b.column(c).to_pylist() for c in ("type", "block", "digest", "whole")), strict=True):
+                found, length = (digest or "").partition(":")[2], None
+                if kind == "response":
+                    declared, found = found, None
                     try:
-                        data = http_payload(block)
-                        found = hashlib.sha256(data).hexdigest()
-                        length, whole, declared = len(data), found == declared, found
+                        data = http_payload(block) if whole else b""
+                        length, found = (len(data), hashlib.sha256(data).hexdigest()) if whole else (None, None)
+                        whole = whole and found == declared
                     except ValueError:
                         whole = False
-                rows.append((length, declared, whole))
+                rows.append((length, found, whole))
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), cols[0], cols[1], b.column("type"), b.column("refers_to"), cols[2]],
                                              ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole"])
 
-    need = records.where("type in ('response', 'revisit')").select("page_id", "type", "refers_to", "block", "digest", "length", "whole")
-    return need.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, whole boolean")
+    need = records.where("type in ('response', 'revisit')").select("page_id", "type", "refers_to", "block", "digest", "whole")
+    read = written(need.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, whole boolean"), "read")
+    visited = read.where("record_type = 'revisit'").select("page_id", "refers_to", "payload_digest")
+    there = read.where("record_type = 'response' and whole").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"))
+    there = written(there.join(visited.select("refers_to", "payload_digest").distinct(), ["refers_to", "payload_digest"], "left_semi").withColumn("whole", F.lit(True)), "visited")
+    found = visited.join(there, ["refers_to", "payload_digest"], "left").select(
+        "page_id", "payload_bytes", F.when(F.col("whole"), F.col("payload_digest")).alias("payload_digest"), F.lit("revisit").alias("record_type"),
+        "refers_to", F.coalesce("whole", F.lit(False)).alias("whole"))
+    return read.where("record_type = 'response'").unionByName(found)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -240,7 +261,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(pages.sparkSession)}/archives-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    return payloads(reassemble(read_records(pages.sparkSession, path)))
+    archives = read_records(pages.sparkSession, path)
+    out = payloads(reassemble(archives))
+    tidy(archives)
+    return out
 
 
 SQL = """
