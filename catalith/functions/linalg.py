@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 FAN_IN = 16
 
 
@@ -71,7 +73,11 @@ class Spectrum:
 
 
 def spectrum(matrix: DataFrame, column: str, width: int) -> Spectrum:
-    """Centre the columns, factorise, and count singular values above max(n, p) * eps * largest."""
+    """Centre the columns, factorise, and count singular values above max(n, p) * eps * largest.
+
+    The matrix is written once, so that whatever makes it runs once.
+    """
+    matrix = written(matrix.select(column), "matrix")
     means = matrix.agg(F.count("*").alias("n"), *[F.avg(F.col(column)[i]).alias(f"m{i}") for i in range(width)]).first()
     n, mean = means["n"], [means[f"m{i}"] or 0.0 for i in range(width)]
     centred = matrix.select(F.array(*[F.col(column)[i] - mean[i] for i in range(width)]).alias(column))

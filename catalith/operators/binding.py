@@ -16,11 +16,16 @@ def bind(sample: DataFrame, edges: DataFrame, policy: str) -> DataFrame:
     return ref.unionByName(tar)
 
 
+def per_role(bindings: DataFrame) -> DataFrame:
+    """source_role, members, most: members with a record of the role, and the most records that one of them has."""
+    per = bindings.groupBy("source_role", "object_id").agg(F.count("*").alias("n"))
+    return per.groupBy("source_role").agg(F.count("*").alias("members"), F.max("n").alias("most"))
+
+
 def require_one_each(bindings: DataFrame, sample: DataFrame, roles: tuple[str, ...] = ("reference", "target")) -> None:
     """Every member has exactly one record of each role."""
     n = sample.count()
-    per = bindings.groupBy("source_role", "object_id").agg(F.count("*").alias("n")).groupBy("source_role").agg(F.count("*").alias("members"), F.max("n").alias("most"))
-    found = {r["source_role"]: (r["members"], r["most"]) for r in per.collect()}
+    found = {r["source_role"]: (r["members"], r["most"]) for r in per_role(bindings).collect()}
     if n and (bad := {r: found.get(r) for r in roles if found.get(r) != (n, 1)}):
         raise ValueError(f"bindings of {n} members: {bad}")
 

@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def split_matrix(features: DataFrame, splits: DataFrame, key: str, split: str, selections: DataFrame | None = None) -> DataFrame:
     """Rows of a split. The test split can be read only with a frozen selection (a row of ``selections``)."""
@@ -39,13 +41,15 @@ def aligned_subset(matrix: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def standardize(folded: DataFrame, column: str, width: int, to: str = "scaled") -> DataFrame:
     """Each row scaled by mean and deviation of the rows of all other folds; a constant column is only centred.
 
-    Sums of a fold are the total's less the fold's own, so one pass gives the statistics of all.
+    Sums of a fold are the total's less the fold's own, so one pass (after one for the mean) gives the statistics of all.
     """
-    sums = folded.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.col(column)[i]).alias(f"s{i}") for i in range(width)],
-                                      *[F.sum(F.col(column)[i] * F.col(column)[i]).alias(f"q{i}") for i in range(width)])
+    first = folded.agg(*[F.avg(F.col(column)[i]).alias(f"a{i}") for i in range(width)]).first()
+    shift = [first[f"a{i}"] or 0.0 for i in range(width)]  # squares are summed about the mean of all rows, lest they cancel
+    x = [F.col(column)[i] - shift[i] for i in range(width)]
+    sums = folded.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(c * c).alias(f"q{i}") for i, c in enumerate(x)])
     every = Window.partitionBy(F.lit(0))  # one row a fold
     rest = {c: F.sum(c).over(every) - F.col(c) for c in sums.columns if c != "fold"}
-    mean = F.array(*[rest[f"s{i}"] / rest["n"] for i in range(width)])
+    mean = F.array(*[rest[f"s{i}"] / rest["n"] + shift[i] for i in range(width)])
     std = F.array(*[F.sqrt(F.greatest(F.lit(0.0), rest[f"q{i}"] / rest["n"] - (rest[f"s{i}"] / rest["n"]) * (rest[f"s{i}"] / rest["n"]))) for i in range(width)])
     fit = sums.select("fold", mean.alias("__mean"), std.alias("__std"))
     out = folded.join(F.broadcast(fit), "fold")
@@ -55,7 +59,8 @@ def standardize(folded: DataFrame, column: str, width: int, to: str = "scaled")
 
 def out_of_fold(folded: DataFrame, key: str, column: str, label: str, folds: int, classes: int, trees: int = 500, depth: int = 10, seed: int = 7) -> DataFrame:
     """key, label, fold, probability: each row predicted by a balanced random forest fitted on the other folds. Labels are 0 to classes - 1."""
-    d = folded.select(key, F.col(label).cast("double").alias("label"), "fold", array_to_vector(F.col(column)).alias("features"))
+    d = written(folded.select(key, F.col(label).cast("double").alias("label"), "fold", F.col(column).alias("x")), "folded")  # read by each fit
+    d = d.select(key, "label", "fold", array_to_vector(F.col("x")).alias("features"))
     out = None
     for k in range(folds):
         train = d.where(F.col("fold") != k)

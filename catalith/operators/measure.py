@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -67,13 +67,12 @@ def coverage(long: DataFrame, wide: DataFrame, bands: Sequence[Band]) -> DataFra
     return out.select("band", "eligible", "inserted", (F.col("eligible") - F.col("inserted")).alias("missing_or_sentinel"))
 
 
+def present(existing: DataFrame, new: DataFrame, identity: Sequence[str]) -> DataFrame:
+    """Identities of ``new`` that ``existing`` has already."""
+    return new.select(*identity).distinct().join(existing, list(identity), "left_semi")
+
+
 def require_absent(existing: DataFrame, new: DataFrame, identity: Sequence[str]) -> None:
     """Fail if a measurement of the same identity (such as catalogue, measure, corrected) is there already."""
-    if not new.select(*identity).distinct().join(existing, list(identity), "left_semi").isEmpty():
+    if not present(existing, new, identity).isEmpty():
         raise ValueError(f"measurements of the same {', '.join(identity)} exist")
-
-
-def corrected(long: DataFrame, coefficients: Mapping[str, float], reddening: str) -> DataFrame:
-    """Long measurements with mag - coefficient of the band * reddening; every band needs a coefficient."""
-    table = F.create_map(*[F.lit(x) for kv in sorted(coefficients.items()) for x in kv])
-    return long.withColumn("mag", F.col("mag") - F.element_at(table, F.col("band")) * F.col(reddening))

@@ -1,8 +1,10 @@
-"""Exact nearest neighbours in blocks, and comparisons of neighbourhoods.
+"""Nearest neighbours, exact in blocks or approximate in cells, and comparisons of neighbourhoods.
 
 Exact neighbours compare every query with every base row; the base is cut into blocks
 that each meet each block of queries once, and a block pair yields k rows a query, so
-what is shuffled is k rows for each query and base block, not the pairs.
+what is shuffled is k rows for each query and base block, not the pairs. That is for
+tables up to a few hundred thousand rows. Beyond, ``knn_approximate`` compares a query with the
+rows of its nearest cells only.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS = 2_048
+ROWS, MOST_CENTRES = 2_048, 4_096
 
 
 def _blocked(df: DataFrame, blocks: int, other: int, queries: bool) -> DataFrame:
@@ -26,28 +28,88 @@ def _blocked(df: DataFrame, blocks: int, other: int, queries: bool) -> DataFrame
 
 def _near(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, b = pdf[pdf["query"]], pdf[~pdf["query"]].sort_values("id")
+        q, b = pdf[pdf["query"]].reset_index(drop=True), pdf[~pdf["query"]].reset_index(drop=True)
         if not len(q) or not len(b):
             return pd.DataFrame({"query": [], "neighbor": [], "distance": []}).astype({"query": "int64", "neighbor": "int64"})
-        base, ids, out = np.array(b.x.tolist(), float), b.id.to_numpy(), []
-        for i, x in zip(q.id, q.x, strict=True):
-            d = np.sqrt(((base - np.asarray(x, float)) ** 2).sum(axis=1))
-            d[ids == i] = np.inf
-            best = np.lexsort((ids, d))[:k]
-            best = best[np.isfinite(d[best])]
-            out.append(pd.DataFrame({"query": i, "neighbor": ids[best], "distance": d[best]}))
-        return pd.concat(out)
+        x, y, ids, own = np.array(q.x.tolist(), float), np.array(b.x.tolist(), float), b.id.to_numpy(), q.id.to_numpy()
+        norm, out = (y * y).sum(axis=1), []
+        for at in range(0, len(q), 256):
+            part = x[at : at + 256]
+            # squares by one matrix product are off by rounding: all that could be among the k nearest are measured exactly
+            size = (part * part).sum(axis=1)
+            near = size[:, None] + norm[None] - 2 * part @ y.T
+            near[own[at : at + 256, None] == ids[None]] = np.inf
+            far = np.partition(near, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+            i, j = np.nonzero((near <= (far + 1e-9 * (size + norm.max()))[:, None]) & np.isfinite(near))
+            d = np.sqrt(((part[i] - y[j]) ** 2).sum(axis=1))
+            order = np.lexsort((ids[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            first = np.searchsorted(i, i)  # where the rows of a query begin
+            best = np.arange(len(i)) - first < k
+            out.append(pd.DataFrame({"query": own[at + i[best]], "neighbor": ids[j[best]], "distance": d[best]}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
 
+def _ranked(part: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
+    return part.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
 def knn(base: DataFrame, queries: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
     """query, neighbor, distance, rank of the k nearest other rows (id long, x array<double>); ties by id."""
     nb, nq = (max(1, -(-df.count() // rows)) for df in (base, queries))
     both = _blocked(queries.select("id", "x"), nq, nb, True).unionByName(_blocked(base.select("id", "x"), nb, nq, False))
-    part = both.groupBy("qb", "bb").applyInPandas(_near(k), "query long, neighbor long, distance double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
-    return part.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return _ranked(both.groupBy("qb", "bb").applyInPandas(_near(k), "query long, neighbor long, distance double"), k)
+
+
+def _cells_of(df: DataFrame, centres: np.ndarray, cells: int) -> DataFrame:
+    """id, x, cell: a row for each of the ``cells`` centres nearest to x."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        norm = (centres * centres).sum(axis=1)
+        for pdf in batches:
+            if len(pdf):
+                near = np.argsort(norm[None] - 2 * np.array(pdf.x.tolist(), float) @ centres.T, axis=1, kind="stable")[:, :cells]
+                yield pd.DataFrame({"id": pdf.id, "x": pdf.x, "cell": list(near.astype(np.int32))})
+
+    return df.select("id", "x").mapInPandas(run, "id long, x array<double>, cell array<int>").withColumn("cell", F.explode("cell"))
+
+
+def knn_approximate(base: DataFrame, queries: DataFrame, k: int, centres: int | None = None, probes: int = 8, rows: int = ROWS) -> DataFrame:
+    """query, neighbor, distance, rank: the k nearest rows among those of the ``probes`` cells nearest to the query.
+
+    Cells are those of ``centres`` rows of the base (by default the root of its row count,
+    MOST_CENTRES at most), chosen by hash; that sample is all that comes to the driver. Every base row
+    lies in one cell. A crowded cell is cut into blocks, as in ``knn``. Distances are exact; what is missed are
+    neighbours in cells that were not probed, so with as many probes as centres it is ``knn``.
+    """
+    n = base.count()
+    m = max(1, min(centres or int(n**0.5), MOST_CENTRES))
+    sample = base.select("x").orderBy(F.xxhash64("id", F.lit(17)), "id").limit(m).collect()
+    points = np.array([r["x"] for r in sample], float)
+    if not len(points):
+        return knn(base, queries, k, rows)
+    b, q = _cells_of(base, points, 1), _cells_of(queries, points, min(probes, len(points)))
+    size = b.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("nb"))
+    asked = q.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("nq"))
+    blocks = F.broadcast(size.join(asked, "cell"))  # a row for each centre at most
+
+    def cut(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
+        d = df.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        d = d.withColumn("each", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        qb, bb = ("own", "each") if query else ("each", "own")
+        return d.select("cell", F.col(qb).alias("qb"), F.col(bb).alias("bb"), "id", "x", F.lit(query).alias("query"))
+
+    both = cut(q, "nq", "nb", True).unionByName(cut(b, "nb", "nq", False))
+    return _ranked(both.groupBy("cell", "qb", "bb").applyInPandas(_near(k), "query long, neighbor long, distance double"), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """n, recall: the exact neighbours, and the share of them that was found."""
+    hit = found.select("query", "neighbor", F.lit(1).alias("hit"))
+    return exact.join(hit, ["query", "neighbor"], "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
 def knn_vote(neighbors: DataFrame, labels: DataFrame) -> DataFrame:
@@ -95,10 +157,12 @@ def trustworthiness(source: DataFrame, source_neighbors: DataFrame, embedded_nei
         if len(rows):
             x, ids = np.array(rows.x.tolist(), float), rows.id.to_numpy()
             for i, qx, to in zip(asks.id, asks.x, asks.to, strict=True):
-                d = np.sqrt(((x - np.asarray(qx, float)) ** 2).sum(axis=1))
-                for t in to:
-                    dt = np.sqrt(((np.asarray(t["nx"], float) - np.asarray(qx, float)) ** 2).sum())
-                    out.append((i, t["neighbor"], int((((d < dt) | ((d == dt) & (ids < t["neighbor"]))) & (ids != i) & (ids != t["neighbor"])).sum())))
+                q, others = np.asarray(qx, float), np.array([t["neighbor"] for t in to])
+                d = np.sqrt(((x - q) ** 2).sum(axis=1))
+                dt = np.sqrt(((np.array([t["nx"] for t in to], float) - q) ** 2).sum(axis=1))[:, None]
+                before = (d < dt) | ((d == dt) & (ids < others[:, None]))
+                n_closer = (before & (ids != i) & (ids != others[:, None])).sum(axis=1)
+                out += zip([i] * len(others), others.tolist(), n_closer.tolist(), strict=True)
         return pd.DataFrame(out, columns=["query", "neighbor", "closer"], dtype="int64")
 
     ranks = base.unionByName(asked).groupBy("qb", "bb").applyInPandas(closer, "query long, neighbor long, closer long")

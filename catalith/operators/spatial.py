@@ -18,10 +18,15 @@ def _cells(df: DataFrame, key: str, prefix: str, side: float) -> DataFrame:
     return d.select("*", *[F.floor(F.col(f"{prefix}_{a}") / side).cast("long").alias(f"{prefix}_c{a}") for a in "xyz"])
 
 
+def _size(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's bytes; it starts no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def radius_pairs(reference: DataFrame, target: DataFrame, radius: float) -> DataFrame:
     """ref, target, sep of all pairs at most ``radius`` arcsec apart (id, ra, dec in degrees on both sides).
 
-    Space is cut into cubes of the radius' chord; the reference (the smaller side) is
+    Space is cut into cubes of the radius' chord; the side that the optimizer holds for the smaller is
     put into its cube and the 26 around it, so that every pair meets once, under
     equal cube numbers, and the exact angle is tested there. Adaptive execution splits
     crowded cubes. A row without a position matches nothing.
@@ -30,12 +35,17 @@ def radius_pairs(reference: DataFrame, target: DataFrame, radius: float) -> Data
         raise ValueError("the radius must be positive")
     side = 2 * math.sin(radius / ARCSEC / 2) * (1 + 1e-7)
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    r = _cells(reference, "id", "ref", side)
-    for a in "xyz":
-        r = r.withColumn(f"d{a}", F.explode(near)).withColumn(f"c{a}", F.col(f"ref_c{a}") + F.col(f"d{a}")).drop(f"d{a}", f"ref_c{a}")
-    t = _cells(target, "id", "target", side)
-    t = t.select("target", "target_x", "target_y", "target_z", *[F.col(f"target_c{a}").alias(f"c{a}") for a in "xyz"])
-    both = r.join(t, ["cx", "cy", "cz"])
+    r, t = _cells(reference, "id", "ref", side), _cells(target, "id", "target", side)
+
+    def copied(d: DataFrame, p: str) -> DataFrame:
+        for a in "xyz":
+            d = d.withColumn(f"d{a}", F.explode(near)).withColumn(f"c{a}", F.col(f"{p}_c{a}") + F.col(f"d{a}")).drop(f"d{a}", f"{p}_c{a}")
+        return d
+
+    def placed(d: DataFrame, p: str) -> DataFrame:
+        return d.withColumnsRenamed({f"{p}_c{a}": f"c{a}" for a in "xyz"})
+
+    both = copied(r, "ref").join(placed(t, "target"), ["cx", "cy", "cz"]) if _size(reference) <= _size(target) else placed(r, "ref").join(copied(t, "target"), ["cx", "cy", "cz"])
     sep = separation(*(tuple(F.col(f"{p}_{a}") for a in "xyz") for p in ("ref", "target")))
     return both.select("ref", "target", sep.alias("sep")).where(F.col("sep") <= radius)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.uniform import gaussian, uniform
@@ -19,14 +19,25 @@ def realisations(long: DataFrame, keys: Sequence[str], n: int, seed: str) -> Dat
 
 
 def monte_carlo_colors(long: DataFrame, keys: Sequence[str], bands: Sequence[str], n: int, seed: str) -> DataFrame:
-    """name, n, mean, std of features over realisations: magnitudes are perturbed and differences computed from them. failed counts non-finite ones."""
-    f = fea.build(realisations(long, keys, n, seed), [*keys, "realisation"], bands)
+    """name, n, mean, std of features over ``n`` realisations, each mag + mag_err * normal deviate of its keys, band and number. failed counts non-finite ones.
+
+    A member's bands are brought into one row first; realisations are drawn there, so nothing is shuffled n times.
+    """
+    wide = fea.pivot(long, keys, bands).withColumn("realisation", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    own = [*[F.col(k) for k in keys]]
+    drawn = [F.struct((F.col(f"b{i}.mag") + F.col(f"b{i}.mag_err") * gaussian(*own, F.lit(b), F.col("realisation"), seed)).alias("mag"), F.col(f"b{i}.mag_err").alias("mag_err")).alias(f"b{i}")
+             for i, b in enumerate(bands)]
+    f = fea.unpivoted(wide.select("realisation", *drawn), ["realisation"], bands)
     ok = ~F.isnan("value") & (F.abs("value") != float("inf"))
     return f.groupBy("name").agg(F.count("*").alias("n"), F.avg(F.when(ok, F.col("value"))).alias("mean"), F.stddev_pop(F.when(ok, F.col("value"))).alias("std"), F.count_if(~ok).alias("failed"))
 
 
-def paired_bootstrap(predictions: DataFrame, strata: str, key: str, replicates: int, seed: str, level: float = 0.95) -> DataFrame:
-    """difference of accuracy of two classifiers (0/1 columns ok_a, ok_b) with a percentile interval.
+def paired_bootstrap(predictions: DataFrame, strata: str, key: str, replicates: int, seed: str, level: float = 0.95,
+                     columns: Sequence[str] = ("ok_a", "ok_b"), metric: Callable[[Callable[[str], Column]], Column] | None = None) -> DataFrame:
+    """difference of a metric of two classifiers with a percentile interval: of accuracy (0/1 columns ok_a, ok_b) unless ``metric`` is given.
+
+    ``metric`` makes the difference from weighted sums over a replicate's rows: it is called with a
+    function from a column's name to the sum of that column (of ``columns``, or "n": the number of rows).
 
     Within each stratum as many rows are drawn as it has, by hash-seeded uniforms that
     number its rows; both classifiers are judged on the same draws. Rows are numbered by
@@ -34,14 +45,18 @@ def paired_bootstrap(predictions: DataFrame, strata: str, key: str, replicates:
     """
     from .split import hash_ranked
 
-    p = hash_ranked(predictions.select(strata, key, "ok_a", "ok_b"), strata, [key], seed)
+    if metric is None:
+        def metric(total: Callable[[str], Column]) -> Column:
+            return (total("ok_a") - total("ok_b")) / total("n")
+
+    p = hash_ranked(predictions.select(strata, key, *columns), strata, [key], seed)
     d = p.select(strata, "place", "stratum_size").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draw = F.floor(uniform(F.col(strata), F.col("place"), F.col("replicate"), seed) * F.col("stratum_size")).cast("long") + 1
     # draws of the same row are counted before the join
     d = d.groupBy(strata, "replicate", draw.alias("drawn")).agg(F.count("*").alias("times"))
-    r = d.join(p.select(strata, F.col("place").alias("drawn"), "ok_a", "ok_b"), [strata, "drawn"]).groupBy("replicate").agg(
-        (F.sum((F.col("ok_a") - F.col("ok_b")) * F.col("times")) / F.sum("times")).alias("difference"))
+    r = d.join(p.select(strata, F.col("place").alias("drawn"), *columns), [strata, "drawn"]).groupBy("replicate").agg(
+        metric(lambda c: F.sum("times") if c == "n" else F.sum(F.col(c) * F.col("times"))).alias("difference"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    observed = predictions.agg(F.avg(F.col("ok_a") - F.col("ok_b")).alias("observed"))
+    observed = predictions.agg(metric(lambda c: F.count("*") if c == "n" else F.sum(c)).alias("observed"))
     b = r.agg(F.count("*").alias("replicates"), F.avg("difference").alias("mean"), F.percentile("difference", lo).alias("lower"), F.percentile("difference", hi).alias("upper"))
     return observed.crossJoin(b)  # one row each

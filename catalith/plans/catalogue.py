@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.linalg import project, spectrum
 from ..functions.sphere import cosine_separation
 from ..operators import audit, binding, contract, digest, evaluate, features, labels, measure, neighbors, population, records, spatial, split, uncertainty
-from ..sources import files
+from ..sources import files, ledger
+from ..sources.scratch import shared
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -29,6 +30,14 @@ T = fx.table
 SEED = 20260910
 
 
+def _digest(text: str, rows: str) -> str:
+    """Common table expressions that end with ``digest`` (rows, sha256): the bucketed digest of the texts of some rows."""
+    entry = "row || CASE WHEN times > 1 THEN 'x' || times ELSE '' END"
+    return f"""texts AS (SELECT sha256({text}) AS row, count(*) AS times FROM {rows} GROUP BY 1),
+buckets AS (SELECT ('0x' || substring(row, 1, 8))::BIGINT % {digest.BUCKETS} AS bucket, sha256(string_agg({entry}, '' ORDER BY {entry})) AS part, sum(times) AS n FROM texts GROUP BY 1),
+digest AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, sha256(coalesce(string_agg(part, '' ORDER BY bucket), '')) AS sha256 FROM buckets)"""
+
+
 # sources
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS supp, nullif(trim(CAST(s_nationkey AS VARCHAR)), '---') AS nation, s_name AS name FROM supplier""")
@@ -47,7 +56,7 @@ def null_markers(spark: SparkSession, sf: str) -> DataFrame:
     return marked(T(spark, sf, "nation"), "n_nationkey", "n_name").unionByName(marked(T(spark, sf, "supplier"), "s_suppkey", "s_name"))
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type IS NOT NULL")
+@query("SELECT event_id, user_id, event_type, value FROM events")
 def partition_union(spark: SparkSession, sf: str) -> DataFrame:
     e = T(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     by = F.pmod(F.hash("event_type"), F.lit(4))
@@ -65,6 +74,89 @@ def cone_search(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.cone(fx.catalogues(spark, sf)[1], 5.0, -20.0, 20.0).select("id", F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"))
 
 
+# sources by way of files: a table is written as text into the shared folder and read back
+
+_LABEL = "c_name || ', \"' || c_mktsegment || '\"' || CASE WHEN c_custkey % 3 = 0 THEN chr(10) ELSE ' ' END || c_custkey"
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS key, {_LABEL} AS label, CASE WHEN c_nationkey % 5 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation FROM customer")
+def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes, commas and line feeds inside cells, and null markers, through CSV files."""
+    path = shared(spark, "customers")
+    nation = F.when(F.col("c_nationkey") % 5 == 0, "---").otherwise(F.col("c_nationkey").cast("string"))
+    t = T(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.expr(_LABEL).alias("label, of a customer"), nation.alias("nation"))
+    t.write.option("header", True).option("escape", '"').csv(path)
+    return files.read_csv(spark, path, {"id": "key", "label, of a customer": "label", "nation": "nation"}, ("", "---")).select("key", "label", "nation")
+
+
+def _order_lines(spark: SparkSession, sf: str) -> str:
+    """Orders as lines of text, ascending, in a file for each status and thousand of keys."""
+    path = shared(spark, "orders")
+    o = T(spark, sf, "orders").selectExpr("o_orderstatus AS status", "cast(floor(o_orderkey / 1000) AS long) AS part", "o_orderkey")
+    o = o.repartition("status", "part").sortWithinPartitions("status", "part", "o_orderkey")
+    o.selectExpr("status", "part", "cast(o_orderkey AS string) AS value").write.partitionBy("status", "part").text(path)
+    return path
+
+
+_BY_FILE = "SELECT o_orderstatus AS status, CAST(floor(o_orderkey/1000) AS BIGINT) AS part, o_orderkey FROM orders"
+
+
+@query(f"SELECT status, part, row_number() OVER (PARTITION BY status, part ORDER BY o_orderkey) AS source_row, CAST(o_orderkey AS VARCHAR) AS value FROM ({_BY_FILE})")
+def row_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    lines = files.numbered_lines(spark, f"{_order_lines(spark, sf)}/*/*/*.txt")
+    at = [F.regexp_extract("source_file", rf"{k}=([^/]*)/", 1) for k in ("status", "part")]
+    return lines.select(at[0].alias("status"), at[1].cast("long").alias("part"), "source_row", "value")
+
+
+@query(f"SELECT status, part, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 1) AS BIGINT) AS n_bytes, sha256(string_agg(o_orderkey || chr(10), '' ORDER BY o_orderkey)) AS sha256 FROM ({_BY_FILE}) GROUP BY status, part")
+def file_preflight(spark: SparkSession, sf: str) -> DataFrame:
+    found = files.file_digests(spark, f"{_order_lines(spark, sf)}/*/*/*.txt")
+    at = [F.regexp_extract("source_file", rf"{k}=([^/]*)/", 1) for k in ("status", "part")]
+    return found.select(at[0].alias("status"), at[1].cast("long").alias("part"), F.col("n_bytes").cast("long").alias("n_bytes"), "sha256")
+
+
+def _order_cells(spark: SparkSession, sf: str, price: str) -> DataFrame:
+    path = shared(spark, "order_cells")
+    T(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus", f"{price} AS o_totalprice").write.option("header", True).csv(path)
+    return files.read_csv(spark, path, {c: c for c in ("o_orderkey", "o_orderstatus", "o_totalprice")})
+
+
+@query("SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
+def typed_load(spark: SparkSession, sf: str) -> DataFrame:
+    rows = files.require_columns(_order_cells(spark, sf, "cast(o_totalprice AS string)"), ["o_orderkey", "o_totalprice"])
+    return files.typed(rows, {"o_orderkey": "long", "o_totalprice": "double"}).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'o_totalprice' AS bad FROM orders WHERE o_orderkey % 97 = 0")
+def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _order_cells(spark, sf, "CASE WHEN o_orderkey % 97 = 0 THEN 'n/a' ELSE cast(o_totalprice AS string) END")
+    return files.rejects(rows, {"o_orderkey": "long", "o_totalprice": "double"}).select("o_orderkey", F.array_join("bad_columns", " ").alias("bad"))
+
+
+@query("SELECT 'part' AS name, count(*) AS rows, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part UNION ALL SELECT 'supplier', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier")
+def published_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables published together, and counted where they were published."""
+    tables = {"part": T(spark, sf, "part").select(F.col("p_partkey").alias("k")), "supplier": T(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))}
+    target = shared(spark, "load")
+    ledger.load_all({n: (t, t.count()) for n, t in tables.items()}, shared(spark, "stage"), target)
+    read = [spark.read.parquet(f"{target}/{n}").agg(F.count("*").alias("rows"), F.sum("k").alias("keys")).select(F.lit(n).alias("name"), "rows", "keys") for n in tables]
+    return read[0].unionByName(read[1])
+
+
+@query("SELECT n_name AS code, n_nationkey AS k FROM nation UNION ALL SELECT 'new ' || s_name, s_suppkey FROM supplier")
+def registry_append(spark: SparkSession, sf: str) -> DataFrame:
+    reg = T(spark, sf, "nation").select(F.col("n_name").alias("code"), F.col("n_nationkey").cast("long").alias("k"))
+    return ledger.register(reg, T(spark, sf, "supplier").select(F.concat(F.lit("new "), "s_name").alias("code"), F.col("s_suppkey").cast("long").alias("k")))
+
+
+@query(f"""WITH {_digest('CAST(o_orderkey AS VARCHAR)', 'orders')} SELECT 'count' AS kind, 'orders' AS name, CAST(rows AS VARCHAR) AS value FROM digest UNION ALL SELECT 'digest', 'orders', sha256 FROM digest
+UNION ALL SELECT 'setting', 'seed', '{SEED}' UNION ALL SELECT 'input', 'orders', concat('{{"n_bytes":', sum(length(CAST(o_orderkey AS VARCHAR)) + 1), ',"sha256":"', sha256(string_agg(o_orderkey || chr(10), '' ORDER BY o_orderkey)), '"}}') FROM ({_BY_FILE}) GROUP BY status, part""")
+def run_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    made = digest.table_digest(T(spark, sf, "orders"), ["o_orderkey"]).first()
+    m = ledger.manifest(spark, "run", {"orders": f"{_order_lines(spark, sf)}/*/*/*.txt"}, {"seed": SEED}, {"orders": made["rows"]}, {"orders": made["sha256"]})
+    return m.select("kind", "name", F.regexp_replace("value", '"file":"[^"]*",', "").alias("value"))
+
+
 # audits
 
 def _nulls(table: str, columns: str) -> str:
@@ -211,7 +303,7 @@ def candidate_audit(spark: SparkSession, sf: str) -> DataFrame:
 _COS = "degrees(acos(least(1e0, greatest(-1e0, sin(radians(dec))*sin(radians(d2)) + cos(radians(dec))*cos(radians(d2))*cos(radians(ra) - radians(r2))))))*3.6e3"
 
 
-@query(f"""WITH {fx.SKY}, o AS (SELECT {_COS} AS x FROM (SELECT *, ra + (id % 7)*1e-4 AS r2, dec + (id % 5)*1e-4 AS d2 FROM tar WHERE id % 35 <> 0))
+@query(f"""WITH {fx.SKY}, o AS (SELECT {_COS} AS x FROM (SELECT *, ra + (id % 7)*1e-4 AS r2, dec + (id % 5)*1e-4 AS d2 FROM tar))
 SELECT round(quantile_cont(x, 0.5), 3) AS offset_median, round(quantile_cont(x, 0.95), 3) AS offset_p95, round(max(x), 3) AS offset_max, count(*) FILTER (x > 0.1) AS above_0, count(*) FILTER (x > 0.5) AS above_1 FROM o""")
 def coordinate_offsets(spark: SparkSession, sf: str) -> DataFrame:
     t = fx.catalogues(spark, sf)[1]
@@ -290,7 +382,9 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     b = labels.evidence(both.where("toxic = 1"), "doc_id", "doc_id", "focal", "spectroscopic_master", "labels")
     c = labels.evidence(sup.where("s_acctbal/1e3 >= 3 and s_nationkey % 5 in (0, 1)"), "s_suppkey", "s_suppkey", "focal", "spectroscopic", "supplier", None, ["s_nationkey"])
     e = fx.population(spark, sf, "reciprocal")
-    m = [labels.evidence(e.where(f"is_{k}"), "ref", "target", k, "class_code", "orders", None, ["target"]) for k in ("second", "third")]
+    e = e.select("ref", "target", "is_second", "is_third", F.col("code").alias("class"), F.col("total").cast("decimal(14,2)").alias("magnitude"),
+                 F.lit("reciprocal").alias("policy"), F.col("sep").cast("decimal(10,6)").alias("separation"))
+    m = [labels.evidence(e.where(f"is_{k}"), "ref", "target", k, "class_code", "orders", None, ["target", "class", "magnitude", "policy", "separation"]) for k in ("second", "third")]
     cast = [x.withColumn("object_id", F.col("object_id").cast("long")).withColumn("record_id", F.col("record_id").cast("long")) for x in (a, b, c, *m)]
     return labels.unify(cast)
 
@@ -300,8 +394,8 @@ SELECT l.doc_id AS object_id, l.doc_id AS record_id, 'focal' AS target_class, 'p
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE quality = 1 AND (l.doc_id % 100)/1e2 > 7.5e-1
 UNION ALL SELECT l.doc_id, l.doc_id, 'focal', 'spectroscopic_master', 'labels', NULL, '{}' FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE toxic = 1
 UNION ALL SELECT s_suppkey, s_suppkey, 'focal', 'spectroscopic', 'supplier', NULL, '{"s_nationkey":' || s_nationkey || '}' FROM supplier WHERE s_acctbal/1e3 >= 3 AND s_nationkey % 5 IN (0, 1)
-UNION ALL SELECT ref, target, 'second', 'class_code', 'orders', NULL, '{"target":' || target || '}' FROM population WHERE policy = 'reciprocal' AND is_second
-UNION ALL SELECT ref, target, 'third', 'class_code', 'orders', NULL, '{"target":' || target || '}' FROM population WHERE policy = 'reciprocal' AND is_third)"""
+UNION ALL SELECT ref, target, 'second', 'class_code', 'orders', NULL, concat('{"target":', target, ',"class":', code, ',"magnitude":', CAST(total AS DECIMAL(14,2)), ',"policy":"reciprocal","separation":', CAST(sep AS DECIMAL(10,6)), '}') FROM population WHERE policy = 'reciprocal' AND is_second
+UNION ALL SELECT ref, target, 'third', 'class_code', 'orders', NULL, concat('{"target":', target, ',"class":', code, ',"magnitude":', CAST(total AS DECIMAL(14,2)), ',"policy":"reciprocal","separation":', CAST(sep AS DECIMAL(10,6)), '}') FROM population WHERE policy = 'reciprocal' AND is_third)"""
 _SAMPLE2 = ", sample AS (SELECT ref AS object_id, target_class FROM population WHERE policy = 'nearest' AND error_qualified AND target_class IS NOT NULL)"
 
 
@@ -352,7 +446,7 @@ def split_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return split.ledger(_split(spark, sf), "o_orderstatus")
 
 
-@query()
+@query(_SPLIT + f""", {_digest("concat_ws(chr(9), CAST(o_orderkey AS VARCHAR), o_orderstatus, split)", "s")} SELECT * FROM digest""")
 def split_digest(spark: SparkSession, sf: str) -> DataFrame:
     return digest.table_digest(_split(spark, sf), ["o_orderkey", "o_orderstatus", "split"])
 
@@ -369,6 +463,25 @@ def binding_summary(spark: SparkSession, sf: str) -> DataFrame:
     return binding.summary(bind_records(spark, sf))
 
 
+_BOUND = """bound AS (SELECT object_id, 'reference' AS source_role, object_id AS record_id FROM sample WHERE policy = 'reciprocal'
+UNION ALL SELECT ref, 'target', target FROM population WHERE policy = 'reciprocal' AND error_qualified AND target_class IS NOT NULL)"""
+
+
+@query(f"WITH {_MEMBERS}, {_BOUND} SELECT source_role, count(*) AS members, CAST(max(n) AS BIGINT) AS most FROM (SELECT source_role, object_id, count(*) AS n FROM bound GROUP BY ALL) GROUP BY source_role")
+def bindings_per_role(spark: SparkSession, sf: str) -> DataFrame:
+    b = bind_records(spark, sf)
+    binding.require_one_each(b, _sample(spark, sf))
+    return binding.per_role(b)
+
+
+@query(f"WITH {_MEMBERS}, {_BOUND}, {_digest('concat_ws(chr(9), CAST(object_id AS VARCHAR), source_role, CAST(record_id AS VARCHAR))', 'bound')} SELECT 'orders' AS sample, 'binding' AS kind, sha256 AS digest FROM digest")
+def binding_seal(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of the bindings, sealed once in the ledger of a sample."""
+    d = digest.table_digest(bind_records(spark, sf), ["object_id", "source_role", "record_id"])
+    entry = d.select(F.lit("orders").alias("sample"), F.lit("binding").alias("kind"), F.col("sha256").alias("digest"))
+    return ledger.seal(entry.limit(0), entry)
+
+
 _ROW = "concat_ws(chr(9), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority)"
 
 
@@ -377,7 +490,7 @@ def row_digests(spark: SparkSession, sf: str) -> DataFrame:
     return digest.row_digests(T(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query()
+@query("WITH " + _digest("concat_ws(chr(9), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR), o_orderpriority)", "orders") + " SELECT * FROM digest")
 def table_digest(spark: SparkSession, sf: str) -> DataFrame:
     return digest.table_digest(T(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
 
@@ -439,6 +552,31 @@ NAMES = features.names_of(fx.BANDS)
 COLORS = NAMES[len(fx.BANDS):]
 
 
+def _exact(*names: str) -> str:
+    return ", ".join(f"CAST(round({n}*1e6) AS BIGINT) AS {n}" for n in names)
+
+
+@query(f"WITH {fx.LONG}, m AS (SELECT l_orderkey, l_linenumber, band, {_exact('mag', 'mag_err')} FROM long), {_digest('concat_ws(chr(9), CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), band, CAST(mag AS VARCHAR), CAST(mag_err AS VARCHAR))', 'm')} SELECT * FROM digest")
+def measure_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of the measurements, in millionths."""
+    m = _long(spark, sf).selectExpr("l_orderkey", "l_linenumber", "band", *_exact("mag", "mag_err").split(", "))
+    return digest.table_digest(m, m.columns)
+
+
+@query(f"WITH {fx.LONG} SELECT l_orderkey, band FROM long WHERE l_orderkey % 3 = 0 GROUP BY ALL INTERSECT SELECT l_orderkey, band FROM long WHERE l_orderkey % 5 = 0")
+def measured_already(spark: SparkSession, sf: str) -> DataFrame:
+    """Identities (order and band) of new measurements that are there already."""
+    m = _long(spark, sf)
+    return measure.present(m.where("l_orderkey % 5 = 0"), m.where("l_orderkey % 3 = 0"), ["l_orderkey", "band"])
+
+
+@query(f"WITH {fx.FEATURES}, m AS (SELECT l_orderkey, l_linenumber, name, {_exact('value', 'uncertainty')} FROM feat), {_digest('concat_ws(chr(9), CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), name, CAST(value AS VARCHAR), CAST(uncertainty AS VARCHAR))', 'm')} SELECT * FROM digest")
+def feature_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of the features, in millionths."""
+    f = _features(spark, sf).selectExpr("l_orderkey", "l_linenumber", "name", *_exact("value", "uncertainty").split(", "))
+    return digest.table_digest(f, f.columns)
+
+
 @query(f"WITH {fx.FEATURES} SELECT l_orderkey, l_linenumber, name, {_r6('value', 'uncertainty')} FROM feat")
 def features_long(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_features(spark, sf))
@@ -458,7 +596,7 @@ def feature_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {fx.LONG} SELECT l_orderkey, l_linenumber, array_to_string(list(round(mag, 4) ORDER BY strpos('ugrizy', band)), '|') AS vector FROM long GROUP BY l_orderkey, l_linenumber HAVING count(*) = 6")
 def feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    v = features.vectors(_features(spark, sf), fx.KEYS, list(fx.BANDS))
+    v = features.vectors_of(_long(spark, sf), fx.KEYS, fx.BANDS, list(fx.BANDS))
     return v.select(*fx.KEYS, F.array_join(F.transform("features", lambda x: F.round(x, 4).cast("string")), "|").alias("vector"))
 
 
@@ -474,7 +612,7 @@ def feature_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {fx.LONG}, c AS (SELECT l_orderkey, l_linenumber FROM long GROUP BY ALL HAVING count(*) = 6) SELECT count(*) AS n, true AS within FROM c")
 def identity_residual(spark: SparkSession, sf: str) -> DataFrame:
-    r = features.identity_residual(features.vectors(_features(spark, sf), fx.KEYS, COLORS), fx.BANDS)
+    r = features.identity_residual(features.vectors_of(_long(spark, sf), fx.KEYS, fx.BANDS, COLORS), fx.BANDS)
     return r.select("n", (F.col("residual") <= 1e-6).alias("within"))
 
 
@@ -490,10 +628,30 @@ def feature_topn(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def matrix_rank(spark: SparkSession, sf: str) -> DataFrame:
-    s = features.rank_audit(features.vectors(_features(spark, sf), fx.KEYS, COLORS), len(COLORS), 5)
+    s = features.rank_audit(features.vectors_of(_long(spark, sf), fx.KEYS, fx.BANDS, COLORS), len(COLORS), 5)
     return spark.createDataFrame([(i, float(v), s.rank, s.rows) for i, v in enumerate(s.values)], "component int, singular_value double, rank int, n long")
 
 
+_PAIR = ", ".join(f"v[{i + 1}] - v[{j + 1}]" for i in range(len(fx.BANDS)) for j in range(i + 1, len(fx.BANDS)))
+
+
+def _squares(s) -> float:
+    """Sum of the squared singular values, to nine digits."""
+    return float(f"{float((s.values**2).sum()):.8e}")
+
+
+def _nine(x: str) -> str:
+    return f"CAST(format('{{:.8e}}', {x}) AS DOUBLE)"
+
+
+@query(f"""WITH {fx.LONG}, m AS (SELECT list(mag ORDER BY strpos('ugrizy', band)) AS v FROM long GROUP BY l_orderkey, l_linenumber HAVING count(*) = 6), x AS (SELECT unnest([{_PAIR}]) AS x, unnest(range(0, 15)) AS i FROM m),
+c AS (SELECT i, count(*) AS n, var_pop(x)*count(*) AS q FROM x GROUP BY i) SELECT CAST(max(n) AS BIGINT) AS n, 5 AS rank, {_nine('sum(q)')} AS squares FROM c""")
+def matrix_squares(spark: SparkSession, sf: str) -> DataFrame:
+    """What the singular values of the difference matrix must agree with: rows, rank, and the sum of squares about the means."""
+    s = features.rank_audit(features.vectors_of(_long(spark, sf), fx.KEYS, fx.BANDS, COLORS), len(COLORS), 5)
+    return spark.createDataFrame([(s.rows, s.rank, _squares(s))], "n long, rank int, squares double")
+
+
 # evaluation
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -553,6 +711,22 @@ def pca_variance(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, float(v), float(e), s.rank, s.condition) for i, (v, e) in enumerate(zip(s.values, s.explained, strict=True))], "component int, singular_value double, explained double, rank int, condition double")
 
 
+@query(f"WITH x AS (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings), c AS (SELECT i, count(*) AS n, var_pop(x)*count(*) AS q FROM x GROUP BY i) SELECT CAST(max(n) AS BIGINT) AS n, 64 AS rank, {_nine('sum(q)')} AS squares FROM c")
+def pca_squares(spark: SparkSession, sf: str) -> DataFrame:
+    """What the principal components' variances must add up to."""
+    s = spectrum(_vectors(spark, sf), "x", 64)
+    return spark.createDataFrame([(s.rows, s.rank, _squares(s))], "n long, rank int, squares double")
+
+
+@query(_FOLDS + " SELECT fold, label, count(*) AS n, count(DISTINCT vec_id) AS keys, 0::BIGINT AS unsound FROM f GROUP BY fold, label")
+def rf_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row is predicted once, in its own fold, with ten probabilities that add up to one."""
+    p = rf_oof(spark, sf)
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    bad = (F.size("probability") != 10) | (F.abs(total - 1) > 1e-9) | F.exists("probability", lambda x: (x < 0) | (x > 1))
+    return p.groupBy("fold", "label").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("keys"), F.count_if(bad).alias("unsound"))
+
+
 @query()
 def rf_oof(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.out_of_fold(_folds(spark, sf), "vec_id", "x", "label", 5, 10, trees=20, depth=6)
@@ -572,6 +746,13 @@ def candidate_select(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.select_candidate(out)
 
 
+@query("SELECT p_brand AS name, CAST(count(DISTINCT p_size) AS INTEGER) AS dimensions, round(avg(CAST(p_retailprice AS DOUBLE)), 3) AS metric FROM part GROUP BY p_brand ORDER BY metric DESC, dimensions, name LIMIT 1")
+def best_candidate(spark: SparkSession, sf: str) -> DataFrame:
+    """The selection rule on given metrics."""
+    c = T(spark, sf, "part").groupBy(F.col("p_brand").alias("name")).agg(F.countDistinct("p_size").cast("int").alias("dimensions"), F.round(F.avg(F.col("p_retailprice").cast("double")), 3).alias("metric"))
+    return evaluate.select_candidate(c)
+
+
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     return _vectors(spark, sf).select(F.col("vec_id").alias("id"), "x", "label")
 
@@ -586,6 +767,13 @@ def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(neighbors.knn(p, p, 5))
 
 
+@query()
+def knn_approximate(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours in the nearest cells; tests hold its recall against knn_exact."""
+    p = _points(spark, sf)
+    return _rounded(neighbors.knn_approximate(p, p, 5))
+
+
 @query(_KNN + ", v AS (SELECT query, label, sum(1/distance) AS w FROM n GROUP BY query, label) SELECT query, CAST(arg_min(label, (-round(w, 9), label)) AS INTEGER) AS prediction FROM v GROUP BY query")
 def knn_vote(spark: SparkSession, sf: str) -> DataFrame:
     p = _points(spark, sf)
@@ -701,10 +889,17 @@ def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(uncertainty.paired_bootstrap(s.withColumn("ok_a", ok(0.5)).withColumn("ok_b", ok(0.7)), "target", "doc_id", 40, "boot"))
 
 
-@query("""WITH s AS (SELECT user_id AS run, ts AS at, event_type AS status FROM events) SELECT run, arg_max(status, (at, status)) AS status, epoch_us(max(at)) AS at FROM s GROUP BY run""")
+@query("""WITH s AS (SELECT user_id AS run, ts AS seen_at, event_type AS status FROM events) SELECT run, arg_max(status, (seen_at, status)) AS status, epoch_us(max(seen_at)) AS seen_at FROM s GROUP BY run""")
 def run_status(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources.ledger import latest_status
-
     s = T(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("status"), F.col("ts").alias("at"))
-    return latest_status(s).withColumn("at", F.unix_micros(F.col("at").cast("timestamp")))
+    return ledger.latest_status(s).select("run", "status", F.unix_micros(F.col("at").cast("timestamp")).alias("seen_at"))
+
+
 
+@query("WITH s AS (SELECT user_id AS run, arg_max(event_type, (ts, event_type)) AS status FROM events GROUP BY user_id) SELECT event_id, user_id AS run FROM events WHERE user_id IN (SELECT run FROM s WHERE status = 'purchase')")
+def finished_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Outputs of the runs whose last status says that they are complete."""
+    e = T(spark, sf, "events").select(F.col("user_id").alias("run"), F.when(F.col("event_type") == "purchase", "complete").otherwise(F.col("event_type")).alias("status"), F.col("ts").alias("at"), "event_id", "event_type")
+    s = e.select("run", F.col("event_type").alias("status"), "at")
+    done = ledger.latest_status(s).withColumn("status", F.when(F.col("status") == "purchase", "complete").otherwise(F.col("status")))
+    return ledger.complete_runs(done, e.select("event_id", "run"))

@@ -31,25 +31,30 @@ def without_markers(c: Column, markers: Sequence[str]) -> Column:
 def fixed_width(lines: DataFrame, fields: Sequence[Field], markers: Sequence[str] = ("",), value: str = "value") -> DataFrame:
     """``lines`` with a column for each field, trimmed; what a short line lacks is empty."""
     rest = [c for c in lines.columns if c != value]
-    cut = [without_markers(F.trim(F.substring(value, f.first, f.last - f.first + 1)), markers).alias(f.name) for f in fields]
+    cut = [without_markers(F.regexp_replace(F.substring(value, f.first, f.last - f.first + 1), r"^\s+|\s+$", ""), markers).alias(f.name) for f in fields]
     return lines.select(*rest, *cut)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, source_row (from 1), value for each line, however the files are split.
+def numbered_lines(spark: SparkSession, path: str, blank: bool = True) -> DataFrame:
+    """source_file, source_row (from 1), value for each line, however the files are split; with ``blank`` false blank lines are left out and not counted.
 
     Lines of a file block keep their order in a scan, so a line's number is its place in
     the block plus the lines of the file's earlier blocks; only the table of blocks is
-    windowed.
+    windowed, and, among lines that are not all counted, each block.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"), "value")
-    blocks = lines.groupBy("source_file", "start").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    if not blank:
+        lines = lines.where(F.trim("value") != "")
+    blocks = lines.groupBy("source_file", "start").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
     before = Window.partitionBy("source_file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     out = lines.join(blocks, ["source_file", "start"])
-    return out.select("source_file", (F.col("before") + F.col("id") - F.col("least") + 1).alias("source_row"), "value")
+    place = F.col("id") - F.col("least") + 1
+    if not blank and not blocks.where(F.col("most") - F.col("least") + 1 > F.col("n")).isEmpty():
+        place = F.row_number().over(Window.partitionBy("source_file", "start").orderBy("id"))
+    return out.select("source_file", (F.col("before") + place).cast("long").alias("source_row"), "value")
 
 
 def read_fixed_width(spark: SparkSession, path: str, fields: Sequence[Field], markers: Sequence[str] = ("",)) -> DataFrame:
@@ -59,27 +64,38 @@ def read_fixed_width(spark: SparkSession, path: str, fields: Sequence[Field], ma
 def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str], markers: Sequence[str] = ("",)) -> DataFrame:
     """source_file, source_row, and text columns renamed by ``columns`` (source name -> target name, in file order).
 
-    The header of every file must equal the declared names. Rows are lines (no line feed
-    inside quotes); blank lines are not rows.
+    The header of every file must equal the declared names. Blank lines are not rows and
+    have no number. A row with another number of cells fails the read when it is reached.
+    Lines are parsed where they are; only files that have a quote open at a line's end
+    (a line feed inside a cell, at 1-based row numbers of rows, not lines) are parsed whole, by one task each.
     """
-    lines = numbered_lines(spark, path).where(F.trim("value") != "")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    parsed = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE", "quote": '"', "escape": '"'}) if all(
-        c.isidentifier() for c in columns) else F.from_csv("value", ", ".join(f"`{c}` string" for c in columns), {"quote": '"', "escape": '"'})
-    lines = lines.withColumn("rows", parsed)
-    head = lines.where("source_row = 1")
     want = list(columns)
-    wrong = head.where(~F.coalesce(F.array(*[F.col("rows")[c] for c in want]) == F.array(*map(F.lit, want)), F.lit(False)) | (
-        F.size(F.split("value", ",")) != len(want)))
+    schema = ", ".join(f"`{c}` string" for c in [*want, "__bad"])
+    options = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}
+    lines = numbered_lines(spark, path, blank=False)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    open_files = [r["source_file"] for r in lines.where(quotes % 2 == 1).select("source_file").distinct().collect()]
+    rows = lines.where(~F.col("source_file").isin(open_files)) if open_files else lines
+    rows = rows.select("source_file", "source_row", F.from_csv("value", schema, options).alias("rows"))
+    if open_files:
+        rows = rows.unionByName(_whole_files(spark, path, open_files, schema, options))
+    cells = F.array(*[F.coalesce(F.col("rows")[c], F.lit("")) for c in want])
+    wrong = rows.where("source_row = 1").where(F.col("rows.__bad").isNotNull() | (cells != F.array(*map(F.lit, want))))
     if bad := [r["source_file"] for r in wrong.select("source_file").limit(5).collect()]:
         raise SourceError(f"the header is not {want} in {bad}")
-    body = lines.where("source_row > 1")
-    before = Window.partitionBy("source_file").orderBy("source_row")
-    blank = numbered_lines(spark, path).where(F.trim("value") == "").groupBy("source_file").count()
-    if not blank.isEmpty():  # numbers then count rows that are not blank
-        body = body.withColumn("source_row", (F.row_number().over(before) + 1).cast("long"))
-    cells = [without_markers(F.coalesce(F.col("rows")[c], F.lit("")), markers).alias(t) for c, t in columns.items()]
-    return body.select("source_file", (F.col("source_row") - 1).alias("source_row"), *cells)
+    place = F.concat(F.lit(f"not {len(want)} cells in row "), (F.col("source_row") - 1).cast("string"), F.lit(" of "), "source_file")
+    sound = F.when(F.col("rows.__bad").isNull(), cells).otherwise(F.raise_error(place))
+    body = rows.where("source_row > 1").select("source_file", (F.col("source_row") - 1).alias("source_row"), sound.alias("cells"))
+    return body.select("source_file", "source_row", *[without_markers(F.col("cells")[i], markers).alias(t) for i, t in enumerate(columns.values())])
+
+
+def _whole_files(spark: SparkSession, path: str, files: list[str], schema: str, options: Mapping[str, str]) -> DataFrame:
+    """source_file, source_row, rows of files with line feeds inside quotes."""
+    read = spark.read.schema(schema).options(**options, multiLine=True, header=False).csv(path)
+    read = read.select(F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in read.columns]).alias("rows"))
+    read = read.where(F.col("source_file").isin(files))
+    first = read.groupBy("source_file").agg(F.min("id").alias("least"))
+    return read.join(first, "source_file").select("source_file", (F.col("id") - F.col("least") + 1).alias("source_row"), "rows")
 
 
 def typed(df: DataFrame, types: Mapping[str, str], strict: bool = True) -> DataFrame:

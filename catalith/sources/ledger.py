@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import SourceError
+from .files import SourceError, file_digests
 
 
 def write_once(df: DataFrame, path: str) -> DataFrame:
@@ -26,18 +27,54 @@ def register(registry: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def load_all(staged: Mapping[str, tuple[DataFrame, int]], stage: str, target: str) -> dict[str, int]:
-    """All or nothing: write every table to ``stage``, compare counts, and only then publish to ``target``."""
+    """All or nothing: write every table to ``stage``, compare counts, and only then publish to ``target``, by renaming.
+
+    A target that is there already fails the load before anything is written. A new ``target``
+    folder is published by one renaming; in one that holds other tables, each table is
+    renamed, and those before it are taken back if one fails.
+    """
+    spark = next(iter(staged.values()))[0].sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join(p))
+    fs = path(target).getFileSystem(conf)
+    if there := [name for name in staged if fs.exists(path(target, name))]:
+        raise SourceError(f"already published: {', '.join(there)}; nothing was")
     counts = {}
     for name, (df, expected) in staged.items():
         counts[name] = write_once(df, f"{stage}/{name}").count()
         if counts[name] != expected:
             raise SourceError(f"{name}: {counts[name]} rows instead of {expected}; nothing was published")
-    spark = next(iter(staged.values()))[0].sparkSession
+    if not fs.exists(path(target)):
+        fs.mkdirs(path(target).getParent())
+        if not fs.rename(path(stage), path(target)):
+            raise SourceError(f"{target} cannot be published")
+        return counts
+    done: list[str] = []
     for name in staged:
-        write_once(spark.read.parquet(f"{stage}/{name}"), f"{target}/{name}")
+        if fs.exists(path(target, name)) or not fs.rename(path(stage, name), path(target, name)):
+            for n in done:
+                fs.rename(path(target, n), path(stage, n))
+            raise SourceError(f"{name} cannot be published; nothing was")
+        done.append(name)
     return counts
 
 
+def manifest(spark: SparkSession, run: str, inputs: Mapping[str, str], settings: Mapping[str, object], counts: Mapping[str, int], digests: Mapping[str, str]) -> DataFrame:
+    """Ledger rows (run, kind, name, value) of all that a run's results depend on.
+
+    Inputs by path, with bytes and SHA-256 of each file (computed where the files are), resolved
+    settings as JSON, and the counts and digests of what was made. Rows only: append them, or ``write_once``.
+    """
+    given = [(run, "setting", k, json.dumps(v, sort_keys=True)) for k, v in sorted(settings.items())]
+    given += [(run, "count", k, str(int(v))) for k, v in sorted(counts.items())] + [(run, "digest", k, v) for k, v in sorted(digests.items())]
+    out = spark.createDataFrame(given, "run string, kind string, name string, value string")
+    for name, path in sorted(inputs.items()):
+        files = file_digests(spark, path)
+        value = F.to_json(F.struct(F.element_at(F.split("source_file", "/"), -1).alias("file"), "n_bytes", "sha256"))
+        out = out.unionByName(files.select(F.lit(run).alias("run"), F.lit("input").alias("kind"), F.lit(name).alias("name"), value.alias("value")))
+    return out
+
+
 def stage_counts(spark: SparkSession, run: str, stage: str, counts: Mapping[str, int]) -> DataFrame:
     """Ledger rows (run, stage, category, count)."""
     rows = [(run, stage, k, int(v)) for k, v in sorted(counts.items())]

@@ -251,3 +251,114 @@ def test_records(spark):
     assert r.first()["source_key"] == '["a","1"]'
     with pytest.raises(ValueError, match="not in the registry: x"):
         records.registered(r, spark.createDataFrame([("y",)], "code string"))
+
+
+def test_csv_quotes_ragged_rows_and_blank_lines(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('"a, the key",b\n"7","x\ny"\n8,"say ""hi"", you"\n')
+    rows = files.read_csv(spark, str(p), {"a, the key": "a", "b": "b"}).orderBy("source_row").collect()
+    assert [tuple(r)[1:] for r in rows] == [(1, "7", "x\ny"), (2, "8", 'say "hi", you')]
+    for i, bad in enumerate(("1,2,3", "4", '5,"x\ny",6')):
+        q = tmp_path / f"bad{i}.csv"
+        q.write_text(f"a,b\n0,0\n{bad}\n")
+        with pytest.raises(Exception, match="not 2 cells in row 2"):
+            files.read_csv(spark, str(q), {"a": "a", "b": "b"}).collect()
+    with pytest.raises(files.SourceError):
+        files.read_csv(spark, str(tmp_path / "bad0.csv"), {"a": "a", "c": "b"})
+    with pytest.raises(files.SourceError):
+        files.read_csv(spark, str(tmp_path / "bad0.csv"), {"a": "a", "b": "b", "c": "c"})
+    p = tmp_path / "blank.csv"
+    p.write_text("a,b\n" + "".join(f"{i},v\n" + "\n" * (i % 3) for i in range(1, 2001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        wrong = files.read_csv(spark, str(p), {"a": "a", "b": "b"}).where("source_row <> a").count()
+        n = files.read_csv(spark, str(p), {"a": "a", "b": "b"}).count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert (wrong, n) == (0, 2000)
+
+
+def test_fixed_width_files_strip_all_white_space(spark, tmp_path):
+    p = tmp_path / "f.txt"
+    p.write_text("AB\t 12 \nC    ---\n")
+    f = files.Field
+    rows = files.read_fixed_width(spark, str(p), [f("a", 1, 4), f("b", 5, 8)], ("", "---")).orderBy("source_row").collect()
+    assert [tuple(r)[1:] for r in rows] == [(1, "AB", "12"), (2, "C", None)]
+
+
+def test_load_is_all_or_nothing(spark, tmp_path):
+    one, two = spark.range(3).toDF("k"), spark.range(5).toDF("k")
+    target = tmp_path / "out"
+    with pytest.raises(files.SourceError):
+        ledger.load_all({"t1": (one, 3), "t2": (two, 4)}, str(tmp_path / "s1"), str(target))
+    assert not target.exists()
+    assert ledger.load_all({"t2": (two, 5)}, str(tmp_path / "s2"), str(target)) == {"t2": 5}
+    with pytest.raises(files.SourceError, match="t2; nothing"):
+        ledger.load_all({"t1": (one, 3), "t2": (two, 5)}, str(tmp_path / "s3"), str(target))
+    assert sorted(x.name for x in target.iterdir()) == ["t2"]
+    ledger.load_all({"t1": (one, 3), "t3": (two, 5)}, str(tmp_path / "s4"), str(target))
+    assert spark.read.parquet(str(target / "t1")).count() == 3 and spark.read.parquet(str(target / "t3")).count() == 5
+
+
+def test_manifest_runs_and_stage_counts(spark, tmp_path):
+    p = tmp_path / "in.txt"
+    p.write_text("a\n")
+    m = {(r["kind"], r["name"]): r["value"] for r in ledger.manifest(spark, "r1", {"in": str(p)}, {"seed": 7, "bands": ["u"]}, {"rows": 2}, {"rows": "ab"}).collect()}
+    assert m["setting", "bands"] == '["u"]' and m["count", "rows"] == "2" and m["digest", "rows"] == "ab"
+    assert '"n_bytes":2' in m["input", "in"] and "87428fc522803d31065e7bce3cf03fe475096631e5e07bbd7a0fde60c4cf25c7" in m["input", "in"]
+    s = spark.createDataFrame([("a", "running", 1), ("a", "complete", 2), ("b", "complete", 1), ("b", "failed", 3)], "run string, status string, at long")
+    assert [r["run"] for r in ledger.complete_runs(s, spark.createDataFrame([("a",), ("b",), ("c",)], "run string")).collect()] == ["a"]
+    assert [tuple(r) for r in ledger.stage_counts(spark, "a", "load", {"x": 3}).collect()] == [("a", "load", "x", 3)]
+
+
+def test_measurements_that_exist_are_refused(spark):
+    old, new = spark.createDataFrame([("des", "g", True)], "c string, m string, k boolean"), spark.createDataFrame([("des", "r", True)], "c string, m string, k boolean")
+    measure.require_absent(old, new, ["c", "m", "k"])
+    with pytest.raises(ValueError):
+        measure.require_absent(old, old, ["c", "m", "k"])
+
+
+def test_cross_match_copies_either_side(spark):
+    few, many = sky(spark, (1, 10.0, 0.0)), sky(spark, *((i, 10.0 + i * 1e-4, 0.0) for i in range(-20, 20)))
+    a = {(r["ref"], r["target"]) for r in spatial.radius_pairs(few, many, 1.0).collect()}
+    b = {(r["target"], r["ref"]) for r in spatial.radius_pairs(many, few, 1.0).collect()}
+    assert a == b and len(a) == 5
+
+
+def test_approximate_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 8)) * 4
+    x = [centres[i % 30] + rng.normal(size=8) for i in range(1500)] + [centres[0]] * 3
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    exact = neighbors.knn(p, p, 5, rows=400)
+    got = {(r["query"], r["rank"]): (r["neighbor"], round(r["distance"], 9)) for r in exact.collect()}
+    d = np.sqrt(((np.array(x)[:, None] - np.array(x)[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(x)):
+        for k, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:5], 1):
+            assert got[i, k] == (j, round(d[i, j], 9))
+    assert neighbors.recall(neighbors.knn_approximate(p, p, 5, centres=40, probes=8, rows=300), exact).first()["recall"] >= 0.9
+    assert neighbors.recall(neighbors.knn_approximate(p, p, 5, centres=12, probes=12, rows=300), exact).first()["recall"] == 1.0
+    none = p.limit(0)
+    assert neighbors.knn_approximate(none, p, 5).count() == 0 == neighbors.knn_approximate(p, none, 5).count()
+
+
+def test_bootstrap_of_another_metric(spark):
+    rows = [(i, i % 2, int(i % 3 > 0), int(i % 5 > 0), int(i % 3 > 0 and i % 2 == 1), int(i % 5 > 0 and i % 2 == 1)) for i in range(200)]
+    d = spark.createDataFrame(rows, "id long, y int, a int, b int, ta int, tb int")
+
+    def contamination(total):
+        return (1 - total("ta") / total("a")) - (1 - total("tb") / total("b"))
+
+    r = uncertainty.paired_bootstrap(d, "y", "id", 60, "s", columns=("a", "b", "ta", "tb"), metric=contamination).first()
+    share = lambda k, t: 1 - sum(x[t] for x in rows) / sum(x[k] for x in rows)
+    assert abs(r["observed"] - (share(2, 4) - share(3, 5))) < 1e-12 and r["replicates"] == 60 and r["lower"] <= r["observed"] <= r["upper"]
+
+
+def test_standardize_does_not_cancel(spark):
+    rng = np.random.default_rng(3)
+    x = 1e9 + rng.normal(size=40)
+    d = spark.createDataFrame([(i, i % 4, [float(v)]) for i, v in enumerate(x)], "id long, fold int, x array<double>")
+    for r in evaluate.standardize(d, "x", 1).collect():
+        rest = np.array([v for i, v in enumerate(x) if i % 4 != r["fold"]])
+        assert abs(r["scaled"][0] - (x[r["id"]] - rest.mean()) / rest.std()) < 1e-4
