@@ -93,8 +93,8 @@ n AS (SELECT ids.p, coalesce(min(x.i) - 1, (SELECT count(*) FROM a WHERE a.p = i
 s AS (SELECT n.p, n.n, t.side, t.i, '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10) AS m, t.i > n.n AS rest, t.role = 'assistant' AS train,
              length(t.role) + 5 AS head, length(t.text) + 8 AS body
       FROM n JOIN (SELECT 'a' AS side, * FROM a UNION ALL SELECT 'b', * FROM b) t ON t.p = n.p),
-k AS (SELECT *, CAST(coalesce(sum(head + body) OVER (PARTITION BY p, side, rest ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM s),
-u AS (SELECT *, concat(at, '+', head, 'f ', at + head, '+', body, CASE WHEN train THEN 't' ELSE 'f' END) AS spans FROM k)
+k AS (SELECT *, CAST(coalesce(sum(head + body) OVER (PARTITION BY p, side, rest ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begun FROM s),
+u AS (SELECT *, concat(begun, '+', head, 'f ', begun + head, '+', body, CASE WHEN train THEN 't' ELSE 'f' END) AS spans FROM k)
 SELECT p AS pair_id, CAST(n AS INTEGER) AS n_prompt_turns,
        coalesce(string_agg(m, '' ORDER BY i) FILTER (side = 'a' AND NOT rest), '') AS prompt,
        coalesce(string_agg(m, '' ORDER BY i) FILTER (side = 'a' AND rest), '') AS chosen,
