@@ -475,6 +475,137 @@ def test_vectors(spark):
     assert (1 - near**depth) ** tables <= vectors.MISS
 
 
+def test_toxicity_features_equal_plain_matching():
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(list("abc"), int(rng.integers(1, 6)))) for _ in range(40)]
+    whole = {w: float(i + 1) for i, w in enumerate(words[:8])}
+    starts = {w[:3]: 2.5 for w in words if len(w) > 3}
+    phrases = tuple(tuple(p) for p in {(words[i], words[i + 1]) for i in range(0, 20, 3)})
+    lex = toxicity.Lexicon(whole, starts, phrases)
+    for _ in range(50):
+        text = list(rng.choice(words, int(rng.integers(0, 30))))
+        spared = {j for i in range(len(text)) for p in phrases if tuple(text[i : i + 2]) == p for j in (i, i + 1)}
+        total = sum(max([whole.get(w, 0.0), *(x for s, x in starts.items() if w.startswith(s))]) for i, w in enumerate(text) if i not in spared)
+        want = (math.log1p(total), math.log1p(100 * total / len(text))) if text else (0.0, 0.0)
+        assert np.allclose(toxicity.features(text, lex.automaton()), want)
+
+
+def test_toxicity_learns_by_plain_odds(spark):
+    """Terms, weights and exceptions against counts by hand, with ties, null ids, repeated rows and a very long text."""
+    bad, rows = "vilest", []
+    for i in range(400):
+        toxic = i % 4 == 0
+        words = [f"w{(i * 7 + j) % 50}" for j in range(12)] + ([bad] if toxic else []) + (["pond", bad] if i % 4 == 1 and i % 3 == 0 else [])
+        rows.append((i, " ".join(words), int(toxic)))
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, bad), (5, rows[5][1]), (900, "word " * 200_000)], "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("toxic", F.lit(2))
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    lex = toxicity.learn(d, lab)
+    place = {r["doc_id"]: r["p"] for r in lab.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)).alias("p")).collect()}
+    fit = [(t.split(), y) for i, t, y in [*rows, rows[5]] if place[i] % 4]
+    nt, nc = sum(y for _, y in fit) + 1, sum(1 - y for _, y in fit) + 1
+    want = {}
+    for term in {f"{w} " for ws, _ in fit for w in ws} | {w[:n] for ws, _ in fit for w in ws for n in toxicity.PREFIXES if len(w) > n}:
+        held = [y for ws, y in fit if any(w == term[:-1] if term[-1] == " " else w.startswith(term) and len(w) > len(term) for w in ws)]
+        t, c = sum(held), len(held) - sum(held)
+        w = math.log((t + 0.5) / nt) - math.log((c + 0.5) / nc)
+        if t >= toxicity.LEAST_DOCS and w >= toxicity.LEAST_ODDS:
+            want[term] = w
+    got = {f"{k} ": v for k, v in lex.words.items()} | lex.starts
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    s = toxicity.score(d, lex)
+    assert s.count() == d.count() and s.where("score is null or score < 0 or score > 1").isEmpty()
+    assert s.where("doc_id = 5").distinct().count() == 1 and toxicity.score(d.limit(0), lex).count() == 0
+
+
+def test_fingerprints_against_an_independent_parse(spark):
+    """Likeness within its error of the exact share of common phrases; null and repeated doc_ids, clashing names."""
+    def parse(t):
+        tree, out, at = {}, set(), 0
+        while at < len(t):
+            node, end = tree, at
+            while end < len(t) and t[end] in node:
+                node, end = node[t[end]], end + 1
+            if end < len(t):
+                node[t[end]] = {}
+            out.add(t[at : end + 1])
+            at = end + 1
+        return out
+
+    rng = np.random.default_rng(22)
+    def text(letters, n):
+        return "".join(rng.choice(list(letters), n))
+
+    shared = text("abcdefgh", 60_000)
+    texts = [shared + text("abcdefgh", 20_000), shared + text("ijkl", 40_000), text("XYZ", 300_000), "", "aaaa" * 50, "bb" * 60]
+    ids = [1, 2, 3, None, 7, 7]
+    d = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumn("bucket", F.lit(1)).withColumn("own", F.lit(2))
+    rows = lzprint.fingerprints(d).collect()
+    order = [3, 0, 1, 2, 4, 5]  # null first, then by doc_id
+    got = {(r["doc_id"], r["n_chars"]): r for r in rows}
+    assert len(rows) == 6
+    for k, i in enumerate(order):
+        nxt = texts[order[(k + 1) % 6]]
+        t, half = texts[i], len(texts[i]) // 2
+        e = t[: len(t) - half] + nxt[:half]
+        a, b, c = parse(t), parse(e), parse(nxt)
+        r = got[ids[i], len(t)]
+        for near, x in ((r["near_edited"], b), (r["near_next"], c)):
+            exact = len(a & x) / len(a | x) if a | x else 1.0
+            assert abs(near - exact) < 0.15, (i, near, exact)
+    assert got[2, 100_000]["near_next"] == 0.0  # no character in common
+
+
+def test_packing_edge_cases(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    d = spark.createDataFrame([(1, "same text here.", 3)] * 4 + [(None, None, 4)], "doc_id long, text string, length int").withColumn("schema", F.lit("x"))
+    rows = packing.pack(d, path).collect()
+    n = len(Tokenizer.from_file(path).encode("same text here.", add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in rows) == 4 * n + 1 and {r["schema"] for r in rows} == {"x"}
+    assert packing.pack(d.limit(0), path).count() == 0
+
+
+def test_preference_ties_and_long_turns(spark):
+    kinds = "pair_id long, turn int, role string, text string, n int, a string"
+    long = "x" * 200_000
+    a = spark.createDataFrame([(1, 0, "user", "b", 1, ""), (1, 0, "user", "a", 1, ""), (1, 0, "user", "a", 1, ""), (1, 1, "assistant", long, 1, "")], kinds)
+    b = spark.createDataFrame([(1, 0, "user", "a", 2, "z"), (1, 0, "user", "a", 2, "z"), (1, 0, "user", "b", 2, "z"), (1, 1, "assistant", long + "y", 2, "z")], kinds)
+    out = preference.format_pairs(a, b)
+    r = out.withColumn("m", preference.mask_text("chosen_mask")).first()
+    assert r["n_prompt_turns"] == 3 and r["prompt"].count("<|user|>") == 3 and r["m"] == f"0+14f 14+{len(long) + 8}t"
+    for side in ("chosen", "rejected"):
+        spans = r[f"{side}_mask"]
+        assert sum(s["length"] for s in spans) == len(r[side]) and r[side][spans[1]["start"] :].startswith("x")
+
+
+def test_vectors_of_null_and_repeated_ids(spark):
+    v, w = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
+    d = spark.createDataFrame([(None, v, 0, 1), (5, v, 0, 1), (5, v, 0, 1), (3, v, 0, 1), (8, w, 0, 1), (8, w, 1, 1)], "vec_id long, embedding array<double>, label int, key int").withColumn("node", F.lit(1)).withColumn("x", F.lit(2))
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(d).collect()), key=str)
+    assert got == sorted([(0, 3, None, True), (5, 3, 3, False), (5, 3, 3, False), (3, 3, 3, True), (8, 0, 8, True), (8, 0, 8, True)], key=str)
+
+
+def test_anchors_over_blocks(monkeypatch):
+    """Every start has one entry, whatever the blocks; equal strings have equal names."""
+    rng = np.random.default_rng(23)
+    data = np.frombuffer(("".join(rng.choice(list("abcdef"), 3000)) * 2 + "ab" * 700).encode(), np.uint8)
+    def name_of():
+        h, times, lo, hi = repeats.anchors(data)
+        assert lo[0] == 0 and hi[-1] == len(data) - 400 and (lo[1:] == hi[:-1] + 1).all() and (times > 0).all()
+        return np.repeat(h, hi - lo + 1)
+
+    whole = name_of()
+    monkeypatch.setattr(repeats, "BLOCK", 257)
+    assert (name_of() == whole).all() and (whole[:2600] == whole[3000:5600]).all()
+    assert repeats.anchors(np.full(5000, 65, np.uint8))[1].sum() > 1
+
+
+def test_near_duplicates_with_clashing_names(spark):
+    d = docs(spark, *TEXTS[:3])
+    for c in ("node", "n", "sig", "band", "comp", "hashes", "size"):
+        d = d.withColumn(c, F.lit(1))
+    assert [r["component_id"] for r in neardup.near_duplicates(d).orderBy("doc_id").collect()] == [0, 0, 0]
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     """Null and odd rows, and extra columns with the names of the operators' own, among real documents."""
     import corpus_pipeline
