@@ -1,4 +1,11 @@
-"""A corpus pipeline of five operators: each stage's result is written and read again as the next one's documents."""
+"""A corpus pipeline of five operators: each stage's result is written and read again as the next one's documents.
+
+All stages but the last return the columns of documents, whatever other columns there are and whatever
+they are called. Null texts are empty texts to every stage: they are scored as clean, link with nothing,
+repeat nothing, take no part in a mix (which has no words to take) and so reach no sequence. Null doc_ids and
+sources pass; a null source is a source of its own. Rows that repeat another are one group of copies, of which
+one row stays; ties go to the smallest doc_id, then to the text's hash. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import mixing, neardup, packing, repeats, toxicity
-from llm.common import shared_dir, written
+from llm.common import shared_dir, tidy, written
 from llm.queries import PASSAGE, TOKENIZER
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the threshold; the lexicon is learned from the table labels, held-out ones left out."""
+    """Documents whose toxicity is below the threshold; the lexicon is learned from the table labels, held-out ones left out.
+
+    A text's score depends on nothing but the text, so null, empty, tied and repeated rows are kept or go alike.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.learn(docs, labels.where(~toxicity.held_out("doc_id")))
     return docs.where(toxicity.probability("text", lexicon) < toxicity.THRESHOLD)
@@ -53,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences: doc_id and the packing's columns. Null and empty texts are their end id alone; repeated rows are packed each."""
     return packing.pack(docs.select("doc_id", "text"), TOKENIZER)
 
 
@@ -62,10 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents, each stage written as Parquet and read again."""
+    """Apply STAGES to documents, each stage written as Parquet and read again; what a stage has read is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    old = None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if old is not None:
+            tidy(old)
+        old = docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
