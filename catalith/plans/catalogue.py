@@ -9,7 +9,7 @@ from ..functions.linalg import project, spectrum
 from ..functions.sphere import cosine_separation
 from ..operators import audit, binding, contract, digest, evaluate, features, labels, measure, neighbors, population, records, spatial, split, uncertainty
 from ..sources import files, ledger
-from ..sources.scratch import shared
+from ..sources.scratch import shared, written
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -498,15 +498,18 @@ def table_digest(spark: SparkSession, sf: str) -> DataFrame:
 @query(_SPLIT + " SELECT 'plan' AS plan, 'orders' AS sample, 'clean' AS feature_set, count(*) AS members, true AS test_locked FROM s")
 def plan_contract(spark: SparkSession, sf: str) -> DataFrame:
     s = _split(spark, sf)
-    kinds = ("split", "binding", "photometry")
-    ledger = None
-    for k in kinds:
-        row = digest.table_digest(s, s.columns).select(F.lit("orders").alias("sample"), F.lit(k).alias("kind"), F.col("sha256").alias("digest"))
-        ledger = row if ledger is None else ledger.unionByName(row)
-    sample = contract.sample_contract(ledger, kinds)
-    sets = ledger.limit(1).select(F.lit("clean").alias("feature_set"), "sample", "digest")
+    m = _long(spark, sf).selectExpr("l_orderkey", "l_linenumber", "band", *_exact("mag", "mag_err").split(", "))
+    made = {"split": s, "binding": bind_records(spark, sf), "photometry": m}
+    kinds, seals = tuple(made), None
+    for k, t in made.items():
+        row = digest.table_digest(t, t.columns).select(F.lit("orders").alias("sample"), F.lit(k).alias("kind"), F.col("sha256").alias("digest"))
+        row = written(row, "seal")
+        seals = row if seals is None else ledger.seal(seals, row)
+    seals = written(seals, "seals")
+    sample = contract.sample_contract(seals, kinds)
+    sets = seals.where("kind = 'photometry'").select(F.lit("clean").alias("feature_set"), "sample", "digest")
     pop = contract.population_contract(s.withColumn("target_class", F.col("o_orderstatus")), {"test": ["F", "O", "P"], "train": ["F", "O", "P"]})
-    return contract.freeze(sample, contract.feature_contract(sets, ledger), pop, "plan").select("plan", "sample", "feature_set", "members", "test_locked")
+    return contract.freeze(sample, contract.feature_contract(sets, seals), pop, "plan").select("plan", "sample", "feature_set", "members", "test_locked")
 
 
 # measurements and features
