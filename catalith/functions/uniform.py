@@ -8,13 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def key_hash(*parts: Column | str) -> Column:
+    """md5 of the parts joined by ":"."""
+    return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]))
+
+
+def _fraction(h: Column, first: int) -> Column:
+    """In [0, 1): 13 hex digits of a hash over 2^52."""
+    return F.conv(F.substring(h, first, 13), 16, 10).cast("double") / float(2**52)
+
+
 def uniform(*parts: Column | str) -> Column:
     """In [0, 1): the first 13 hex digits of md5(parts joined by ":") over 2^52."""
-    key = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(2**52)
+    return _fraction(key_hash(*parts), 1)
+
+
+def deviate(h: Column) -> Column:
+    """Standard normal by Box and Muller from two uniforms: the first 13 hex digits of a hash, and the next 13."""
+    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - _fraction(h, 1))) * F.cos(F.lit(2.0 * math.pi) * _fraction(h, 14))
 
 
 def gaussian(*parts: Column | str) -> Column:
-    """Standard normal by Box and Muller from two uniforms of the key."""
-    u, v = uniform(*parts, "a"), uniform(*parts, "b")
-    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(2.0 * math.pi) * v)
+    """Standard normal of a key."""
+    return deviate(key_hash(*parts))

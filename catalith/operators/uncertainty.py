@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.uniform import gaussian, uniform
+from ..functions.uniform import deviate, gaussian, key_hash, uniform
 from . import features as fea
 
 
@@ -24,10 +24,10 @@ def monte_carlo_colors(long: DataFrame, keys: Sequence[str], bands: Sequence[str
     A member's bands are brought into one row first; realisations are drawn there, so nothing is shuffled n times.
     """
     wide = fea.pivot(long, keys, bands).withColumn("realisation", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    own = [*[F.col(k) for k in keys]]
-    drawn = [F.struct((F.col(f"b{i}.mag") + F.col(f"b{i}.mag_err") * gaussian(*own, F.lit(b), F.col("realisation"), seed)).alias("mag"), F.col(f"b{i}.mag_err").alias("mag_err")).alias(f"b{i}")
-             for i, b in enumerate(bands)]
-    f = fea.unpivoted(wide.select("realisation", *drawn), ["realisation"], bands)
+    own = [F.col(k) for k in keys]
+    hashed = wide.select("*", *[key_hash(*own, F.lit(b), F.col("realisation"), seed).alias(f"h{i}") for i, b in enumerate(bands)])
+    drawn = hashed.select(*[(F.col(f"b{i}") + F.col(f"e{i}") * deviate(F.col(f"h{i}"))).alias(f"b{i}") for i in range(len(bands))], *[f"e{i}" for i in range(len(bands))])
+    f = fea.unpivoted(drawn, [], bands)
     ok = ~F.isnan("value") & (F.abs("value") != float("inf"))
     return f.groupBy("name").agg(F.count("*").alias("n"), F.avg(F.when(ok, F.col("value"))).alias("mean"), F.stddev_pop(F.when(ok, F.col("value"))).alias("std"), F.count_if(~ok).alias("failed"))
 

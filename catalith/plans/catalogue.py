@@ -871,7 +871,8 @@ def one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _U = "(('0x' || substring(md5(concat_ws(':', {k})), 1, 13))::BIGINT)/4503599627370496e0"
-_G = "sqrt(-2e0*ln(1e0 - " + _U.format(k="l_orderkey, l_linenumber, band, i, 'mc', 'a'") + "))*cos(6.283185307179586e0*" + _U.format(k="l_orderkey, l_linenumber, band, i, 'mc', 'b'") + ")"
+_H = "md5(concat_ws(':', l_orderkey, l_linenumber, band, i, 'mc'))"
+_G = f"sqrt(-2e0*ln(1e0 - (('0x' || substring({_H}, 1, 13))::BIGINT)/4503599627370496e0))*cos(6.283185307179586e0*(('0x' || substring({_H}, 14, 13))::BIGINT)/4503599627370496e0)"
 
 
 @query(f"""WITH {fx.LONG}, m AS (SELECT l_orderkey, l_linenumber, band, i, mag + mag_err*{_G} AS mag FROM long CROSS JOIN (SELECT unnest([0, 1, 2]) AS i)),
