@@ -673,10 +673,12 @@ def kfold(spark: SparkSession, sf: str) -> DataFrame:
     return _folds(spark, sf).select("vec_id", "label", "fold")
 
 
-@query(_FOLDS + """, s AS (SELECT a.fold, avg(CAST(b.embedding[1] AS DOUBLE)) AS m, stddev_pop(CAST(b.embedding[1] AS DOUBLE)) AS d FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON a.fold <> b.fold GROUP BY a.fold)
-SELECT vec_id, f.fold, round((CAST(embedding[1] AS DOUBLE) - m)/d, 5) AS first FROM f JOIN s ON f.fold = s.fold""")
+@query(_FOLDS + """, x AS (SELECT vec_id, fold, CAST(i - 1 AS INTEGER) AS component, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM f)),
+s AS (SELECT a.fold, component, avg(x) AS m, stddev_pop(x) AS d FROM (SELECT DISTINCT fold FROM f) a JOIN x ON a.fold <> x.fold GROUP BY ALL)
+SELECT vec_id, x.fold, x.component, round((x - m)/d, 5) AS value FROM x JOIN s ON x.fold = s.fold AND x.component = s.component""")
 def standardize(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.standardize(_folds(spark, sf), "x", 64).select("vec_id", "fold", F.round(F.col("scaled")[0], 5).alias("first"))
+    s = evaluate.standardize(_folds(spark, sf), "x", 64).select("vec_id", "fold", F.posexplode("scaled").alias("component", "value"))
+    return s.withColumn("value", F.round("value", 5))
 
 
 @query("SELECT 'run' AS run, vec_id, CAST(i - 1 AS INTEGER) AS component, CAST(embedding[i] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)")
