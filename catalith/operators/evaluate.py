@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -43,15 +44,18 @@ def standardize(folded: DataFrame, column: str, width: int, to: str = "scaled")
 
     Sums of a fold are the total's less the fold's own, so one pass (after one for the mean) gives the statistics of all.
     """
+    folded = written(folded, "folded")  # read three times
     first = folded.agg(*[F.avg(F.col(column)[i]).alias(f"a{i}") for i in range(width)]).first()
     shift = [first[f"a{i}"] or 0.0 for i in range(width)]  # squares are summed about the mean of all rows, lest they cancel
     x = [F.col(column)[i] - shift[i] for i in range(width)]
     sums = folded.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(c * c).alias(f"q{i}") for i, c in enumerate(x)])
-    every = Window.partitionBy(F.lit(0))  # one row a fold
-    rest = {c: F.sum(c).over(every) - F.col(c) for c in sums.columns if c != "fold"}
-    mean = F.array(*[rest[f"s{i}"] / rest["n"] + shift[i] for i in range(width)])
-    std = F.array(*[F.sqrt(F.greatest(F.lit(0.0), rest[f"q{i}"] / rest["n"] - (rest[f"s{i}"] / rest["n"]) * (rest[f"s{i}"] / rest["n"]))) for i in range(width)])
-    fit = sums.select("fold", mean.alias("__mean"), std.alias("__std"))
+    got = sums.collect()  # one row a fold
+    n, s, q = np.array([r["n"] for r in got], float), *(np.array([[r[f"{c}{i}"] for i in range(width)] for r in got], float).reshape(-1, width) for c in "sq")
+    rest = np.maximum(n.sum() - n, 1)[:, None]
+    mean = (s.sum(axis=0) - s) / rest
+    std = np.sqrt(np.maximum((q.sum(axis=0) - q) / rest - mean**2, 0))
+    fit = folded.sparkSession.createDataFrame([(r["fold"], (m + shift).tolist(), d.tolist()) for r, m, d in zip(got, mean, std, strict=True)],
+                                              f"fold {folded.schema['fold'].dataType.simpleString()}, __mean array<double>, __std array<double>")
     out = folded.join(F.broadcast(fit), "fold")
     scaled = F.transform(F.arrays_zip(column, "__mean", "__std"), lambda x: (x[column] - x["__mean"]) / F.when(x["__std"] > 0, x["__std"]).otherwise(1.0))
     return out.withColumn(to, scaled).drop("__mean", "__std")
