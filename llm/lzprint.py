@@ -26,47 +26,44 @@ _MUL = (_rng.integers(1, 2**31, SIZE, dtype=np.uint32) << np.uint32(1)) | np.uin
 _ADD = _rng.integers(0, 2**32 - 1, SIZE, dtype=np.uint32)
 
 
-def phrases(text: str, known: set[str], start: int = 0) -> int:
-    """Add the phrases of text[start:] to ``known``; where the unfinished last phrase begins."""
-    add, n, end = known.add, len(text), start + 1
+def phrases(text: str, known: set[str], start: int = 0) -> tuple[int, list[str]]:
+    """Add the phrases of text[start:] to ``known``; where the unfinished last phrase (a known one) begins, and the new phrases."""
+    add, n, end, new = known.add, len(text), start + 1, []
     while end <= n:
         p = text[start:end]
         if p not in known:
             add(p)
+            new.append(p)
             start = end
         end += 1
-    return start
+    return start, new
 
 
-def minima(known: set[str] | list[str]) -> np.ndarray:
-    """The lower 16 bits of each of SIZE minimum hashes of a phrase set; empty for the empty set.
+def minima(new: list[str]) -> np.ndarray:
+    """SIZE minimum hashes of phrases; that of a union is the smaller one at each place."""
+    out = np.full(SIZE, 0xFFFFFFFF, np.uint32)
+    digest = xxhash.xxh32_intdigest
+    h = np.fromiter((digest(p.encode("utf-8", "surrogatepass")) for p in new), np.uint32, len(new))
+    for at in range(0, len(h), 512):  # hashes are mixed already, so their order under odd multiples is random
+        v = h[None, at : at + 512] * _MUL[:, None]
+        v += _ADD[:, None]
+        np.minimum(out, v.min(axis=1), out=out)
+    return out
+
+
+def _print(text: str, least: np.ndarray) -> np.ndarray:
+    """A text's fingerprint: the lower 16 bits of each minimum; empty for the empty text.
 
     A minimum over n phrases is about 2^32 / n, so its upper bits vanish as a text grows.
     By the lower ones minima of unrelated sets are equal by a chance of 2^-16, or n / 2^33 where that is more
     (over 2^17 phrases; 2^-13 at 2^20).
     """
-    if not known:
-        return np.empty(0, "<u2")
-    digest = xxhash.xxh32_intdigest
-    h = np.fromiter((digest(p.encode("utf-8", "surrogatepass")) for p in known), np.uint32, len(known))
-    out = np.full(SIZE, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(h), 4096):
-        part = h[at : at + 4096]
-        for j in range(0, SIZE, 32):
-            v = part[None, :] * _MUL[j : j + 32, None] + _ADD[j : j + 32, None]
-            v ^= v >> np.uint32(15)
-            v *= np.uint32(0x2C1B3C6D)
-            np.minimum(out[j : j + 32], v.min(axis=1), out=out[j : j + 32])
-    return (out & np.uint32(0xFFFF)).astype("<u2")
+    return (least & np.uint32(0xFFFF)).astype("<u2") if text else np.empty(0, "<u2")
 
 
 def fingerprint(text: str | None) -> np.ndarray:
     """Minimum hashes of a text's phrases; a text without phrases (null, empty) has none."""
-    known: set[str] = set()
-    rest = phrases(text or "", known)
-    if text and rest < len(text):
-        known.add(text[rest:])
-    return minima(known)
+    return _print(text or "", minima(phrases(text or "", set())[1]))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -79,21 +76,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def _edited(text: str, nxt: str) -> tuple[str, np.ndarray, np.ndarray]:
     """The text with its last half replaced by the next one's beginning, and both fingerprints.
 
-    Both share their first half, so it is parsed once.
+    Both share their first half, so it is parsed and hashed once.
     """
     half = len(text) // 2
     head = text[: len(text) - half]
     edited = head + nxt[:half]
     known: set[str] = set()
-    begun = phrases(head, known)
-    out = []
-    for t in (text, edited):
-        own = set(known)
-        rest = phrases(t, own, begun)
-        if rest < len(t):
-            own.add(t[rest:])
-        out.append(minima(own))
-    return edited, out[0], out[1]
+    begun, new = phrases(head, known)
+    shared, other = minima(new), set(known)
+    prints = [_print(t, np.minimum(shared, minima(phrases(t, own, begun)[1]))) for t, own in ((text, known), (edited, other))]
+    return edited, prints[0], prints[1]
 
 
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
