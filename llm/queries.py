@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lzprint, mixing, neardup, packing, preference, repeats, toxicity, urltree, vectors, warc
+from . import align, lzprint, mixing, neardup, packing, preference, repeats, toxicity, urltree, vectors, warc
 
 PASSAGE = 200  # bytes; over 50 words are seldom fewer
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +70,13 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), also=PASSAGE)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_fingerprints, op4_packing, op5_preference, op6_mixing,
-                                    op7_near_dedup, op8_url_filter, op9_vector_dedup, op10_repeats)}
+                                    op7_near_dedup, op8_url_filter, op9_vector_dedup, op10_repeats, op11_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from llm import lzprint, mixing, neardup, packing, preference, repeats, toxicity, urltree, vectors, warc
+from llm import align, lzprint, mixing, neardup, packing, preference, queries, repeats, toxicity, urltree, vectors, warc
 from llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -663,3 +663,63 @@ def test_pipeline_runs(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+ALIGNED = ["hello  world", "<s>x</s> <0x41> é😀 \n\ttab<|endoftext|>", "a▁b", " lead", "", None, "nul\0 and \x07", "x" * 5_000, "the cat the cat", "the cat the cat",
+           "Straße über naïve ﬁne 漢字かな " * 40, " ", "\n", "ends "]
+
+
+def brute_alignment(texts):
+    """All of an alignment's columns by walking over every byte."""
+    e = align.Encoders(queries.BYTE_LEVEL, queries.PIECES)
+    docs, holding = [], Counter()
+    for t in texts:
+        (x,), (y,) = e.encode([t or ""])
+        owner_a = [i for i, k in enumerate(x) for _ in e.bytes_a[k]]
+        owner_b = [i for i, k in enumerate(y) for _ in e.bytes_b[k]]
+        links = sorted(set(zip(owner_a, owner_b, strict=True)))
+        groups, mine, its = [], [], []
+        for p in range(len(owner_a)):
+            ends = [p + 1 == len(o) or o[p + 1] != o[p] for o in (owner_a, owner_b)]
+            for done, ids, o, all_ids in ((ends[0], mine, owner_a, x), (ends[1], its, owner_b, y)):
+                if done:
+                    ids.append(str(all_ids[o[p]]))
+            if all(ends):
+                groups.append(f"{','.join(mine)}|{','.join(its)}")
+                mine, its = [], []
+        docs.append((len(x), len(y), groups, [(x[i], y[k]) for i, k in links]))
+        holding.update(set(docs[-1][3]))
+    best = {}
+    for (i, _), n in holding.items():
+        best[i] = max(best.get(i, 0), n)
+    for n_a, n_b, groups, links in docs:
+        text = ";".join(groups)
+        yield (n_a, n_b, len(groups), len(links), sum(holding[p] == best[p[0]] for p in links), sum(holding[p] for p in links),
+               hashlib.sha256(text.encode()).hexdigest() if n_a else "", text)
+
+
+@pytest.mark.parametrize("chunk", [40, align.CHUNK])
+def test_alignment_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(align, "CHUNK", chunk)
+    monkeypatch.setattr(align, "BATCH", chunk)
+    given = docs(spark, *ALIGNED).withColumn("n_a", F.lit("own")).withColumn("pair", F.lit(1))
+    got = {r["doc_id"]: tuple(r)[1:] for r in align.align(given, queries.BYTE_LEVEL, queries.PIECES, groups=True).collect()}
+    assert [got[i] for i in range(len(ALIGNED))] == list(brute_alignment(ALIGNED))
+    assert got[2] == got[4] == got[5] == (0, 0, 0, 0, 0, 0, "", "")
+
+
+def test_alignment_of_repeated_and_null_ids(spark):
+    rows = spark.createDataFrame([(None, "the cat"), (1, "the cat"), (1, "the dog"), (None, None)], "doc_id long, text string")
+    got = Counter(tuple(r) for r in align.align(rows, queries.BYTE_LEVEL, queries.PIECES).drop("groups_sha256").collect())
+    want = [(i, *w[:6]) for i, w in zip((None, 1, 1, None), brute_alignment(["the cat", "the cat", "the dog", None]), strict=True)]
+    assert got == Counter(want)
+    assert align.align(rows.limit(0), queries.BYTE_LEVEL, queries.PIECES).count() == 0
+
+
+def test_gallop():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50, 3_000):
+        ends = np.cumsum(rng.integers(1, 9, n))
+        values = np.sort(rng.integers(1, ends[-1] + 1, 200))
+        guess, low, high = rng.integers(0, n, 200), np.zeros(200, int), np.full(200, n - 1)
+        assert (align.gallop(values, ends, guess, low, high) == np.searchsorted(ends, values)).all()
