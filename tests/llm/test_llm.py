@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from llm import align, lzprint, mixing, neardup, packing, preference, queries, repeats, toxicity, urltree, vectors, warc
+from llm import align, lzprint, mixing, neardup, packing, preference, queries, repeats, simplex, toxicity, urltree, vectors, warc
 from llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -723,3 +723,59 @@ def test_gallop():
         values = np.sort(rng.integers(1, ends[-1] + 1, 200))
         guess, low, high = rng.integers(0, n, 200), np.zeros(200, int), np.full(200, n - 1)
         assert (align.gallop(values, ends, guess, low, high) == np.searchsorted(ends, values)).all()
+
+
+def brute_clusters(rows, k, rounds, size):
+    """Plain rounds over Python integers: (vec_id, cluster, distance), sums and hashes."""
+    x = [(i, [math.floor(256 * float(np.float32(v))) for v in e]) for i, e in rows
+         if e is not None and len(e) == size and all(v is not None and math.isfinite(v) for v in e)]
+    order = sorted(x, key=lambda r: (r[0] is None, hashlib.sha256(f"2:{r[0]}".encode()).hexdigest() if r[0] is not None else "", r[1]))
+    centres = [list(v) for _, v in order[:k]]
+
+    def assign():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(centres)) for _, v in x]
+
+    for _ in range(rounds):
+        own = assign()
+        for j in range(len(centres)):
+            mine = [v for (_, v), (_, c) in zip(x, own, strict=True) if c == j]
+            if mine:
+                centres[j] = [sum(col) // len(mine) for col in zip(*mine, strict=True)]
+    own = assign()
+    inertia = Counter()
+    for d, c in own:
+        inertia[c] += d
+    return Counter((i, c, d, inertia[c], sum(inertia.values()), hashlib.sha256(",".join(map(str, centres[c])).encode()).hexdigest()) for (i, _), (d, c) in zip(x, own, strict=True))
+
+
+@pytest.mark.parametrize(("k", "pivots", "n"), [(5, 5, 120), (5, 2, 120), (40, 40, 12), (7, 1, 60)])
+def test_clusters_against_brute_force(spark, k, pivots, n):
+    rng = np.random.default_rng(n + k)
+    rows = [(i, [float(v) for v in np.float32(rng.normal(size=6) + i % 3)]) for i in range(n)]
+    rows += [(n, rows[0][1]), (3, rows[3][1]), (None, rows[1][1]), (None, [0.0] * 6), (n + 1, None), (n + 2, [1.0]), (n + 3, [None, *[1.0] * 5]), (n + 4, [float("nan")] * 6), (n + 5, [float("inf")] * 6)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS cluster", "2 AS x", "3 AS label").repartition(3)
+    got = Counter(tuple(r) for r in simplex.cluster(given, k=k, pivots=pivots, size=6).collect())
+    assert got == brute_clusters(rows, k, 5, 6)
+
+
+def test_clusters_of_equal_or_no_vectors(spark):
+    same = [(i, [0.5] * 4) for i in range(9)]
+    given = spark.createDataFrame(same, "vec_id long, embedding array<float>")
+    assert Counter(tuple(r) for r in simplex.cluster(given, k=3, size=4).collect()) == brute_clusters(same, 3, 5, 4)
+    assert simplex.cluster(given, size=5).count() == 0
+    assert simplex.cluster(given.limit(0)).columns == simplex.cluster(given, size=4).columns
+
+
+def test_simplex_bounds_hold():
+    rng = np.random.default_rng(1)
+    x, c = rng.integers(-300, 300, (500, 16)), rng.integers(-300, 300, (30, 16))
+    for most in (1, 3, 12, 30):
+        p = simplex.Projection(c, most)
+        a, b = p.apexes(x), p.apexes(c)
+        d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        hull = ((a[:, None, :-1] - b[None, :, :-1]) ** 2).sum(axis=2)
+        assert (hull + (a[:, None, -1] - b[None, :, -1]) ** 2 <= d + 1e-3).all()
+        assert (hull + (a[:, None, -1] + b[None, :, -1]) ** 2 >= d - 1e-3).all()
+        who, dist, n = simplex.nearest(x, a, c, b)
+        assert (who == d.argmin(axis=1)).all() and (dist == d.min(axis=1)).all() and n <= 500 * 30
+    assert n < 500 * 30 / 2  # with pivots that span the space the bounds decide most
