@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, lzprint, mixing, neardup, packing, preference, repeats, simplex, toxicity, urltree, vectors, warc
+from . import align, lzprint, mixing, neardup, packing, pagediff, preference, repeats, simplex, toxicity, urltree, vectors, warc
 
 PASSAGE = 200  # bytes; over 50 words are seldom fewer
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,13 +74,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simplex.cluster(_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_fingerprints, op4_packing, op5_preference, op6_mixing,
-                                    op7_near_dedup, op8_url_filter, op9_vector_dedup, op10_repeats, op11_token_alignment, op13_centroid_clusters)}
+                                    op7_near_dedup, op8_url_filter, op9_vector_dedup, op10_repeats, op11_token_alignment, op12_main_text, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,15 +34,15 @@ def _ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def split_urls(pages: DataFrame) -> DataFrame:
-    """page_id, host, path; both empty without "://"."""
+def split_urls(pages: DataFrame, *keep: str) -> DataFrame:
+    """page_id, host, path, and the columns ``keep``; host and path are empty without "://"."""
     at = F.instr("url", "://")
     rest = F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
-    p = pages.select("page_id", rest.alias("rest"))
+    p = pages.select("page_id", rest.alias("rest"), *keep)
     host = F.regexp_extract("rest", r"(?s)^([^/?#]*)", 1)
     path = F.regexp_extract("rest", r"(?s)^[^/?#]*([^?#]*)", 1)
-    return p.select("page_id", _ascii_lower(host).alias("host"), path.alias("path"))
+    return p.select("page_id", _ascii_lower(host).alias("host"), path.alias("path"), *keep)
 
 
 def apply_rules(urls: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:

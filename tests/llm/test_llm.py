@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on edge cases and on small real tables."""
 
 import hashlib
+import html as entities
 import math
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from llm import align, lzprint, mixing, neardup, packing, preference, queries, repeats, simplex, toxicity, urltree, vectors, warc
+from llm import align, lzprint, mixing, neardup, packing, pagediff, preference, queries, repeats, simplex, toxicity, urltree, vectors, warc
 from llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -779,3 +780,92 @@ def test_simplex_bounds_hold():
         who, dist, n = simplex.nearest(x, a, c, b)
         assert (who == d.argmin(axis=1)).all() and (dist == d.min(axis=1)).all() and n <= 500 * 30
     assert n < 500 * 30 / 2  # with pivots that span the space the bounds decide most
+
+
+def page(body, *around):
+    lines = "".join(f"<div>{x}</div>" for x in around)
+    return f"<html><head><title>t</title></head><body>{lines}{body}</body></html>"
+
+
+def own_lines(k, n=6):
+    return [" ".join(f"w{k}x{j}x{i}" for i in range(12)) for j in range(n)]
+
+
+def brute_lcs(a, b):
+    """Places of a in one longest common subsequence, by the whole table; only its length is unique, so tests use lines that occur once."""
+    size = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            size[i + 1, j + 1] = size[i, j] + 1 if a[i] == b[j] else max(size[i, j + 1], size[i + 1, j])
+    i, j, out = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif size[i - 1, j] >= size[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_main_text_by_differences(spark, monkeypatch, tasks):
+    monkeypatch.setattr(pagediff, "tasks_for", lambda t: tasks)
+    rows, lines, menu, rng = [], {}, ["Home", "All topics", "About us"], np.random.default_rng(5)
+    for k in range(40):
+        host, path = f"h{k % 3}.example", f"/a/{int(rng.integers(1000)):04}"
+        own = own_lines(k)
+        around = [menu[0], menu[1], f"Site of {host}", menu[2]]
+        lines[k] = (host, path, [*around, *own, f"Edition {k % 2}"])
+        rows.append((k, f"https://{host}{path}?q={k}", page("".join(f"<p>{x}</p>" for x in own) + f"<div>Edition {k % 2}</div>", *around)))
+    got = {r["page_id"]: r["text"] for r in pagediff.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)).collect()}
+    for host in {x[0] for x in lines.values()}:
+        order = sorted((path, k) for k, (h, path, _) in lines.items() if h == host)
+        for i, (_, k) in enumerate(order):
+            mine, gone = lines[k][2], set()
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(order):
+                    gone |= brute_lcs(mine, lines[order[j][1]][2])
+            assert got[k] == "\n".join(x for i, x in enumerate(mine) if i not in gone)
+            assert own_lines(k)[0] in got[k] and "Home" not in got[k]
+
+
+def test_main_text_of_marked_pages_and_copies(spark):
+    article = "<article><h1>A &amp; B</h1><p>one<br>two  &eacute;</p><p>Licensed under X.</p><aside>read also</aside></article>"
+    body = f"<nav><ul><li>Home</ul></nav><div class='cookie-notice'>We use <b>cookies</b></div>{article}<section id=comments><article><p>first!</article></section><footer>&copy; x</footer>"
+    copy = page("".join(f"<p>{x}</p>" for x in own_lines(1)), "Home")
+    rows = [(0, "http://x.example/1", body), (1, "http://x.example/2", body), (2, None, None), (3, "no url", ""), (4, "http://y.example/1", copy), (5, "http://y.example/2", copy),
+            (6, "http://z.example/", "<p>cut &amp"), (7, "http://z.example/", "<p>x" + "<b>y</b> " * 60_000), (8, "http://z.example/", "text <a hre"), (None, "http://z.example/9", "<p>n")]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS row", "2 AS host", "'t' AS text", "0 AS lines")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in pagediff.main_texts(given).collect()}
+    want = "A & B\none two é\nLicensed under X."
+    assert got[0] == got[1] == (want, len(want))
+    assert got[2] == got[3] == ("", 0)
+    assert got[4][0] == got[5][0] == "\n".join(["Home", *own_lines(1)])
+    assert got[6][0] == "cut &" and got[8][0] == "text" and got[None] == ("n", 1)
+    assert got[7][0] == "x" + " ".join(["y"] * 60_000)
+    assert pagediff.main_texts(given.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kept", [1 << 26, 8])
+def test_shared_lines_are_a_longest_common_subsequence(monkeypatch, kept):
+    monkeypatch.setattr(pagediff, "ROWS_KEPT", kept)
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = (rng.integers(0, 5, int(rng.integers(0, 14))).tolist() for _ in range(2))
+        got = sorted(pagediff.shared_places(a, b))
+        rest = iter(b)
+        assert len(got) == len(brute_lcs(a, b)) and all(a[i] in rest for i in got)
+
+
+def test_main_text_of_the_given_pages(spark):
+    """Their articles are what lies between the article tags, a block a line."""
+    def plain(html):
+        inner = re.search(r"<article>(.*?)(</article>|$)", html, re.S)[1]
+        blocks = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner))
+        return "\n".join(x for x in blocks if x)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: plain(r["html"]) for r in pages.collect()}
+    assert {r["page_id"]: r["text"] for r in pagediff.main_texts(pages).collect()} == want
