@@ -18,8 +18,11 @@ holds is one row a chunk.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import tasks_for, written
 
 BATCH, CHUNK = 2 << 20, 16 << 20  # bytes of text: aligned at once; sharing a table of pairs
+KEPT = 64 << 20  # size of the words whose ids a task remembers
+_UNSAFE = re.compile(r"[\s\u180e\u200b] | [\s\u180e\u200b]|\A[\s\u180e\u200b]|[\s\u180e\u200b]\Z")  # white space beside a blank or an end
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 _encoders: dict[tuple[str, str], Encoders] = {}
 
@@ -58,16 +63,78 @@ class Encoders:
         # decimal ids with what follows them inside a side and at its end
         self.inner_a, self.last_a = (np.array([f"{i}{end}" for i in range(len(self.bytes_a))], object) for end in ",|")
         self.inner_b, self.last_b = (np.array([f"{i}{end}" for i in range(len(self.bytes_b))], object) for end in ",;")
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        spec = json.loads(self.a.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        plain_cut = cut.get("type") == "ByteLevel" and not cut["add_prefix_space"] and cut["use_regex"] and not spec["normalizer"]
+        self.model = self.a.model if plain_cut else None
+        self.show = {x: c for c, x in shown.items()}
+        self.tails: dict[str, list[int]] = {}
+        # where a blank stands between two signs, A's pattern and, if none of B's pieces goes on after one, B cut in any case
+        self.cut = not any("▁" in piece(i).lstrip("▁") for i in range(len(self.bytes_b)))
+        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.size = 0
+
+    def words(self, text: str) -> list[str]:
+        """Parts of a text between which both tokenizers cut; a blank before each is left out."""
+        if not self.cut:
+            return [text]
+        parts = text.split(" ")
+        if not _UNSAFE.search(text):
+            return parts
+        out = parts[:1]
+        for before, part in zip(parts, parts[1:], strict=False):
+            if before and part and not _UNSAFE.search(before) and not _UNSAFE.search(part):
+                out.append(part)
+            else:
+                out[-1] = f"{out[-1]} {part}"
+        return out
+
+    def ids_a(self, words: list[str]) -> list[list[int]]:
+        """Ids of A for " " + each word. Letters and then marks are two pieces to A's pattern: the first needs its model alone, the second is known."""
+        out: list[list[int]] = [[]] * len(words)
+        rest = []
+        for i, w in enumerate(words):
+            core = w.rstrip(".,!?")
+            if not (self.model and core.isalpha() and (core.isascii() or max(core) < "\u0180")):
+                rest.append(i)
+                continue
+            ids = [t.id for t in self.model.tokenize(f" {core}".encode().decode("latin-1").translate(self.show))]
+            if tail := w[len(core) :]:
+                if tail not in self.tails:
+                    self.tails[tail] = self.a.encode(tail, add_special_tokens=False).ids
+                ids += self.tails[tail]
+            out[i] = ids
+        for i, e in zip(rest, self.a.encode_batch_fast([f" {words[i]}" for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of both for new words, and whether their joined bytes are the word's."""
+        for w, a, b in zip(words, self.ids_a(words), self.b.encode(words, num_threads=1), strict=True):
+            self.known[w] = array("i", a).tobytes(), array("i", b).tobytes(), self.same(f" {w}", a, b)
+            self.size += len(w) + 8 * len(a) + 200
+
+    def same(self, text: str, a: list[int], b: list[int]) -> bool:
+        raw = text.encode()
+        return raw != b" " and b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both for each text; none where the joined bytes of either are not those of " " + text."""
-        spaced = [f" {t}" for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for i, t in enumerate(spaced):
-            raw = t.encode()
-            if raw == b" " or b"".join(map(self.bytes_a.__getitem__, a[i])) != raw or b"".join(map(self.bytes_b.__getitem__, b[i])) != raw:
-                a[i], b[i] = [], []
+        words = [self.words(t) if t else [] for t in texts]
+        if self.size > KEPT:
+            self.known.clear()
+            self.tails.clear()
+            self.size = 0
+        if new := list({w for own in words for w in own if w not in self.known}):
+            self.learn(new)
+        none, a, b = np.zeros(0, np.int32), [], []
+        for t, own in zip(texts, words, strict=True):
+            one, two, sound = zip(*map(self.known.__getitem__, own), strict=True) if own else ((), (), (False,))
+            x, y = (np.frombuffer(b"".join(side), np.int32) for side in (one, two))
+            if not all(sound) and not (t and self.same(f" {t}", x.tolist(), y.tolist())):
+                x = y = none
+            a.append(x)
+            b.append(y)
         return a, b
 
 
@@ -94,14 +161,14 @@ def gallop(values: np.ndarray, ends: np.ndarray, guess: np.ndarray, low: np.ndar
     return hi
 
 
-def _flat(ids: list[list[int]], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(ids: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of some documents in a row, the byte ends of all of them, and where each document begins."""
     n = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate([np.array(x, np.int64) for x in ids])
+    flat = np.concatenate(ids).astype(np.int64)
     return flat, np.cumsum(size[flat]), np.concatenate([[0], np.cumsum(n)])
 
 
-def overlaps(short: list[list[int]], long: list[list[int]], size_short: np.ndarray, size_long: np.ndarray) -> tuple[np.ndarray, ...]:
+def overlaps(short: list[np.ndarray], long: list[np.ndarray], size_short: np.ndarray, size_long: np.ndarray) -> tuple[np.ndarray, ...]:
     """Both lists of some documents (none empty) flat: ids, first places; and for each short token: the range of long tokens it overlaps, and whether its end is common."""
     s, s_ends, s_at = _flat(short, size_short)
     t, t_ends, t_at = _flat(long, size_long)
@@ -116,7 +183,7 @@ def overlaps(short: list[list[int]], long: list[list[int]], size_short: np.ndarr
     return s, s_at, t, t_at, first, last, common
 
 
-def _aligned(a: list[list[int]], b: list[list[int]], e: Encoders, driver: str) -> Iterator[tuple]:
+def _aligned(a: list[np.ndarray], b: list[np.ndarray], e: Encoders, driver: str) -> Iterator[tuple]:
     """For each document (``driver`` has no more tokens than the other): n_groups, n_links, groups text, linked pairs (a << 32 | b), how often each."""
     if driver == "a":
         s, s_at, t, t_at, first, last, common = overlaps(a, b, e.size_a, e.size_b)
@@ -189,7 +256,7 @@ def _chunks(byte_level: str, pieces: str, texts_too: bool, key: pa.DataType):
                 a, b = e.encode([texts[i] for i in own])
                 found: dict[int, tuple] = {}
                 for driver in "ab":
-                    some = [k for k in range(len(own)) if a[k] and (len(a[k]) <= len(b[k])) == (driver == "a")]
+                    some = [k for k in range(len(own)) if len(a[k]) and (len(a[k]) <= len(b[k])) == (driver == "a")]
                     if some:
                         found |= zip(some, _aligned([a[k] for k in some], [b[k] for k in some], e, driver), strict=True)
                 for k, i in enumerate(own):
