@@ -275,13 +275,16 @@ def main_text(lines: list[tuple[str, str]], near: list[list[int]]) -> tuple[list
     return out, len(shared)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+    """Pages with their lines, compressed, or only with the hashes of the lines outside an article."""
     for b in batches:
         lines = [lines_of(h or "") for h in b.column("html").to_pylist()]
-        packed = [zlib.compress("\n".join(k + t for k, t in page).encode("utf-8", "replace"), 1) for page in lines]
-        more = [pa.array(packed, pa.binary()), pa.array([_hashes(page) for page in lines], pa.list_(pa.int64()))]
+        if texts:
+            more = pa.array([zlib.compress("\n".join(k + t for k, t in page).encode("utf-8", "replace"), 1) for page in lines], pa.binary())
+        else:
+            more = pa.array([_hashes(page) for page in lines], pa.list_(pa.int64()))
         names = [n for n in b.schema.names if n != "html"]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *more], [*names, "lines", "hashes"])
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), more], [*names, "lines" if texts else "hashes"])
 
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,18 +302,17 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(pages: DataFrame) -> DataFrame:
-    """row, before, after: the hashes of the pages before and after in the order of (host, path, row), where they are of the same host."""
-    order = ["host", "path", "row"]
+    """key, check, before, after: the hashes of the pages before and after in the order of (host, path, key), where they are of the same host."""
+    order = ["host", "path", "key", "check"]
     ranges = written(pages.repartitionByRange(tasks_for(pages), *order).withColumn("range", F.spark_partition_id()), "ranges")
     page = F.struct("host", "hashes")
     first, last = F.min_by(page, F.struct(*order)), F.max_by(page, F.struct(*order))
     edge = Window.orderBy("range")  # a row for each range
     edges = ranges.groupBy("range").agg(first.alias("first"), last.alias("last")).select("range", F.lag("last").over(edge).alias("left"), F.lead("first").over(edge).alias("right"))
     inside = Window.partitionBy("range").orderBy(*order)
-    near = ranges.select("range", "row", "host", F.lag(page).over(inside).alias("before"), F.lead(page).over(inside).alias("after"))
-    near = near.join(F.broadcast(edges), "range", "left")
+    near = ranges.select("range", "key", "check", "host", F.lag(page).over(inside).alias("before"), F.lead(page).over(inside).alias("after")).join(F.broadcast(edges), "range", "left")
     same = lambda p: F.when(p["host"] == F.col("host"), p["hashes"])
-    return near.select("row", same(F.coalesce("before", "left")).alias("before"), same(F.coalesce("after", "right")).alias("after"))
+    return near.select("key", "check", same(F.coalesce("before", "left")).alias("before"), same(F.coalesce("after", "right")).alias("after"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -318,14 +320,17 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     ``text`` is the main text, one line for each block; n_lines counts the blocks of the page, n_shared those outside
     its article that a page next to it on its host has, too. A null or empty page has no text. Pages whose url is null or has no
-    "://" have an empty host in common. Repeated rows are pages of their own, and copies of each other. Other columns are
+    "://" have an empty host in common. Rows equal in all three columns are one page (known by 96 bits of hashes) and get equal results. Other columns are
     ignored, whatever they are called; an empty table gives no rows.
+
+    Pages are parsed twice, once for the hashes and once for the lines, so that only compressed lines are shuffled, once, and no text is written.
     """
-    p = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema if f.name != "html")
-    parsed = p.mapInArrow(_parsed, f"{kinds}, lines binary, hashes array<long>")
-    parsed = written(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
-    places = split_urls(parsed.select(F.col("row").alias("page_id"), "url", "hashes"), "hashes").withColumnRenamed("page_id", "row")
-    near = _neighbours(places)
-    both = parsed.select("row", "page_id", "url", "lines").join(near, "row").drop("row")
+    own = [pages[c].alias(c) for c in ("page_id", "url", "html")]
+    p = pages.select(*own, F.xxhash64(*(pages[c] for c in ("page_id", "url", "html"))).alias("key"), F.hash(*(pages[c] for c in ("page_id", "url", "html"))).alias("check"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema if f.name in ("page_id", "url"))
+    hashed = p.select("key", "check", "url", "html").mapInArrow(lambda b: _parsed(b, False), "key long, check int, url string, hashes array<long>")
+    hashed = written(hashed.dropDuplicates(["key", "check"]), "hashes")
+    near = _neighbours(split_urls(hashed.withColumnRenamed("key", "page_id"), "check", "hashes").withColumnRenamed("page_id", "key"))
+    lines = p.mapInArrow(lambda b: _parsed(b, True), f"{kinds}, key long, check int, lines binary")
+    both = lines.join(near.hint("shuffle_merge"), ["key", "check"]).drop("key", "check")
     return both.mapInArrow(_finished, f"{kinds}, text string, n_chars long, n_lines long, n_shared long")
