@@ -1,109 +1,256 @@
-"""Nearest neighbours, exact in blocks or approximate in cells, and comparisons of neighbourhoods.
-
-Exact neighbours compare every query with every base row; the base is cut into blocks
-that each meet each block of queries once, and a block pair yields k rows a query, so
-what is shuffled is k rows for each query and base block, not the pairs. That is for
-tables up to a few hundred thousand rows. Beyond, ``knn_approximate`` compares a query with the
-rows of its nearest cells only.
+"""Nearest neighbours by cells with bounds, and comparisons of neighbourhoods.
+
+Base rows lie in the cell of their nearest centre. A query is first compared with the nearest cells
+that hold enough rows; the distance of its k-th neighbour there bounds what it still has to
+see: a cell is left out if its ball or its side of the plane between two
+centres is farther away, and within a cell all rows whose distance to the centre differs by more
+from the query's. So neighbours are exact on any data, and what is compared depends on how much the data
+have a shape: in few dimensions or in clusters little, among directions without any structure in many
+dimensions everything (``effort`` tells). Equal vectors are searched for once, and kept as often as they can be
+neighbours, so copies do not multiply. Centres (MOST_CENTRES at most) and counts
+and radii of their cells are all that reaches the driver; crowded cells are cut into blocks of ``rows``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, MOST_CENTRES = 2_048, 4_096
+from ..sources.scratch import written
+
+ROWS, CELL, MOST_CENTRES, SAMPLE = 2_048, 256, 4_096, 256
+SLACK = 1e-9  # of bounds, as a share of the largest distance: over the rounding of 64-bit floats
+ID_X = "id long, x array<double>"
+
+
+def _matrix(x: pd.Series) -> np.ndarray:
+    return np.array(x.tolist(), float).reshape(len(x), -1)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T, 0))
+
+
+@dataclass
+class Cells:
+    """Centres, and the number of rows in each cell, the least and the largest of their distances to the centre, and rows (id, x, cell, r)."""
+
+    centres: np.ndarray
+    size: np.ndarray
+    least: np.ndarray
+    radius: np.ndarray
+    rows: DataFrame
 
+    def shared(self) -> Cells:
+        """Without the rows, for tasks."""
+        return Cells(self.centres, self.size, self.least, self.radius, None)
+
+    def nearest(self, d: np.ndarray, n: int) -> np.ndarray:
+        """Which cells (a row for each query, ``d`` its distances to the centres) are the nearest ones that hold ``n`` rows together."""
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(self.size[order], axis=1) - self.size[order]
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, before < n, axis=1)
+        return out
+
+    def first(self, d: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, np.argsort(d, axis=1, kind="stable")[:, :n], True, axis=1)
+        return out
+
+    def bounds(self, d: np.ndarray) -> np.ndarray:
+        """No row of a cell is nearer to the query: by the cell's ball, and by the plane between its centre and the query's nearest one."""
+        low = np.maximum(d - self.radius, self.least - d)
+        own = d.argmin(axis=1)
+        apart = _distances(self.centres, self.centres)[own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * apart)
+        return np.maximum(low, np.where(apart > 0, plane, 0)) - SLACK * (d.max(initial=0) + self.radius.max(initial=0))
+
+
+def cells_of(base: DataFrame, cell: int = CELL, centres: int | None = None) -> Cells | None:
+    """Cells of about ``cell`` rows (id long, x array<double>) around centres chosen by hash; none without rows."""
+    n = base.count()
+    m = max(1, min(centres or n // cell, MOST_CENTRES))
+    points = np.array([r["x"] for r in base.select("x").orderBy(F.xxhash64("id", F.lit(17)), "id").limit(m).collect()], float)
+    if not n:
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = _matrix(pdf.x)
+                own = _distances(x, points).argmin(axis=1)
+                yield pdf.assign(cell=own.astype(np.int32), r=np.sqrt(((x - points[own]) ** 2).sum(axis=1)))
+
+    rows = written(base.select("id", "x").mapInPandas(run, f"{ID_X}, cell int, r double"), "cells")
+    size, least, radius = np.zeros(len(points), np.int64), np.full(len(points), np.inf), np.zeros(len(points))
+    for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("least"), F.max("r").alias("most")).collect():  # a row for each centre
+        size[r["cell"]], least[r["cell"]], radius[r["cell"]] = r["n"], r["least"], r["most"]
+    return Cells(points, size, least, radius, rows)
+
+
+def _asked(queries: DataFrame, cells: Cells, which: Callable[[Cells, np.ndarray, pd.DataFrame], np.ndarray], more: str = "") -> DataFrame:
+    """Queries (id, x, u, and columns ``more``) once for each cell that ``which`` picks, with r: the distance to its centre."""
+    shared, names = cells.shared(), ["id", "x", "u", *[c.split()[0] for c in more.split(", ") if c]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                d = _distances(_matrix(pdf.x), shared.centres)
+                on = which(shared, d, pdf) & (shared.size > 0)
+                picked = [np.flatnonzero(o) for o in on]
+                yield pdf.assign(cell=[p.astype(np.int32) for p in picked], r=[row[p] for row, p in zip(d, picked, strict=True)])
+
+    out = queries.select(*names).mapInPandas(run, f"{ID_X}, u double, {more + ', ' if more else ''}cell array<int>, r array<double>")
+    return out.withColumn("at", F.explode(F.arrays_zip("cell", "r"))).select(*names, F.col("at.cell").alias("cell"), F.col("at.r").alias("r"))
+
+
+def _met(asked: DataFrame, cells: Cells, rows: int) -> DataFrame:
+    """Queries and base rows of each cell, cut into blocks of about ``rows`` of either that all meet: cell, qb, bb, query, and both sides' columns."""
+    sizes = cells.rows.sparkSession.createDataFrame([(i, max(1, -(-int(n) // rows))) for i, n in enumerate(cells.size)], "cell int, nb int")
+    blocks = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("nq")).join(F.broadcast(sizes), "cell"))  # a row for each centre at most
+
+    def cut(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
+        d = df.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        d = d.withColumn("each", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("nq", "nb")
+        qb, bb = ("own", "each") if query else ("each", "own")
+        return d.withColumnsRenamed({qb: "qb", bb: "bb"}).withColumn("query", F.lit(query))
 
-def _blocked(df: DataFrame, blocks: int, other: int, queries: bool) -> DataFrame:
-    d = df.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    d = d.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
-    qb, bb = ("own", "cell") if queries else ("cell", "own")
-    return d.select(F.col(qb).alias("qb"), F.col(bb).alias("bb"), "id", "x", F.lit(queries).alias("query"))
+    return cut(asked, "nq", "nb", True).unionByName(cut(cells.rows, "nb", "nq", False), allowMissingColumns=True)
 
 
-def _near(k: int):
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
+    """Queries in order of their distance to the centre, base rows in that of theirs, and the vectors of both."""
+    q, b = (pdf[pdf["query"] == side].sort_values(["r", "id"], ignore_index=True) for side in (True, False))
+    return q, b, _matrix(q.x), _matrix(b.x)
+
+
+def _near(k: int, count: bool = False) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The k nearest base rows of each query of a block that are within its bound u; with ``count`` the number of pairs compared."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, b = pdf[pdf["query"]].reset_index(drop=True), pdf[~pdf["query"]].reset_index(drop=True)
-        if not len(q) or not len(b):
-            return pd.DataFrame({"query": [], "neighbor": [], "distance": []}).astype({"query": "int64", "neighbor": "int64"})
-        x, y, ids, own = np.array(q.x.tolist(), float), np.array(b.x.tolist(), float), b.id.to_numpy(), q.id.to_numpy()
-        norm, out = (y * y).sum(axis=1), []
-        for at in range(0, len(q), 256):
-            part = x[at : at + 256]
-            # squares by one matrix product are off by rounding: all that could be among the k nearest are measured exactly
+        q, b, x, y = _sides(pdf)
+        ids, r, norm, out, compared = b.id.to_numpy(), b.r.to_numpy(), (y * y).sum(axis=1), [], 0
+        for at in range(0, len(q) if len(b) else 0, 128):
+            part, u, centre = x[at : at + 128], q.u.to_numpy()[at : at + 128], q.r.to_numpy()[at : at + 128]
             size = (part * part).sum(axis=1)
-            near = size[:, None] + norm[None] - 2 * part @ y.T
-            near[own[at : at + 256, None] == ids[None]] = np.inf
-            far = np.partition(near, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-            i, j = np.nonzero((near <= (far + 1e-9 * (size + norm.max()))[:, None]) & np.isfinite(near))
+            slack = SLACK * (np.sqrt(size.max()) + np.sqrt(norm.max()) + 1)
+            lo, hi = np.searchsorted(r, (centre - u).min() - slack), np.searchsorted(r, (centre + u).max() + slack, "right")
+            if lo == hi:
+                continue
+            compared += len(part) * int(hi - lo)
+            # squares by one matrix product are off by rounding: all that could be among the k nearest are measured exactly
+            near = size[:, None] + norm[None, lo:hi] - 2 * part @ y[lo:hi].T
+            first = min(k, hi - lo) - 1
+            far = np.minimum(np.partition(near, first, axis=1)[:, first], u**2)
+            i, j = np.nonzero(near <= (far + 1e-9 * (size + norm.max()))[:, None])
+            j += lo
             d = np.sqrt(((part[i] - y[j]) ** 2).sum(axis=1))
             order = np.lexsort((ids[j], d, i))
             i, j, d = i[order], j[order], d[order]
-            first = np.searchsorted(i, i)  # where the rows of a query begin
-            best = np.arange(len(i)) - first < k
-            out.append(pd.DataFrame({"query": own[at + i[best]], "neighbor": ids[j[best]], "distance": d[best]}))
-        return pd.concat(out, ignore_index=True)
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k  # searchsorted: where the rows of a query begin
+            out.append(pd.DataFrame({"query": q.id.to_numpy()[at + i[best]], "neighbor": ids[j[best]], "distance": d[best]}))
+        if count:
+            return pd.DataFrame({"compared": [compared]})
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query": [], "neighbor": [], "distance": []}).astype({"query": "int64", "neighbor": "int64", "distance": "float64"})
 
     return run
 
 
-def _ranked(part: DataFrame, k: int) -> DataFrame:
+_PAIRS = "query long, neighbor long, distance double"
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
-    return part.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
-    """query, neighbor, distance, rank of the k nearest other rows (id long, x array<double>); ties by id."""
-    nb, nq = (max(1, -(-df.count() // rows)) for df in (base, queries))
-    both = _blocked(queries.select("id", "x"), nq, nb, True).unionByName(_blocked(base.select("id", "x"), nb, nq, False))
-    return _ranked(both.groupBy("qb", "bb").applyInPandas(_near(k), "query long, neighbor long, distance double"), k)
+def _compared(asked: DataFrame, cells: Cells, k: int, rows: int, count: bool) -> DataFrame:
+    return _met(asked, cells, rows).groupBy("cell", "qb", "bb").applyInPandas(_near(k, count), "compared long" if count else _PAIRS)
 
 
-def _cells_of(df: DataFrame, centres: np.ndarray, cells: int) -> DataFrame:
-    """id, x, cell: a row for each of the ``cells`` centres nearest to x."""
+def _one_of_each(df: DataFrame, most: int) -> DataFrame:
+    """Of rows with equal vectors those of the ``most`` smallest ids."""
+    place = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    return df.where("id is not null and x is not null").select("id", "x").withColumn("place", place).where(F.col("place") <= most).drop("place")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        norm = (centres * centres).sum(axis=1)
-        for pdf in batches:
-            if len(pdf):
-                near = np.argsort(norm[None] - 2 * np.array(pdf.x.tolist(), float) @ centres.T, axis=1, kind="stable")[:, :cells]
-                yield pd.DataFrame({"id": pdf.id, "x": pdf.x, "cell": list(near.astype(np.int32))})
 
-    return df.select("id", "x").mapInPandas(run, "id long, x array<double>, cell array<int>").withColumn("cell", F.explode("cell"))
+def _lists(queries: DataFrame, asks: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """query, neighbor, distance, rank: what was found for each distinct vector, given to every query that has it, less the query itself."""
+    found = pairs.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor"))).alias("found"))
+    vectors = asks.join(found.withColumnRenamed("query", "id"), "id").select("x", "found")
+    each = queries.where("id is not null and x is not null").select(F.col("id").alias("query"), "x").join(vectors, "x")
+    others = each.select("query", F.slice(F.filter("found", lambda f: f["neighbor"] != F.col("query")), 1, k).alias("found"))
+    return others.select("query", F.posexplode("found").alias("place", "f")).select("query", F.col("f.neighbor").alias("neighbor"), F.col("f.distance").alias("distance"), (F.col("place") + 1).cast("long").alias("rank"))
 
 
-def knn_approximate(base: DataFrame, queries: DataFrame, k: int, centres: int | None = None, probes: int = 8, rows: int = ROWS) -> DataFrame:
-    """query, neighbor, distance, rank: the k nearest rows among those of the ``probes`` cells nearest to the query.
+def _search(asks: DataFrame, cells: Cells, k: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The k nearest rows in the first cells, and the questions (query, cell) of the first and of the second round."""
+    asked = _asked(asks.withColumn("u", F.lit(float("inf"))), cells, lambda c, d, pdf: c.nearest(d, k))
+    first = written(_best(_compared(asked, cells, k, rows, False), k), "first")
+    u = first.groupBy(F.col("query").alias("id")).agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("u"))
+    rest = _asked(asks.join(u, "id"), cells, lambda c, d, pdf: ~c.nearest(d, k) & (c.bounds(d) <= pdf.u.to_numpy()[:, None]))
+    return first, asked, rest
 
-    Cells are those of ``centres`` rows of the base (by default the root of its row count,
-    MOST_CENTRES at most), chosen by hash; that sample is all that comes to the driver. Every base row
-    lies in one cell. A crowded cell is cut into blocks, as in ``knn``. Distances are exact; what is missed are
-    neighbours in cells that were not probed, so with as many probes as centres it is ``knn``.
-    """
-    n = base.count()
-    m = max(1, min(centres or int(n**0.5), MOST_CENTRES))
-    sample = base.select("x").orderBy(F.xxhash64("id", F.lit(17)), "id").limit(m).collect()
-    points = np.array([r["x"] for r in sample], float)
-    if not len(points):
-        return knn(base, queries, k, rows)
-    b, q = _cells_of(base, points, 1), _cells_of(queries, points, min(probes, len(points)))
-    size = b.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("nb"))
-    asked = q.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("nq"))
-    blocks = F.broadcast(size.join(asked, "cell"))  # a row for each centre at most
 
-    def cut(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
-        d = df.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-        d = d.withColumn("each", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        qb, bb = ("own", "each") if query else ("each", "own")
-        return d.select("cell", F.col(qb).alias("qb"), F.col(bb).alias("bb"), "id", "x", F.lit(query).alias("query"))
+def knn(base: DataFrame, queries: DataFrame, k: int, rows: int = ROWS, cell: int = CELL) -> DataFrame:
+    """query, neighbor, distance, rank of the k nearest other rows (id long, x array<double>); ties by id. Exact.
 
-    both = cut(q, "nq", "nb", True).unionByName(cut(b, "nb", "nq", False))
-    return _ranked(both.groupBy("cell", "qb", "bb").applyInPandas(_near(k), "query long, neighbor long, distance double"), k)
+    Rows without an id or vector are neither queries nor neighbours. A query's own id is no neighbour of it.
+    """
+    cells = cells_of(_one_of_each(base, k + 1), cell)
+    if cells is None:
+        return base.sparkSession.createDataFrame([], f"{_PAIRS}, rank long")
+    asks = written(_one_of_each(queries, 1), "asks")
+    first, _, rest = _search(asks, cells, k + 1, rows)  # one more: the query itself
+    pairs = _best(first.unionByName(_compared(rest, cells, k + 1, rows, False)), k + 1)
+    return _lists(queries, asks, pairs, k)
+
+
+def effort(base: DataFrame, queries: DataFrame, k: int, rows: int = ROWS, cell: int = CELL) -> DataFrame:
+    """compared, pairs: pairs of vectors that ``knn`` compares, and those that there are (of different vectors on either side)."""
+    cells = cells_of(_one_of_each(base, k + 1), cell)
+    asks = written(_one_of_each(queries, 1), "asks")
+    _, asked, rest = _search(asks, cells, k + 1, rows)
+    done = _compared(asked, cells, k + 1, rows, True).unionByName(_compared(rest, cells, k + 1, rows, True))
+    return done.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared")).withColumn("pairs", F.lit(int(cells.size.sum()) * asks.count()))
+
+
+def probes_for(cells: Cells, base: DataFrame, asks: DataFrame, k: int, recall: float, rows: int) -> int:
+    """How many of its nearest cells a query must see to find ``recall`` of its neighbours: that of a sample of SAMPLE queries (by hash), whose neighbours are found exactly."""
+    sample = written(asks.orderBy(F.xxhash64("id", F.lit(23)), "id").limit(SAMPLE), "sample")
+    first, _, rest = _search(sample, cells, k + 1, rows)
+    true = _best(first.unionByName(_compared(rest, cells, k + 1, rows, False)), k + 1)
+    where = true.where("query <> neighbor").join(cells.rows.select(F.col("id").alias("neighbor"), "cell"), "neighbor").groupBy(F.col("query").alias("id")).agg(F.collect_list("cell").alias("cells"))
+    got = sample.join(where, "id").select("x", "cells").collect()  # SAMPLE rows at most
+    if not got:
+        return 1
+    order = np.argsort(_distances(np.array([r["x"] for r in got], float), cells.centres), axis=1, kind="stable")
+    places = np.sort(np.concatenate([np.argsort(o)[r["cells"]] for o, r in zip(order, got, strict=True)]))
+    return int(places[min(len(places) - 1, int(np.ceil(recall * len(places))))]) + 1
+
+
+def knn_approximate(base: DataFrame, queries: DataFrame, k: int, recall: float = 0.95, probes: int | None = None, rows: int = ROWS, centres: int | None = None) -> DataFrame:
+    """query, neighbor, distance, rank: the k nearest rows among those of the ``probes`` cells nearest to the query.
+
+    Without ``probes`` as many as a sample needs for ``recall`` (see ``probes_for``), so recall is near that on any
+    data, and what is compared follows. Distances are exact. Cells are those of ``centres`` rows, by default the root of the
+    base's row count, MOST_CENTRES at most.
+    """
+    one = _one_of_each(base, k + 1)
+    cells = cells_of(one, 1, centres or max(1, int(one.count() ** 0.5)))
+    if cells is None:
+        return base.sparkSession.createDataFrame([], f"{_PAIRS}, rank long")
+    asks = written(_one_of_each(queries, 1), "asks")
+    n = probes or probes_for(cells, one, asks, k, recall, rows)
+    asked = _asked(asks.withColumn("u", F.lit(float("inf"))), cells, lambda c, d, pdf: c.first(d, n))
+    return _lists(queries, asks, _best(_compared(asked, cells, k + 1, rows, False), k + 1), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -133,42 +280,65 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return q.join(c, "query", "left").agg(F.count("*").alias("queries"), (F.avg(F.coalesce("n", F.lit(0))) / k).alias("overlap"))
 
 
+def _closer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each question of a block (id, x, its neighbour's id, and u, their distance): base rows that are closer, ties by id."""
+    q, b, x, y = _sides(pdf)
+    ids, r, n, compared = b.id.to_numpy(), b.r.to_numpy(), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+    scale = SLACK * (np.sqrt((y * y).sum(axis=1).max(initial=0)) + np.sqrt((x * x).sum(axis=1).max(initial=0)) + 1)
+    inside = np.searchsorted(r, q.u - q.r - scale)  # rows so near to the centre that they are closer in any case
+    lo, hi = np.maximum(np.searchsorted(r, q.r - q.u - scale), inside), np.searchsorted(r, q.r + q.u + scale, "right")
+    for i, (own, other, u, a, z, sure) in enumerate(zip(q.id, q.neighbor, q.u, lo, hi, inside, strict=True)):
+        d, who = np.sqrt(((y[a:z] - x[i]) ** 2).sum(axis=1)), ids[a:z]
+        n[i] = ((d < u) | ((d == u) & (who < other))).sum() - ((who == own) & (d < u)).sum() + sure - (ids[:sure] == own).sum()
+        n[i] -= ((who == own) & (d == u) & (who < other)).sum()
+        compared[i] = z - a
+    return pd.DataFrame({"query": q.id, "neighbor": q.neighbor.astype("int64"), "closer": n, "compared": compared})
+
+
+def source_ranks(source: DataFrame, asked: DataFrame, rows: int = ROWS, cell: int = CELL) -> DataFrame:
+    """query, neighbor, rank, compared: the place of ``neighbor`` among the other rows of ``source`` (id, x), ordered by distance from ``query``, ties by id.
+
+    Rows that are closer are counted by cells: a cell whose ball lies within the distance counts whole, one whose bound lies
+    beyond not at all, and of the others only rows in the ring where it can go either way are compared.
+    """
+    cells = cells_of(source, cell)
+    if cells is None:
+        return source.sparkSession.createDataFrame([], "query long, neighbor long, rank long, compared long")
+    shared = cells.shared()
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """u as it is computed from the base rows, and how many rows lie in cells that are wholly closer, the query itself left out."""
+        for pdf in batches:
+            if len(pdf):
+                x, nx = _matrix(pdf.x), _matrix(pdf.nx)
+                u = np.sqrt(((nx - x) ** 2).sum(axis=1))
+                d = _distances(x, shared.centres)
+                whole = _whole(shared, d, u)
+                yield pd.DataFrame({"id": pdf.id, "x": pdf.x, "u": u, "neighbor": pdf.neighbor, "whole": (whole * shared.size).sum(axis=1) - whole[np.arange(len(d)), pdf.cell]})
+
+    q = cells.rows.select("id", "x", "cell").join(asked.select(F.col("query").alias("id"), "neighbor"), "id").join(source.select(F.col("id").alias("neighbor"), F.col("x").alias("nx")), "neighbor")
+    q = written(q.select("id", "x", "neighbor", "nx", "cell").mapInPandas(measured, f"{ID_X}, u double, neighbor long, whole long"), "questions")
+    part = _asked(q, cells, lambda c, d, pdf: ~_whole(c, d, pdf.u.to_numpy()) & (c.bounds(d) <= pdf.u.to_numpy()[:, None]), "neighbor long")
+    n = _met(part, cells, rows).groupBy("cell", "qb", "bb").applyInPandas(_closer, "query long, neighbor long, closer long, compared long")
+    n = n.unionByName(q.select(F.col("id").alias("query"), "neighbor", F.col("whole").alias("closer"), F.lit(0).cast("long").alias("compared")))
+    return n.groupBy("query", "neighbor").agg((F.sum("closer") + 1).alias("rank"), F.sum("compared").alias("compared"))
+
+
+def _whole(cells: Cells, d: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Cells all of whose rows are closer than u."""
+    return d + cells.radius + SLACK * (d.max(initial=0) + cells.radius.max(initial=0)) < u[:, None]
+
+
 def trustworthiness(source: DataFrame, source_neighbors: DataFrame, embedded_neighbors: DataFrame, k: int) -> DataFrame:
     """trustworthiness of an embedding over the queries that embedded_neighbors has; swap the spaces for continuity.
 
     Only embedded neighbours that are no source neighbours are penalised, and only for
-    them the source rank is found, by counting the rows that are closer: the offending
-    pairs of a query are compared with the source rows in blocks.
+    them the source rank is found (see ``source_ranks``).
     """
     bad = embedded_neighbors.select("query", "neighbor").join(source_neighbors.select("query", "neighbor"), ["query", "neighbor"], "left_anti")
     n, queries = source.count(), embedded_neighbors.select("query").distinct().count()
-    q = source.select(F.col("id").alias("query"), F.col("x").alias("qx")).join(bad, "query").join(source.select(F.col("id").alias("neighbor"), F.col("x").alias("nx")), "neighbor")
-    lists = q.groupBy("query").agg(F.first("qx").alias("x"), F.sort_array(F.collect_list(F.struct("neighbor", "nx"))).alias("to"))
-    nb = max(1, -(-n // ROWS))
-    base = source.select(F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("bb"), "id", "x", F.lit(None).cast("array<struct<neighbor:bigint,nx:array<double>>>").alias("to"))
-    asked = lists.select(F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bb"), F.col("query").alias("id"), "x", "to")
-    qb = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries // ROWS)))).cast("int")
-    asked = asked.withColumn("qb", qb)
-    base = base.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-queries // ROWS)) - 1))))
-
-    def closer(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, asks = pdf[pdf.to.isna()], pdf[~pdf.to.isna()]
-        out = []
-        if len(rows):
-            x, ids = np.array(rows.x.tolist(), float), rows.id.to_numpy()
-            for i, qx, to in zip(asks.id, asks.x, asks.to, strict=True):
-                q, others = np.asarray(qx, float), np.array([t["neighbor"] for t in to])
-                d = np.sqrt(((x - q) ** 2).sum(axis=1))
-                dt = np.sqrt(((np.array([t["nx"] for t in to], float) - q) ** 2).sum(axis=1))[:, None]
-                before = (d < dt) | ((d == dt) & (ids < others[:, None]))
-                n_closer = (before & (ids != i) & (ids != others[:, None])).sum(axis=1)
-                out += zip([i] * len(others), others.tolist(), n_closer.tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query", "neighbor", "closer"], dtype="int64")
-
-    ranks = base.unionByName(asked).groupBy("qb", "bb").applyInPandas(closer, "query long, neighbor long, closer long")
-    ranks = ranks.groupBy("query", "neighbor").agg((F.sum("closer") + 1).alias("rank"))
     scale = 2.0 / (queries * k * (2 * n - 3 * k - 1)) if queries else 0.0
-    return ranks.agg((1 - scale * F.coalesce(F.sum(F.col("rank") - k), F.lit(0))).alias("trustworthiness"))
+    return source_ranks(source, bad).agg((1 - scale * F.coalesce(F.sum(F.col("rank") - k), F.lit(0))).alias("trustworthiness"))
 
 
 def seed_stability(neighbors: DataFrame, ks: list[int]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.linalg import project, spectrum
-from ..functions.sphere import cosine_separation
+from ..functions.sphere import cosine_separation, unit_vector
 from ..operators import audit, binding, contract, digest, evaluate, features, labels, measure, neighbors, population, records, spatial, split, uncertainty
 from ..sources import files, ledger
 from ..sources.scratch import shared, written
@@ -772,6 +772,16 @@ def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(neighbors.knn(p, p, 5))
 
 
+@query(f"""WITH {fx.SKY}, v AS (SELECT 'r' AS side, id, ra, dec FROM ref UNION ALL SELECT 't', id, ra, dec FROM tar),
+u AS MATERIALIZED (SELECT side, id, cos(radians(dec))*cos(radians(ra)) AS x, cos(radians(dec))*sin(radians(ra)) AS y, sin(radians(dec)) AS z FROM v WHERE ra IS NOT NULL AND dec IS NOT NULL),
+d AS (SELECT r.id AS query, t.id AS neighbor, round(sqrt((r.x-t.x)*(r.x-t.x) + (r.y-t.y)*(r.y-t.y) + (r.z-t.z)*(r.z-t.z)), 6) AS distance FROM u r JOIN u t ON r.side = 'r' AND t.side = 't'),
+m AS (SELECT query, unnest(min(distance, 6)) AS distance FROM d GROUP BY query) SELECT query, distance, row_number() OVER (PARTITION BY query ORDER BY distance) AS rank FROM m QUALIFY rank <= 5""")
+def sky_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    """Chords to the five nearest records of the other catalogue, whatever the radius."""
+    sides = [t.where("ra is not null and dec is not null").select("id", F.array(*unit_vector(F.col("ra"), F.col("dec"))).alias("x")) for t in fx.catalogues(spark, sf)]
+    return _rounded(neighbors.knn(sides[1], sides[0].withColumn("id", -F.col("id")), 5)).select((-F.col("query")).alias("query"), "distance", "rank")
+
+
 @query()
 def knn_approximate(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours in the nearest cells; tests hold its recall against knn_exact."""

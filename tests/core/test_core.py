@@ -325,24 +325,95 @@ def test_cross_match_copies_either_side(spark):
     assert a == b and len(a) == 5
 
 
-def test_approximate_neighbours(spark):
+def brute_neighbours(base, queries, k):
+    """query -> [(neighbor, distance)] by all distances; ties by id."""
+    ids, y = np.array([i for i, _ in base]), np.array([v for _, v in base], float)
+    out = {}
+    for i, v in queries:
+        d = np.sqrt(((y - np.array(v)) ** 2).sum(axis=1))
+        order = [j for j in np.lexsort((ids, d)) if ids[j] != i][:k]
+        out[i] = [(int(ids[j]), round(float(d[j]), 9)) for j in order]
+    return out
+
+
+def found_neighbours(df):
+    out = {}
+    for r in df.orderBy("query", "rank").collect():
+        out.setdefault(r["query"], []).append((r["neighbor"], round(r["distance"], 9)))
+        assert r["rank"] == len(out[r["query"]])
+    return out
+
+
+def points(spark, rows):
+    return spark.createDataFrame([(i, [float(a) for a in v]) for i, v in rows], "id long, x array<double>")
+
+
+def test_neighbours_are_exact(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 8)) * 4
+    rows = [(i, centres[i % 30] + rng.normal(size=8)) for i in range(900)] + [(2000 + i, centres[0]) for i in range(40)]  # copies, a crowded cell
+    grid = [(i, (i // 12, i % 12)) for i in range(144)]  # ties everywhere
+    line = [(i, (0.0 if i < 150 else i,)) for i in range(200)]  # most rows in one place
+    for data, k in ((rows, 5), (grid, 6), (line, 4), (rows[:3], 5)):
+        p = points(spark, data)
+        for size, block in ((20, 40), (10_000, 2048))[: 1 + (data is rows)]:
+            assert found_neighbours(neighbors.knn(p, p, k, rows=block, cell=size)) == {q: n for q, n in brute_neighbours(data, data, k).items() if n}
+    few = [(9000 + i, v) for i, v in [*rows[:20], *rows[-3:]]]
+    assert found_neighbours(neighbors.knn(points(spark, rows), points(spark, few), 5, cell=30)) == brute_neighbours(rows, few, 5)
+    none = points(spark, rows).limit(0)
+    assert neighbors.knn(none, none, 5).count() == 0 == neighbors.knn(points(spark, rows), none, 5).count()
+    nulls = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (None, [0.5]), (3, None)], "id long, x array<double>")
+    assert found_neighbours(neighbors.knn(nulls, nulls, 3)) == {1: [(2, 1.0)], 2: [(1, 1.0)]}
+
+
+def test_neighbours_compare_little_where_data_have_a_shape(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=2)) for i in range(4000)]
+    p = points(spark, rows)
+    e = neighbors.effort(p, p, 5, cell=40).first()
+    assert e["pairs"] == 16_000_000 and e["compared"] < e["pairs"] / 20
+    assert found_neighbours(neighbors.knn(p, p, 5, cell=40)) == brute_neighbours(rows, rows, 5)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_approximate_neighbours_reach_their_recall(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").selectExpr("vec_id AS id", "CAST(embedding AS ARRAY<DOUBLE>) AS x")
+    exact = neighbors.knn(e, e, 5)
+    assert neighbors.recall(neighbors.knn_approximate(e, e, 5), exact).first()["recall"] >= 0.9
+
+
+def test_approximate_neighbours_by_probes(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(30, 8)) * 4
-    x = [centres[i % 30] + rng.normal(size=8) for i in range(1500)] + [centres[0]] * 3
-    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
-    exact = neighbors.knn(p, p, 5, rows=400)
-    got = {(r["query"], r["rank"]): (r["neighbor"], round(r["distance"], 9)) for r in exact.collect()}
-    d = np.sqrt(((np.array(x)[:, None] - np.array(x)[None]) ** 2).sum(axis=2))
-    np.fill_diagonal(d, np.inf)
-    for i in range(len(x)):
-        for k, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:5], 1):
-            assert got[i, k] == (j, round(d[i, j], 9))
-    assert neighbors.recall(neighbors.knn_approximate(p, p, 5, centres=40, probes=8, rows=300), exact).first()["recall"] >= 0.9
-    assert neighbors.recall(neighbors.knn_approximate(p, p, 5, centres=12, probes=12, rows=300), exact).first()["recall"] == 1.0
+    rows = [(i, centres[i % 30] + rng.normal(size=8)) for i in range(1500)] + [(1500 + i, centres[0]) for i in range(3)]
+    p = points(spark, rows)
+    exact = neighbors.knn(p, p, 5)
+    assert neighbors.recall(neighbors.knn_approximate(p, p, 5, probes=8, rows=300, centres=40), exact).first()["recall"] >= 0.9
+    assert neighbors.recall(neighbors.knn_approximate(p, p, 5, probes=12, rows=300, centres=12), exact).first()["recall"] == 1.0
     none = p.limit(0)
     assert neighbors.knn_approximate(none, p, 5).count() == 0 == neighbors.knn_approximate(p, none, 5).count()
 
 
+def test_ranks_are_counted_by_cells(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, np.round(rng.normal(size=3) * (1 + i % 4), 1)) for i in range(400)] + [(500 + i, (0.1, 0.1, 0.1)) for i in range(30)]
+    p = points(spark, rows)
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    pairs = [(int(a), int(b)) for a, b in rng.choice(ids, (300, 2)) if a != b]
+    pairs = sorted(set(pairs + [(500, 501), (510, 529), (529, 500)]))
+    asked = spark.createDataFrame(pairs, "query long, neighbor long")
+    at, n = {int(i): j for j, i in enumerate(ids)}, len(ids)
+    for size in (20, 1000):
+        got = {(r["query"], r["neighbor"]): r["rank"] for r in neighbors.source_ranks(p, asked, rows=64, cell=size).collect()}
+        assert set(got) == set(pairs)
+        for (a, b), rank in got.items():
+            d = np.sqrt(((x - x[at[a]]) ** 2).sum(axis=1))
+            order = [int(ids[j]) for j in np.lexsort((ids, d)) if ids[j] != a]
+            assert rank == order.index(b) + 1
+    compared = neighbors.source_ranks(p, asked, cell=20).agg(F.sum("compared")).first()[0]
+    assert compared < len(pairs) * n / 2
+
+
 def test_bootstrap_of_another_metric(spark):
     rows = [(i, i % 2, int(i % 3 > 0), int(i % 5 > 0), int(i % 3 > 0 and i % 2 == 1), int(i % 5 > 0 and i % 2 == 1)) for i in range(200)]
     d = spark.createDataFrame(rows, "id long, y int, a int, b int, ta int, tb int")
