@@ -7,9 +7,10 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ROWS, in_ranges, quantiles, running
 from ..sources.scratch import written
 
 
@@ -82,25 +83,15 @@ def one_vs_rest(df: DataFrame, label: str, focal: object) -> Column:
     return (F.col(label) == focal).cast("int")
 
 
-def pr_curve(scored: DataFrame, score: str = "score", target: str = "target", ranges: int = 64) -> DataFrame:
+def pr_curve(scored: DataFrame, score: str = "score", target: str = "target", rows: int = ROWS) -> DataFrame:
     """score, tp, fp, precision, recall at each distinct score, counting rows of at least that score.
 
-    Rows are first summed by score. Running sums are taken within ranges of scores (cut
-    at quantiles) plus the sums of the ranges above, so no window holds all scores.
+    Rows are first summed by score; running sums are taken within ranges of about ``rows`` scores, on top of the sums of the ranges above.
     """
     s = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(target).cast("long")).alias("p"), F.count("*").alias("n"))
-    bounds = s.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("score"))) if bounds else F.lit(0)
-    s = s.withColumn("range", at)
-    sums = s.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
-    every = Window.partitionBy(F.lit(0))
-    sums = sums.select("range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("an"), F.sum("rp").over(every).alias("all_p"))
-    inside = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("ip", F.sum("p").over(inside)).withColumn("in", F.sum("n").over(inside)).join(F.broadcast(sums), "range")
-    tp, n = F.col("ip") + F.col("ap"), F.col("in") + F.col("an")
-    return s.select("score", tp.alias("tp"), (n - tp).alias("fp"), (tp / n).alias("precision"), F.try_divide(tp, F.col("all_p")).alias("recall"), "p", "all_p")
+    s = running(in_ranges(s, [F.col("score")], rows), "range", [F.desc("score")], {"tp": F.col("p"), "seen": F.col("n")}, descending=True)
+    tp, n = F.col("tp"), F.col("seen")
+    return s.select("score", tp.alias("tp"), (n - tp).alias("fp"), (tp / n).alias("precision"), F.try_divide(tp, F.col("all_tp")).alias("recall"), "p", F.col("all_tp").alias("all_p"))
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
@@ -155,6 +146,5 @@ def long_embedding(df: DataFrame, run: str, key: str, column: str) -> DataFrame:
 
 def harder_contaminants(scored: DataFrame, label: str, focal: object) -> DataFrame:
     """label, n, above: rows of each other class, and how many score above the focal class's median."""
-    mid = scored.where(F.col(label) == focal).agg(F.percentile("score", 0.5).alias("median"))
-    d = scored.where(F.col(label) != focal).crossJoin(F.broadcast(mid))
-    return d.groupBy(label).agg(F.count("*").alias("n"), F.count_if(F.col("score") > F.col("median")).alias("above"))
+    median, = quantiles(scored.where(F.col(label) == focal), "score", [0.5])
+    return scored.where(F.col(label) != focal).groupBy(label).agg(F.count("*").alias("n"), F.count_if(F.col("score") > F.lit(median).cast("double")).alias("above"))

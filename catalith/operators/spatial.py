@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
 from ..functions.sphere import ARCSEC, separation, unit_vector
+from ..sources.scratch import written
 
 DIGITS = 6
 
@@ -74,9 +76,14 @@ def unmatched(edges: DataFrame, reference: DataFrame, target: DataFrame) -> Data
     return r.select(F.lit("reference").alias("side"), "id").unionByName(t.select(F.lit("target").alias("side"), "id"))
 
 
+def _number(x: float | None) -> Column:
+    return F.lit(x).cast("double")
+
+
 def match_stats(edges: DataFrame, target: DataFrame) -> DataFrame:
     """One row: pairs; targets with none, one, many; references hit, hit by many; separation min, median, max."""
-    p = edges.agg(F.count("*").alias("pairs"), F.min("sep").alias("sep_min"), F.percentile("sep", 0.5).alias("sep_median"), F.max("sep").alias("sep_max"))
+    edges = written(edges.select("ref", "target", "sep"), "edges")  # read by each statistic
+    p = edges.agg(F.count("*").alias("pairs"), F.min("sep").alias("sep_min"), _number(*quantiles(edges, "sep", [0.5])).alias("sep_median"), F.max("sep").alias("sep_max"))
     t = edges.groupBy("target").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") == 1).alias("targets_one"), F.count_if(F.col("n") > 1).alias("targets_many"))
     r = edges.groupBy("ref").agg(F.count("*").alias("n")).agg(F.count("*").alias("references_hit"), F.count_if(F.col("n") > 1).alias("references_many"))
     n = target.agg(F.count("*").alias("n"))
@@ -88,7 +95,8 @@ def margins(edges: DataFrame, side: str) -> DataFrame:
     """Second-best minus best separation over the ambiguous targets or refs: n, min, median, max."""
     key, rank = ("target", "candidate_rank") if side == "target" else ("ref", "reference_rank")
     m = edges.where(F.col(rank) <= 2).groupBy(key).agg((F.max(F.when(F.col(rank) == 2, F.col("sep"))) - F.max(F.when(F.col(rank) == 1, F.col("sep")))).alias("m")).where("m is not null")
-    return m.agg(F.count("*").alias("n"), F.min("m").alias("margin_min"), F.percentile("m", 0.5).alias("margin_median"), F.max("m").alias("margin_max"))
+    m = written(m.select("m"), "margins")
+    return m.agg(F.count("*").alias("n"), F.min("m").alias("margin_min"), _number(*quantiles(m, "m", [0.5])).alias("margin_median"), F.max("m").alias("margin_max"))
 
 
 def policy_comparison(edges: DataFrame) -> DataFrame:
@@ -99,14 +107,17 @@ def policy_comparison(edges: DataFrame) -> DataFrame:
 
 
 def candidate_audit(edges: DataFrame) -> DataFrame:
+    edges = written(edges.select("ref", "target", "sep"), "edges")
     return edges.agg(F.count("*").alias("pairs"), F.countDistinct("ref").alias("refs"), F.countDistinct("target").alias("targets"),
-                     F.min("sep").alias("sep_min"), F.percentile("sep", 0.5).alias("sep_median"), F.max("sep").alias("sep_max"))
+                     F.min("sep").alias("sep_min"), _number(*quantiles(edges, "sep", [0.5])).alias("sep_median"), F.max("sep").alias("sep_max"))
 
 
 def offset_summary(offsets: DataFrame, column: str = "offset", limits: tuple[float, ...] = (0.1, 0.5)) -> DataFrame:
     """Median, 95th percentile and maximum of offsets, and how many are above each limit."""
     above = [F.count_if(F.col(column) > x).alias(f"above_{i}") for i, x in enumerate(limits)]
-    return offsets.agg(F.percentile(column, 0.5).alias("offset_median"), F.percentile(column, 0.95).alias("offset_p95"), F.max(column).alias("offset_max"), *above)
+    offsets = written(offsets.select(column), "offsets")
+    median, p95 = quantiles(offsets, column, [0.5, 0.95])
+    return offsets.agg(_number(median).alias("offset_median"), _number(p95).alias("offset_p95"), F.max(column).alias("offset_max"), *above)
 
 
 def cone(df: DataFrame, ra0: float, dec0: float, radius_deg: float) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PREFIX = 3
+from ..functions.ranks import ROWS, ranges_for, running
 
 
 def stable_hash(parts: Sequence[str], seed: object) -> Column:
@@ -15,23 +16,16 @@ def stable_hash(parts: Sequence[str], seed: object) -> Column:
     return F.md5(F.concat_ws(":", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts], F.lit(str(seed))))
 
 
-def hash_ranked(df: DataFrame, strata: str, parts: Sequence[str], seed: object, offset: int = 0) -> DataFrame:
+def hash_ranked(df: DataFrame, strata: str, parts: Sequence[str], seed: object, rows: int = ROWS) -> DataFrame:
     """``df`` with place (from 1, in order of hash, then parts) and size of its stratum.
 
-    No window holds a whole stratum: hashes are uniform, so their first digits cut a
-    stratum into ranges; counts of the ranges are summed up, and a row's place is that of
-    its range plus its own within it. ``offset`` takes the digits after those already
-    used by another split.
+    No window holds a whole stratum: hashes are uniform, so their first digits, as many as the table's count asks for, cut a
+    stratum into ranges of at most about ``rows`` rows, over which ``running`` counts.
     """
-    d = df.withColumn("__hash", stable_hash(parts, seed)).withColumn("__range", F.substring("__hash", 1, PREFIX))
-    ranges = d.groupBy(strata, "__range").agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(strata)
-    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranges = ranges.withColumn("stratum_size", F.sum("__n").over(w)).drop("__n")
-    ranges = ranges.withColumnsRenamed({strata: "__s", "__range": "__r"})
-    inside = F.row_number().over(Window.partitionBy(strata, "__range").orderBy("__hash", *parts))
-    d = d.withColumn("__inside", inside).join(ranges, F.col(strata).eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
-    return d.withColumn("place", (F.col("__before") + F.col("__inside")).cast("long")).drop("__hash", "__range", "__before", "__inside", "__s", "__r")
+    digits = max(1, math.ceil(math.log(ranges_for(df.count(), rows), 16)))
+    d = df.withColumn("__hash", stable_hash(parts, seed)).withColumn("__range", F.substring("__hash", 1, digits))
+    d = running(d, "__range", ["__hash", *parts], {"place": F.lit(1).cast("long")}, [strata])
+    return d.withColumnRenamed("all_place", "stratum_size").drop("__hash", "__range")
 
 
 def stratified_split(df: DataFrame, strata: str, parts: Sequence[str], fraction: float, seed: object, names: tuple[str, str] = ("test", "train")) -> DataFrame:

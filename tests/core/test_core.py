@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalith.functions.linalg import spectrum
+from catalith.functions.ranks import in_ranges, quantiles, running
 from catalith.operators import audit, binding, contract, digest, evaluate, features, measure, neighbors, population, records, spatial, split, uncertainty
 from catalith.sources import files, ledger
 
@@ -433,3 +434,46 @@ def test_standardize_does_not_cancel(spark):
     for r in evaluate.standardize(d, "x", 1).collect():
         rest = np.array([v for i, v in enumerate(x) if i % 4 != r["fold"]])
         assert abs(r["scaled"][0] - (x[r["id"]] - rest.mean()) / rest.std()) < 1e-4
+
+
+def test_quantiles_by_counting(spark):
+    rng = np.random.default_rng(4)
+    cases = [np.exp(rng.normal(size=3000) * 50), rng.integers(-5, 5, 2001).astype(float), np.concatenate([np.zeros(900), rng.normal(size=100) * 1e-300, [1e308, -1e308]]),
+             1 + rng.random(2500) * 1e-12, np.array([2.5]), np.repeat([1.0, 3.0], 700)]
+    shares = [0.0, 0.025, 0.5, 0.95, 1.0]
+    for x in cases:
+        d = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "y double")
+        got = quantiles(d, "y", shares, last=40, parts=16)
+        for g, s in zip(got, shares, strict=True):
+            assert math.isclose(g, np.quantile(x, s), rel_tol=1e-12, abs_tol=1e-320)
+    assert quantiles(spark.createDataFrame([(None,)], "y double"), "y", [0.5]) == [None]
+
+
+def test_running_sums_over_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"s{int(rng.integers(3))}" if i % 7 else None, float(np.exp(rng.normal() * 9)) * (i % 5 > 0)) for i in range(1500)]  # skewed, with ties
+    d = in_ranges(spark.createDataFrame(rows, "id long, s string, x double"), [F.col("x"), F.col("id")], 100)
+    assert d.select("range").distinct().count() > 5
+    for by, down in (([], False), (["s"], True)):
+        order = [F.desc("x"), F.desc("id")] if down else [F.asc("x"), F.asc("id")]
+        got = {r["id"]: (r["n"], r["all_n"]) for r in running(d, "range", order, {"n": F.lit(1)}, by, down).collect()}
+        for s in {r[1] for r in rows} if by else [0]:
+            own = sorted((r for r in rows if not by or r[1] == s), key=lambda r: (r[2], r[0]), reverse=down)
+            for k, r in enumerate(own, 1):
+                assert got[r[0]] == (k, len(own))
+
+
+def test_curve_of_skewed_scores(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(np.exp(-abs(rng.normal()) * 30)) if i % 3 else 0.5, int(rng.integers(2))) for i in range(2000)]
+    got = {r["score"]: (r["tp"], r["fp"]) for r in evaluate.pr_curve(spark.createDataFrame(rows, "score double, target int"), rows=150).collect()}
+    score, target = np.array(rows).T
+    assert len(got) == len(set(score))
+    for s, (tp, fp) in got.items():
+        assert (tp, fp) == ((target[score >= s] == 1).sum(), (target[score >= s] == 0).sum())
+
+
+def test_split_over_many_ranges(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 9 else None) for i in range(700)], "id long, s string")
+    one, many = ({r["id"]: (r["place"], r["stratum_size"]) for r in split.hash_ranked(rows, "s", ["id"], 1, n).collect()} for n in (10**6, 20))
+    assert one == many and sorted(p for p, n in one.values() if n == 78) == list(range(1, 79))
