@@ -6,9 +6,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources.ledger import counted_write
+from ..sources.scratch import delete
+
 POLICIES = ("nearest", "reciprocal")
 STAGES = ("matched", "complete", "error_qualified", "focal", "second", "third", "labelled")
 
@@ -85,6 +88,25 @@ def members(population: DataFrame) -> DataFrame:
     return p.withColumn("split", F.lit("unassigned")).withColumn("weight", F.lit(1.0))
 
 
+def require_labelled(counts: Mapping[str, int]) -> None:
+    """The sample has as many rows as the funnel labels."""
+    if counts["rows"] != counts["labelled"]:
+        raise ValueError(f"{counts['rows']} members, but the funnel labels {counts['labelled']}")
+
+
+def publish_members(population: DataFrame, path: str) -> dict[str, int]:
+    """Write the sample, and return the funnel's counts and its rows; both are gathered in the write, and where they differ nothing stays."""
+    seen = Observation()
+    counts = counted_write(members(population.observe(seen, *_stages())), path)
+    counts = {s: seen.get[s] for s in STAGES} | counts
+    try:
+        require_labelled(counts)
+    except ValueError:
+        delete(population.sparkSession, path)
+        raise
+    return counts
+
+
 def class_counts(sample: DataFrame, classes: Sequence[str]) -> DataFrame:
     """target_class, n; 0 for a class without members."""
     spark = sample.sparkSession

@@ -31,11 +31,14 @@ SEED = 20260910
 
 
 def _digest(text: str, rows: str) -> str:
-    """Common table expressions that end with ``digest`` (rows, sha256): the bucketed digest of the texts of some rows."""
+    """Common table expressions that end with ``digest`` (rows, sha256): the hash tree's root over the texts of some rows (of less than 2^32)."""
     entry = "row || CASE WHEN times > 1 THEN 'x' || times ELSE '' END"
+    fan = digest.FAN
+    levels = [f"""n{k} AS (SELECT substring(row, 1, {2 * k}) AS key, sha256(string_agg({entry}, '' ORDER BY {entry})) AS part, sum(times) AS n FROM texts, depth WHERE d = {k} GROUP BY 1"""
+              + (f" UNION ALL SELECT substring(key, 1, {2 * k}), sha256(string_agg(substring(key, {2 * k + 1}, 2) || part, '' ORDER BY key)), sum(n) FROM n{k + 1} GROUP BY 1)" if k < 3 else ")") for k in (3, 2, 1, 0)]
     return f"""texts AS (SELECT sha256({text}) AS row, count(*) AS times FROM {rows} GROUP BY 1),
-buckets AS (SELECT ('0x' || substring(row, 1, 8))::BIGINT % {digest.BUCKETS} AS bucket, sha256(string_agg({entry}, '' ORDER BY {entry})) AS part, sum(times) AS n FROM texts GROUP BY 1),
-digest AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, sha256(coalesce(string_agg(part, '' ORDER BY bucket), '')) AS sha256 FROM buckets)"""
+depth AS (SELECT CASE WHEN count(*) <= {fan} THEN 0 WHEN count(*) <= {fan**2} THEN 1 WHEN count(*) <= {fan**3} THEN 2 ELSE 3 END AS d FROM texts), {', '.join(levels)},
+digest AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, coalesce(max(part), sha256('')) AS sha256 FROM n0)"""
 
 
 # sources
@@ -138,8 +141,9 @@ def published_load(spark: SparkSession, sf: str) -> DataFrame:
     """Two tables published together, and counted where they were published."""
     tables = {"part": T(spark, sf, "part").select(F.col("p_partkey").alias("k")), "supplier": T(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))}
     target = shared(spark, "load")
-    ledger.load_all({n: (t, t.count()) for n, t in tables.items()}, shared(spark, "stage"), target)
-    read = [spark.read.parquet(f"{target}/{n}").agg(F.count("*").alias("rows"), F.sum("k").alias("keys")).select(F.lit(n).alias("name"), "rows", "keys") for n in tables]
+    ledger.load_all({n: (t, t.count()) for n, t in tables.items()}, target)
+    done = ledger.Publication(spark, target)
+    read = [done.read(n).agg(F.count("*").alias("rows"), F.sum("k").alias("keys")).select(F.lit(n).alias("name"), "rows", "keys") for n in tables]
     return read[0].unionByName(read[1])
 
 
@@ -495,6 +499,20 @@ def table_digest(spark: SparkSession, sf: str) -> DataFrame:
     return digest.table_digest(T(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
 
 
+_LATER = "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 997 = 0 THEN o_orderpriority || ' late' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 1999 <> 0"
+
+
+@query(f"""WITH b AS ({_LATER} UNION ALL SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 4001 = 0),
+u AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, 1 AS a, 0 AS b FROM orders UNION ALL SELECT *, 0, 1 FROM b)
+SELECT o_orderkey, o_orderstatus, o_orderpriority, CAST(sum(a) AS BIGINT) AS times_a, CAST(sum(b) AS BIGINT) AS times_b FROM u GROUP BY ALL HAVING sum(a) <> sum(b)""")
+def digest_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in which a later state of a table differs, found from the trees of both: some changed, some gone, some there twice."""
+    o = T(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    late = F.when(F.col("o_orderkey") % 997 == 0, F.concat("o_orderpriority", F.lit(" late"))).otherwise(F.col("o_orderpriority"))
+    later = o.where("o_orderkey % 1999 <> 0").withColumn("o_orderpriority", late).unionByName(o.where("o_orderkey % 4001 = 0"))
+    return digest.table_difference(o, later, o.columns)
+
+
 @query(_SPLIT + " SELECT 'plan' AS plan, 'orders' AS sample, 'clean' AS feature_set, count(*) AS members, true AS test_locked FROM s")
 def plan_contract(spark: SparkSession, sf: str) -> DataFrame:
     s = _split(spark, sf)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .files import SourceError, file_digests
@@ -26,37 +28,104 @@ def register(registry: DataFrame, new: DataFrame) -> DataFrame:
     return registry.unionByName(new, allowMissingColumns=True)
 
 
-def load_all(staged: Mapping[str, tuple[DataFrame, int]], stage: str, target: str) -> dict[str, int]:
-    """All or nothing: write every table to ``stage``, compare counts, and only then publish to ``target``, by renaming.
+def counted_write(df: DataFrame, path: str, **metrics: Column) -> dict[str, int]:
+    """Write a named output as ``write_once`` does and return its rows and ``metrics`` (aggregates), gathered in the very write."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()]).write.mode("errorifexists").parquet(path)
+    return seen.get
 
-    A target that is there already fails the load before anything is written. A new ``target``
-    folder is published by one renaming; in one that holds other tables, each table is
-    renamed, and those before it are taken back if one fails.
+
+class Publication:
+    """Tables under one folder that are published by commit files; what no commit file names is not there.
+
+    A load writes its tables to a folder of its own, ``load-<id>``, and is published by one file, ``commits/<number>.json``,
+    which is put in place under a new number by one renaming that never replaces. Until then readers see nothing of it, after
+    that all of it. A load that fails or dies leaves a folder that no commit names: no later load uses
+    it, and ``recover`` deletes it. Loads at the same time are put in order by the number; one whose table another
+    has published meanwhile fails.
     """
-    spark = next(iter(staged.values()))[0].sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join(p))
-    fs = path(target).getFileSystem(conf)
-    if there := [name for name in staged if fs.exists(path(target, name))]:
-        raise SourceError(f"already published: {', '.join(there)}; nothing was")
-    counts = {}
-    for name, (df, expected) in staged.items():
-        counts[name] = write_once(df, f"{stage}/{name}").count()
-        if counts[name] != expected:
-            raise SourceError(f"{name}: {counts[name]} rows instead of {expected}; nothing was published")
-    if not fs.exists(path(target)):
-        fs.mkdirs(path(target).getParent())
-        if not fs.rename(path(stage), path(target)):
-            raise SourceError(f"{target} cannot be published")
+
+    def __init__(self, spark: SparkSession, target: str):
+        self.spark, self.target = spark, target.rstrip("/")
+        self.jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.fs = self.path().getFileSystem(conf)
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
+
+    def path(self, *parts: str):  # noqa: ANN201
+        return self.jvm.org.apache.hadoop.fs.Path("/".join([self.target, *parts]))
+
+    def _names(self, *parts: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self.path(*parts))) if self.fs.exists(self.path(*parts)) else []
+
+    def commits(self) -> list[dict]:
+        """What was published, in order: load, and rows of each table."""
+        out = []
+        for name in (n for n in self._names("commits") if n.endswith(".json")):
+            stream = self.fs.open(self.path("commits", name))
+            try:
+                out.append(json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+        return out
+
+    def tables(self) -> dict[str, str]:
+        """Paths of the published tables by name."""
+        return {name: f"{self.target}/{c['load']}/{name}" for c in self.commits() for name in c["tables"]}
+
+    def read(self, name: str) -> DataFrame:
+        """A published table."""
+        tables = self.tables()
+        if name not in tables:
+            raise SourceError(f"{name} is not published in {self.target}")
+        return self.spark.read.parquet(tables[name])
+
+    def _commit(self, load: str, counts: Mapping[str, int]) -> None:
+        mine = self.path(load, "commit.json")
+        stream = self.fs.create(mine, False)
+        try:
+            stream.write(bytearray(json.dumps({"load": load, "tables": dict(counts)}, sort_keys=True).encode()))
+        finally:
+            stream.close()
+        self.fs.mkdirs(self.path("commits"))
+        keep = self.spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        while True:
+            if taken := sorted(set(self.tables()) & set(counts)):
+                raise SourceError(f"already published: {', '.join(taken)}; nothing was")
+            try:
+                self.context.rename(mine, self.path("commits", f"{len(self._names('commits')):010}.json"), keep)
+                return
+            except Py4JJavaError as e:
+                if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+                    raise  # else another load took the number: look again
+
+    def load(self, staged: Mapping[str, tuple[DataFrame, int]]) -> dict[str, int]:
+        """All or nothing: write every table (with its expected rows), compare the counts that the writes gathered, and publish all by one commit."""
+        if taken := sorted(set(self.tables()) & set(staged)):
+            raise SourceError(f"already published: {', '.join(taken)}; nothing was")
+        load, counts = f"load-{uuid.uuid4().hex}", {}
+        try:
+            for name, (df, expected) in staged.items():
+                counts[name] = counted_write(df, f"{self.target}/{load}/{name}")["rows"]
+                if counts[name] != expected:
+                    raise SourceError(f"{name}: {counts[name]} rows instead of {expected}; nothing was published")
+            self._commit(load, counts)
+        except Exception:
+            self.fs.delete(self.path(load), True)
+            raise
         return counts
-    done: list[str] = []
-    for name in staged:
-        if fs.exists(path(target, name)) or not fs.rename(path(stage, name), path(target, name)):
-            for n in done:
-                fs.rename(path(target, n), path(stage, n))
-            raise SourceError(f"{name} cannot be published; nothing was")
-        done.append(name)
-    return counts
+
+    def recover(self) -> list[str]:
+        """Delete what loads left that died before their commit, and return their names; not to be called while a load runs."""
+        kept = {c["load"] for c in self.commits()}
+        left = [n for n in self._names() if n.startswith("load-") and n not in kept]
+        for n in left:
+            self.fs.delete(self.path(n), True)
+        return left
+
+
+def load_all(staged: Mapping[str, tuple[DataFrame, int]], target: str) -> dict[str, int]:
+    """Publish tables (each with its expected rows) in ``target``, all or none; see ``Publication``."""
+    return Publication(next(iter(staged.values()))[0].sparkSession, target).load(staged)
 
 
 def manifest(spark: SparkSession, run: str, inputs: Mapping[str, str], settings: Mapping[str, object], counts: Mapping[str, int], digests: Mapping[str, str]) -> DataFrame:

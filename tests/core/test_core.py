@@ -1,5 +1,6 @@
 """Unit cases of the catalogue operators."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -60,11 +61,11 @@ def test_typed_load_preflight_and_registry(spark, tmp_path):
         ledger.register(reg, reg)
     assert ledger.register(reg, spark.createDataFrame([("b",)], "code string")).count() == 2
     with pytest.raises(files.SourceError):
-        ledger.load_all({"t": (df, 2)}, str(tmp_path / "stage"), str(tmp_path / "out"))
-    assert not (tmp_path / "out").exists()
-    ledger.load_all({"t": (df, 1)}, str(tmp_path / "stage2"), str(tmp_path / "out"))
+        ledger.load_all({"t": (df, 2)}, str(tmp_path / "out"))
+    assert not list((tmp_path / "out").iterdir())
+    ledger.load_all({"t": (df, 1)}, str(tmp_path / "out"))
     with pytest.raises(Exception):
-        ledger.write_once(df, str(tmp_path / "out" / "t"))
+        ledger.write_once(df, ledger.Publication(spark, str(tmp_path / "out")).tables()["t"])
 
 
 def sky(spark, *rows):
@@ -183,25 +184,55 @@ def test_coordinate_offsets_count_every_object(spark, monkeypatch):
     assert (r["offset_median"], r["above_0"], r["above_1"]) == (0.0, 1, 1) and r["offset_max"] == 0.509
 
 
-def test_digest_collects_repeated_rows_once(spark):
-    import hashlib
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
 
-    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+def test_digest_counts_repeated_rows_once(spark):
     d = spark.range(3000).select(F.lit("a").alias("v"))
-    assert digest.table_digest(d, ["v"]).first() == (3000, sha(sha(sha("a") + "x3000")))
-    assert digest.table_digest(d.limit(1), ["v"]).first() == (1, sha(sha(sha("a"))))
+    assert digest.table_digest(d, ["v"]).first() == (3000, sha(sha("a") + "x3000"))
+    assert digest.table_digest(d.limit(1), ["v"]).first() == (1, sha(sha("a")))
+    assert digest.table_digest(d.limit(0), ["v"]).first() == (0, sha(""))
     assert digest.table_digest(d.limit(2999), ["v"]).first()["sha256"] != digest.table_digest(d, ["v"]).first()["sha256"]
 
 
+def test_digest_tree_is_as_deep_as_the_table_asks_for(spark, monkeypatch):
+    assert [digest.depth_for(n) for n in (0, 256, 257, 65_536, 65_537, 10**12)] == [0, 0, 1, 1, 2, 4]
+    monkeypatch.setattr(digest, "FAN", 4)  # a deeper tree over few rows
+    d = spark.range(600).select((F.col("id") % 500).alias("id"))
+    times = {sha(str(i)): 2 if i < 100 else 1 for i in range(500)}
+    level = {}
+    for row, n in times.items():
+        level.setdefault(row[:8], []).append(row + ("x2" if n == 2 else ""))
+    level = {k: sha("".join(sorted(v))) for k, v in level.items()}
+    for k in (6, 4, 2, 0):
+        up = {}
+        for key, s in sorted(level.items()):
+            up.setdefault(key[:k], []).append(key[k:] + s)
+        level = {key: sha("".join(v)) for key, v in up.items()}
+    assert digest.depth_for(500) == 4 and digest.table_digest(d, ["id"]).first() == (600, level[""])
+
+
 def test_digest(spark):
     d = spark.range(500).select("id", (F.col("id") / 7).alias("v"))
     one = digest.table_digest(d, ["id", "v"]).first()
     assert one == digest.table_digest(d.orderBy(F.desc("id")).repartition(9), ["id", "v"]).first()
     assert one != digest.table_digest(d.withColumn("v", F.when(F.col("id") == 3, 0.01).otherwise(F.col("v"))), ["id", "v"]).first()
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="finite values"):
         digest.table_digest(d.withColumn("v", F.lit(float("nan"))), ["id", "v"])
 
 
+def test_tables_differ_where_their_trees_do(spark):
+    a = spark.range(3000).select("id", (F.col("id") % 7).alias("v"))
+    b = a.where("id <> 17").withColumn("v", F.when(F.col("id") == 99, 1000).otherwise(F.col("v"))).unionByName(a.where("id in (5, 6)"))
+    got = sorted(map(tuple, digest.table_difference(a, b, ["id", "v"]).collect()))
+    assert got == [(5, 5, 1, 2), (6, 6, 1, 2), (17, 3, 1, 0), (99, 1, 1, 0), (99, 1000, 0, 1)]
+    ta, tb = digest.table_tree(a, ["id", "v"]), digest.table_tree(b, ["id", "v"])
+    assert {r["key"] for r in digest.differing_nodes(ta, tb).collect()} == {sha(f"{i}\t{v}")[:2] for i, v, *_ in got}
+    assert digest.differing_nodes(ta, ta).count() == 0 == digest.table_difference(a, a, ["id"]).count()
+    assert digest.table_difference(a.limit(0), a.limit(2), ["id"]).count() == 2
+
+
 def test_contracts_refuse(spark):
     led = spark.createDataFrame([("s", "split", "x"), ("s", "binding", "")], "sample string, kind string, digest string")
     s = contract.sample_contract(led, ["split", "binding"])
@@ -288,17 +319,64 @@ def test_fixed_width_files_strip_all_white_space(spark, tmp_path):
 
 
 def test_load_is_all_or_nothing(spark, tmp_path):
-    one, two = spark.range(3).toDF("k"), spark.range(5).toDF("k")
-    target = tmp_path / "out"
-    with pytest.raises(files.SourceError):
-        ledger.load_all({"t1": (one, 3), "t2": (two, 4)}, str(tmp_path / "s1"), str(target))
-    assert not target.exists()
-    assert ledger.load_all({"t2": (two, 5)}, str(tmp_path / "s2"), str(target)) == {"t2": 5}
+    one, two, target = spark.range(3).toDF("k"), spark.range(5).toDF("k"), str(tmp_path / "out")
+    done = ledger.Publication(spark, target)
+    with pytest.raises(files.SourceError, match="5 rows instead of 4"):
+        ledger.load_all({"t1": (one, 3), "t2": (two, 4)}, target)
+    assert done.tables() == {} and [x.name for x in (tmp_path / "out").iterdir() if "load" in x.name] == []
+    assert ledger.load_all({"t2": (two, 5)}, target) == {"t2": 5}  # the failed load is no obstacle, and nothing of it shows
     with pytest.raises(files.SourceError, match="t2; nothing"):
-        ledger.load_all({"t1": (one, 3), "t2": (two, 5)}, str(tmp_path / "s3"), str(target))
-    assert sorted(x.name for x in target.iterdir()) == ["t2"]
-    ledger.load_all({"t1": (one, 3), "t3": (two, 5)}, str(tmp_path / "s4"), str(target))
-    assert spark.read.parquet(str(target / "t1")).count() == 3 and spark.read.parquet(str(target / "t3")).count() == 5
+        ledger.load_all({"t1": (one, 3), "t2": (two, 5)}, target)
+    assert sorted(done.tables()) == ["t2"]
+    assert ledger.load_all({"t1": (one, 3), "t3": (two, 5)}, target) == {"t1": 3, "t3": 5}
+    assert (done.read("t1").count(), done.read("t3").count(), len(done.commits())) == (3, 5, 2)
+    with pytest.raises(files.SourceError, match="t9 is not published"):
+        done.read("t9")
+
+
+def test_load_that_died_is_not_published(spark, tmp_path, monkeypatch):
+    one, target = spark.range(3).toDF("k"), str(tmp_path / "out")
+    done = ledger.Publication(spark, target)
+    with monkeypatch.context() as m:  # died after its tables were written, before the commit
+        m.setattr(ledger.Publication, "_commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            done.load({"t1": (one, 3)})
+    assert done.tables() == {}
+    assert done.load({"t1": (one.where("k > 0"), 2)}) == {"t1": 2} and done.read("t1").count() == 2
+    left = done.recover()
+    assert len(left) == 1 and done.recover() == [] and done.read("t1").count() == 2
+
+
+def test_loads_at_the_same_time(spark, tmp_path, monkeypatch):
+    """Two loads find the same next number; one takes the next, unless their tables clash."""
+    one, two = spark.range(3).toDF("k"), spark.range(4).toDF("k")
+    a, b = (ledger.Publication(spark, str(tmp_path / "out")) for _ in range(2))
+    names, first = a._names, []
+
+    def stale(*parts):
+        if parts == ("commits",) and not first:
+            first.append(names(*parts))
+            b.load({"t2": (two, 4)})  # between a's look and its renaming
+            return first[0]
+        return names(*parts)
+
+    commit = a._commit
+    monkeypatch.setattr(a, "_commit", lambda *x: (monkeypatch.setattr(a, "_names", stale), commit(*x)))
+    a.load({"t1": (one, 3)})
+    assert sorted(a.tables()) == ["t1", "t2"] and len(b.commits()) == 2
+    with pytest.raises(files.SourceError, match="already published: t1"):
+        b._commit("load-x", {"t1": 1})
+
+
+def test_sample_is_published_only_as_the_funnel_counts_it(spark, tmp_path):
+    rows = [(i, True, i % 2 == 0, i % 5 == 0, i % 7 == 0, False) for i in range(70)]
+    p = spark.createDataFrame(rows, "id long, complete boolean, error_qualified boolean, is_focal boolean, is_second boolean, is_third boolean")
+    counts = population.publish_members(p, str(tmp_path / "sample"))
+    assert counts["matched"] == 70 and counts["labelled"] == counts["rows"] == spark.read.parquet(str(tmp_path / "sample")).count()
+    assert counts == population.funnel(p).first().asDict() | {"rows": counts["rows"]}
+    wrong = spark.range(1).select(F.lit(3).alias("labelled"), F.lit(2).alias("rows")).first().asDict()
+    with pytest.raises(ValueError, match="2 members, but the funnel labels 3"):
+        population.require_labelled(wrong)
 
 
 def test_manifest_runs_and_stage_counts(spark, tmp_path):
