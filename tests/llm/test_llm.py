@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -354,80 +355,87 @@ def test_url_templates_generalise_and_reject(spark):
     assert got[205]["verdict"] == "block" and got[305]["verdict"] == "allow"
 
 
+def one_share_rather_than_two(a, n, b, m):
+    """The Bayes factor in whole numbers: a share's marginal likelihood of k of n is 1 / ((n + 1) C(n, k))."""
+    marginal = lambda k, n: Fraction(1, (n + 1) * math.comb(n, k))
+    return marginal(a + b, n + m) / (marginal(a, n) * marginal(b, m)) >= Fraction(urltree.SIMILAR)
+
+
 def brute_tree(rows):
-    """Verdict, template and purity of each (host, path, label), by plain Python."""
+    """Verdict, template and purity of each (host, path, label), by plain recursion over whole names."""
     split = lambda p: tuple(s for s in p.split("/") if s)
     end = lambda s: m.group(1) if (m := re.search(r"(\.[A-Za-z0-9]{1,8})$", s)) else ""
     paths = {}
     for host, path, label in rows:
         x = paths.setdefault((host, split(path)), [0, 0, 0])
         x[0], x[1], x[2] = x[0] + 1, x[1] + (label == "block"), x[2] + (label is not None)
-    nodes, k = {p: [""] for p in paths}, 0
-    going = {p for p in paths if p[1]}
-    while going:
+    ways = {}
+
+    def grow(own, k, way):
+        chain = ()
+        while all(len(p[1]) > k + len(chain) for p in own) and len({p[1][k + len(chain)] for p in own}) == 1:
+            chain += (own[0][1][k + len(chain)],)
+        k += len(chain)
+        if chain:
+            way = (way if way == [()] else way[:-1]) + [way[-1] + chain]
         kids = {}
-        for p in going:
-            kids.setdefault((p[0], nodes[p][-1]), {}).setdefault(p[1][k], []).append(p)
-        branch = {}
-        for (host, node), by in kids.items():
-            if sum(map(len, by.values())) < urltree.VARIED:
-                continue
-            n = sum(paths[p][0] for ps in by.values() for p in ps)
-            wild = len(by) >= urltree.VARIED and 2 * len(by) > n
-            sib = {}
-            for seg, ps in by.items():
-                x = sib.setdefault(f"*{end(seg)}" if wild else seg, [0, 0, set()])
-                branch[host, node, seg] = f"*{end(seg)}" if wild else seg
-                for p in ps:
-                    x[0], x[1] = x[0] + paths[p][1], x[1] + paths[p][2]
-                    below = p[1][k + 1] if len(p[1]) > k + 1 else None
-                    x[2].add("" if below is None else ("#" if below[0] in "0123456789" else "a") + (end(below) if len(p[1]) == k + 2 else ""))
-            groups = {}
-            for name, (b, m, shape) in sib.items():
-                if m:
-                    groups.setdefault(frozenset(shape), []).append(((b + 1) / (m + 2), m, b, name))
-            for g in groups.values():
-                own, last = [], None
-                for x in sorted(g):
-                    if x[:3] == last:
-                        own[-1].append(x)
-                        continue
-                    a, m = (sum(y[2] for y in own[-1]), sum(y[1] for y in own[-1])) if own else (0, 0)
-                    if own and urltree.one_share(a, m, x[2], x[1]) >= math.log(urltree.SIMILAR):
-                        own[-1].append(x)
-                    else:
-                        own.append([x])
-                    last = x[:3]
-                for cluster in own:
-                    least = min(x[3] for x in cluster)
-                    for seg in by:
-                        if branch[host, node, seg] in {x[3] for x in cluster}:
-                            branch[host, node, seg] = least
-        again = set()
-        for p in going:
-            to = branch.get((p[0], nodes[p][-1], p[1][k]))
-            nodes[p].append(f"{nodes[p][-1]}/{'/'.join(p[1][k:]) if to is None else to}")
-            if to is not None and len(p[1]) > k + 1:
-                again.add(p)
-        going, k = again, k + 1
+        for p in own:
+            if len(p[1]) == k:
+                ways[p] = way
+            else:
+                kids.setdefault(p[1][k], []).append(p)
+        n = sum(paths[p][0] for ps in kids.values() for p in ps)
+        wild = len(kids) >= urltree.VARIED and 2 * len(kids) > n
+        sib = {}
+        for seg, ps in kids.items():
+            sib.setdefault(f"*{end(seg)}" if wild else seg, []).extend(ps)
+        groups, to = {}, {name: name for name in sib}
+        for name, ps in sib.items():
+            b, m = (sum(paths[p][i] for p in ps) for i in (1, 2))
+            below = [p[1][k + 1] if len(p[1]) > k + 1 else None for p in ps]
+            shape = frozenset("" if x is None else ("#" if x[0] in "0123456789" else "a") + (end(x) if len(p[1]) == k + 2 else "") for x, p in zip(below, ps, strict=True))
+            if m:
+                groups.setdefault(shape, []).append((Fraction(b + 1, m + 2), m, b, name))
+        for g in groups.values():
+            own_, last = [], None
+            for x in sorted(g):
+                a, m = (sum(y[2] for y in own_[-1]), sum(y[1] for y in own_[-1])) if own_ else (0, 0)
+                if own_ and (x[:3] == last or one_share_rather_than_two(a, m, x[2], x[1])):
+                    own_[-1].append(x)
+                else:
+                    own_.append([x])
+                last = x[:3]
+            for cluster in own_:
+                for x in cluster:
+                    to[x[3]] = min(y[3] for y in cluster)
+        after = {}
+        for name, ps in sib.items():
+            after.setdefault(to[name], []).extend(ps)
+        for name, ps in after.items():
+            grow(ps, k + 1, [*way, way[-1] + (name,)])
+
+    for host in {h for h, _ in paths}:
+        grow([p for p in paths if p[0] == host], 0, [()])
     over, within = {}, {}
     for p, (_, b, m) in paths.items():
-        for node in nodes[p]:
+        for node in ways[p]:
             for t, key in ((over, node), (within, (p[0], node))):
                 x = t.setdefault(key, [0, 0])
                 x[0], x[1] = x[0] + b, x[1] + m
-    share = (over[""][0] + urltree.PRIOR / 2) / (over[""][1] + urltree.PRIOR)
+    share = (over[()][0] + urltree.PRIOR / 2) / (over[()][1] + urltree.PRIOR)
     out = {}
     for p in paths:
         q = share
-        for b, m in [over[n] for n in nodes[p]] + [within[p[0], n] for n in nodes[p]]:
+        for b, m in [over[n] for n in ways[p]] + [within[p[0], n] for n in ways[p]]:
             q = (b + urltree.PRIOR * q) / (m + urltree.PRIOR) if m else q
-        out[p] = nodes[p][-1], q
+        out[p] = "".join(f"/{x}" for x in ways[p][-1]), q
     return {(h, p, lab): (lab or ("block" if out[h, split(p)][1] > urltree.REJECT else "allow"), *out[h, split(p)]) for h, p, lab in rows}
 
 
-def test_url_tree_against_brute_force(spark):
+@pytest.mark.parametrize("local", [12, urltree.LOCAL])
+def test_url_tree_against_brute_force(spark, monkeypatch, local):
     """Deep and repeated paths, suffixes, empty hosts, similar and different branches, and the real pages."""
+    monkeypatch.setattr(urltree, "LOCAL", local)
     rng = np.random.default_rng(14)
     urls = [None, None, "no scheme", "http:///only/path", "http://a.com", "http://a.com/", "http://a.com//x///y"]
     urls += [f"http://a.com/{'/'.join('abcdefgh')}/{rng.choice(['de', 'fr'])}/{i}" for i in range(40)]
@@ -436,8 +444,10 @@ def test_url_tree_against_brute_force(spark):
     urls += [f"http://s.example.org/{w}/{rng.choice(['es', 'en'])}/{i}" for w in "klmn" for i in range(20)] + ["http://s.example.org/k/es/1"] * 30
     urls += [f"http://example.org/{rng.choice(['es', 'en'])}/{i}" for i in range(60)] + [f"http://c.com/{'de' if i % 5 < 2 else 'fr'}/{i % 4}" for i in range(60)]
     urls += [f"http://c.com/{'de/' if i % 5 < 3 else 'fr/'}{i}/" + "x" * 3000 for i in range(30)]
+    urls += [f"http://comb.com/{'/'.join('c' * (i + 1))}/{w}" for i in range(20) for w in ('end', 'stop')] + [f"http://t.com/{w}/{i}" for w in ('de', 'fr') for i in (1, 3, 5)]
+    urls += [f"http://one.com/{'/'.join(f'd{k}' for k in range(300))}/{i}" for i in range(3)]
     real = [r["url"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect()]
-    for given in (urls, real):
+    for given in (urls, real) if local > 12 else (urls,):
         d = spark.createDataFrame(list(enumerate(given)), "page_id long, url string").withColumn("node", F.lit(1)).withColumn("segs", F.lit(2))
         got = urltree.judge(d).collect()
         label = {r["page_id"]: r["verdict"] if r["rule"] else None for r in got}
@@ -448,6 +458,19 @@ def test_url_tree_against_brute_force(spark):
             assert (r["verdict"], r["template"]) == (verdict, template) and abs(r["purity"] - p) < 1e-9
 
 
+def test_url_tree_does_not_grow_with_depth(spark):
+    """Deep chains take no rounds: the jobs of 300 segments are those of four."""
+    def jobs(depth):
+        d = spark.createDataFrame([(i, f"http://x.net/{'/'.join(f's{k}' for k in range(depth))}/{i}") for i in range(20)], "page_id long, url string")
+        group = f"depth{depth}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r["template"] for r in urltree.judge(d).collect()}
+        assert len(got) == 1
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(300) <= jobs(4) + 2
+
+
 def test_branches_are_merged_by_their_counts():
     one = urltree.one_share
     assert one(39, 100, 41, 100) > 0 > one(10, 100, 60, 100) and one(0, 1, 1, 1) < 0 < one(1, 1, 1, 1)
