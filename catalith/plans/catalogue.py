@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import uniform
 from ..functions.linalg import project, spectrum
 from ..functions.sphere import cosine_separation, unit_vector
 from ..operators import audit, binding, contract, digest, evaluate, features, labels, measure, neighbors, population, records, spatial, split, uncertainty
@@ -900,7 +901,6 @@ def one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select("doc_id", evaluate.one_vs_rest(None, "lang", "en").alias("y"))
 
 
-_U = "(('0x' || substring(md5(concat_ws(':', {k})), 1, 13))::BIGINT)/4503599627370496e0"
 _H = "md5(concat_ws(':', l_orderkey, l_linenumber, band, i, 'mc'))"
 _G = f"sqrt(-2e0*ln(1e0 - (('0x' || substring({_H}, 1, 13))::BIGINT)/4503599627370496e0))*cos(6.283185307179586e0*(('0x' || substring({_H}, 14, 13))::BIGINT)/4503599627370496e0)"
 
@@ -913,14 +913,55 @@ def mc_colors(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("name", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "failed")
 
 
-@query(_SCORED + f""", p AS (SELECT doc_id, target, CAST((score > 5e-1) = (target = 1) AS INTEGER) AS a, CAST((score > 7e-1) = (target = 1) AS INTEGER) AS b, row_number() OVER (PARTITION BY target ORDER BY md5(concat_ws(':', doc_id, 'boot')), doc_id) AS place, count(*) OVER (PARTITION BY target) AS size FROM s),
-d AS (SELECT target, i, CAST(floor({_U.format(k="target, place, i, 'boot'")}*size) AS BIGINT) + 1 AS drawn FROM p CROSS JOIN (SELECT unnest(range(0, 40)) AS i)),
-r AS (SELECT i, sum(a - b)/CAST(count(*) AS DOUBLE) AS diff FROM d JOIN p ON d.target = p.target AND d.drawn = p.place GROUP BY i)
-SELECT round((SELECT avg(a - b) FROM p), 6) AS observed, count(*) AS replicates, round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS lower, round(quantile_cont(diff, 0.975), 6) AS upper FROM r""")
+def _counted(counter: str, seed: int) -> str:
+    """The fraction in [0, 1) of a counter (an unsigned 64-bit number) of a seed, in whole numbers of 128 bits."""
+    whole = "18446744073709551616::UHUGEINT"
+    z = f"(({counter})::UHUGEINT * {uniform.STEP}::UHUGEINT % {whole} + {seed}) % {whole}"
+    for shift, factor in ((30, uniform.FIRST), (27, uniform.SECOND)):
+        z = f"(xor(({z})::UBIGINT, (({z})::UBIGINT >> {shift}))::UHUGEINT * {factor}::UHUGEINT % {whole})"
+    return f"((xor(({z})::UBIGINT, (({z})::UBIGINT >> 31)) >> 11)::DOUBLE / 9007199254740992e0)"
+
+
+_BOOT = _SCORED + f""", p AS (SELECT target, CAST((score > 5e-1) = (target = 1) AS INTEGER) AS a, CAST((score > 7e-1) = (target = 1) AS INTEGER) AS b, dense_rank() OVER (ORDER BY target) - 1 AS k,
+row_number() OVER (PARTITION BY target ORDER BY (score > 5e-1) = (target = 1), (score > 7e-1) = (target = 1)) - 1 AS place, count(*) OVER (PARTITION BY target) AS size FROM s),
+d AS (SELECT k, i, CAST(floor({_counted('(k*2000 + i)*1099511627776 + place', SEED)}*size) AS BIGINT) AS place FROM p CROSS JOIN (SELECT unnest(range(0, 2000)) AS i)),
+r AS (SELECT i, sum(a - b)/CAST(count(*) AS DOUBLE) AS diff FROM d JOIN p ON d.k = p.k AND d.place = p.place GROUP BY i)"""
+
+
+@query(_BOOT + """ SELECT round((SELECT avg(a - b) FROM p), 6) AS observed, count(*) AS replicates, round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS lower, round(quantile_cont(diff, 0.975), 6) AS upper FROM r""")
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     s = _scored(spark, sf)
     ok = lambda x: ((F.col("score") > x) == (F.col("target") == 1)).cast("int")
-    return _rounded(uncertainty.paired_bootstrap(s.withColumn("ok_a", ok(0.5)).withColumn("ok_b", ok(0.7)), "target", "doc_id", 40, "boot"))
+    return _rounded(uncertainty.paired_bootstrap(s.withColumn("ok_a", ok(0.5)).withColumn("ok_b", ok(0.7)), "target", 2000, SEED))
+
+
+# 100 realisations of the magnitudes r, i and y of the lines that have all three; the target is a tax over 3.5 percent
+_DRAWN = ", ".join(f"{b} + {b}_err*sqrt(-2e0*ln(1e0 - {_counted(f'((key*100 + k)*3 + {j})*2', SEED)}))*cos(6.283185307179586e0*{_counted(f'((key*100 + k)*3 + {j})*2 + 1', SEED)}) AS {b}" for j, b in enumerate("riy"))
+_REALISED = f"""WITH {fx.WIDE}, m AS MATERIALIZED (SELECT l_orderkey*8 + l_linenumber AS key, CAST(ebv > 3.5e-2 AS INTEGER) AS target, {', '.join(f'CAST({b} AS DOUBLE) AS {b}, CAST({b}_err AS DOUBLE) AS {b}_err' for b in 'riy')} FROM wide WHERE i <> 99),
+x AS MATERIALIZED (SELECT -1 AS k, target, r - i AS a, i - y AS b FROM m UNION ALL SELECT k, target, r - i, i - y FROM (SELECT k, target, {_DRAWN} FROM m CROSS JOIN (SELECT unnest(range(0, 100)) AS k))),
+f AS (SELECT k, var_pop(a) AS va, var_pop(b) AS vb, avg(a) FILTER (target = 0) AS a0, avg(b) FILTER (target = 0) AS b0, avg(a) FILTER (target = 1) AS a1, avg(b) FILTER (target = 1) AS b1 FROM x GROUP BY k),
+s AS MATERIALIZED (SELECT k, target, ((a-a0)*(a-a0)/va + (b-b0)*(b-b0)/vb) - ((a-a1)*(a-a1)/va + (b-b1)*(b-b1)/vb) AS score FROM x JOIN f USING (k)),
+t AS (SELECT score, sum(sum(target)) OVER (ORDER BY score DESC) AS tp FROM s WHERE k = -1 GROUP BY score), l AS (SELECT max(score) AS lim FROM t WHERE tp/(SELECT sum(target) FROM s WHERE k = -1) >= 3e-1),
+c AS (SELECT CAST(k AS INTEGER) AS realisation, count(*) AS n, 0::BIGINT AS failed, count(*) FILTER (score >= lim AND target = 1) AS tp, count(*) FILTER (score >= lim AND target = 0) AS fp, count(*) FILTER (score < lim AND target = 1) AS fn FROM s CROSS JOIN l WHERE k >= 0 GROUP BY k),
+q AS (SELECT *, {_METRICS} FROM c)"""
+
+
+def _realised(spark: SparkSession, sf: str) -> DataFrame:
+    w = fx.wide(spark, sf).where("i <> 99").selectExpr("l_orderkey*8 + l_linenumber AS key", "CAST(ebv > 3.5e-2 AS INT) AS target", *[f"{b}{e}" for b in "riy" for e in ("", "_err")])
+    return uncertainty.realisation_metrics(w, uncertainty.Measured("key", list("riy"), [f"{b}_err" for b in "riy"], "target"), 100, SEED, 0.3)
+
+
+@query(_REALISED + " SELECT * FROM q")
+def realisation_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The locked method refitted and judged on each of 100 realisations of the measurements."""
+    return _rounded(_realised(spark, sf))
+
+
+@query(_REALISED + " SELECT metric, count(*) AS realisations, count(v) AS finite, count(*) - count(v) AS failed, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std, round(quantile_cont(v, 0.025), 5) AS lower, round(quantile_cont(v, 0.975), 5) AS upper "
+       "FROM (UNPIVOT (SELECT precision, recall, contamination, f1 FROM q) ON precision, recall, contamination, f1 INTO NAME metric VALUE v) GROUP BY metric")
+def realisation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    s = uncertainty.summarize_realisations(_rounded(_realised(spark, sf)))
+    return s.select(*[F.round(f.name, 5).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in s.schema])
 
 
 @query("""WITH s AS (SELECT user_id AS run, ts AS seen_at, event_type AS status FROM events) SELECT run, arg_max(status, (seen_at, status)) AS status, epoch_us(max(seen_at)) AS seen_at FROM s GROUP BY run""")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalith.functions import uniform
 from catalith.functions.linalg import spectrum
 from catalith.functions.ranks import in_ranges, quantiles, running
 from catalith.operators import audit, binding, contract, digest, evaluate, features, measure, neighbors, population, records, spatial, split, uncertainty
@@ -273,7 +274,7 @@ def test_uncertainty_identities(spark):
     long = six(spark).select("object_id", F.lit("u").alias("band"), F.col("u").alias("mag"), F.lit(0.0).alias("mag_err"))
     assert uncertainty.realisations(long, ["object_id"], 3, "s").select("object_id", "mag").distinct().count() == 6
     p = spark.range(50).select("id", (F.col("id") % 2).alias("c"), F.lit(1).alias("ok_a"), F.lit(1).alias("ok_b"))
-    r = uncertainty.paired_bootstrap(p, "c", "id", 20, "s").first()
+    r = uncertainty.paired_bootstrap(p, "c", 20, 7).first()
     assert (r["observed"], r["lower"], r["upper"], r["replicates"]) == (0.0, 0.0, 0.0, 20)
 
 
@@ -500,7 +501,7 @@ def test_bootstrap_of_another_metric(spark):
     def contamination(total):
         return (1 - total("ta") / total("a")) - (1 - total("tb") / total("b"))
 
-    r = uncertainty.paired_bootstrap(d, "y", "id", 60, "s", columns=("a", "b", "ta", "tb"), metric=contamination).first()
+    r = uncertainty.paired_bootstrap(d, "y", 60, 7, columns=("a", "b", "ta", "tb"), metric=contamination).first()
     share = lambda k, t: 1 - sum(x[t] for x in rows) / sum(x[k] for x in rows)
     assert abs(r["observed"] - (share(2, 4) - share(3, 5))) < 1e-12 and r["replicates"] == 60 and r["lower"] <= r["observed"] <= r["upper"]
 
@@ -555,3 +556,66 @@ def test_split_over_many_ranges(spark):
     rows = spark.createDataFrame([(i, "a" if i % 9 else None) for i in range(700)], "id long, s string")
     one, many = ({r["id"]: (r["place"], r["stratum_size"]) for r in split.hash_ranked(rows, "s", ["id"], 1, n).collect()} for n in (10**6, 20))
     assert one == many and sorted(p for p, n in one.values() if n == 78) == list(range(1, 79))
+
+
+def mixed(seed, c):
+    """The counter's number in whole numbers."""
+    whole = 2**64
+    z = (c * 0x9E3779B97F4A7C15 + seed) % whole
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % whole
+    z = (z ^ z >> 27) * 0x94D049BB133111EB % whole
+    return ((z ^ z >> 31) >> 11) / 2**53
+
+
+def test_counted_numbers():
+    c = [0, 1, 2, 7, 2**40 + 3, 2**63, 2**64 - 1]
+    assert uniform.counted(99, np.array(c, np.uint64)).tolist() == [mixed(99, x) for x in c]
+    u = uniform.counted(5, np.arange(100_000))
+    n = uniform.counted_normals(5, np.arange(100_000))
+    assert abs(u.mean() - 0.5) < 0.005 and abs(n.mean()) < 0.02 and abs(n.std() - 1) < 0.01
+
+
+def test_bootstrap_draws_places(spark, monkeypatch):
+    """Against a loop over all draws, in slices of a few draws and partitions of any number."""
+    rows = [(i, [None, "a", "b"][i % 3], int(i % 4 > 0), int(i % 5 > 0)) for i in range(100)]
+    d = spark.createDataFrame(rows, "id long, s string, ok_a int, ok_b int")
+    differences = []
+    strata = [sorted((a, b) for _, t, a, b in rows if t == s) for s in (None, "a", "b")]
+    for r in range(30):
+        drawn = [c[int(mixed(11, ((k * 30 + r) << 40) + i) * len(c))] for k, c in enumerate(strata) for i in range(len(c))]
+        differences.append(sum(a - b for a, b in drawn) / len(rows))
+    lower, upper = np.quantile(differences, [0.025, 0.975])
+    for draws in (7, 4096):
+        monkeypatch.setattr(uncertainty, "DRAWS", draws)
+        got = uncertainty.paired_bootstrap(d.repartition(3), "s", 30, 11).first()
+        assert got["replicates"] == 30 and abs(got["mean"] - np.mean(differences)) < 1e-12
+        assert abs(got["lower"] - lower) < 1e-12 and abs(got["upper"] - upper) < 1e-12
+    monkeypatch.setattr(uncertainty, "CELLS", 2)
+    with pytest.raises(ValueError, match="different rows"):
+        uncertainty.paired_bootstrap(d, "s", 30, 11)
+
+
+def test_realisations_against_a_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i % 3 == 0), *(rng.normal(size=3) + (i % 3 == 0)).tolist(), 0.1, 0.2, 0.3) for i in range(150)] + [(150, 1, float("inf"), 0.0, 0.0, 0.1, 0.1, 0.1)]
+    d = spark.createDataFrame(rows, "id long, y int, a double, b double, c double, ea double, eb double, ec double")
+    got = {r["realisation"]: r for r in uncertainty.realisation_metrics(d.repartition(4), uncertainty.Measured("id", ["a", "b", "c"], ["ea", "eb", "ec"], "y"), 8, 21, 0.4).collect()}
+    target = np.array([r[1] for r in rows])
+
+    def scores(k):
+        x = np.array([[m + e * (math.sqrt(-2 * math.log(1 - mixed(21, 2 * c))) * math.cos(2 * math.pi * mixed(21, 2 * c + 1)) if k >= 0 else 0) for j, (m, e) in enumerate(zip(r[2:5], r[5:8])) for c in [(r[0] * 8 + k) * 3 + j]] for r in rows])
+        c = x[:, :-1] - x[:, 1:]
+        ok = np.isfinite(c).all(axis=1)
+        mean, var = [c[ok & (target == t)].mean(axis=0) for t in (0, 1)], c[ok].var(axis=0)
+        return np.where(ok, ((c - mean[0]) ** 2 / var).sum(axis=1) - ((c - mean[1]) ** 2 / var).sum(axis=1), np.nan)
+
+    with np.errstate(invalid="ignore"):
+        base = scores(-1)
+        limit = max(s for s in base[:150] if (target[base >= s] == 1).sum() / (target[:150] == 1).sum() >= 0.4)
+        assert sorted(got) == list(range(8))
+        for k, r in got.items():
+            hit = scores(k) >= limit
+            tp, fp = int((hit & (target == 1)).sum()), int((hit & (target == 0)).sum())
+            assert (r["n"], r["failed"], r["tp"], r["fp"], r["fn"]) == (151, 1, tp, fp, int((target[:150] == 1).sum()) - tp)
+    s = {r["metric"]: r for r in uncertainty.summarize_realisations(spark.createDataFrame([(0, 0.5, None), (1, 0.7, 0.1)], "realisation int, precision double, f1 double"), ("precision", "f1")).collect()}
+    assert (s["precision"]["finite"], s["f1"]["failed"], s["f1"]["realisations"]) == (2, 1, 2) and abs(s["precision"]["lower"] - 0.505) < 1e-9
