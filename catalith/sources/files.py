@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.ranks import running
+from .scratch import written
 
 
 class SourceError(ValueError):
@@ -35,26 +37,54 @@ def fixed_width(lines: DataFrame, fields: Sequence[Field], markers: Sequence[str
     return lines.select(*rest, *cut)
 
 
-def numbered_lines(spark: SparkSession, path: str, blank: bool = True) -> DataFrame:
-    """source_file, source_row (from 1), value for each line, however the files are split; with ``blank`` false blank lines are left out and not counted.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, start (of the file block), id (ascending within a block), value of each line."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"), "value")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, source_row (from 1), value for each line, however the files are split.
 
     Lines of a file block keep their order in a scan, so a line's number is its place in
-    the block plus the lines of the file's earlier blocks; only the table of blocks is
-    windowed, and, among lines that are not all counted, each block.
+    the block plus the lines of the file's earlier blocks; only the table of blocks is windowed.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("id"), "value")
-    if not blank:
-        lines = lines.where(F.trim("value") != "")
-    blocks = lines.groupBy("source_file", "start").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
+    lines = _lines(spark, path)
+    blocks = lines.groupBy("source_file", "start").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     before = Window.partitionBy("source_file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     out = lines.join(blocks, ["source_file", "start"])
-    place = F.col("id") - F.col("least") + 1
-    if not blank and not blocks.where(F.col("most") - F.col("least") + 1 > F.col("n")).isEmpty():
-        place = F.row_number().over(Window.partitionBy("source_file", "start").orderBy("id"))
-    return out.select("source_file", (F.col("before") + place).cast("long").alias("source_row"), "value")
+    return out.select("source_file", (F.col("before") + F.col("id") - F.col("least") + 1).cast("long").alias("source_row"), "value")
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, source_row (from 1), value, whole for each record of CSV files: a line, or several, if line feeds stand inside quotes.
+
+    Files are read in blocks whatever they hold. A line begins a record if the quotes before it in its file are even: their
+    running count is taken within each block, on top of the sums of the file's earlier blocks (``running``). So are records
+    counted, and only lines of records of several are brought together, by the record's number, also across blocks. Blank
+    lines between records are none. Files without a quote open at a line's end or a blank line need no running count. ``whole`` is false
+    for a record whose quotes are odd, which is the last of a file that ends inside them. Lines of a record are joined by one line feed each.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = written(_lines(spark, path).withColumns({"odd": (quotes % 2).cast("long"), "blank": (F.trim("value") == "").cast("long")}), "lines")
+    blocks = lines.groupBy("source_file", "start").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.sum(F.col("odd") + F.col("blank")).alias("special"))
+    file = Window.partitionBy("source_file")
+    before = F.coalesce(F.sum("n").over(file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = written(blocks.select("source_file", "start", "least", before.alias("before"), F.sum("special").over(file).alias("special")), "blocks")
+    plain = lines.join(blocks.where("special = 0"), ["source_file", "start"])
+    plain = plain.select("source_file", (F.col("before") + F.col("id") - F.col("least") + 1).cast("long").alias("source_row"), "value", F.lit(True).alias("whole"))
+    if blocks.where("special > 0").isEmpty():
+        return plain
+    rest = lines.join(blocks.where("special > 0").select("source_file", "start"), ["source_file", "start"])
+    rest = running(rest, "start", ["id"], {"quotes": F.col("odd")}, ["source_file"])
+    closed = (F.col("quotes") - F.col("odd")) % 2 == 0
+    rest = rest.withColumn("begins", closed & (F.col("blank") == 0)).where(~(closed & (F.col("blank") == 1)))
+    rest = written(running(rest, "start", ["id"], {"record": F.col("begins").cast("long")}, ["source_file"]), "records")
+    one = rest.where("begins and odd = 0").select("source_file", F.col("record").alias("source_row"), "value", F.lit(True).alias("whole"))
+    parts = rest.where("not begins or odd = 1").groupBy("source_file", F.col("record").alias("source_row")).agg(F.sort_array(F.collect_list(F.struct("start", "id", "value"))).alias("parts"), (F.sum("odd") % 2 == 0).alias("whole"))
+    return plain.unionByName(one).unionByName(parts.select("source_file", "source_row", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value"), "whole"))
 
 
 def read_fixed_width(spark: SparkSession, path: str, fields: Sequence[Field], markers: Sequence[str] = ("",)) -> DataFrame:
@@ -65,39 +95,23 @@ def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str], markers
     """source_file, source_row, and text columns renamed by ``columns`` (source name -> target name, in file order).
 
     The header of every file must equal the declared names. Blank lines are not rows and
-    have no number. A row with another number of cells fails the read when it is reached.
-    Lines are parsed where they are; only files that have a quote open at a line's end
-    (a line feed inside a cell, at 1-based row numbers of rows, not lines) are parsed whole, by one task each.
+    have no number. A row with another number of cells, or in quotes that never close, fails the read when it is reached.
+    Files are read once, in blocks, also where line feeds stand inside cells (see ``csv_records``).
     """
     want = list(columns)
     schema = ", ".join(f"`{c}` string" for c in [*want, "__bad"])
-    options = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}
-    lines = numbered_lines(spark, path, blank=False)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    open_files = [r["source_file"] for r in lines.where(quotes % 2 == 1).select("source_file").distinct().collect()]
-    rows = lines.where(~F.col("source_file").isin(open_files)) if open_files else lines
-    rows = rows.select("source_file", "source_row", F.from_csv("value", schema, options).alias("rows"))
-    if open_files:
-        rows = rows.unionByName(_whole_files(spark, path, open_files, schema, options))
+    options = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE", "multiLine": "true"}
+    rows = csv_records(spark, path).select("source_file", "source_row", "whole", F.from_csv("value", schema, options).alias("rows"))
     cells = F.array(*[F.coalesce(F.col("rows")[c], F.lit("")) for c in want])
-    wrong = rows.where("source_row = 1").where(F.col("rows.__bad").isNotNull() | (cells != F.array(*map(F.lit, want))))
+    wrong = rows.where("source_row = 1").where(F.col("rows.__bad").isNotNull() | ~F.col("whole") | (cells != F.array(*map(F.lit, want))))
     if bad := [r["source_file"] for r in wrong.select("source_file").limit(5).collect()]:
         raise SourceError(f"the header is not {want} in {bad}")
     place = F.concat(F.lit(f"not {len(want)} cells in row "), (F.col("source_row") - 1).cast("string"), F.lit(" of "), "source_file")
-    sound = F.when(F.col("rows.__bad").isNull(), cells).otherwise(F.raise_error(place))
+    sound = F.when(F.col("rows.__bad").isNull() & F.col("whole"), cells).otherwise(F.raise_error(place))
     body = rows.where("source_row > 1").select("source_file", (F.col("source_row") - 1).alias("source_row"), sound.alias("cells"))
     return body.select("source_file", "source_row", *[without_markers(F.col("cells")[i], markers).alias(t) for i, t in enumerate(columns.values())])
 
 
-def _whole_files(spark: SparkSession, path: str, files: list[str], schema: str, options: Mapping[str, str]) -> DataFrame:
-    """source_file, source_row, rows of files with line feeds inside quotes."""
-    read = spark.read.schema(schema).options(**options, multiLine=True, header=False).csv(path)
-    read = read.select(F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in read.columns]).alias("rows"))
-    read = read.where(F.col("source_file").isin(files))
-    first = read.groupBy("source_file").agg(F.min("id").alias("least"))
-    return read.join(first, "source_file").select("source_file", (F.col("id") - F.col("least") + 1).alias("source_row"), "rows")
-
-
 def typed(df: DataFrame, types: Mapping[str, str], strict: bool = True) -> DataFrame:
     """Columns cast to their types. A malformed value fails the load; with strict false it is null (see ``rejects``)."""
     return df.select(*[(F.col(c).cast(types[c]) if strict else F.col(c).try_cast(types[c])).alias(c) if c in types else F.col(c) for c in df.columns])

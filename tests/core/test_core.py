@@ -311,6 +311,35 @@ def test_csv_quotes_ragged_rows_and_blank_lines(spark, tmp_path):
     assert (wrong, n) == (0, 2000)
 
 
+def test_csv_records_over_blocks(spark, tmp_path):
+    """Line feeds, blank lines and quotes inside cells, in files cut into blocks anywhere: every record, its number, and many tasks."""
+    rng = np.random.default_rng(2)
+    want = {}
+    for f in range(3):
+        p, text, n = tmp_path / f"f{f}.csv", "a,b\n", 0
+        for i in range(400):
+            b = "".join(rng.choice(["x", "\n", "\n\n", '"', ",", "long " * 9]) for _ in range(int(rng.integers(6)))) if f else f"plain {i}"
+            n += 1
+            want[f"f{f}.csv", n] = (str(i), b or None)
+            quoted = '"' + b.replace('"', '""') + '"' if f else b
+            text += f"{i},{quoted}\n" + ("\n" if f == 2 and i % 7 == 0 else "")
+        p.write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert files.csv_records(spark, str(tmp_path)).select("source_file").distinct().count() == 3
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        rows = files.read_csv(spark, str(tmp_path), {"a": "a", "b": "b"}).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {(r["source_file"].rsplit("/", 1)[1], r["source_row"]): (r["a"], r["b"]) for r in rows}
+    assert len(rows) == len(want) and got == want
+    (tmp_path / "open.csv").write_text('a,b\n1,"x\ny\n')
+    with pytest.raises(Exception, match="not 2 cells in row 1"):
+        files.read_csv(spark, str(tmp_path / "open.csv"), {"a": "a", "b": "b"}).collect()
+
+
 def test_fixed_width_files_strip_all_white_space(spark, tmp_path):
     p = tmp_path / "f.txt"
     p.write_text("AB\t 12 \nC    ---\n")
