@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MOST_TASKS = 50_000  # beyond, tasks grow instead: a driver that tracks more is slower than tasks of some GB that spill
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one in the warehouse, which a cluster shares, too."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
@@ -43,9 +46,10 @@ def n_tasks(spark: SparkSession) -> int:
 
 
 def tasks_for(table: DataFrame) -> int:
-    """Tasks for a shuffle of a table that is read from files: one for each 16 MB of it, and the session's number at least."""
+    """Tasks for a shuffle of a table that is read from files: one for each 16 MB of it, MOST_TASKS at most, and the session's number at least."""
     size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(n_tasks(table.sparkSession), size >> 24 if size < 1 << 50 else 0)  # tables not of files have no size, which shows as a huge one
+    known = size < 1 << 62  # tables not of files have no size, which shows as the largest number
+    return max(n_tasks(table.sparkSession), min(size >> 24, MOST_TASKS) if known else 0)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id long, text string).
 
     Null and wordless texts have an empty set and link with nothing. Rows of equal sets
-    are linked. Rows that repeat a doc_id are each judged by their own text. A row with
+    are linked. A set is known by the smallest doc_id that has it, so if rows of one doc_id hold different
+    sets and it is the smallest of both, what either links to is one component; n_shingles is each row's own. A row with
     a null doc_id has a null component_id and is kept. Other columns are ignored; an
     empty table gives no rows.
     """

@@ -13,7 +13,7 @@ yields each member's number of links and, for the components, a spanning forest.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,19 +75,22 @@ def near_vectors(vectors: DataFrame, label: str = "label") -> DataFrame:
                     lab = [f"{n}:{t!r}:".encode() for t in own.label]
                     keys = [[xxhash.xxh3_64_intdigest(row[t].tobytes(), t + 1) ^ s & 0xFFFFFFFFFFFFFFFF for t in range(tables)]
                             for row, s in zip(q, map(xxhash.xxh3_64_intdigest, lab), strict=True)]
-                    yield pd.DataFrame({"node": own.node, "size": own["size"], "unit": [r.tobytes() for r in x],
+                    yield pd.DataFrame({"node": own.node, "size": own["size"], "unit": [r.tobytes() for r in x], "sketch": sketches(x),
                                         "keys": [np.array(k, np.uint64).tobytes() for k in keys]})
 
-    h = written(classes.select("node", "size", "x", F.col("label").cast("string").alias("label")).mapInPandas(hashed, "node long, size long, unit binary, keys binary"), "hashed")
+    h = written(classes.select("node", "size", "x", F.col("label").cast("string").alias("label")).mapInPandas(hashed, "node long, size long, unit binary, sketch binary, keys binary"), "hashed")
     thin = h.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64(t, F.substring("keys", t * 8 + 1, F.lit(8))))).alias("table", "bucket"))
     full = written(thin.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     met = thin.join(full, "bucket")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     met = met.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("node", "table", "own", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("inner"))
-    # each row of ``h`` is sent about once for each table
-    met = met.join(h, "node").repartition(tasks_for(h) * max(1, tables // 8), "cell").sortWithinPartitions("cell")
-    found = written(met.mapInPandas(_cells, "node long, links long, to long"), "found")
+    # each sketch is sent about once for each table, a vector only where it can have a link
+    tasks = tasks_for(h.select("node", "sketch")) * max(1, tables // 8)
+    met = met.join(h.select("node", "sketch"), "node").repartition(tasks, "cell").sortWithinPartitions("cell")
+    near = written(met.mapInPandas(lambda b: _cells(b, _possible), "node long, table int, own int, cell long, inner boolean"), "near")
+    near = near.join(h.select("node", "size", "unit", "keys"), "node").repartition(tasks, "cell").sortWithinPartitions("cell")
+    found = written(near.mapInPandas(lambda b: _cells(b, _compare), "node long, links long, to long"), "found")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(found.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
@@ -102,20 +105,55 @@ def near_vectors(vectors: DataFrame, label: str = "label") -> DataFrame:
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), c.alias("component_id"), F.coalesce(c == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cells come one after the other: pairs across the two blocks of a cell (or within its one)."""
+def sketches(x: np.ndarray) -> list[bytes]:
+    """Unit vectors as bytes: step and length of the rounding (two floats of 64 bits), then a signed byte for each component."""
+    step = np.abs(x).max(axis=1)[:, None] / 127
+    q = np.rint(x / step)
+    off = np.linalg.norm(x - q * step, axis=1)[:, None]
+    return [h.tobytes() + r.tobytes() for h, r in zip(np.hstack([step, off]), q.astype(np.int8), strict=True)]
+
+
+def _cells(batches: Iterator[pd.DataFrame], each: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells come one after the other; ``each`` gets whole ones."""
     held = None
     for pdf in batches:
         pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         cut = int(np.flatnonzero((pdf.cell == pdf.cell.iloc[-1]).to_numpy())[0]) if len(pdf) else 0
         held = pdf.iloc[cut:]
         if cut:
-            yield _compare(pdf.iloc[:cut])
+            yield each(pdf.iloc[:cut])
     if held is not None and len(held):
-        yield _compare(held)
+        yield each(held)
+
+
+def _starts(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    cell = pdf.cell.to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True))
+
+
+def _possible(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows that by their sketches may have a link in their cell."""
+    pdf = pdf.reset_index(drop=True)
+    keep, own = np.zeros(len(pdf), bool), pdf.own.to_numpy()
+    for lo, hi in _starts(pdf):
+        raw = pdf.sketch.iloc[lo:hi].tolist()
+        if len({len(r) for r in raw}) > 1:  # vectors of another length, by a collision of hashes
+            keep[lo:hi] = True
+            continue
+        raw = np.frombuffer(b"".join(raw), np.uint8).reshape(hi - lo, -1)
+        step, off = np.ascontiguousarray(raw[:, :16]).view(np.float64).T
+        x = np.ascontiguousarray(raw[:, 16:]).view(np.int8) * step[:, None]
+        near = x @ x.T + (off[:, None] * (1 + off) + off) >= THRESHOLD - 1e-9
+        np.fill_diagonal(near, False)
+        if not pdf.inner.iloc[lo]:
+            near &= own[lo:hi, None] != own[lo:hi]
+        keep[lo:hi] = near.any(axis=1)
+    return pdf.loc[keep, ["node", "table", "own", "cell", "inner"]]
 
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of each row to others of its cell (across its two blocks, or within its one), and a spanning forest."""
     pdf = pdf.reset_index(drop=True)
     n_dim = len(pdf.unit.iloc[0])
     node, size, own, table = (pdf[c].to_numpy() for c in ("node", "size", "own", "table"))
@@ -123,9 +161,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     links, edges = np.zeros(len(pdf), np.int64), []
     even = bool((pdf.unit.map(len) == n_dim).all())
     units = np.frombuffer(b"".join(pdf.unit), float).reshape(len(pdf), -1) if even else None
-    cell = pdf.cell.to_numpy()
-    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    for lo, hi in zip(starts, [*starts[1:], len(pdf)], strict=True):
+    for lo, hi in _starts(pdf):
         x = units[lo:hi] if even else np.frombuffer(b"".join(pdf.unit.iloc[lo:hi]), float).reshape(hi - lo, -1)
         inner = bool(pdf.inner.iloc[lo])
         i, j = np.nonzero(np.triu(x @ x.T >= THRESHOLD, 1))

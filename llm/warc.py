@@ -1,7 +1,7 @@
 """WARC archives: writing with segments and revisits, reading with reassembly.
 
-Archives are written by Spark's text sink, every record a gzip member of its own. A
-member ends with its block's length, whose last byte is 0 for records of under 16 MB, so
+Archives are written by Spark's text sink, every record a gzip member of its own (of 8 MB or more: several). A
+member ends with its block's length, whose last byte is 0 below 16 MB, so
 a row is a member without its last byte, the sink's line separator is the byte 0, and
 every file that Spark commits is a well-formed compressed WARC file on whatever store
 Spark writes to. A payload travels in an HTTP response with chunked transfer framing;
@@ -69,12 +69,13 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def member(rec: bytes) -> bytes:
-    """A record as a gzip member that ends with the byte 0."""
-    if len(rec) >> 24:
-        raise ValueError("a record of 16 MB or more")  # segments are far below; only fields could be that long
-    z = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return z.compress(rec) + z.flush()
+def members(rec: bytes) -> list[bytes]:
+    """A record as gzip members that end with the byte 0: one, but for a record of 8 MB or more (segments are far below; only fields can be that long)."""
+    out = []
+    for i in range(0, len(rec), 1 << 23):  # a member ends with its length, low byte first
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(z.compress(rec[i : i + (1 << 23)]) + z.flush())
+    return out
 
 
 def _uri(url: str | None) -> str:
@@ -127,7 +128,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records:
         for b in batches:
             out, size = [], 0
             for page_id, row, url, html, first, at in zip(*(b.column(c).to_pylist() for c in ("page_id", "row", "url", "html", "first", "first_url")), strict=True):
-                new = [member(r)[:-1] for r in page_records(page_id, row, url, html.encode("utf-8", "surrogatepass"), first, segment, at)]
+                new = [m[:-1] for r in page_records(page_id, row, url, html.encode("utf-8", "surrogatepass"), first, segment, at) for m in members(r)]
                 out += new
                 size += sum(map(len, new))
                 if size > 4_000_000:
@@ -144,11 +145,15 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records:
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields (lower-case names) and block of each record of an archive, plain or gzip (any number of members)."""
     if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:
+        out, rest, at = [], memoryview(data), 0
+        while at < len(data):
             z = zlib.decompressobj(31)
-            out.append(z.decompress(data))
-            data = z.unused_data
+            while not z.eof:
+                piece = rest[at : at + 65_536]  # what is left of one is copied for each member
+                if not piece:
+                    raise ValueError("a member is cut short")
+                out.append(z.decompress(piece))
+                at += len(piece) - len(z.unused_data)
         data = b"".join(out)
     at = 0
     while at < len(data):

@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import math
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -273,6 +274,20 @@ def test_warc(spark):
             warc.dechunked(bad)
 
 
+def test_warc_of_a_very_long_url_and_of_many_members():
+    url = "http://a.example/" + "x" * (17 << 20)
+    recs = warc.page_records(1, 0, url, b"<p>hi", None, 10_000)
+    ms = [m for r in recs for m in warc.members(r)]
+    assert len(ms) > len(recs) and all(m[-1] == 0 for m in ms)
+    (fields, _), = warc.records_of(b"".join(ms))
+    assert fields["warc-target-uri"] == url
+    many = [m for i in range(6_000) for r in warc.page_records(i, i, "http://a", bytes([i % 256]) * 300, None, 1000) for m in warc.members(r)]
+    began = time.time()
+    assert sum(1 for _ in warc.records_of(b"".join(many))) == 6_000 and time.time() - began < 5
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.records_of(b"".join(many)[:-3]))
+
+
 def test_warc_missing_segment(spark):
     parts = b"".join(warc.page_records(1, 0, "u", b"q" * 50_000, None, 16_384))
     recs = [(f.get("warc-type"), f["warc-record-id"], f.get("warc-segment-origin-id", f["warc-record-id"]), int(f["warc-segment-number"]), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, 1, None, f.get("warc-payload-digest"), 50_000, "u", b)
@@ -285,8 +300,8 @@ def test_warc_missing_segment(spark):
 def test_warc_revisits_are_resolved_from_what_was_read(spark):
     body = b"<p>" + b"e" * 200
     recs = [*warc.page_records(1, 0, "u", body, None, 16_384), *warc.page_records(2, 1, "u", body, 1, 16_384, "u"), *warc.page_records(3, 2, "u", body, 9, 16_384)]
-    assert all(warc.member(r)[-1] == 0 for r in recs)
-    back = list(warc.records_of(b"".join(map(warc.member, recs))))
+    assert all(m[-1] == 0 for r in recs for m in warc.members(r))
+    back = list(warc.records_of(b"".join(m for r in recs for m in warc.members(r))))
     assert [f["warc-type"] for f, _ in back] == ["response", "revisit", "revisit"] and back[1][0]["warc-refers-to-target-uri"] == "u"
     rows = [(f["warc-type"], f["warc-record-id"], f["warc-record-id"], None, None, int(f["x-page-id"]), int(f["x-refers-to-page"]) if "x-refers-to-page" in f else None,
              f["warc-payload-digest"], 7, "u", b) for f, b in back]
@@ -312,6 +327,21 @@ def test_fingerprints(spark):
     assert lzprint.fingerprints(d.limit(1)).count() == 1
 
 
+def test_fingerprints_do_not_depend_on_ranges(spark, monkeypatch):
+    given = docs(spark, *[f"text {i} " * (i % 9) for i in range(120)])
+    want = sorted(map(tuple, lzprint.fingerprints(given).collect()))
+    monkeypatch.setattr(lzprint, "RANGES", 3)
+    monkeypatch.setattr(lzprint, "SAMPLE", 10)
+    assert sorted(map(tuple, lzprint.fingerprints(given).collect())) == want
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    other = " ".join(f"o{i}" for i in range(400))
+    rows = [(5, LONG), (5, other), (3, LONG + " x"), (9, other + " y"), (7, "alone")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
+
+
 def test_fingerprints_of_long_unrelated_texts():
     rng = np.random.default_rng(6)
     texts = ["".join(rng.choice(list(letters), 1_000_000)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
@@ -601,6 +631,26 @@ def test_preference_ties_and_long_turns(spark):
         assert sum(s["length"] for s in spans) == len(r[side]) and r[side][spans[1]["start"] :].startswith("x")
 
 
+def test_vector_sketches_lose_no_link(spark):
+    """Pairs just over the threshold, in vectors of large and of tiny components, and a group of many near copies."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(60):
+        x = rng.normal(size=24) * 10.0 ** int(rng.integers(-100, 100)) if k % 2 else np.eye(24)[k % 24] + 1e-3 * rng.normal(size=24)
+        y = rng.normal(size=24)
+        u = x / np.linalg.norm(x)
+        y -= (y @ u) * u
+        c = vectors.THRESHOLD + (1e-9 if k % 3 else -1e-9)
+        rows += [(2 * k, x.tolist(), k), (2 * k + 1, (c * u + math.sqrt(1 - c * c) * y / np.linalg.norm(y)).tolist(), k)]
+    base = rng.normal(size=24)
+    rows += [(1000 + i, (base + 0.01 * rng.normal(size=24)).tolist(), 99) for i in range(300)]
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for k in range(60):
+        near = k % 3 > 0
+        assert (got[2 * k]["n_links"], got[2 * k + 1]["component_id"]) == (int(near), 2 * k if near else 2 * k + 1)
+    assert all(got[1000 + i]["n_links"] == 299 and got[1000 + i]["component_id"] == 1000 for i in range(300))
+
+
 def test_vectors_of_null_and_repeated_ids(spark):
     v, w = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
     d = spark.createDataFrame([(None, v, 0, 1), (5, v, 0, 1), (5, v, 0, 1), (3, v, 0, 1), (8, w, 0, 1), (8, w, 1, 1)], "vec_id long, embedding array<double>, label int, key int").withColumn("node", F.lit(1)).withColumn("x", F.lit(2))
