@@ -89,8 +89,8 @@ def spectrum(matrix: DataFrame, column: str, width: int) -> Spectrum:
 
 def project(matrix: DataFrame, column: str, s: Spectrum, d: int, to: str = "components") -> DataFrame:
     """First ``d`` principal components of each row as expressions; signs make each vector's largest entry positive."""
-    parts = []
-    for v in s.vectors[:d]:
-        v = v * (1 if v[np.abs(v).argmax()] >= 0 else -1)
-        parts.append(sum(((F.col(column)[i] - float(m)) * float(w) for i, (m, w) in enumerate(zip(s.means, v, strict=True))), F.lit(0.0)))
-    return matrix.withColumn(to, F.array(*parts))
+    signed = [v * (1 if v[np.abs(v).argmax()] >= 0 else -1) for v in s.vectors[:d]]
+    numbers = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    centred = F.zip_with(column, numbers(s.means), lambda x, m: x - m)
+    parts = F.transform(F.array(*map(numbers, signed)), lambda v: F.aggregate(F.zip_with(centred, v, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x))
+    return matrix.withColumn(to, parts)

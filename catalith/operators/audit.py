@@ -71,18 +71,22 @@ def source_contract(tables: Mapping[str, DataFrame], registry: DataFrame) -> Dat
 
 
 def audit_tables(tables: Mapping[str, DataFrame], loaded: Sequence[str]) -> DataFrame:
-    """table, check, column, value (text) of all tables; the audited set must be the loaded set."""
+    """table, check, column, value (text) of all tables, rows, nulls, and min and max of numbers, one pass a table; the audited set must be the loaded set."""
     if set(tables) != set(loaded):
         raise ValueError(f"audited {sorted(tables)}, loaded {sorted(loaded)}")
     out = None
     for name, df in tables.items():
-        parts = [df.agg(F.count("*").alias("v")).select(F.lit("rows").alias("check"), F.lit("").alias("column"), F.col("v").cast("string").alias("value")),
-                 null_counts(df).select(F.lit("nulls").alias("check"), "column", F.col("nulls").cast("string").alias("value"))]
-        r = numeric_ranges(df)
-        parts += [r.select(F.lit(k).alias("check"), "column", F.col(k).cast("string").alias("value")) for k in ("min", "max")]
-        for p in parts:
-            p = p.select(F.lit(name).alias("table"), *p.columns)
-            out = p if out is None else out.unionByName(p)
+        number = lambda c: (c.cast("double") + 0.0).cast("string")  # noqa: E731  + 0.0: no -0.0
+        checks = [("rows", "", F.count(F.lit(1)).cast("string"))]
+        for f in df.schema:
+            c = F.col(f"`{f.name}`")
+            checks.append(("nulls", f.name, F.count_if(c.isNull()).cast("string")))
+            if isinstance(f.dataType, T.NumericType):
+                checks += [("min", f.name, number(F.min(c))), ("max", f.name, number(F.max(c)))]
+        row = df.agg(*[v.alias(f"v{i}") for i, (_, _, v) in enumerate(checks)])
+        cells = [F.struct(F.lit(name).alias("table"), F.lit(k).alias("check"), F.lit(c).alias("column"), F.col(f"v{i}").alias("value")) for i, (k, c, _) in enumerate(checks)]
+        part = row.select(F.inline(F.array(*cells)))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -11,7 +11,7 @@ from ..functions.ranks import quantiles
 from ..functions.sphere import ARCSEC, separation, unit_vector
 from ..sources.scratch import written
 
-DIGITS = 6
+DIGITS, CROWD = 6, 20_000
 
 
 def _cells(df: DataFrame, key: str, prefix: str, side: float) -> DataFrame:
@@ -20,36 +20,58 @@ def _cells(df: DataFrame, key: str, prefix: str, side: float) -> DataFrame:
     return d.select("*", *[F.floor(F.col(f"{prefix}_{a}") / side).cast("long").alias(f"{prefix}_c{a}") for a in "xyz"])
 
 
-def _size(df: DataFrame) -> int:
-    """The optimizer's estimate of a table's bytes; it starts no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def _cell(p: str) -> list[str]:
+    return [f"{p}_c{a}" for a in "xyz"]
+
+
+def _copied(d: DataFrame, p: str) -> DataFrame:
+    """Rows in their cube and the 26 around it."""
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    for a in "xyz":
+        d = d.withColumn(f"d{a}", F.explode(near)).withColumn(f"c{a}", F.col(f"{p}_c{a}") + F.col(f"d{a}")).drop(f"d{a}", f"{p}_c{a}")
+    return d
+
+
+def cell_blocks(placed: DataFrame, copied: DataFrame, p: str, c: str, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides under keys at which each pair of them meets once: cubes, and, of cubes with more than ``crowd`` rows of a side, blocks of about as many.
+
+    Rows of a crowded cube are dealt to its blocks by hash, and copied to all blocks of the other side, as far as it is crowded.
+    """
+    keys = ["cx", "cy", "cz"]
+    one = placed.withColumnsRenamed(dict(zip(_cell(p), keys, strict=True)))
+    many = _copied(copied, c)
+    most = [t.groupBy(*k).count().agg(F.max("count")).first()[0] or 0 for t, k in ((one, keys), (copied, _cell(c)))]
+    if most[0] <= crowd and 27 * most[1] <= crowd:
+        return one, many, keys
+    n = [t.groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) > crowd) for t, name in ((one, "n1"), (many, "n2"))]
+    crowded = n[0].join(n[1], keys, "full").select(*keys, *[F.ceil(F.coalesce(F.col(x), F.lit(1)) / crowd).cast("int").alias(x) for x in ("n1", "n2")])
+    crowded = written(crowded, "crowded")  # a row for each crowded cube
+
+    def dealt(t: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        t = t.join(crowded, keys, "left").withColumns({x: F.coalesce(x, F.lit(1)) for x in ("n1", "n2")})
+        t = t.withColumn(f"b{own}", F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+        return t.withColumn(f"b{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("n1", "n2")
+
+    return dealt(one, p, "n1", "n2"), dealt(many, c, "n2", "n1"), [*keys, "bn1", "bn2"]
 
 
 def radius_pairs(reference: DataFrame, target: DataFrame, radius: float) -> DataFrame:
     """ref, target, sep of all pairs at most ``radius`` arcsec apart (id, ra, dec in degrees on both sides).
 
-    Space is cut into cubes of the radius' chord; the side that the optimizer holds for the smaller is
+    Space is cut into cubes of the radius' chord; the side of fewer rows is
     put into its cube and the 26 around it, so that every pair meets once, under
-    equal cube numbers, and the exact angle is tested there. Adaptive execution splits
-    crowded cubes. A row without a position matches nothing.
+    equal cube numbers, and the exact angle is tested there. Crowded cubes are cut into blocks
+    (``cell_blocks``). A row without a position matches nothing.
     """
     if not radius > 0:
         raise ValueError("the radius must be positive")
     side = 2 * math.sin(radius / ARCSEC / 2) * (1 + 1e-7)
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    r, t = _cells(reference, "id", "ref", side), _cells(target, "id", "target", side)
-
-    def copied(d: DataFrame, p: str) -> DataFrame:
-        for a in "xyz":
-            d = d.withColumn(f"d{a}", F.explode(near)).withColumn(f"c{a}", F.col(f"{p}_c{a}") + F.col(f"d{a}")).drop(f"d{a}", f"{p}_c{a}")
-        return d
-
-    def placed(d: DataFrame, p: str) -> DataFrame:
-        return d.withColumnsRenamed({f"{p}_c{a}": f"c{a}" for a in "xyz"})
-
-    both = copied(r, "ref").join(placed(t, "target"), ["cx", "cy", "cz"]) if _size(reference) <= _size(target) else placed(r, "ref").join(copied(t, "target"), ["cx", "cy", "cz"])
+    r, t = written(_cells(reference, "id", "ref", side), "cells"), written(_cells(target, "id", "target", side), "cells")  # counted first, so what makes them runs once
+    few, many = ("ref", "target") if r.count() <= t.count() else ("target", "ref")
+    sides = {"ref": r, "target": t}
+    placed, copied, keys = cell_blocks(sides[many], sides[few], many, few)
     sep = separation(*(tuple(F.col(f"{p}_{a}") for a in "xyz") for p in ("ref", "target")))
-    return both.select("ref", "target", sep.alias("sep")).where(F.col("sep") <= radius)
+    return placed.join(copied, keys).select("ref", "target", sep.alias("sep")).where(F.col("sep") <= radius)
 
 
 def ranked(pairs: DataFrame, digits: int | None = None) -> DataFrame:

@@ -227,11 +227,21 @@ def flag_crosstab(spark: SparkSession, sf: str) -> DataFrame:
     return audit.flag_crosstab(T(spark, sf, "labels").join(d, "doc_id", "left"), ["quality", "toxic"], ["n_chars"])
 
 
-@query("""SELECT 'nation' AS "table", 'rows' AS "check", '' AS "column", CAST(count(*) AS VARCHAR) AS value FROM nation UNION ALL SELECT 'customer', 'rows', '', CAST(count(*) AS VARCHAR) FROM customer
-UNION ALL SELECT 'customer', 'nulls', 'c_acctbal', CAST(count(*) - count(c_acctbal) AS VARCHAR) FROM customer UNION ALL SELECT 'nation', 'nulls', 'n_name', CAST(count(*) - count(n_name) AS VARCHAR) FROM nation""")
+_AUDITED = {"nation": (("n_nationkey", "n_regionkey"), ("n_name",)), "customer": (("c_custkey", "c_nationkey", "c_acctbal"), ("c_name", "c_mktsegment")),
+            "supplier": (("s_suppkey", "s_nationkey", "s_acctbal"), ("s_name",)), "part": (("p_partkey", "p_size", "p_retailprice"), ("p_name", "p_brand", "p_type")),
+            "orders": (("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderdate", "o_orderpriority"))}
+
+
+def _audit_sql(table: str, numbers: tuple[str, ...], others: tuple[str, ...]) -> str:
+    parts = [f"SELECT '{table}' AS \"table\", 'rows' AS \"check\", '' AS \"column\", CAST(count(*) AS VARCHAR) AS value FROM {table}"]
+    parts += [f"SELECT '{table}', 'nulls', '{c}', CAST(count(*) - count({c}) AS VARCHAR) FROM {table}" for c in (*numbers, *others)]
+    parts += [f"SELECT '{table}', '{k}', '{c}', CAST(CAST({k}({c}) AS DOUBLE) AS VARCHAR) FROM {table}" for c in numbers for k in ("min", "max")]
+    return " UNION ALL ".join(parts)
+
+
+@query(" UNION ALL ".join(_audit_sql(t, *c) for t, c in _AUDITED.items()))
 def audit_report(spark: SparkSession, sf: str) -> DataFrame:
-    r = audit.audit_tables({"nation": T(spark, sf, "nation").select("n_name"), "customer": T(spark, sf, "customer").select("c_acctbal")}, ["nation", "customer"])
-    return r.where("check in ('rows', 'nulls')")
+    return audit.audit_tables({t: T(spark, sf, t) for t in _AUDITED}, list(_AUDITED))
 
 
 # records
@@ -335,7 +345,8 @@ def funnel_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {fx.POPULATION} SELECT policy, {_COUNTS} FROM population GROUP BY policy")
 def funnel_by_policy(spark: SparkSession, sf: str) -> DataFrame:
-    both = [fx.population(spark, sf, p).withColumn("policy", F.lit(p)) for p in population.POLICIES]
+    e = fx.edges(spark, sf)
+    both = [fx.population(spark, sf, p, e).withColumn("policy", F.lit(p)) for p in population.POLICIES]
     return population.funnel(both[0].unionByName(both[1]), ["policy"])
 
 
@@ -348,8 +359,8 @@ def funnel_vs_expected(spark: SparkSession, sf: str) -> DataFrame:
     return population.against_expected(funnel_reciprocal(spark, sf), _EXPECTED)
 
 
-def _sample(spark: SparkSession, sf: str, policy: str = "reciprocal") -> DataFrame:
-    return population.members(fx.population(spark, sf, policy)).select(F.col("ref").alias("object_id"), "target_class", "split", "weight")
+def _sample(spark: SparkSession, sf: str, policy: str = "reciprocal", e: DataFrame | None = None) -> DataFrame:
+    return population.members(fx.population(spark, sf, policy, e)).select(F.col("ref").alias("object_id"), "target_class", "split", "weight")
 
 
 _MEMBERS = fx.POPULATION + ", sample AS (SELECT ref AS object_id, target_class, 'unassigned' AS split, 1e0 AS weight, policy FROM population WHERE error_qualified AND target_class IS NOT NULL)"
@@ -367,13 +378,15 @@ def sample_class_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_MEMBERS} SELECT object_id, target_class FROM sample WHERE policy = 'nearest' EXCEPT ALL SELECT object_id, target_class FROM sample WHERE policy = 'reciprocal'")
 def policy_difference(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (_sample(spark, sf, p).select("object_id", "target_class") for p in population.POLICIES)
+    e = fx.edges(spark, sf)
+    a, b = (_sample(spark, sf, p, e).select("object_id", "target_class") for p in population.POLICIES)
     return a.exceptAll(b)
 
 
 @query(f"WITH {_MEMBERS} SELECT * FROM (SELECT policy AS name, count(*) AS members FROM sample GROUP BY policy UNION ALL SELECT 'empty', 0)")
 def sample_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    both = [_sample(spark, sf, p).select(F.lit(p).alias("name")) for p in population.POLICIES]
+    e = fx.edges(spark, sf)
+    both = [_sample(spark, sf, p, e).select(F.lit(p).alias("name")) for p in population.POLICIES]
     names = spark.createDataFrame([("nearest",), ("reciprocal",), ("empty",)], "name string")
     return population.sample_lookup(names, both[0].unionByName(both[1]))
 
@@ -459,7 +472,8 @@ def split_digest(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_MEMBERS} SELECT object_id, 'reference' AS source_role, object_id AS record_id FROM sample WHERE policy = 'reciprocal'
 UNION ALL SELECT ref, 'target', target FROM population WHERE policy = 'reciprocal' AND error_qualified AND target_class IS NOT NULL""")
 def bind_records(spark: SparkSession, sf: str) -> DataFrame:
-    return binding.bind(_sample(spark, sf), fx.edges(spark, sf), "reciprocal")
+    e = fx.edges(spark, sf)
+    return binding.bind(_sample(spark, sf, e=e), e, "reciprocal")
 
 
 @query(f"""WITH {_MEMBERS}, b AS (SELECT 'reference' AS source_role, object_id AS r FROM sample WHERE policy = 'reciprocal' UNION ALL SELECT 'target', target FROM population WHERE policy = 'reciprocal' AND error_qualified AND target_class IS NOT NULL)
@@ -742,6 +756,28 @@ def pca_squares(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(s.rows, s.rank, _squares(s))], "n long, rank int, squares double")
 
 
+@query("""WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m FROM x GROUP BY i)
+SELECT vec_id, round(sum((x - m)*(x - m)), 6) AS squares, true AS shorter FROM x JOIN m USING (i) GROUP BY vec_id""")
+def pca_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All principal components of a row keep its distance to the mean; the first eight are no longer than that."""
+    s = spectrum(_vectors(spark, sf), "x", 64)
+    z = project(_vectors(spark, sf), "x", s, 64)
+    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
+    return z.select("vec_id", F.round(squares("components"), 6).alias("squares"), (squares(F.slice("components", 1, 8)) <= squares("components")).alias("shorter"))
+
+
+@query("""WITH a AS (SELECT count(*) AS n FROM embeddings) SELECT CAST(i AS INTEGER) AS component, CAST(j AS INTEGER) AS other, n, true AS uncorrelated FROM a CROSS JOIN (SELECT unnest(range(0, 8)) AS i) CROSS JOIN (SELECT unnest(range(0, 8)) AS j) WHERE i < j""")
+def pca_orthogonal(spark: SparkSession, sf: str) -> DataFrame:
+    """No two of the first eight components vary together, and their own squares are those of the singular values."""
+    s = spectrum(_vectors(spark, sf), "x", 64)
+    z = written(project(_vectors(spark, sf), "x", s, 8).select("components"), "components")
+    pairs = [(i, j) for i in range(8) for j in range(i, 8)]
+    row = z.agg(F.count("*").alias("n"), *[F.sum(F.col("components")[i] * F.col("components")[j]).alias(f"s{i}_{j}") for i, j in pairs])
+    own = [F.abs(F.col(f"s{i}_{i}") - float(s.values[i] ** 2)) < 1e-9 * float(s.values[0] ** 2) for i in range(8)]
+    return row.select(F.inline(F.array(*[F.struct(F.lit(i).alias("component"), F.lit(j).alias("other"), F.col("n").alias("n"),
+                                                  ((F.abs(F.col(f"s{i}_{j}")) < 1e-9 * float(s.values[0] ** 2)) & own[i] & own[j]).alias("uncorrelated")) for i, j in pairs if i < j])))
+
+
 @query(_FOLDS + " SELECT fold, label, count(*) AS n, count(DISTINCT vec_id) AS keys, 0::BIGINT AS unsound FROM f GROUP BY fold, label")
 def rf_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Every row is predicted once, in its own fold, with ten probabilities that add up to one."""

@@ -66,9 +66,9 @@ def evidence_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     return labels, supplier
 
 
-def population(spark: SparkSession, sf: str, policy: str) -> DataFrame:
-    """The measured population of a policy, with quality and class flags."""
-    e = pop.apply_policy(edges(spark, sf), policy)
+def population(spark: SparkSession, sf: str, policy: str, e: DataFrame | None = None) -> DataFrame:
+    """The measured population of a policy, with quality and class flags; of the edges ``e``, if several read the same."""
+    e = pop.apply_policy(edges(spark, sf) if e is None else e, policy)
     part = table(spark, sf, "part").selectExpr("p_partkey AS ref", "p_retailprice AS price", "((p_partkey*7) % 60)/1e2 AS ref_err")
     orders = table(spark, sf, "orders").selectExpr("o_orderkey AS target", "CASE WHEN o_orderkey % 11 = 0 THEN 99e0 ELSE o_totalprice END AS total",
                                                    "((o_orderkey*13) % 60)/1e2 AS tar_err", "CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS code")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalith.functions import uniform
-from catalith.functions.linalg import spectrum
+from catalith.functions.linalg import project, spectrum
 from catalith.functions.ranks import in_ranges, quantiles, running
 from catalith.operators import audit, binding, contract, digest, evaluate, features, measure, neighbors, population, records, spatial, split, uncertainty
 from catalith.sources import files, ledger
@@ -648,3 +648,42 @@ def test_realisations_against_a_loop(spark):
             assert (r["n"], r["failed"], r["tp"], r["fp"], r["fn"]) == (151, 1, tp, fp, int((target[:150] == 1).sum()) - tp)
     s = {r["metric"]: r for r in uncertainty.summarize_realisations(spark.createDataFrame([(0, 0.5, None), (1, 0.7, 0.1)], "realisation int, precision double, f1 double"), ("precision", "f1")).collect()}
     assert (s["precision"]["finite"], s["f1"]["failed"], s["f1"]["realisations"]) == (2, 1, 2) and abs(s["precision"]["lower"] - 0.505) < 1e-9
+
+
+@pytest.mark.parametrize("crowded", [1, 2])
+def test_crowded_cells_are_cut_into_blocks(spark, monkeypatch, crowded):
+    """One place with most rows of one side or of both: the same pairs, in blocks of about the cap."""
+    rng = np.random.default_rng(9)
+    few = [(i, 10 + float(rng.normal()) * 1e-5 * (i % 7 > 0), float(rng.normal()) * 1e-5) for i in range(60 if crowded == 2 else 6)]
+    many = [(i, 10 + float(rng.normal()) * 1e-5, float(rng.normal()) * 1e-5) for i in range(400)] + [(400 + i, 50.0 + i, 5.0) for i in range(30)]
+    a, b = sky(spark, *few), sky(spark, *many)
+    plain = sorted(map(tuple, spatial.radius_pairs(a, b, 2.0).select("ref", "target").collect()))
+    blocks = spatial.cell_blocks
+
+    def small(placed, copied, p, c):
+        one, two, keys = blocks(placed, copied, p, c, crowd=40)
+        assert "bn1" in keys
+        for t in (one, two):
+            assert t.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 80
+        return one, two, keys
+
+    monkeypatch.setattr(spatial, "cell_blocks", small)
+    got = sorted(map(tuple, spatial.radius_pairs(a, b, 2.0).select("ref", "target").collect()))
+    assert got == plain and len(got) > 1000
+
+
+def test_projections_keep_lengths(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 5)) * [9, 4, 2, 1, 0.5] + 3
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    s = spectrum(d, "x", 5)
+    z = np.array([r["components"] for r in project(d, "x", s, 5).orderBy("id").collect()])
+    assert np.allclose((z**2).sum(axis=1), ((x - x.mean(axis=0)) ** 2).sum(axis=1)) and np.allclose(z.T @ z, np.diag(s.values**2), atol=1e-8)
+
+
+def test_audit_of_whole_tables(spark):
+    d = spark.createDataFrame([(1, "a", 0.5), (None, "b", -0.0), (3, None, None)], "k int, s string, x double")
+    got = {(r["check"], r["column"]): r["value"] for r in audit.audit_tables({"t": d}, ["t"]).collect()}
+    assert got == {("rows", ""): "3", ("nulls", "k"): "1", ("nulls", "s"): "1", ("nulls", "x"): "1", ("min", "k"): "1.0", ("max", "k"): "3.0", ("min", "x"): "0.0", ("max", "x"): "0.5"}
+    with pytest.raises(ValueError):
+        audit.audit_tables({"t": d}, ["u"])
