@@ -13,8 +13,11 @@ MOST_TASKS = 50_000  # beyond, tasks grow instead: a driver that tracks more is
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one in the warehouse, which a cluster shares, too."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse of a local session (tests), and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names the folder that driver and executors share; it is unset")
+    return base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
