@@ -194,6 +194,8 @@ def _search(asks: DataFrame, cells: Cells, k: int, rows: int) -> tuple[DataFrame
     """The k nearest rows in the first cells, and the questions (query, cell) of the first and of the second round."""
     asked = _asked(asks.withColumn("u", F.lit(float("inf"))), cells, lambda c, d, pdf: c.nearest(d, k))
     first = written(_best(_compared(asked, cells, k, rows, False), k), "first")
+    if len(cells.centres) == 1:
+        return first, asked, asked.where("false")
     u = first.groupBy(F.col("query").alias("id")).agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("u"))
     rest = _asked(asks.join(u, "id"), cells, lambda c, d, pdf: ~c.nearest(d, k) & (c.bounds(d) <= pdf.u.to_numpy()[:, None]))
     return first, asked, rest

@@ -7,10 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def folder(spark: SparkSession) -> str:
+    """This application's folder in ``spark.checkpoint.dir``; where that is unset, in the warehouse of a local session, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names the folder that driver and executors share; it is unset")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, or in the warehouse where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that the application wrote there; for the end of a session, since results may still read it before."""
+    delete(spark, folder(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

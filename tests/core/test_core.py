@@ -11,7 +11,7 @@ from catalith.functions import uniform
 from catalith.functions.linalg import project, spectrum
 from catalith.functions.ranks import in_ranges, quantiles, running
 from catalith.operators import audit, binding, contract, digest, evaluate, features, measure, neighbors, population, records, spatial, split, uncertainty
-from catalith.sources import files, ledger
+from catalith.sources import files, ledger, scratch
 
 
 def lines(spark, *values):
@@ -687,3 +687,18 @@ def test_audit_of_whole_tables(spark):
     assert got == {("rows", ""): "3", ("nulls", "k"): "1", ("nulls", "s"): "1", ("nulls", "x"): "1", ("min", "k"): "1.0", ("max", "k"): "3.0", ("min", "x"): "0.0", ("max", "x"): "0.5"}
     with pytest.raises(ValueError):
         audit.audit_tables({"t": d}, ["u"])
+
+
+def test_intermediates_lie_in_one_folder_of_the_application(spark):
+    t = scratch.written(spark.range(3), "t")
+    at = scratch.folder(spark)
+    assert at.endswith(spark.sparkContext.applicationId) and all(at.split(":")[-1] in f for f in t.inputFiles())
+
+    class Cluster:
+        conf = {}
+
+        class sparkContext:
+            master, applicationId = "spark://x:7077", "app"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.folder(Cluster)
