@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import tidy, written
 
 SIZE, SCALE, CENTROIDS, ROUNDS, PIVOTS, SEED = 64, 256, 40, 5, 40, 2
-LIMIT = 2.0**19  # of a component: beyond it a squared distance may not fit 64 bits
+LIMIT = 2.0**54  # of a component: beyond it the integer does not fit 62 bits
+EXACT = 1 << 27  # of integers whose squared distances fit 64 bits, over 64 components
 FLAT = 1e-3  # a pivot that is nearer to the hull of those before, as a share of the largest distance, is none
 SLACK = 1e-7  # of bounds, as a share of the largest coordinate: far over the rounding of 64-bit floats
 RESULTS = "cluster int, distance long"
@@ -51,7 +52,7 @@ class Projection:
 
     def apexes(self, x: np.ndarray) -> np.ndarray:
         """Coordinates of each row of x, the height last, from its distances to the pivots alone."""
-        d = np.stack([((x - p) ** 2).sum(axis=1) for p in self.pivots], axis=1).astype(np.float64)
+        d = np.stack([((x - p).astype(np.float64) ** 2).sum(axis=1) for p in self.pivots], axis=1)
         own = (self.edges**2).sum(axis=1)  # squared distances of the other pivots to the first
         y = np.zeros((len(x), len(self.edges)))
         right = (d[:, :1] + own - d[:, 1:]) / 2
@@ -61,6 +62,13 @@ class Projection:
         return np.hstack([y, height[:, None]])
 
 
+def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact squared distances of rows, as 64-bit integers or, where these might overflow, as Python's."""
+    if max(np.abs(x).max(initial=0), np.abs(c).max(initial=0)) >= EXACT:
+        x, c = x.astype(object), c.astype(object)
+    return ((x - c) ** 2).sum(axis=1)
+
+
 def nearest(x: np.ndarray, apex: np.ndarray, centroids: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Nearest centroid of each row (ties: the smaller number), its squared distance, and the number of exact distances computed."""
     y, h, cy, ch = apex[:, :-1], apex[:, -1:], tops[:, :-1], tops[:, -1]
@@ -70,16 +78,17 @@ def nearest(x: np.ndarray, apex: np.ndarray, centroids: np.ndarray, tops: np.nda
     possible = low <= high.min(axis=1)[:, None]
     first = np.argmin(low, axis=1)
     rows = np.arange(len(x))
-    best = ((x - centroids[first]) ** 2).sum(axis=1)
-    possible &= low <= best[:, None]
+    best = squares(x, centroids[first])
+    possible &= low <= best.astype(np.float64)[:, None] * (1 + SLACK)
     possible[rows, first] = False
     i, c = np.nonzero(possible)
-    d = ((x[i] - centroids[c]) ** 2).sum(axis=1)
     at, who = np.concatenate([rows, i]), np.concatenate([first, c])
-    all_d = np.concatenate([best, d])
-    order = np.lexsort((who, all_d, at))
-    at = at[order]
-    one = order[np.flatnonzero(np.diff(at, prepend=-1))]
+    all_d = np.concatenate([best, squares(x[i], centroids[c])])
+    if all_d.dtype == object:
+        order = np.array(sorted(range(len(at)), key=lambda k: (at[k], all_d[k], who[k])), np.int64)
+    else:
+        order = np.lexsort((who, all_d, at))
+    one = order[np.flatnonzero(np.diff(at[order], prepend=-1))]
     return who[one].astype(np.int32), all_d[one], len(all_d)
 
 
@@ -92,7 +101,7 @@ def kept(vectors: DataFrame, size: int = SIZE) -> DataFrame:
     """vec_id and x, the integer components, of rows that have all ``size`` components, finite and within LIMIT."""
     v = vectors.select(vectors["vec_id"].alias("vec_id"), vectors["embedding"].cast("array<double>").alias("e"))
     sound = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LIMIT))
-    return v.where((F.size("e") == size) & sound).select("vec_id", F.transform("e", lambda x: F.floor(x * SCALE).cast("int")).alias("x"))
+    return v.where((F.size("e") == size) & sound).select("vec_id", F.transform("e", lambda x: F.floor(x * SCALE)).alias("x"))
 
 
 def with_apexes(rows: DataFrame, projection: Projection) -> DataFrame:
@@ -103,14 +112,14 @@ def with_apexes(rows: DataFrame, projection: Projection) -> DataFrame:
                 flat = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * apex.shape[1], apex.ravel())
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("x"), flat], ["vec_id", "x", "apex"])
 
-    return rows.mapInArrow(run, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, x array<int>, apex array<double>")
+    return rows.mapInArrow(run, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, x array<long>, apex array<double>")
 
 
 def _sums(centroids: np.ndarray, tops: np.ndarray):
     """Arrow batches (x, apex) to the number and component sums of a task's rows for each centroid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape, np.int64)
+        n, total = np.zeros(len(centroids), np.int64), np.zeros((2, *centroids.shape), np.int64)  # of the upper and the lower 32 bits
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column("x"), np.int64)
@@ -118,9 +127,10 @@ def _sums(centroids: np.ndarray, tops: np.ndarray):
                 n += np.bincount(own, minlength=len(n))
                 order = np.argsort(own, kind="stable")
                 there, at = np.unique(own[order], return_index=True)
-                total[there] += np.add.reduceat(x[order], at)
+                for part, bits in zip(total, (x >> 32, x & 0xFFFFFFFF), strict=True):
+                    part[there] += np.add.reduceat(bits[order], at)
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(total[some].tolist(), pa.list_(pa.int64()))], ["cluster", "n", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), *(pa.array(part[some].tolist(), pa.list_(pa.int64())) for part in total)], ["cluster", "n", "upper", "lower"])
 
     return run
 
@@ -130,7 +140,8 @@ def _assigned(centroids: np.ndarray, tops: np.ndarray):
         for b in batches:
             if b.num_rows:
                 own, d, _ = nearest(_matrix(b.column("x"), np.int64), _matrix(b.column("apex"), float), centroids, tops)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(own), pa.array(d)], ["vec_id", "cluster", "distance"])
+                fits = d if d.dtype != object else [v if v < 1 << 63 else None for v in d]
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(own), pa.array(fits, pa.int64())], ["vec_id", "cluster", "distance"])
 
     return run
 
@@ -138,10 +149,9 @@ def _assigned(centroids: np.ndarray, tops: np.ndarray):
 def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, pivots: int = PIVOTS, seed: int = SEED, size: int = SIZE) -> DataFrame:
     """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 for each vector of ``vectors`` (vec_id, embedding) that is kept.
 
-    Kept are vectors of exactly ``size`` components, none null, non-finite or, since squared distances are 64-bit
-    integers, of 2^19 or more. The first centroids are the ``k`` vectors (all, if there are fewer) of the least
+    Kept are vectors of exactly ``size`` components, none null, non-finite or of 2^54 or more in magnitude. The first centroids are the ``k`` vectors (all, if there are fewer) of the least
     hash of seed and vec_id; rows of one vec_id are ordered by their components, and rows without a vec_id come last.
-    Each row is a vector of its own, repeated or not. Sums that do not fit 64 bits are null. Other
+    Each row is a vector of its own, repeated or not. Distances and sums that do not fit 64 bits are null (no distance above 2^63 is part of a sum), but assignments are exact. Other
     columns are ignored; without a vector there are no rows.
     """
     spark = vectors.sparkSession
@@ -154,12 +164,12 @@ def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, pivots
     projection = Projection(centroids, pivots)
     state = written(with_apexes(rows, projection), "apexes")
     for _ in range(rounds):
-        part = state.select("x", "apex").mapInArrow(_sums(centroids, projection.apexes(centroids)), "cluster int, n long, total array<long>")
-        part = part.select("cluster", "n", F.posexplode("total").alias("at", "s"))
+        part = state.select("x", "apex").mapInArrow(_sums(centroids, projection.apexes(centroids)), "cluster int, n long, upper array<long>, lower array<long>")
+        part = part.select("cluster", "n", F.posexplode(F.arrays_zip("upper", "lower")).alias("at", "s")).select("cluster", "n", "at", "s.upper", "s.lower")
         whole = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
         centroids = centroids.copy()
-        for r in part.groupBy("cluster", "at").agg(whole("n"), whole("s")).collect():  # k times size rows
-            centroids[r["cluster"], r["at"]] = int(r["s"]) // int(r["n"])
+        for r in part.groupBy("cluster", "at").agg(whole("n"), whole("upper"), whole("lower")).collect():  # k times size rows
+            centroids[r["cluster"], r["at"]] = ((int(r["upper"]) << 32) + int(r["lower"])) // int(r["n"])
     out = written(state.mapInArrow(_assigned(centroids, projection.apexes(centroids)), kind), "assigned")
     tidy(state)
     fits = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).try_cast("long")

@@ -832,6 +832,16 @@ def test_clusters_against_brute_force(spark, k, pivots, n):
     assert got == brute_clusters(rows, k, 5, 6)
 
 
+def test_clusters_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=6) * (3e5 if i % 20 == 0 else 10.0 ** (i % 3))).astype(np.float32).astype(float).tolist()) for i in range(60)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert Counter(tuple(r) for r in simplex.cluster(given, k=5, size=6).collect()) == brute_clusters(rows, 5, 5, 6)
+    huge = spark.createDataFrame([*rows, (90, [1e15] * 6), (91, [-1e15] * 6), (92, [1e30] * 6)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["distance"] for r in simplex.cluster(huge, k=2, size=6).collect()}
+    assert sorted(got) == [*range(60), 90, 91] and None in (got[90], got[91])
+
+
 def test_clusters_of_equal_or_no_vectors(spark):
     same = [(i, [0.5] * 4) for i in range(9)]
     given = spark.createDataFrame(same, "vec_id long, embedding array<float>")
