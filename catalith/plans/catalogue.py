@@ -371,6 +371,15 @@ def sample_members(spark: SparkSession, sf: str) -> DataFrame:
     return _sample(spark, sf)
 
 
+@query(f"WITH {fx.POPULATION}, f AS (SELECT {_COUNTS} FROM population WHERE policy = 'reciprocal') SELECT 'labelled' AS stage, labelled AS n FROM f UNION ALL SELECT 'matched', matched FROM f UNION ALL SELECT 'rows', labelled FROM f UNION ALL SELECT 'read back', labelled FROM f")
+def published_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample written once, its rows and the funnel's counts gathered in that write."""
+    path = shared(spark, "sample")
+    counts = population.publish_members(fx.population(spark, sf, "reciprocal"), path)
+    made = spark.createDataFrame([(k, counts[k]) for k in ("labelled", "matched", "rows")], "stage string, n long")
+    return made.unionByName(spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit("read back").alias("stage"), "n"))
+
+
 @query(f"WITH {_MEMBERS} SELECT c AS target_class, count(object_id) AS n FROM (VALUES ('focal'), ('second'), ('third'), ('absent')) v(c) LEFT JOIN (SELECT * FROM sample WHERE policy = 'reciprocal') s ON s.target_class = c GROUP BY c")
 def sample_class_counts(spark: SparkSession, sf: str) -> DataFrame:
     return population.class_counts(_sample(spark, sf), ["focal", "second", "third", "absent"])
