@@ -13,8 +13,8 @@ of a page with a declared article go, unless the article holds under a quarter o
 nothing counts as declared.
 
 Only hashes of lines are sorted and sent between pages; the order is a range partitioning, so
-a host with a third of all pages is spread over many tasks, and pages on both sides of a range's
-edge are paired through a table with one row for each range.
+a host with a third of all pages is spread over many tasks. Pages on both sides of a range's
+edge are paired through a table with the names of each range's first and last page, and their hashes are joined to those names.
 """
 
 from __future__ import annotations
@@ -305,12 +305,16 @@ def _neighbours(pages: DataFrame) -> DataFrame:
     """key, check, before, after: the hashes of the pages before and after in the order of (host, path, key), where they are of the same host."""
     order = ["host", "path", "key", "check"]
     ranges = written(pages.repartitionByRange(tasks_for(pages), *order).withColumn("range", F.spark_partition_id()), "ranges")
-    page = F.struct("host", "hashes")
-    first, last = F.min_by(page, F.struct(*order)), F.max_by(page, F.struct(*order))
-    edge = Window.orderBy("range")  # a row for each range
-    edges = ranges.groupBy("range").agg(first.alias("first"), last.alias("last")).select("range", F.lag("last").over(edge).alias("left"), F.lead("first").over(edge).alias("right"))
+    name, page = F.struct("key", "check"), F.struct("host", "hashes")
+    ends = ranges.groupBy("range").agg(F.min_by(name, F.struct(*order)).alias("first"), F.max_by(name, F.struct(*order)).alias("last"))
+    edge = Window.orderBy("range")  # a row of numbers for each range
+    ends = ends.select("first", "last", F.lag("last").over(edge).alias("left"), F.lead("first").over(edge).alias("right"))
+    link = lambda own, other, left: F.struct(F.col(own).alias("own"), F.col(other).alias("other"), F.lit(left).alias("is_left"))
+    links = ends.select(F.inline(F.array(link("first", "left", True), link("last", "right", False)))).where("other is not null")
+    across = ranges.select(name.alias("other"), page.alias("page")).join(F.broadcast(links), "other")  # pages at the ends of ranges alone
+    across = across.groupBy("own.key", "own.check").agg(*[F.any_value(F.when(F.col("is_left") == left, F.col("page")), True).alias(c) for c, left in (("left", True), ("right", False))])
     inside = Window.partitionBy("range").orderBy(*order)
-    near = ranges.select("range", "key", "check", "host", F.lag(page).over(inside).alias("before"), F.lead(page).over(inside).alias("after")).join(F.broadcast(edges), "range", "left")
+    near = ranges.select("key", "check", "host", F.lag(page).over(inside).alias("before"), F.lead(page).over(inside).alias("after")).join(across.hint("merge"), ["key", "check"], "left")
     same = lambda p: F.when(p["host"] == F.col("host"), p["hashes"])
     return near.select("key", "check", same(F.coalesce("before", "left")).alias("before"), same(F.coalesce("after", "right")).alias("after"))
 
