@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -62,21 +65,25 @@ def standardize(folded: DataFrame, column: str, width: int, to: str = "scaled")
     return out.withColumn(to, scaled).drop("__mean", "__std")
 
 
-def out_of_fold(folded: DataFrame, key: str, column: str, label: str, folds: int, classes: int, trees: int = 500, depth: int = 10, seed: int = 7) -> DataFrame:
-    """key, label, fold, probability: each row predicted by a balanced random forest fitted on the other folds. Labels are 0 to classes - 1."""
+def out_of_fold(folded: DataFrame, key: str, column: str, label: str, folds: int, classes: int, trees: int = 500, depth: int = 10, seed: int = 7, parallel: int = 5) -> DataFrame:
+    """key, label, fold, probability: each row predicted by a balanced random forest fitted on the other folds. Labels are 0 to classes - 1.
+
+    ``parallel`` folds are fitted at a time, so that the rounds of one fit fill the tasks that another leaves idle; each of them holds its own training rows.
+    """
     d = written(folded.select(key, F.col(label).cast("double").alias("label"), "fold", F.col(column).alias("x")), "folded")  # read by each fit
     d = d.select(key, "label", "fold", array_to_vector(F.col("x")).alias("features"))
-    out = None
-    for k in range(folds):
+
+    def predicted(k: int) -> DataFrame:
         train = d.where(F.col("fold") != k)
         n = train.groupBy("label").agg(F.count("*").alias("c"))
         total = n.agg(F.sum("c").alias("t"), F.count("*").alias("g"))
         weights = n.crossJoin(total).select("label", (F.col("t") / (F.col("g") * F.col("c"))).alias("weight"))
         forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
         model = forest.fit(train.join(F.broadcast(weights), "label"))
-        p = model.transform(d.where(F.col("fold") == k)).select(key, F.col("label").cast("int").alias("label"), "fold", vector_to_array("probability").alias("probability"))
-        out = p if out is None else out.unionByName(p)
-    return out
+        return model.transform(d.where(F.col("fold") == k)).select(key, F.col("label").cast("int").alias("label"), "fold", vector_to_array("probability").alias("probability"))
+
+    with ThreadPool(max(1, min(parallel, folds))) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(folded.sparkSession)(predicted), range(folds)))
 
 
 def one_vs_rest(df: DataFrame, label: str, focal: object) -> Column:

@@ -798,7 +798,7 @@ def rf_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def rf_oof(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.out_of_fold(_folds(spark, sf), "vec_id", "x", "label", 5, 10, trees=20, depth=6)
+    return evaluate.out_of_fold(_folds(spark, sf), "vec_id", "x", "label", 5, 10)
 
 
 @query()
