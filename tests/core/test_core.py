@@ -701,3 +701,12 @@ def test_intermediates_lie_in_one_folder_of_the_application(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.folder(Cluster)
+
+
+def test_forest_folds_side_by_side(spark):
+    rows = [(i, [float(i % 3) + (i % 7) / 20, float(i * 37 % 11)], i % 3, i % 4) for i in range(120)]
+    d = spark.createDataFrame(rows, "k long, x array<double>, y int, fold int")
+    one, many = ({r["k"]: (r["label"], r["fold"], r["probability"]) for r in evaluate.out_of_fold(d, "k", "x", "y", 4, 3, trees=5, depth=3, parallel=n).collect()} for n in (1, 4))
+    assert one == many and len(one) == 120
+    assert all((label, fold) == (k % 3, k % 4) and abs(sum(p) - 1) < 1e-9 for k, (label, fold, p) in one.items())
+    assert sum(max(range(3), key=p.__getitem__) == label for label, _, p in one.values()) > 110
