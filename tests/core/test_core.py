@@ -710,3 +710,24 @@ def test_forest_folds_side_by_side(spark):
     assert one == many and len(one) == 120
     assert all((label, fold) == (k % 3, k % 4) and abs(sum(p) - 1) < 1e-9 for k, (label, fold, p) in one.items())
     assert sum(max(range(3), key=p.__getitem__) == label for label, _, p in one.values()) > 110
+
+
+@pytest.mark.parametrize("fan", [2, 4, 256])
+def test_digest_is_the_trees_root_from_one_shuffle(spark, monkeypatch, fan):
+    monkeypatch.setattr(digest, "FAN", fan)  # trees of several levels from few rows
+    t = spark.range(300).selectExpr("id % 90 AS a", "cast(id % 45 AS string) AS b").union(spark.range(40).selectExpr("id * 0", "'x'"))
+    want = digest.table_tree(t, ["a", "b"]).where("level = 0").select("rows", "sha256").first()
+    assert digest.table_digest(t, ["a", "b"]).first() == want
+    plan = digest._tops(t, ["a", "b"], 3, 340)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_features_of_a_wide_table_need_no_shuffle(spark):
+    rows = [(1, 1.0, 0.1, 99.0, 0.2, 0.5), (2, 3.0, None, 4.0, 0.4, 0.25), (3, 99.0, 0.1, None, 0.2, 0.0)]
+    wide = spark.createDataFrame(rows, "k int, a double, a_err double, b double, b_err double, ebv double")
+    bands = [measure.Band("a", "a", "a_err", 0.5), measure.Band("b", "b", "b_err", 1.0)]
+    got = measure.banded(wide, ["k"], bands, [99.0], "ebv")
+    long = measure.unpivot(wide, ["k"], bands, [99.0], "ebv")
+    assert sorted(got.collect()) == sorted(features.pivot(long, ["k"], "ab").collect())
+    assert sorted(features.wide_in(got, ["k"], "ab", ["a", "a-b"]).collect(), key=str) == sorted(features.wide_view(features.build(long, ["k"], "ab"), ["k"], ["a", "a-b"]).collect(), key=str)
+    assert "Exchange" not in features.unpivoted(got, ["k"], "ab")._jdf.queryExecution().executedPlan().toString()
