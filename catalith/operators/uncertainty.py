@@ -51,12 +51,17 @@ class Measured:
         return df.select(one(self.key, "long").alias("key"), one(self.target, "int").alias("target"), F.array(*[one(c, "double") for c in self.magnitudes]).alias("x"), F.array(*[one(c, "double") for c in self.errors]).alias("e"))
 
 
-def _colors(pdf: pd.DataFrame, r: int, n: int, seed: int) -> np.ndarray:
+def _measured(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, magnitudes and errors of a batch, taken from its lists once for all realisations."""
+    return pdf.key.to_numpy().astype(np.uint64), *(np.array(pdf[c].tolist(), float).reshape(len(pdf), -1) for c in "xe")
+
+
+def _colors(rows: tuple[np.ndarray, np.ndarray, np.ndarray], r: int, n: int, seed: int) -> np.ndarray:
     """Differences of adjacent magnitudes of realisation ``r`` of ``n``; of the measurements themselves for -1."""
-    x, e = (np.array(pdf[c].tolist(), float).reshape(len(pdf), -1) for c in "xe")
+    key, x, e = rows
     if r >= 0:
         with np.errstate(over="ignore"):
-            c = (pdf.key.to_numpy().astype(np.uint64)[:, None] * np.uint64(n) + np.uint64(r)) * np.uint64(x.shape[1]) + np.arange(x.shape[1], dtype=np.uint64)
+            c = (key[:, None] * np.uint64(n) + np.uint64(r)) * np.uint64(x.shape[1]) + np.arange(x.shape[1], dtype=np.uint64)
         x = x + e * counted_normals(seed, c)
     with np.errstate(invalid="ignore"):
         return x[:, :-1] - x[:, 1:]
@@ -84,9 +89,9 @@ def _fitted(rows: DataFrame, n: int, seed: int, width: int) -> dict[int, Discrim
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n + 1, 2, 1 + 2 * width))
         for pdf in batches:
-            target = pdf.target.to_numpy()
+            target, own_rows = pdf.target.to_numpy(), _measured(pdf)
             for r in range(-1, n) if len(pdf) else ():
-                c = _colors(pdf, r, n, seed) - shift
+                c = _colors(own_rows, r, n, seed) - shift
                 sound = np.isfinite(c).all(axis=1)
                 for t in (0, 1):
                     own = c[sound & (target == t)]
@@ -124,7 +129,7 @@ def realisation_metrics(measured: DataFrame, columns: Measured, n: int, seed: in
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"score": base.score(_colors(pdf, -1, n, seed)), "target": pdf.target})
+                yield pd.DataFrame({"score": base.score(_colors(_measured(pdf), -1, n, seed)), "target": pdf.target})
 
     curve = pr_curve(rows.mapInPandas(scored, "score double, target int").where("not isnan(score)")) if base else None
     limit = threshold_at_recall(curve, recall).first()["threshold"] if base else None
@@ -132,9 +137,9 @@ def realisation_metrics(measured: DataFrame, columns: Measured, n: int, seed: in
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n, 5), np.int64)
         for pdf in batches:
-            focal = pdf.target.to_numpy() == 1
+            focal, own_rows = pdf.target.to_numpy() == 1, _measured(pdf)
             for r in range(n) if len(pdf) else ():
-                score = models[r].score(_colors(pdf, r, n, seed))
+                score = models[r].score(_colors(own_rows, r, n, seed))
                 sound, hit = np.isfinite(score), score >= (np.inf if limit is None else limit)
                 total[r] += [len(pdf), (~sound).sum(), (sound & hit & focal).sum(), (sound & hit & ~focal).sum(), (sound & ~hit & focal).sum()]
         yield pd.DataFrame(total, columns=["n", "failed", "tp", "fp", "fn"]).assign(realisation=np.arange(n, dtype="int32"))[["realisation", "n", "failed", "tp", "fp", "fn"]]

@@ -754,3 +754,10 @@ def test_nearest_edges_are_the_first_ranked_ones_from_one_row_a_record(spark):
         first = [sorted(population.apply_policy(e, policy).select("ref", "target", "sep").collect()) for e in (ranked, got)]
         assert first[0] == first[1] and first[0]
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_of_a_batch_are_read_once_for_all_realisations(spark):
+    from catalith.operators.uncertainty import _colors, _measured
+    import pandas as pd
+    rows = _measured(pd.DataFrame({"key": [1, 2], "x": [[1.0, 2.0], [3.0, 5.0]], "e": [[0.0, 0.0], [0.0, 0.0]]}))
+    assert all((_colors(rows, r, 3, 1) == [[-1.0], [-2.0]]).all() for r in (-1, 0, 2))
