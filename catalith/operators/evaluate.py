@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import ROWS, in_ranges, quantiles, running
-from ..sources.scratch import written
+from ..sources.scratch import shared, written
 
 
 def split_matrix(features: DataFrame, splits: DataFrame, key: str, split: str, selections: DataFrame | None = None) -> DataFrame:
@@ -65,25 +65,40 @@ def standardize(folded: DataFrame, column: str, width: int, to: str = "scaled")
     return out.withColumn(to, scaled).drop("__mean", "__std")
 
 
-def out_of_fold(folded: DataFrame, key: str, column: str, label: str, folds: int, classes: int, trees: int = 500, depth: int = 10, seed: int = 7, parallel: int = 5) -> DataFrame:
+def out_of_fold(folded: DataFrame, key: str, column: str, label: str, folds: int, classes: int, trees: int = 500, depth: int = 10, seed: int = 7, parallel: int = 5, nodes: int = 65_536) -> DataFrame:
     """key, label, fold, probability: each row predicted by a balanced random forest fitted on the other folds. Labels are 0 to classes - 1.
 
-    ``parallel`` folds are fitted at a time, so that the rounds of one fit fill the tasks that another leaves idle; each of them holds its own training rows.
+    The driver holds the trees that grow, so a forest is grown in lots of trees of about ``nodes`` nodes together, each lot with its own seed: a lot's votes for
+    the fold's rows are written before the next one starts, and a row's votes are added up in the order of the lots. ``parallel`` folds are fitted at a time, so
+    that the rounds of one fit fill the tasks that another leaves idle; the driver holds about parallel * nodes nodes, however many rows and trees there are.
     """
-    d = written(folded.select(key, F.col(label).cast("double").alias("label"), "fold", F.col(column).alias("x")), "folded")  # read by each fit
-    d = d.select(key, "label", "fold", array_to_vector(F.col("x")).alias("features"))
-
-    def predicted(k: int) -> DataFrame:
-        train = d.where(F.col("fold") != k)
-        n = train.groupBy("label").agg(F.count("*").alias("c"))
-        total = n.agg(F.sum("c").alias("t"), F.count("*").alias("g"))
-        weights = n.crossJoin(total).select("label", (F.col("t") / (F.col("g") * F.col("c"))).alias("weight"))
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
-        model = forest.fit(train.join(F.broadcast(weights), "label"))
-        return model.transform(d.where(F.col("fold") == k)).select(key, F.col("label").cast("int").alias("label"), "fold", vector_to_array("probability").alias("probability"))
+    spark = folded.sparkSession
+    d = folded.select(F.monotonically_increasing_id().alias("row"), key, F.col(label).cast("double").alias("label"), "fold", F.col(column).alias("x"))
+    d = written(d, "folded")  # read by each fit
+    n = [(r["fold"], r["label"], r["n"]) for r in d.where("label is not null").groupBy("fold", "label").agg(F.count("*").alias("n")).collect()]  # a row for each fold and class
+    at_once = max(1, nodes // max(1, min(2 << depth, sum(count for _, _, count in n))))  # a tree has no more nodes than its depth allows, and about as many as rows (bags hold two thirds of them)
+    d = d.withColumn("features", array_to_vector(F.col("x"))).drop("x")
+    votes = shared(spark, "votes")
+
+    def voted(k: int) -> None:
+        own: Counter[float] = Counter()
+        for fold, y, count in n:
+            own[y] += count if fold != k else 0
+        weight = {y: own.total() / (sum(c > 0 for c in own.values()) * c) for y, c in own.items() if c}
+        train = d.where((F.col("fold") != k) & F.col("label").isNotNull()).withColumn("weight", F.create_map(*[F.lit(v) for yw in weight.items() for v in yw])[F.col("label")])
+        rows = d.where(F.col("fold") == k)
+        for lot, first in enumerate(range(0, trees, at_once)):
+            size = min(at_once, trees - first)
+            forest = RandomForestClassifier(numTrees=size, maxDepth=depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed + 1_000_003 * lot)
+            p = forest.fit(train).transform(rows).select("row", key, F.col("label").cast("int").alias("label"), F.transform(vector_to_array("probability"), lambda x: x * size).alias("votes"))
+            p.write.parquet(f"{votes}/fold={k}/lot={lot}")
 
     with ThreadPool(max(1, min(parallel, folds))) as pool:
-        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(folded.sparkSession)(predicted), range(folds)))
+        pool.map(inheritable_thread_target(spark)(voted), range(folds))
+    schema = f"row long, {key} {folded.schema[key].dataType.simpleString()}, label int, votes array<double>, fold int, lot int"
+    lots = spark.read.schema(schema).parquet(votes).groupBy("row", key, "label", "fold").agg(F.sort_array(F.collect_list(F.struct("lot", "votes"))).alias("lots"))
+    total = F.transform(F.col("lots")[0]["votes"], lambda _, i: F.aggregate("lots", F.lit(0.0), lambda a, v: a + v["votes"][i]) / trees)
+    return lots.select(key, "label", F.col("fold").cast(folded.schema["fold"].dataType).alias("fold"), total.alias("probability"))
 
 
 def one_vs_rest(df: DataFrame, label: str, focal: object) -> Column:

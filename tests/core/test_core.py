@@ -712,6 +712,18 @@ def test_forest_folds_side_by_side(spark):
     assert sum(max(range(3), key=p.__getitem__) == label for label, _, p in one.values()) > 110
 
 
+def test_forest_grows_a_few_trees_at_a_time(spark, monkeypatch):
+    sizes, forest = [], evaluate.RandomForestClassifier
+    monkeypatch.setattr(evaluate, "RandomForestClassifier", lambda **k: sizes.append((k["numTrees"], k["seed"])) or forest(**k))
+    rows = [(i // 2, [float(i % 3) + (i % 7) / 20, float(i * 37 % 11)], i % 3 if i else None, i % 2) for i in range(60)]  # a null label, and each key twice
+    d = spark.createDataFrame(rows, "k long, x array<double>, y int, fold int")
+    got = evaluate.out_of_fold(d, "k", "x", "y", 2, 3, trees=7, depth=3, nodes=48).collect()
+    assert sorted(n for n, _ in sizes) == [1, 1, 3, 3, 3, 3] and len({s for _, s in sizes}) == 3
+    assert sorted((r["k"], r["label"] is None, r["fold"]) for r in got) == sorted((k, y is None, f) for k, _, y, f in rows)
+    assert all(len(r["probability"]) == 3 and abs(sum(r["probability"]) - 1) < 1e-9 for r in got)
+    assert sum(max(range(3), key=r["probability"].__getitem__) == r["label"] for r in got) > 50
+
+
 @pytest.mark.parametrize("fan", [2, 4, 256])
 def test_digest_is_the_trees_root_from_one_shuffle(spark, monkeypatch, fan):
     monkeypatch.setattr(digest, "FAN", fan)  # trees of several levels from few rows
