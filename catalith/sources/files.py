@@ -37,20 +37,20 @@ def fixed_width(lines: DataFrame, fields: Sequence[Field], markers: Sequence[str
     return lines.select(*rest, *cut)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
     """source_file, start (of the file block), id (ascending within a block), value of each line."""
-    return spark.read.text(path).select(
+    return spark.read.option("recursiveFileLookup", deep).text(path).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"), "value")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, source_row (from 1), value for each line, however the files are split.
+    """source_file, source_row (from 1), value for each line, however the files are split; of all files below a folder.
 
     Lines of a file block keep their order in a scan, so a line's number is its place in
     the block plus the lines of the file's earlier blocks; only the table of blocks is windowed.
     """
-    lines = _lines(spark, path)
+    lines = _lines(spark, path, True)
     blocks = lines.groupBy("source_file", "start").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     before = Window.partitionBy("source_file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -130,8 +130,8 @@ def require_columns(df: DataFrame, need: Sequence[str]) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, n_bytes, sha256 of each file (files under 2 GB)."""
-    files = spark.read.format("binaryFile").load(path)
+    """source_file, n_bytes, sha256 of each file, of all below a folder (files under 2 GB)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)  # folders are listed by tasks
     return files.select(F.col("path").alias("source_file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 

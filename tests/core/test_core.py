@@ -724,6 +724,26 @@ def test_forest_grows_a_few_trees_at_a_time(spark, monkeypatch):
     assert sum(max(range(3), key=r["probability"].__getitem__) == r["label"] for r in got) > 50
 
 
+def test_order_files_follow_the_bytes_not_the_parts(spark, tmp_path, monkeypatch):
+    from catalith.plans import catalogue
+    spark.range(9000).selectExpr("id * 7 AS o_orderkey", "element_at(array('F', 'O', 'P'), cast(id % 3 + 1 AS int)) AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    seen = []
+    numbered = files.numbered_lines
+    monkeypatch.setattr(catalogue.files, "numbered_lines", lambda s, path: seen.append(numbered(s, path)) or seen[0])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # files of several blocks
+    try:
+        got = {(r["status"], r["part"], r["source_row"], r["value"]) for r in catalogue.row_numbers(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want, n = set(), {}
+    for i in range(9000):
+        k = ("FOP"[i % 3], i * 7 // 1000)
+        n[k] = n.get(k, 0) + 1
+        want.add((*k, n[k], str(i * 7)))
+    assert got == want
+    assert seen[0].select("source_file").distinct().count() == 3  # 189 parts
+
+
 @pytest.mark.parametrize("fan", [2, 4, 256])
 def test_digest_is_the_trees_root_from_one_shuffle(spark, monkeypatch, fan):
     monkeypatch.setattr(digest, "FAN", fan)  # trees of several levels from few rows
