@@ -53,6 +53,11 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.reference_ranked(spatial.ranked(pairs(spark, sf), spatial.DIGITS))
 
 
+def ranked_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """``edges``, where their ranks are asked."""
+    return spatial.ranked_edges(*catalogues(spark, sf), RADIUS, spatial.DIGITS)
+
+
 def nearest(spark: SparkSession, sf: str) -> DataFrame:
     """Each reference's nearest edge, all that policies choose from; written, since several read it."""
     return written(spatial.nearest(pairs(spark, sf), spatial.DIGITS), "nearest")

@@ -788,6 +788,20 @@ def test_nearest_edges_are_the_first_ranked_ones_from_one_row_a_record(spark):
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranked_edges_of_places_send_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SHARE", 4)  # shares from few rows
+    rng = np.random.default_rng(9)
+    at = [(0.0, 0.0), (2e-4, 0.0), (-2e-4, 0.0), (0.0, 2e-4), (5e-4, 1e-4), (9.0, 9.0), (None, 1.0)]  # two at one separation from the first
+    a, b = (spark.createDataFrame([(int(i), *at[j]) for i, j in zip(rng.permutation(60), rng.integers(0, 7, 60), strict=True)], "id long, ra double, dec double") for _ in "ab")
+    want = spatial.reference_ranked(spatial.ranked(spatial.radius_pairs(a, b, 1.5), 6))
+    got = spatial.ranked_edges(a, b, 1.5, 6)
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect()) and want.count() > 500
+    written = []
+    monkeypatch.setattr(spatial, "written", lambda d, name: written.append((name, scratch.written(d, name))) or written[-1][1])
+    n = spatial.ranked_edges(a, b, 1.5, 6).count()
+    assert 5 * max(d.count() for _, d in written) < n
+
+
 def test_lists_of_a_batch_are_read_once_for_all_realisations(spark):
     from catalith.operators.uncertainty import _colors, _measured
     import pandas as pd
