@@ -17,8 +17,8 @@ bytes are the same all along are taken together, so a passage of many copies cou
 once; anchors of one name that follow each other, as in periodic text, are one entry.
 The starts of groups over HOT starts are dealt by their own hash, each in a thin row.
 
-Texts are read in blocks of BLOCK starts, so memory does not grow with the sampled places of
-a long text.
+Texts are read in blocks of BLOCK starts, many short texts or a part of a long one, so memory does not grow
+with the sampled places of a long text.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -36,13 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import tasks_for, tidy, written
 
-LENGTH, HOT, BLOCK, PIECE, HELD = 400, 400_000, 1 << 18, 4_096, 4_000_000
+LENGTH, HOT, BLOCK, PIECE, HELD = 400, 400_000, 1 << 16, 4_096, 4_000_000
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept_text")
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _PRIME = _U(2**31 - 1)
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_LOW = _BYTE >> _U(34)
 
 
 def gram(length: int) -> int:
@@ -50,12 +50,19 @@ def gram(length: int) -> int:
     return max(1, length * 8 // 25)
 
 
+def _table(base: int, n: int, modulus: int) -> np.ndarray:
+    """The first n powers of a base, by doubling."""
+    out = np.ones(1, _U)
+    while len(out) < n:
+        more = out * _U(pow(base, len(out), modulus))
+        out = np.concatenate([out, more if modulus == 2**64 else more % _U(modulus)])
+    return out[:n]
+
+
 @cache
-def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base, and of its inverse, that strings of ``length`` bytes need."""
-    back = pow(_BASE, -1, 2**64)
-    n = PIECE + 2 * length
-    return np.array([pow(_BASE, i, 2**64) for i in range(n)], _U), np.array([pow(back, i, 2**64) for i in range(n)], _U)
+def _powers(n: int, base: int = _BASE, modulus: int = 2**64) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash's base, and of its inverse, that n bytes need."""
+    return _table(base, n, modulus), _table(pow(base, -1, modulus), n, modulus)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,36 +71,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _grams(data: np.ndarray, size: int) -> np.ndarray:
-    """Polynomial hash of each ``size`` bytes, by doubling (unmixed)."""
-    h, m, out, done, power = _BYTE[data], 1, None, 0, _powers(size)[0]
-    while size:
-        if size & 1:
-            if out is None:
-                out = h
-            else:
-                n = len(data) - done - m + 1
-                out = out[:n] * power[m] + h[done : done + n]
-            done += m
-        size >>= 1
-        if size:
-            n = len(data) - 2 * m + 1
-            if n <= 0:
-                return np.empty(0, _U)
-            h = h[:n] * power[m] + h[m : m + n]
-            m *= 2
-    return out
+def _grams(data: np.ndarray, size: int, at: np.ndarray | slice | None = None) -> np.ndarray:
+    """Polynomial hash of each ``size`` bytes, or of those at some places (unmixed): differences of running sums, brought to one power."""
+    if len(data) < size:
+        return np.empty(0, _U)
+    power, inverse = _powers(1 << len(data).bit_length())
+    c = np.zeros(len(data) + 1, _U)
+    terms = _BYTE[data]
+    terms *= inverse[: len(data)]
+    np.cumsum(terms, out=c[1:])
+    if at is None:
+        h = c[size:] - c[:-size]
+        h *= power[: len(h)]
+        return h
+    return (c[at + size] - c[at]) * power[at]
 
 
-def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
-    """op over each window of w entries (block prefixes and suffixes)."""
-    n = len(x)
-    pad = np.full(-(-n // w) * w, fill, _U)
-    pad[:n] = x
-    rows = pad.reshape(-1, w)
-    left = op.accumulate(rows, axis=1).ravel()
-    right = op.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(right[: n - w + 1], left[w - 1 : n])
+def _least(x: np.ndarray, w: int) -> np.ndarray:
+    """Least of each w entries, by doubling."""
+    n, m, out = len(x) - w + 1, 1, x
+    while 2 * m <= w:
+        out = np.minimum(out[:-m], out[m:])
+        m *= 2
+    return np.minimum(out[:n], out[w - m : w - m + n])
 
 
 def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,39 +103,72 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     own bytes decide. Anchors of one name in a row are one entry. Texts under ``length``
     bytes have no anchors.
     """
-    n = len(data) - length + 1
-    parts = [_anchors(data[at : at + BLOCK + length - 1], length, at) for at in range(0, n, BLOCK)]
-    if not parts:
-        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    h, k, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[new], np.add.reduceat(k, new), lo[new], np.concatenate([lo[new][1:], [n]]) - 1
+    return _entries(data, np.array([0, len(data)]), length)[1:]
 
 
-def _anchors(data: np.ndarray, length: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name, number of anchors in a row and first start of a block's entries."""
+def _entries(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors`` of texts that lie one after the other in ``data``, text i from bounds[i] to bounds[i + 1]; first each entry's text."""
+    parts = [_anchors(data[at : at + BLOCK + length - 1], bounds - at, length, at) for at in range(0, len(data) - length + 1, BLOCK)]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    text, h, k, lo, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+    k[1:] -= first[1:] == last[:-1]  # what goes on in the next block is no other anchor
+    apart = text[1:] != text[:-1]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), apart | (h[1:] != h[:-1])]))
+    text, lo, k = text[new], lo[new], np.add.reduceat(k, new) if len(new) else k
+    ends = bounds[text + 1] - length
+    hi = np.append(np.where(text[1:] == text[:-1], lo[1:] - 1, ends[:-1]), ends[-1:])
+    return text, h[new], k, lo - bounds[text], hi - bounds[text]
+
+
+def _anchors(data: np.ndarray, bounds: np.ndarray, length: int, base: int) -> tuple[np.ndarray, ...]:
+    """Text, name, number of anchors in a row, first start, first and last anchor of a block's entries.
+
+    The order of the grams is that of the upper bits of their hashes, then of their places in the block: the leftmost of the least.
+    The number of those bits is the same for all blocks, so equal strings have equal anchors.
+    """
     size = gram(length)
-    window = length - size + 1
-    h = _mix(_grams(data, size))
-    least = _sliding(h, window, np.minimum, 2**64 - 1)
-    # h[j] is the least of a window over it iff it equals the greatest of those windows' minima
-    edge = np.zeros(len(h) + window - 1, _U)
-    edge[window - 1 : window - 1 + len(least)] = least
-    at = np.flatnonzero(_sliding(edge, window, np.maximum, 0) == h)
-    k = np.searchsorted(at, np.arange(len(least)))
-    left = np.flatnonzero(h[at[k]] != least)
-    while len(left):
-        k[left] += 1
-        left = left[h[at[k[left]]] != least[left]]
-    lo = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    name = h[at[k[lo]]]
-    new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-    return name[new], np.diff(np.append(new, len(name))), lo[new] + base
-
-
-def _bytes(value: pa.Scalar) -> np.ndarray:
-    buf = value.as_buffer()
-    return np.frombuffer(buf, np.uint8) if buf is not None else np.empty(0, np.uint8)
+    h = _grams(data, size)
+    kind, bits = (np.uint32, 17) if BLOCK + length <= 1 << 17 else (np.uint64, 40)
+    key = (h >> _U(32 if kind is np.uint32 else 0)).astype(kind)
+    key &= ~kind((1 << bits) - 1)
+    key |= np.arange(len(key), dtype=kind)
+    least = _least(key, length - size + 1)
+    new, whole = np.ones(len(least), bool), np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    for t in range(max(0, np.searchsorted(bounds, 0, "right") - 1), np.searchsorted(bounds, len(least))):
+        new[max(0, bounds[t])] = True
+        whole[max(0, bounds[t + 1] - length + 1) : bounds[t + 1]] = False
+    lo = np.flatnonzero(new & whole)
+    at = (least[lo] & kind((1 << bits) - 1)).astype(np.int64)
+    name, text = _mix(h[at]), np.searchsorted(bounds, lo, "right") - 1
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(lo)), bool), (text[1:] != text[:-1]) | (name[1:] != name[:-1])]))
+    ends = np.append(new[1:], len(lo))[: len(new)]
+    return text[new], name[new], ends - new, lo[new] + base, at[new] + base, at[ends - 1] + base
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's values, one after the other, and their bounds."""
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _fields(column: pa.ListArray) -> tuple[list, list[list]]:
+    """Where each row's structs begin, and all rows' values of each field, one after the other."""
+    own = column.flatten()  # of these rows only, without what null lists may hold
+    at = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    return at.tolist(), [f.to_numpy(zero_copy_only=False).tolist() for f in own.flatten()]
+
+
+def _lots(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Values in turn, first and last (exclusive), of at most ``most`` bytes together, or one."""
+    lo = 0
+    while lo < len(bounds) - 1:
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
 _ENTRY = pa.struct([("name", pa.int64()), ("times", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -146,17 +179,13 @@ def _sampled(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, found, some = 0, [], 0
-            for i in range(b.num_rows):
-                h, times, lo, hi = anchors(_bytes(b.column("data")[i]), length)
-                found.append((h.view(np.int64), times, lo, hi))
-                some += len(h)
-                if some > 50_000 or i == b.num_rows - 1:
-                    ends = np.cumsum([0, *(len(x[0]) for x in found)])
-                    cols = [pa.array(np.concatenate(c), t.type) for c, t in zip(zip(*found, strict=True), _ENTRY, strict=True)]
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, [f.name for f in _ENTRY]))
-                    yield pa.RecordBatch.from_arrays([b.column("key").slice(at, len(found)), lists], ["key", "anchors"])
-                    at, found, some = i + 1, [], 0
+            data, bounds = _flat(b.column("data"))
+            for lo, hi in _lots(bounds, HELD):
+                text, h, *rest = _entries(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], length)
+                ends = np.searchsorted(text, np.arange(hi - lo + 1))
+                cols = [pa.array(c, f.type) for c, f in zip((h.view(np.int64), *rest), _ENTRY, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, [f.name for f in _ENTRY]))
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(lo, hi - lo), lists], ["key", "anchors"])
 
     return run
 
@@ -176,14 +205,16 @@ def _contexts(length: int):
 
         for b in batches:
             rows, some = [], 0
-            for i in range(b.num_rows):
-                data, key, own = _bytes(b.column("data")[i]), b.column("key")[i].as_py(), b.column("own")[i].values
+            data, bounds = _flat(b.column("data"))
+            at, own = _fields(b.column("own"))
+            for i, key in enumerate(b.column("key").to_pylist()):
+                text = data[bounds[i] : bounds[i + 1]].tobytes()
                 first: dict[bytes, tuple[int, int]] = {}
                 again: list[tuple[int, int]] = []
-                for name, hot, lo, end in zip(*(own.field(f).to_pylist() for f in ("name", "hot", "lo", "hi")), strict=True):
+                for name, hot, lo, end in zip(*(f[at[i] : at[i + 1]] for f in own), strict=True):
                     for lo in range(lo, end + 1, PIECE):  # noqa: B020
                         hi = min(end, lo + PIECE - 1)
-                        part = data[lo : hi + length].tobytes()
+                        part = text[lo : hi + length]
                         content = xxhash.xxh3_128_digest(part, name & 0xFFFFFFFFFFFFFFFF)
                         if content in first:
                             again += [first[content], (lo, hi)]
@@ -212,82 +243,102 @@ def _union(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _starts(text: bytes, length: int) -> np.ndarray:
-    """Hash of each ``length`` bytes of a short text: differences of running sums, brought to one power."""
-    power, inverse = _powers(length)
-    c = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[np.frombuffer(text, np.uint8)] * inverse[: len(text)])])
-    n = len(text) - length + 1
-    return (c[length : length + n] - c[:n]) * power[:n]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime 2^31 - 1, or somewhat more."""
+    return (x & _PRIME) + (x >> _U(31))
 
 
-def _second(text: bytes, length: int) -> np.ndarray:
-    """Another hash of each ``length`` bytes of a short text, modulo a prime: strings equal in both are taken as equal."""
-    power, inverse = _prime_powers(length)
-    c = np.concatenate([np.zeros(1, _U), np.cumsum((_BYTE[np.frombuffer(text, np.uint8)] >> _U(34)) * inverse[: len(text)] % _PRIME)])
-    n = len(text) - length + 1
-    return (c[length : length + n] - c[:n]) % _PRIME * power[:n] % _PRIME
+def _second(data: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
+    """Another hash of the ``length`` bytes at some places, modulo a prime: strings equal in both are taken as equal."""
+    power, inverse = _powers(1 << len(data).bit_length(), 1_000_003, int(_PRIME))
+    c = np.zeros(len(data) + 1, _U)
+    np.cumsum(_fold(_LOW[data] * inverse[: len(data)]), out=c[1:])
+    g = _fold(_fold(_fold(c[at + length] - c[at]) * power[at]))
+    return np.where(g >= _PRIME, g - _PRIME, g)
 
 
-@cache
-def _prime_powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    p, back = int(_PRIME), pow(1_000_003, -1, int(_PRIME))
-    n = PIECE + 2 * length
-    return np.array([pow(1_000_003, i, p) for i in range(n)], _U), np.array([pow(back, i, p) for i in range(n)], _U)
-
-
-def _hashed(rows: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Both hashes, row number and place of each start of some rows (lo, hi, bytes)."""
-    n = (rows.hi - rows.lo + 1).to_numpy()
-    h = _mix(np.concatenate([_starts(x, length) for x in rows.bytes]))
-    g = np.concatenate([_second(x, length) for x in rows.bytes])
-    return h, g, np.repeat(np.arange(len(rows)), n), np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(rows.lo.to_numpy(), n)
+def _hashed(rows: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes, row number and place of each start of some rows (lo, bytes)."""
+    data, bounds = _flat(rows.column("bytes"))
+    first, parts = rows.column("lo").to_numpy(), []
+    for lo, hi in _lots(bounds, BLOCK):
+        part, own = data[bounds[lo] : bounds[hi]], bounds[lo:hi] - bounds[lo]
+        n = np.diff(bounds[lo : hi + 1]) - length + 1
+        row = np.repeat(np.arange(hi - lo), n)
+        at = np.arange(len(row)) + (own - np.cumsum(n) + n)[row]
+        parts.append((_mix(_grams(part, length, at)), _second(part, length, at), row + lo, at + (first[lo:hi] - own)[row]))
+    h, g, row, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, g, row, s
 
 
 def _spans(row: np.ndarray, s: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first and last byte (exclusive) of what strings at repeated starts s cover."""
-    order = np.lexsort((s, row))
-    row, s = row[order], s[order]
+    """Row, first and last byte (exclusive) of what strings at repeated starts s, in order in each row, cover."""
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (s[1:] - s[:-1] > length)])
     return row[new], s[new], np.append(s[:-1][new[1:]], s[-1:]) + length
 
 
-def _compare(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Sort the starts of whole groups, compare neighbours, keep what repeated strings cover."""
-    h, g, row, s = _hashed(pdf, length)
-    group = pd.factorize(pdf.name)[0][row]
-    order = np.lexsort((g, h, group))
-    same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1]) & (group[order][1:] == group[order][:-1])
-    rep = np.zeros(len(h), bool)
-    rep[order[1:][same]] = True
-    rep[order[:-1][same]] = True
-    rep &= pdf.single.to_numpy()[row]
+def _repeated(h: np.ndarray, g: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which starts equal another of their group in both hashes."""
+    h = _mix(h + _mix(group.astype(_U) + _U(_BASE)))
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    order = order[np.append(same, False) | np.insert(same, 0, False)]
+    a, b = order[1:], order[:-1]
+    same = h[a] == h[b]
+    if (same & ((g[a] != g[b]) | (group[a] != group[b]))).any():  # the first hash does not tell them apart
+        order = order[np.lexsort((group[order], g[order], h[order]))]
+        a, b = order[1:], order[:-1]
+        same = (h[a] == h[b]) & (g[a] == g[b]) & (group[a] == group[b])
+    out = np.zeros(len(h), bool)
+    out[a[same]] = True
+    out[b[same]] = True
+    return out
+
+
+_SPAN = ["key", "lo", "hi"]
+
+
+def _compare(rows: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Compare the starts of whole groups (rows in order of names), keep what repeated strings cover."""
+    name = rows.column("name").to_numpy()
+    group = np.cumsum(np.concatenate([[0], name[1:] != name[:-1]]))
+    single = rows.column("single").to_numpy(zero_copy_only=False)
+    asked = (np.bincount(group, single) > 0)[group]  # where every row is one of several equal ones, all is known
+    if not asked.all():
+        rows, single, group = rows.filter(pa.array(asked)), single[asked], group[asked]
+    none = pa.RecordBatch.from_arrays([pa.array([], k) for k in (pa.binary(), pa.int64(), pa.int64())], _SPAN)
+    if not len(group):
+        return none
+    h, g, row, s = _hashed(rows, length)
+    rep = _repeated(h, g, group[row]) & single[row]
     if not rep.any():
-        return pd.DataFrame({"key": [], "lo": [], "hi": []})
+        return none
     at, lo, hi = _spans(row[rep], s[rep], length)
-    return pd.DataFrame({"key": pdf.key.to_numpy()[at], "lo": lo, "hi": hi})
+    return pa.RecordBatch.from_arrays([rows.column("key").take(pa.array(at)), pa.array(lo), pa.array(hi)], _SPAN)
 
 
-def _slices(pdf: pd.DataFrame, most: int = 100_000) -> Iterator[pd.DataFrame]:
+def _slices(rows: pa.RecordBatch, most: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Rows in turn, of about ``most`` starts at a time."""
-    which = ((pdf.hi - pdf.lo + 1).cumsum() // most).to_numpy()
-    ends = [*np.flatnonzero(which[1:] != which[:-1]) + 1, len(pdf)] if len(pdf) else []
+    which = np.cumsum(rows.column("hi").to_numpy() - rows.column("lo").to_numpy() + 1) // most
+    ends = [*np.flatnonzero(which[1:] != which[:-1]) + 1, len(which)] if len(which) else []
     for lo, hi in zip([0, *ends], ends, strict=False):
-        yield pdf.iloc[lo:hi]
+        yield rows.slice(lo, hi - lo)
 
 
 def _merge(length: int):
     """Rows come sorted by name; what is held is one group, of HOT starts at most, or some small ones."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             for part in _slices(batch):
-                held = part if held is None else pd.concat([held, part], ignore_index=True)
-                end = (held.name == held.name.iloc[-1]).to_numpy()
-                if not end.all():
-                    yield _compare(held[~end], length)
-                    held = held[end]
-        if held is not None and len(held):
+                held = part if held is None or not held.num_rows else pa.concat_batches([held, part])
+                name = held.column("name").to_numpy()
+                end = int(np.searchsorted(name, name[-1]))
+                if end:
+                    yield _compare(held.slice(0, end), length)
+                    held = held.slice(end)
+        if held is not None and held.num_rows:
             yield _compare(held, length)
 
     return run
@@ -296,38 +347,39 @@ def _merge(length: int):
 def _thin(length: int):
     """Each start of rows as a row of its own."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
                 h, g, row, s = _hashed(part, length)
-                yield pd.DataFrame({"h": h.view(np.int64), "g": g.astype(np.int64), "key": part.key.to_numpy()[row], "s": s, "single": part.single.to_numpy()[row]})
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.astype(np.int64)), part.column("key").take(row), pa.array(s), part.column("single").take(row)], ["h", "g", "key", "s", "single"])
 
     return run
 
 
+def _covers(column: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """The spans (lo, hi) of each row's list, as ``_union`` joins them; none for null."""
+    at, (lo, hi) = _fields(column)
+    return [_union(zip(lo[a:b], hi[a:b], strict=True)) for a, b in zip(at, at[1:], strict=False)]
+
+
 def _drop(whole: bool, short: bool):
     """Cut the spans; texts out if ``whole``, the bytes of the spans of column short if ``short``."""
 
-    def spans(value: pa.Scalar) -> list[tuple[int, int]]:
-        return _union((x["lo"], x["hi"]) for x in value.as_py() or [])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                n, removed, runs, sha, kept, repeated = [], [], [], [], [], []
-                for i in range(part.num_rows):
-                    value = part.column("data")[i]
+                n, removed, runs, sha, kept = [], [], [], [], []
+                repeated = [sum(hi - lo for lo, hi in x) for x in _covers(part.column("short"))] if short else []
+                for value, cover in zip(part.column("data"), _covers(part.column("cover")), strict=True):
                     data = value.as_py() or b""
-                    cover = spans(part.column("cover")[i])
                     ends = [0, *(hi for _, hi in cover)]
                     rest = b"".join(data[end:lo] for end, lo in zip(ends, [*(lo for lo, _ in cover), len(data)], strict=True))
                     n.append(len(data))
                     removed.append(len(data) - len(rest))
                     runs.append(len(cover))
                     sha.append(hashlib.sha256(rest).hexdigest())
-                    if short:
-                        repeated.append(sum(hi - lo for lo, hi in spans(part.column("short")[i])))
                     if whole:
                         kept.append(rest.decode("utf-8", "ignore") if value.is_valid else None)
                 names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_repeated"] * short + ["kept_text"] * whole
@@ -363,11 +415,15 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     many = written(ctx.where("content is not null").groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content"), "many")
     span = ["key", "lo", (F.col("hi") + length).alias("hi")]
     whole = ctx.select("content", "key", "lo", "hi").join(many, "content").select(*span).unionAll(ctx.where("content is null").select(*span))
-    once = ctx.where("content is not null").groupBy("content").agg(F.first("bytes").alias("bytes"), F.first("name").alias("name"), F.max("hot").alias("hot"),
-                                                                   F.min(F.struct("key", "lo", "hi")).alias("at"), (F.count("*") == 1).alias("single"))
-    once = once.select("name", "hot", "bytes", "at.*", "single")
-    met = once.where("not hot").drop("hot").repartition(tasks_for(ctx), "name").sortWithinPartitions("name").mapInPandas(_merge(length), "key binary, lo long, hi long")
-    hot = written(once.where("hot").drop("hot", "name").mapInPandas(_thin(length), "h long, g long, key binary, s long, single boolean"), "starts")
+
+    def once(rows: str) -> DataFrame:
+        """Each content with one of its places; contents are of one name, so what is asked of names is asked before bytes are sent."""
+        found = ctx.where("content is not null").where(rows).groupBy("content").agg(
+            F.first("bytes").alias("bytes"), F.first("name").alias("name"), F.min(F.struct("key", "lo", "hi")).alias("at"), (F.count("*") == 1).alias("single"))
+        return found.select("name", "bytes", "at.*", "single")
+
+    met = once("not hot").repartition(tasks_for(ctx), "name").sortWithinPartitions("name").mapInArrow(_merge(length), "key binary, lo long, hi long")
+    hot = written(once("hot").drop("name").mapInArrow(_thin(length), "h long, g long, key binary, s long, single boolean"), "starts")
     equal = written(hot.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "equal")
     met = met.unionAll(hot.where("single").join(equal, ["h", "g"]).groupBy("key", F.expr(f"s div {length}")).agg(F.min("s").alias("lo"), (F.max("s") + length).alias("hi")).select("key", "lo", "hi"))
     cover = written(whole.unionAll(met).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("cover")), "cover")
@@ -381,11 +437,11 @@ def _runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, some = [], 0
-            for i in range(b.num_rows):
-                data, key = _bytes(b.column("data")[i]), b.column("key")[i].as_py()
-                for lo, hi in _union((x["lo"], x["hi"]) for x in b.column("cover")[i].as_py()):
+            data, bounds = _flat(b.column("data"))
+            for i, (key, cover) in enumerate(zip(b.column("key").to_pylist(), _covers(b.column("cover")), strict=True)):
+                for lo, hi in cover:
                     if hi - lo >= length:
-                        rows.append((key, lo, data[lo:hi].tobytes()))
+                        rows.append((key, lo, data[bounds[i] + lo : bounds[i] + hi].tobytes()))
                         some += hi - lo
                 if some > HELD or i == b.num_rows - 1 and rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["origin", "at", "data"])

@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -673,6 +674,26 @@ def test_anchors_over_blocks(monkeypatch):
     assert repeats.anchors(np.full(5000, 65, np.uint8))[1].sum() > 1
 
 
+def test_anchors_of_many_texts_at_once(monkeypatch):
+    """Short texts share a block, so their number costs no array operations of its own; each has the anchors it has alone."""
+    rng = np.random.default_rng(31)
+    texts = [rng.integers(97, 103, int(n), dtype=np.uint8).tobytes() for n in rng.integers(0, 900, 600)] + [b"z" * 700, b"", b"ab" * 50_000, b"q" * 200]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([str(i).encode() for i in range(len(texts))])], ["data", "key"])
+    calls, block = [], repeats._anchors
+    monkeypatch.setattr(repeats, "_anchors", lambda *x: calls.append(1) or block(*x))
+    got = [(int(r["key"]), r["anchors"]) for b in repeats._sampled(200)(iter([batch.slice(0, 300), batch.slice(300)])) for r in b.to_pylist()]
+    assert len(calls) < 20 and [k for k, _ in got] == list(range(len(texts)))
+    for (_, own), t in zip(got, texts, strict=True):
+        name, times, lo, hi = repeats.anchors(np.frombuffer(t, np.uint8), 200)
+        assert [(a["name"], a["times"], a["lo"], a["hi"]) for a in own] == list(zip(*(x.tolist() for x in (name.view(np.int64), times, lo, hi)), strict=True))
+
+
+def test_starts_are_compared_by_both_hashes_within_groups():
+    h, g, group = np.array([7, 7, 7, 7, 7, 8, 9, 9], np.uint64), np.array([1, 2, 1, 3, 1, 1, 4, 4], np.uint64), np.array([0, 0, 0, 0, 1, 0, 1, 2])
+    assert repeats._repeated(h, g, group).tolist() == [True, False, True, *[False] * 5]
+    assert repeats._repeated(h[[0, 2, 5]], g[[0, 2, 5]], group[[0, 2, 5]]).tolist() == [True, True, False]
+
+
 def test_near_duplicates_with_clashing_names(spark):
     d = docs(spark, *TEXTS[:3])
     for c in ("node", "n", "sig", "band", "comp", "hashes", "size"):
