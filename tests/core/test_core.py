@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 
 import numpy as np
 import pytest
@@ -828,3 +829,37 @@ def test_a_query_is_compared_once_for_all_its_neighbours(spark, shift):
     score = 1 - 2 / (m * 4 * (2 * m - 13)) * sum(r - 4 for r in want.values() if r > 4)
     for near in (None, neighbors.knn(p, p, 4)):  # the source's neighbours are not needed
         assert abs(neighbors.trustworthiness(p, near, found, 4).first()["trustworthiness"] - score) < 1e-12
+
+
+@pytest.mark.parametrize("fan", [4, 256])
+def test_digest_in_lots_keeps_one_lot_on_disk(spark, monkeypatch, fan):
+    monkeypatch.setattr(digest, "FAN", fan)
+    t = spark.range(20_000).selectExpr("id % 19000 AS a", "cast(id % 19000 AS string) AS b")
+    want = digest.table_tree(t, ["a", "b"]).where("level = 0").select("rows", "sha256").first()
+    monkeypatch.setattr(digest, "LOT", 5_000, raising=False)
+    made = []
+    monkeypatch.setattr(digest, "written", lambda d, name, **kw: made.append(scratch.written(d, name, **kw)) or made[-1])
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.length()) if files.apply(i).getName().startswith("shuffle_"))
+
+    before = shuffled()
+    assert digest.table_digest(t, ["a", "b"]).first() == want
+    assert len(made) == 4 and max(d.agg(F.sum("rows")).first()[0] for d in made) < 5_500
+    for _ in range(100):
+        if shuffled() - before < 100_000:  # of some 700,000
+            break
+        time.sleep(0.1)
+    assert shuffled() - before < 100_000
+    assert spark.conf.get(scratch.CLEANUP) == "false"
+
+
+def test_millionths_are_rounded_as_decimals(spark):
+    from catalith.plans import catalogue
+    rng = np.random.default_rng(6)
+    half = (rng.integers(-(10**6), 10**6, 400) + 0.5) / 1e6
+    x = [*half, *np.nextafter(half, 9), *np.nextafter(half, -9), *(rng.normal(size=400) * 10.0 ** rng.integers(-9, 12, 400)), 0.49999999999999994e-6, -0.49999999999999994e-6, 0.0, -0.0, 4.0e9, 4503599627.370497, 9e12, None]
+    d = spark.createDataFrame([(None if v is None else float(v),) for v in x], "x double")
+    got = d.select(catalogue._millionths("x").alias("a"), F.expr(catalogue._exact("x")).alias("b")).where("not a <=> b")
+    assert got.collect() == []
